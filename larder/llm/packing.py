@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .tokens import encoder
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Sequence numbers of one task's share.
@@ -49,8 +50,6 @@ def _pack(path: str, size: int, end_id: int, windows: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from larder.llm.tokens import encoder
-
         encode, end = encoder(path), struct.pack("<I", end_id)
         task = TaskContext.get().partitionId()
         rows: list[tuple] = []

@@ -43,6 +43,30 @@ def op2_exact_dedup(spark, sf_dir):
     return exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op3_secret_scan(spark, sf_dir):
+    from .secrets import scan_secrets
+
+    return scan_secrets(read(spark, sf_dir, "documents"))
+
+
+def op4_toxicity(spark, sf_dir):
+    from .toxicity import score_documents
+
+    return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op6_jaccard_join(spark, sf_dir):
+    from .jaccard import similar_groups
+
+    return similar_groups(read(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark, sf_dir):
+    from .decontamination import find_leaks
+
+    return find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_token_store(spark, sf_dir):
     from .tokenstore import round_trip
 
@@ -57,5 +81,5 @@ def op9_url_reputation(spark, sf_dir):
     return judge_urls(read(spark, sf_dir, "pages"), labels.select("doc_id", good))
 
 
-QUERIES = {"op1_packing": op1_packing, "op2_exact_dedup": op2_exact_dedup, "op7_token_store": op7_token_store, "op9_url_reputation": op9_url_reputation}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_secret_scan, op4_toxicity, op6_jaccard_join, op7_token_store, op8_decontamination, op9_url_reputation)}
 ORACLES = {"op2_exact_dedup": OP2_SQL}

@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .tokens import encoder, tokenizer
 
 #: Ids between checkpoints, a multiple of 4; ids from which a block is closed; limit of a code's bits.
 EVERY, BLOCK, LIMIT = 128, 1 << 18, 16
@@ -127,8 +128,6 @@ def _tokenize(path: str, end_id: int):
         import numpy as np
         import pyarrow as pa
 
-        from larder.llm.tokens import encoder, tokenizer
-
         encode, end = encoder(path), struct.pack("<I", end_id)
         size = max(tokenizer(path).get_vocab_size(), end_id + 1)
         kind = "<u2" if size <= 1 << 16 else "<u4"
