@@ -24,7 +24,7 @@ def features(word: str) -> list[int]:
     return [crc32(b"w" + raw), *(crc32(b"p" + word[:n].encode()) for n in (4, 5, 6, 7) if len(word) > n)]
 
 
-def fit(samples: list, prior: float, steps: int = 300, rate: float = 0.05, l2: float = 1e-4):
+def fit(samples: list, prior: float, steps: int = 400, rate: float = 0.1, l2: float = 2e-4):
     """samples: (1 if confirmed positive else 0, feature hashes as bytes) -> (bias, {hash: weight}).
 
     Minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss by Adam on
