@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import types
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +44,22 @@ def worker_cache() -> dict:
 def broadcast_if_small(df: DataFrame, n_bytes: int, bound: int = 32 << 20) -> DataFrame:
     """Hint a broadcast only where the measured size is under the bound."""
     return F.broadcast(df) if n_bytes <= bound else df
+
+
+def without_ids(docs: DataFrame, lost: DataFrame, id_col: str, bound: int = 1_000_000) -> DataFrame:
+    """The rows of docs whose id isn't in lost (one column). Up to `bound` ids are broadcast, after
+    they are counted, so the texts stay where they are; beyond that both sides are shuffled."""
+    lost = materialize(lost.toDF("__lost").distinct())
+    few = lost.count() <= bound
+    return docs.join(F.broadcast(lost) if few else lost, docs[id_col] == lost["__lost"], "left_anti")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the shared checkpoint folder."""
+    materialize(spark.range(1))  # names the shared folder where nothing has
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

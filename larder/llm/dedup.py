@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, without_ids
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", normalise=ascii_lower) -> DataFrame:
@@ -38,11 +38,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of docs that stay, with docs' columns; repeated rows with one id stay once.
-
-    The rows to drop are few and found by id, so texts cross no second shuffle than the one that
-    groups them.
-    """
+    """The rows of docs that stay, with docs' columns; rows that repeat a kept id all stay."""
     groups = exact_groups(docs, id_col, text_col, keep)
-    lost = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs[id_col] == lost["__lost"], "left_anti")
+    return without_ids(docs, groups.filter(~F.col("kept")).select("doc_id"), id_col)

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, without_ids
 from .components import components
 
 #: n-grams that one task holds at once; a list of single n-grams longer than this is a hot one.
@@ -282,5 +282,4 @@ def _blocks(sized: DataFrame, num: int, den: int) -> DataFrame:
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of its group, with docs' columns."""
     groups = similar_groups(docs, k, num, den, id_col, text_col)
-    lost = groups.filter("component_id <> doc_id").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs[id_col] == lost["__lost"], "left_anti")
+    return without_ids(docs, groups.filter("component_id <> doc_id").select("doc_id"), id_col)

@@ -55,6 +55,18 @@ def op4_toxicity(spark, sf_dir):
     return score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_html_text(spark, sf_dir):
+    from .wrappers import extract_text
+
+    return extract_text(read(spark, sf_dir, "pages"))
+
+
+def op10_lm_scores(spark, sf_dir):
+    from .mixing import score_texts
+
+    return score_texts(read(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark, sf_dir):
     from .jaccard import similar_groups
 
@@ -81,5 +93,5 @@ def op9_url_reputation(spark, sf_dir):
     return judge_urls(read(spark, sf_dir, "pages"), labels.select("doc_id", good))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_secret_scan, op4_toxicity, op6_jaccard_join, op7_token_store, op8_decontamination, op9_url_reputation)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_secret_scan, op4_toxicity, op5_html_text, op6_jaccard_join, op7_token_store, op8_decontamination, op9_url_reputation, op10_lm_scores)}
 ORACLES = {"op2_exact_dedup": OP2_SQL}

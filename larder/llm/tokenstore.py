@@ -14,13 +14,11 @@ Blocks are in ascending order of document id: file by file, block by block.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, remove_folder, shared_folder
 from .tokens import encoder, tokenizer
 
 #: Ids between checkpoints, a multiple of 4; ids from which a block is closed; limit of a code's bits.
@@ -249,11 +247,9 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> Data
 def round_trip(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
     """Write a store in the shared folder, read all of it back, and drop it; what was read, without the ids."""
     spark = docs.sparkSession
-    materialize(spark.range(1))  # names the shared folder where nothing has
-    folder = f"{spark.sparkContext.getCheckpointDir()}/tokens-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "tokens")
     try:
         write_tokens(docs, path, folder, end_id)
         return materialize(read_tokens(spark, folder, with_ids=False))
     finally:
-        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        remove_folder(spark, folder)
