@@ -2,9 +2,573 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import crawl, entities, evaluate, facets, filters, parse, planner, recipes, search, wiki
+from ..operators.index import build_field_index, build_index
+from . import sql
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
+QUERY, TERMS = "tion ther ble tion", ["ble", "ther", "tion"]
+SETTINGS = {"cuisine": ["EN"], "max_total_minutes": 180, "min_rating": 1.5}
+SETTINGS_SQL = "lang = 'en' AND n_chars % 240 <= 180 AND (doc_id % 50) / 10.0 >= 1.5"
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def recipe_table(spark, sf_dir) -> DataFrame:
+    return recipes.from_documents(table(spark, sf_dir, "documents"))
+
+
+def index_of(spark, sf_dir):
+    return build_index(recipe_table(spark, sf_dir))
+
+
+def six(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+def allowed(spark, sf_dir, settings) -> DataFrame:
+    return filters.apply_filters(recipe_table(spark, sf_dir), settings).select("doc_id")
+
+
+# -- index ---------------------------------------------------------------------------------------
+
+
+@query(f"WITH {sql.INDEX} SELECT term, count(DISTINCT doc_id) AS docs, sum(tf)::BIGINT AS n FROM p GROUP BY term")
+def tokenize_counts(spark, sf_dir):
+    return index_of(spark, sf_dir).postings.groupBy("term").agg(F.countDistinct("doc_id").alias("docs"), F.sum("tf").alias("n"))
+
+
+@query(f"WITH {sql.INDEX} SELECT term, field, doc_id, tf FROM p")
+def index_postings(spark, sf_dir):
+    return index_of(spark, sf_dir).postings
+
+
+@query(f"WITH {sql.INDEX} SELECT term, df, idf FROM t")
+def index_terms(spark, sf_dir):
+    return index_of(spark, sf_dir).terms
+
+
+@query(f"WITH {sql.INDEX} SELECT term, count(DISTINCT doc_id) AS df FROM p GROUP BY term")
+def index_terms_by_document(spark, sf_dir):
+    return build_index(recipe_table(spark, sf_dir), df_mode="doc").terms.select("term", "df")
+
+
+@query(f"WITH {sql.INDEX} SELECT doc_id, len_title, len_ingredients, len_instructions, len_total FROM m")
+def docmeta_lengths(spark, sf_dir):
+    return index_of(spark, sf_dir).docmeta.drop("title")
+
+
+@query(f"WITH {sql.INDEX} SELECT n_docs, round(avg_len, 6) AS avg_len, (SELECT count(*) FROM t) AS terms, (SELECT count(*) FROM p) AS postings FROM s")
+def index_stats(spark, sf_dir):
+    ix = index_of(spark, sf_dir)
+    counts = ix.terms.agg(F.count(F.lit(1)).alias("terms"), F.sum("df").alias("postings"))
+    return six(ix.stats.crossJoin(counts), "avg_len")
+
+
+# -- ranked search -------------------------------------------------------------------------------
+
+
+def _hits(df):
+    return six(df, "score").select(F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+
+
+@query(f"WITH {sql.INDEX}, {sql.bm25(TERMS)} {sql.top(10)}")
+def bm25_topk(spark, sf_dir):
+    return _hits(search.search(index_of(spark, sf_dir), QUERY))
+
+
+@query(f"WITH {sql.INDEX}, {sql.tfidf({'tion': 2, 'ther': 1, 'ble': 1})} {sql.top(10)}")
+def tfidf_topk(spark, sf_dir):
+    return _hits(search.search(index_of(spark, sf_dir), QUERY, "tfidf"))
+
+
+@query(f"WITH {sql.INDEX}, {sql.bm25(TERMS)} SELECT doc_id, round(score, 6) AS score FROM sc")
+def bm25_all(spark, sf_dir):
+    return six(search.bm25_scores(index_of(spark, sf_dir), QUERY), "score")
+
+
+@query(f"WITH {sql.INDEX}, {sql.tfidf({'tion': 2, 'ther': 1, 'ble': 1})} SELECT doc_id, round(score, 6) AS score FROM sc")
+def tfidf_all(spark, sf_dir):
+    return six(search.tfidf_scores(index_of(spark, sf_dir), QUERY), "score")
+
+
+@query(f"WITH {sql.INDEX}, ok AS (SELECT doc_id FROM documents WHERE {SETTINGS_SQL}), {sql.bm25(TERMS, 'p.doc_id IN (SELECT doc_id FROM ok)')} {sql.top(10)}")
+def bm25_filtered(spark, sf_dir):
+    return _hits(search.search(index_of(spark, sf_dir), QUERY, allowed=allowed(spark, sf_dir, SETTINGS)))
+
+
+@query(f"WITH {sql.INDEX}, {sql.bm25(TERMS)}, sc2 AS (SELECT row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank, doc_id, round(score, 6) AS score FROM sc) SELECT * FROM sc2 WHERE rank BETWEEN 21 AND 30")
+def bm25_page3(spark, sf_dir):
+    return _hits(search.search(index_of(spark, sf_dir), QUERY, offset=20))
+
+
+@query(f"WITH {sql.INDEX} SELECT count(DISTINCT doc_id) AS total FROM p JOIN t USING (term) WHERE term IN ('ble', 'ther', 'tion')")
+def search_count(spark, sf_dir):
+    return search.count_hits(index_of(spark, sf_dir), QUERY)
+
+
+@query(f"WITH {sql.INDEX} SELECT count(DISTINCT doc_id) AS total FROM p WHERE term IN ('ble', 'ther', 'tion') AND doc_id IN (SELECT doc_id FROM documents WHERE {SETTINGS_SQL})")
+def search_count_filtered(spark, sf_dir):
+    return search.count_hits(index_of(spark, sf_dir), QUERY, allowed(spark, sf_dir, SETTINGS))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY doc_id)::INT AS rank, doc_id, 1.0::DOUBLE AS score FROM documents WHERE {SETTINGS_SQL} ORDER BY doc_id LIMIT 25")
+def filter_only(spark, sf_dir):
+    return _hits(search.search(index_of(spark, sf_dir), "", k=25, allowed=allowed(spark, sf_dir, SETTINGS)))
+
+
+@query(f"WITH {sql.INDEX}, {sql.bm25(TERMS)}, x AS (SELECT doc_id, score FROM sc ORDER BY score DESC, doc_id LIMIT 10) SELECT doc_id, CASE WHEN title = '' THEN 'Document ' || doc_id ELSE regexp_replace(regexp_replace(regexp_replace(title, '(?i)\\btion\\b', '**tion**', 'g'), '(?i)\\bther\\b', '**ther**', 'g'), '(?i)\\bble\\b', '**ble**', 'g') END AS snippet FROM x JOIN m USING (doc_id)")
+def snippet_highlight(spark, sf_dir):
+    return search.search(index_of(spark, sf_dir), QUERY).select("doc_id", "snippet")
+
+
+def _benchmark_queries(spark, sf_dir):
+    # a benchmark item's first thirty characters ask for it
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 30).alias("query"))
+
+
+_BATCH = f"""WITH {sql.INDEX}, q AS (SELECT DISTINCT item_id AS qid, unnest({sql.tokens("substr(text, 1, 30)")}) AS term FROM benchmark),
+sc AS (SELECT qid, p.doc_id, round(sum({sql.BM25_PART}), 9) AS score FROM q JOIN p USING (term) JOIN t USING (term) JOIN m USING (doc_id), s GROUP BY ALL),
+run AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM sc QUALIFY rank <= 10)"""
+
+
+@query(f"{_BATCH} SELECT qid, rank, doc_id, round(score, 6) AS score FROM run")
+def bm25_batch(spark, sf_dir):
+    return six(search.search_batch(index_of(spark, sf_dir), _benchmark_queries(spark, sf_dir)), "score")
+
+
+_FIELD_TOK = lambda c: rf"list_filter(string_split_regex(lower({c}), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
+_FIELD = f"""WITH {sql.RECIPES}, k AS (SELECT doc_id, {_FIELD_TOK("title")} a, {_FIELD_TOK("ing")} b, {_FIELD_TOK("instr")} c FROM rec),
+u AS (SELECT doc_id, 'title' f, len(a) l, unnest(a) term FROM k UNION ALL SELECT doc_id, 'ingredients', len(b), unnest(b) FROM k UNION ALL SELECT doc_id, 'instructions', len(c), unnest(c) FROM k),
+p AS (SELECT doc_id, f, term, count(*) tf, max(l) l FROM u GROUP BY ALL),
+d AS (SELECT term, f, count(*) df FROM p GROUP BY ALL),
+n AS (SELECT f, count(*) n, avg(l) av FROM (SELECT 'title' f, len(a) l FROM k UNION ALL SELECT 'ingredients', len(b) FROM k UNION ALL SELECT 'instructions', len(c) FROM k) WHERE l > 0 GROUP BY f),
+z AS (SELECT *, CASE f WHEN 'title' THEN 2.0::DOUBLE WHEN 'ingredients' THEN 1.5::DOUBLE ELSE 1.0::DOUBLE END w FROM p JOIN d USING (term, f) JOIN n USING (f) WHERE term IN ('ble', 'ther', 'tion'))"""
+
+
+@query(f"{_FIELD}, sc AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / av)) * w), 9) score FROM z GROUP BY doc_id) {sql.top(10)}")
+def field_bm25_topk(spark, sf_dir):
+    return _hits(search.field_search(build_field_index(recipe_table(spark, sf_dir)), QUERY))
+
+
+@query(f"{_FIELD}, sc AS (SELECT doc_id, round(sum(sqrt(tf) * pow(1 + ln((n + 1) / (df + 1)::DOUBLE), 2) / sqrt(l) * w), 9) score FROM z GROUP BY doc_id) {sql.top(10)}")
+def field_classic_topk(spark, sf_dir):
+    return _hits(search.field_search(build_field_index(recipe_table(spark, sf_dir)), QUERY, similarity="classic"))
+
+
+@query(f"WITH {sql.INDEX}, {sql.bm25(TERMS)}, a AS (SELECT doc_id FROM sc ORDER BY score DESC, doc_id LIMIT 50), b AS (WITH {sql.tfidf({'tion': 2, 'ther': 1, 'ble': 1})} SELECT doc_id FROM sc ORDER BY score DESC, doc_id LIMIT 50) SELECT count(*) AS both FROM a JOIN b USING (doc_id)")
+def metric_overlap(spark, sf_dir):
+    ix = index_of(spark, sf_dir)
+    top = lambda df: df.orderBy(F.desc("score"), "doc_id").limit(50).select("doc_id")
+    return top(search.bm25_scores(ix, QUERY)).join(top(search.tfidf_scores(ix, QUERY)), "doc_id").agg(F.count(F.lit(1)).alias("both"))
+
+
+# -- filters: one query a setting, each counts and sums the ids that pass --------------------------
+
+_F = f"WITH {sql.RECIPES}, r AS (SELECT *, lower(title || '  ' || lang || ' ' || source) AS tdk, lower(title || '  ' || array_to_string(l[3:], ' ')) AS tdi, lower(title || '  ' || lang || ' ' || source || ' ' || ing) AS tdki, n_chars % 240 AS total, (doc_id % 50) / 10.0 AS rating, doc_id % 200 AS reviews, ['easy', 'medium', 'hard'][1 + doc_id % 3] AS difficulty, doc_id % 12 AS servings FROM rec) "
+FILTERS = {
+    "cuisine": ({"cuisine": "de, FR"}, "lang IN ('de', 'fr')"),
+    "category": ({"category": ["SRC1", "src2"]}, "source IN ('src1', 'src2')"),
+    "difficulty": ({"difficulty": ["Eas", "hard"]}, "difficulty IN ('easy', 'hard')"),
+    "meal_type": ({"meal_type": ["tion", "src7"]}, "contains(tdk, 'tion') OR contains(tdk, 'src7')"),
+    "dietary": ({"dietary": ["thble"]}, "contains(tdki, 'thble')"),
+    "cooking_method": ({"cooking_method": ["wherth"]}, "contains(tdi, 'wherth')"),
+    "max_total": ({"max_total_minutes": 60}, "total <= 60"),
+    "min_total": ({"min_total_minutes": 200}, "total >= 200"),
+    "prep": ({"min_prep_minutes": 10, "max_prep_minutes": 20}, "n_chars % 60 BETWEEN 10 AND 20"),
+    "cook": ({"min_cook_minutes": 30, "max_cook_minutes": 90}, "n_chars % 180 BETWEEN 30 AND 90"),
+    "rating": ({"min_rating": 4.5, "max_rating": "4.8"}, "rating BETWEEN 4.5 AND 4.8"),
+    "zero_is_off": ({"min_rating": 0, "cuisine": []}, "true"),
+    "reviews": ({"min_review_count": 150}, "reviews >= 150"),
+    "calories": ({"min_calories": 100, "max_calories": 300}, "n_chars % 900 BETWEEN 100 AND 300"),
+    "protein": ({"min_protein": 25}, "n_chars % 50 >= 25"),
+    "missing_nutrient": ({"min_sodium": 1}, "false"),
+    "missing_nutrient_max": ({"max_sodium": 1}, "true"),
+    "yield": ({"min_yield": 4, "max_yield": 8}, "servings BETWEEN 4 AND 8"),
+    "author": ({"author": "src1"}, "contains(source, 'src1')"),
+    "has_image": ({"has_image": True}, "doc_id % 4 <> 0"),
+    "keywords": ({"keywords": ["es", "tion the"]}, "lang = 'es' OR contains(lower(title), 'es') OR contains(lower(title || ' '), 'tion the')"),
+    "lines": ({"min_instructions": 3, "max_instructions": 10, "min_ingredients": 1}, "len(l) - 2 BETWEEN 3 AND 10"),
+    "no_date": ({"min_publication_date": "2020-01-01"}, "true"),
+    "combined": (SETTINGS, SETTINGS_SQL.replace("(doc_id % 50) / 10.0", "rating")),
+}
+
+
+@query(" UNION ALL ".join([_F + ", ".join([]) + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS setting, count(*) AS n, coalesce(sum(doc_id), 0)::BIGINT AS ids FROM r WHERE {w}" for k, (_, w) in FILTERS.items()) + ")"]))
+def filter_matrix(spark, sf_dir):
+    rows = recipe_table(spark, sf_dir)
+    passes = [(k, filters.predicates(rows, s)) for k, (s, _) in FILTERS.items()]
+    tests = []
+    for name, found in passes:
+        ok = F.lit(True)
+        for p in found:
+            ok = ok & p
+        tests.append(F.struct(F.lit(name).alias("setting"), F.coalesce(ok, F.lit(False)).alias("ok")))
+    each = rows.select("doc_id", F.explode(F.array(*tests)).alias("t"))
+    return each.groupBy(F.col("t.setting").alias("setting")).agg(F.count_if("t.ok").alias("n"), F.sum(F.when(F.col("t.ok"), F.col("doc_id")).otherwise(0)).alias("ids"))
+
+
+@query(f"WITH {sql.RECIPES} SELECT doc_id FROM rec WHERE list_contains({_FIELD_TOK('ing')}, 'tion') AND list_contains({_FIELD_TOK('ing')}, 'the') AND lang IN ('en', 'de') AND n_chars % 240 BETWEEN 10 AND 10000")
+def index_filters(spark, sf_dir):
+    return filters.apply_index_filters(recipe_table(spark, sf_dir), {"include_ingredients": "tion, the", "cuisine": ["en", "de"], "min_total_minutes": 10}).select("doc_id")
+
+
+@query("SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem WHERE l_quantity BETWEEN 10 AND 24 AND l_discount >= 0.05 AND l_shipdate >= '1995-01-01' GROUP BY l_returnflag")
+def numeric_filter_scale(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity").between(10, 24) & (F.col("l_discount") >= 0.05) & (F.col("l_shipdate") >= F.lit("1995-01-01").cast("timestamp")))
+    return rows.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+# -- facets, sorts, navigation -------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT lower(trim(lang)) AS value FROM documents WHERE trim(lang) <> ''")
+def facet_cuisines(spark, sf_dir):
+    return facets.distinct_values(recipe_table(spark, sf_dir), "cuisine")
+
+
+@query("SELECT source AS value, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, value LIMIT 15")
+def facet_top15(spark, sf_dir):
+    return facets.facet_counts(recipe_table(spark, sf_dir), "category")
+
+
+@query("SELECT 'cuisine' AS facet, lang AS value, count(*) AS n FROM documents GROUP BY ALL UNION ALL SELECT 'category', source, count(*) FROM documents GROUP BY ALL")
+def facet_all(spark, sf_dir):
+    return facets.all_facets(recipe_table(spark, sf_dir), ["cuisine", "category"])
+
+
+@query("SELECT doc_id FROM documents ORDER BY (doc_id % 50) / 10.0 DESC, doc_id LIMIT 30")
+def sort_rating(spark, sf_dir):
+    return facets.sort_recipes(recipe_table(spark, sf_dir), "rating").limit(30).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents ORDER BY coalesce(nullif(n_chars % 240, 0), 999), doc_id LIMIT 30")
+def sort_time_asc(spark, sf_dir):
+    return facets.sort_recipes(recipe_table(spark, sf_dir), "time_asc").limit(30).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents ORDER BY n_chars % 240 DESC, doc_id LIMIT 30")
+def sort_time_desc(spark, sf_dir):
+    return facets.sort_recipes(recipe_table(spark, sf_dir), "time_desc").limit(30).select("doc_id")
+
+
+@query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 20 OFFSET 40")
+def paginate(spark, sf_dir):
+    return table(spark, sf_dir, "documents").orderBy("doc_id").offset(40).limit(20).select("doc_id")
+
+
+@query("SELECT conv_id, turn, coalesce(lag(turn) OVER w, last_value(turn) OVER x) AS prev_id, coalesce(lead(turn) OVER w, first_value(turn) OVER x) AS next_id FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn), x AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+def prev_next(spark, sf_dir):
+    return facets.neighbours(table(spark, sf_dir, "conversations"), "turn", ["turn"], ["conv_id"])
+
+
+@query("SELECT p_size AS ingredient_id, arg_min(p_name, (length(p_name), p_name)) AS name FROM part GROUP BY p_size")
+def canonical_name_shortest(spark, sf_dir):
+    return facets.shortest_name(table(spark, sf_dir, "part").withColumnRenamed("p_size", "ingredient_id"), "ingredient_id", "p_name")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (quality = 1) AS success, count(*) FILTER (quality <> 1) AS failed, round(count(*) FILTER (quality = 1) / count(*)::DOUBLE, 6) AS rate FROM labels")
+def parse_stats(spark, sf_dir):
+    return six(facets.success_stats(table(spark, sf_dir, "labels"), F.col("quality") == 1), "rate")
+
+
+@query("SELECT count(value) AS n, min(value) AS least, max(value) AS most, round(avg(value), 6) AS mean FROM events")
+def latency_summary(spark, sf_dir):
+    return six(facets.latency_summary(table(spark, sf_dir, "events"), "value"), "mean")
+
+
+@query("SELECT 'o_orderstatus' AS dimension, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY ALL")
+def distribution(spark, sf_dir):
+    return facets.distribution(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"]).drop("progress")
+
+
+# -- evaluation ----------------------------------------------------------------------------------
+
+
+def _qrels(spark, sf_dir):
+    """Judgements: a labelled document is relevant to the benchmark items of its remainder by 40."""
+    rel = (F.col("quality") + F.col("quality") * (1 - F.col("toxic"))).cast("int")
+    return table(spark, sf_dir, "labels").select((F.col("doc_id") % 40).alias("qid"), "doc_id", rel.alias("rel"))
+
+
+_EVAL = f"""{_BATCH}, q2 AS (SELECT doc_id % 40 AS qid, doc_id, (quality + quality * (1 - toxic))::INT AS rel FROM labels),
+j AS (SELECT run.qid, rank, coalesce(rel, 0) AS rel FROM run LEFT JOIN q2 ON run.qid = q2.qid AND run.doc_id = q2.doc_id),
+nr AS (SELECT qid, count(*) FILTER (rel >= 1) AS n_rel FROM q2 GROUP BY qid),
+id AS (SELECT qid, sum((pow(2, rel) - 1) / log2(r + 1)) FILTER (r <= 5) AS i5, sum((pow(2, rel) - 1) / log2(r + 1)) FILTER (r <= 10) AS i10 FROM (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, doc_id) AS r FROM q2) GROUP BY qid),
+h AS (SELECT *, sum((rel >= 1)::INT) OVER (PARTITION BY qid ORDER BY rank) AS so_far FROM j),
+e AS (SELECT qid, (sum((rel >= 1)::INT) FILTER (rank <= 5)) / 5.0::DOUBLE AS p_5, coalesce(sum((rel >= 1)::INT) FILTER (rank <= 10), 0) / 10.0::DOUBLE AS p_10,
+      CASE WHEN any_value(n_rel) > 0 THEN (sum((rel >= 1)::INT) FILTER (rank <= 5)) / any_value(n_rel)::DOUBLE ELSE 0 END AS r_5,
+      CASE WHEN any_value(n_rel) > 0 THEN (sum((rel >= 1)::INT) FILTER (rank <= 10)) / any_value(n_rel)::DOUBLE ELSE 0 END AS r_10,
+      CASE WHEN any_value(i5) > 0 THEN (sum((pow(2, rel) - 1) / log2(rank + 1)) FILTER (rank <= 5)) / any_value(i5) ELSE 0 END AS ndcg_5,
+      CASE WHEN any_value(i10) > 0 THEN (sum((pow(2, rel) - 1) / log2(rank + 1)) FILTER (rank <= 10)) / any_value(i10) ELSE 0 END AS ndcg_10,
+      CASE WHEN any_value(n_rel) > 0 THEN sum((rel >= 1)::INT * so_far / rank::DOUBLE) / any_value(n_rel) ELSE 0 END AS ap
+      FROM h JOIN nr USING (qid) JOIN id USING (qid) GROUP BY qid)"""
+_METRICS = ("p_5", "p_10", "r_5", "r_10", "ndcg_5", "ndcg_10", "ap")
+
+
+def _evaluated(spark, sf_dir):
+    run = search.search_batch(index_of(spark, sf_dir), _benchmark_queries(spark, sf_dir))
+    return evaluate.evaluate(run, _qrels(spark, sf_dir))
+
+
+@query(f"{_EVAL} SELECT qid, {', '.join(f'round({m}, 6) AS {m}' for m in _METRICS)} FROM e")
+def eval_per_query(spark, sf_dir):
+    return six(_evaluated(spark, sf_dir), *_METRICS)
+
+
+@query(f"{_EVAL} SELECT 'ALL' AS qid, {', '.join(f'round(avg({m}), 6) AS {m}' for m in _METRICS)} FROM e")
+def eval_macro(spark, sf_dir):
+    return six(evaluate.with_macro(_evaluated(spark, sf_dir)).filter("qid = 'ALL'"), *_METRICS)
+
+
+# -- entities ------------------------------------------------------------------------------------
+
+NAMES = [("tion", "Tion", "ingredient"), ("ther", "Ther", "ingredient"), ("thering", "Thering", "dish"), ("ble", "Ble", "tool"), ("ing the", "Ing the", "cuisine"), ("ación", "Ación", "cuisine"), ("ung", "Ung", "technique")]
+_SURFACES = sorted({s for n, _, _ in NAMES for s in (n, n + "s")}, key=lambda s: (len(s), s))
+_LINKED = {s: t for n, t, _ in NAMES for s in (n, n + "s")}
+_ALT = "|".join(_SURFACES)
+_GAZ = "g(surface, wiki_title, kind) AS (VALUES " + ", ".join(f"('{s}', '{t}', '{k}')" for n, t, k in NAMES for s in (n, n + "s")) + ")"
+
+
+@query(f"WITH {_GAZ} SELECT surface, wiki_title, kind AS type, surface AS norm FROM g")
+def gazetteer(spark, sf_dir):
+    return entities.literal_gazetteer(spark, NAMES)
+
+
+@query(f"""WITH {_GAZ}, {sql.RECIPES}, f AS (SELECT doc_id, 'title' AS field, lower(title) AS t FROM rec UNION ALL SELECT doc_id, 'ingredients', lower(ing) FROM rec UNION ALL SELECT doc_id, 'instructions', lower(instr) FROM rec),
+x AS (SELECT doc_id, field, regexp_extract_all(t, '{_ALT}') AS ms, string_split_regex(t, '{_ALT}') AS bs FROM f),
+y AS (SELECT doc_id, field, i, ms[i] AS surface, list_sum(list_transform(bs[:i], lambda s: length(s))) + coalesce(list_sum(list_transform(ms[:i - 1], lambda s: length(s))), 0) AS st FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM x))
+SELECT doc_id, field, st::INT AS start, (st + length(y.surface))::INT AS "end", y.surface, wiki_title FROM y JOIN g ON y.surface = g.surface""")
+def entity_links(spark, sf_dir):
+    return entities.link(recipe_table(spark, sf_dir).drop("description"), entities.literal_gazetteer(spark, NAMES))
+
+
+_ENRICH = f"""WITH {_GAZ}, {sql.RECIPES}, f AS (SELECT doc_id, 0 AS o, lower(title) AS t FROM rec UNION ALL SELECT doc_id, 1, lower(ing) FROM rec UNION ALL SELECT doc_id, 2, lower(instr) FROM rec UNION ALL SELECT doc_id, 3, lower(lang) FROM rec),
+h AS (SELECT doc_id, surface, wiki_title, kind, o, strpos(t, surface) + length(surface) AS e FROM f JOIN g ON contains(t, surface)),
+w AS (SELECT *, row_number() OVER (PARTITION BY doc_id, wiki_title ORDER BY o, e, surface) AS rn FROM h)"""
+
+
+@query(f"{_ENRICH} SELECT doc_id, kind AS type, wiki_title, surface FROM w WHERE rn = 1")
+def enrich_first_seen(spark, sf_dir):
+    rows = entities.enrich(recipe_table(spark, sf_dir), entities.literal_gazetteer(spark, NAMES))
+    return rows.select("doc_id", F.explode("wiki_links").alias("l")).select("doc_id", "l.type", "l.wiki_title", "l.surface")
+
+
+@query(f"{_ENRICH} SELECT kind AS type, count(*) AS links FROM w WHERE rn = 1 GROUP BY kind")
+def wiki_link_counts(spark, sf_dir):
+    return entities.link_stats(entities.enrich(recipe_table(spark, sf_dir), entities.literal_gazetteer(spark, NAMES)))
+
+
+@query(f"{_ENRICH} SELECT (SELECT count(*) FROM documents) AS recipes, count(DISTINCT doc_id) AS enriched, count(*) AS links, round(count(*) / (SELECT count(*) FROM documents)::DOUBLE, 6) AS mean_links FROM w WHERE rn = 1")
+def enrich_stats(spark, sf_dir):
+    return six(entities.enrichment_stats(entities.enrich(recipe_table(spark, sf_dir), entities.literal_gazetteer(spark, NAMES))), "mean_links")
+
+
+# -- crawl side ----------------------------------------------------------------------------------
+
+_BASE = "regexp_extract(url, '^([^?#]*)', 1)"
+
+
+@query(f"SELECT sha1(u) AS sha1, min(page_id) AS page_id, u AS url FROM (SELECT page_id, {_BASE} AS u FROM pages) GROUP BY u")
+def url_dedupe(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"^([^?#]*)", 1).alias("url"))
+    return crawl.dedupe_urls(pages, "page_id")
+
+
+@query(r"SELECT page_id, url FROM pages WHERE regexp_matches(url, '^https?://[^/]*/(en|de)/\d+(?:\.html)?$')")
+def url_filter(spark, sf_dir):
+    return crawl.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), r"^https?://[^/]*/(en|de)/\d+(?:\.html)?$")
+
+
+@query(r"SELECT page_id, url FROM pages WHERE NOT regexp_matches(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '^/en/1.*|^.*/2.*\.html$|^/de/77$')")
+def robots_antijoin(spark, sf_dir):
+    rules = spark.createDataFrame([("/en/1*",), ("*/2*.html",), ("/de/77",)], "pattern string")
+    return crawl.allowed_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_orderpriority FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS a, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS b FROM orders) WHERE a <= CASE o_orderstatus WHEN 'F' THEN 40 WHEN 'O' THEN 30 WHEN 'P' THEN 5 ELSE 0 END OR b <= CASE o_orderpriority WHEN '1-URGENT' THEN 60 WHEN '5-LOW' THEN 20 ELSE 0 END ORDER BY o_orderkey LIMIT 120")
+def quota_sample(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return crawl.quota_sample(rows, {"o_orderstatus": {"F": 40, "O": 30, "P": 5}, "o_orderpriority": {"1-URGENT": 60, "5-LOW": 20}}, "o_orderkey", 120)
+
+
+@query("SELECT doc_id, source, (row_number() OVER (PARTITION BY source ORDER BY doc_id))::INT AS turn FROM documents")
+def frontier_round_robin(spark, sf_dir):
+    return crawl.round_robin(table(spark, sf_dir, "documents").select("doc_id", "source"), seq="doc_id")
+
+
+@query("SELECT source, count(*) AS queued FROM documents GROUP BY source")
+def frontier_stats(spark, sf_dir):
+    return crawl.frontier_stats(table(spark, sf_dir, "documents"))
+
+
+@query("SELECT user_id, CASE WHEN v >= 4.5 THEN 'excellent' WHEN v >= 4 THEN 'very_good' WHEN v >= 3.5 THEN 'good' WHEN v >= 3 THEN 'average' ELSE 'below_average' END AS bucket, count(*) AS n FROM (SELECT user_id, (user_id % 50) / 10.0 AS v FROM events) GROUP BY ALL")
+def rating_buckets(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id", crawl.rating_bucket((F.col("user_id") % 50) / 10.0).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- parsing and scalar functions ----------------------------------------------------------------
+
+
+def _clean_sql(x: str) -> str:
+    out = f"regexp_replace(regexp_replace({x}, '(?is)<script\\b.*?</script>|<style\\b.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        out = f"replace({out}, '{name}', '{char}')"
+    return rf"trim(regexp_replace({out}, '\s+', ' ', 'g'))"
+
+
+_H1, _TITLE = _clean_sql(r"regexp_extract(html, '(?is)<h1\b[^>]*>(.*?)</h1>', 1)"), _clean_sql(r"regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1)")
+
+
+@query(f"SELECT page_id, CASE WHEN length({_H1}) > 3 THEN {_H1} WHEN length({_TITLE}) > 3 THEN {_TITLE} ELSE '' END AS title FROM pages")
+def html_title(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", parse.html_title(F.col("html")).alias("title"))
+
+
+@query("""SELECT page_id, (i - 1)::INT AS n, h[i] AS href FROM (SELECT page_id, h, unnest(range(1, len(h) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a\\b[^>]*href="([^"]*)"', 1) AS h FROM pages))""")
+def html_links(spark, sf_dir):
+    return parse.page_links(table(spark, sf_dir, "pages"))
+
+
+@query()
+def parse_pages(spark, sf_dir):
+    return parse.parse_pages(table(spark, sf_dir, "pages")).drop("html")
+
+
+@query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(coalesce(l[1], '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) || '-' || doc_id AS slug FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
+def slugs(spark, sf_dir):
+    return recipe_table(spark, sf_dir).select("doc_id", text.slugify(F.col("title"), F.col("doc_id")).alias("slug"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(lower(l[1]), '[^\p{L}\p{N}_\s-]', '', 'g')) AS norm FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
+def normalized_surfaces(spark, sf_dir):
+    return recipe_table(spark, sf_dir).select("doc_id", text.normalize_surface(F.col("title")).alias("norm"))
+
+
+@query(r"SELECT doc_id, CASE WHEN c = '' THEN 'N/A' WHEN length(c) > 200 THEN substr(c, 1, 200) || '...' ELSE c END AS abstract FROM (SELECT doc_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(text, '(, ; )', ''), '(; )', ''), '(, )', ''), '()', ''), '\|[a-z\-]+=', ' ', 'g'), '\s+', ' ', 'g')) AS c FROM documents)")
+def cleaned_abstracts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean_abstract(F.col("text")).alias("abstract"))
+
+
+_DUR = "'PT' || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE (o_orderkey % 5) || 'H' END || (o_orderkey % 60) || 'M'"
+
+
+@query("SELECT o_orderkey, (CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE (o_orderkey % 5) * 60 END + o_orderkey % 60)::INT AS minutes FROM orders")
+def iso_durations(spark, sf_dir):
+    k = F.col("o_orderkey")
+    iso = F.concat(F.lit("PT"), F.when(k % 3 == 0, "").otherwise(F.concat((k % 5).cast("string"), F.lit("H"))), (k % 60).cast("string"), F.lit("M"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.iso_minutes(iso).alias("minutes"))
+
+
+def _ingredient_sql() -> str:
+    out = "trim(lower(line))"
+    for pattern, to in text.ingredient_steps():
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    marks = text.PUNCTUATION.replace("'", "''")
+    out = f"trim(trim({out}), '{marks}')"
+    out = rf"regexp_replace(regexp_replace({out}, '(?i)^(?:a|an|the|of|for|to|in|on|at|with|by)\s+', ''), '^\d+[\s.\-/]*', '')"
+    out = f"trim({out}, '{marks} ')"
+    bad = " OR ".join(["length(x) < 3", r"regexp_matches(x, '^[\d\s\-–—/.,;:!@#$%^&*()+=]+$')", *(f"regexp_matches(x, '(?i){p}')" for p in text.NOT_FOOD)])
+    return f"SELECT p_partkey, CASE WHEN NOT ({bad}) THEN x END AS ingredient FROM (SELECT p_partkey, {out} AS x FROM (SELECT p_partkey, {{line}} AS line FROM part))"
+
+
+@query(_ingredient_sql().replace("{line}", "(p_size % 7) || ' 1/2 cups fresh ' || p_name || CASE WHEN p_size % 2 = 0 THEN ', finely chopped' ELSE ' (optional) or other' END"))
+def ingredient_names(spark, sf_dir):
+    size = F.col("p_size")
+    line = F.concat((size % 7).cast("string"), F.lit(" 1/2 cups fresh "), F.col("p_name"), F.when(size % 2 == 0, ", finely chopped").otherwise(" (optional) or other"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.normalize_ingredient(line).alias("ingredient"))
+
+
+@query("SELECT json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1")
+def json_scalar(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- wiki ----------------------------------------------------------------------------------------
+
+WIKI_PAGES = [
+    ("Black Pepper", "{{Infobox food\n| name = Pepper\n| country = [[India]]\n| region = [[Kerala|South]]\n}}\n'''Black pepper''' is a [[spice]].\n== Use ==\nx\n[[Category:Spices]]\n[[Category:Food ingredients]]\n[[Category:Crops originating from India]]"),
+    ("Italian Cuisine", "'''Italian cuisine''' is a [[cuisine|food culture]].\n[[Category:Italian cuisine]]\n[[Category:National cuisines]]"),
+    ("Francis Bacon", "A writer.\n[[Category:1561 births]]"),
+    ("Caesar salad", "{{Infobox food}}\nA salad.\n[[Category:Salads]]\n[[Category:American dishes]]"),
+]
+
+
+@query("SELECT * FROM (VALUES ('ingredient', 1::BIGINT), ('cuisine', 1::BIGINT)) v(type, n)")
+def wiki_types(spark, sf_dir):
+    return wiki.type_counts(wiki.extract_entities(spark.createDataFrame(WIKI_PAGES, "title string, text string")))
+
+
+# -- meal planning -------------------------------------------------------------------------------
+
+_PROFILE = """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS gender, 18 + c_custkey % 60 AS age, 150 + c_custkey % 45 AS height_cm, 50 + c_custkey % 70 AS weight_kg,
+['sedentary', 'light', 'moderate', 'active', 'very_active'][1 + c_custkey % 5] AS activity, ['lose', 'gain', 'muscle', 'maintain'][1 + c_custkey % 4] AS goal FROM customer"""
+
+
+def _profiles(spark, sf_dir):
+    k = F.col("c_custkey")
+    pick = lambda values, n: F.element_at(text.literals(values), (k % n + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", F.when(k % 2 == 0, "male").otherwise("female").alias("gender"), (18 + k % 60).alias("age"), (150 + k % 45).alias("height_cm"), (50 + k % 70).alias("weight_kg"),
+        pick(["sedentary", "light", "moderate", "active", "very_active"], 5).alias("activity"), pick(["lose", "gain", "muscle", "maintain"], 4).alias("goal"),
+    )
+
+
+_TARGETS = f"""WITH pr AS ({_PROFILE}), a AS (SELECT *, CASE gender WHEN 'male' THEN 88.362::DOUBLE + 13.397::DOUBLE * weight_kg + 4.799::DOUBLE * height_cm - 5.677::DOUBLE * age ELSE 447.593::DOUBLE + 9.247::DOUBLE * weight_kg + 3.098::DOUBLE * height_cm - 4.330::DOUBLE * age END AS bmr,
+CASE activity WHEN 'sedentary' THEN 1.2::DOUBLE WHEN 'light' THEN 1.375::DOUBLE WHEN 'moderate' THEN 1.55::DOUBLE WHEN 'active' THEN 1.725::DOUBLE ELSE 1.9::DOUBLE END AS f,
+CASE goal WHEN 'lose' THEN [0.85, 0.35, 0.35, 0.30]::DOUBLE[] WHEN 'gain' THEN [1.10, 0.25, 0.50, 0.25]::DOUBLE[] WHEN 'muscle' THEN [1.15, 0.35, 0.45, 0.20]::DOUBLE[] ELSE [1.0, 0.25, 0.45, 0.30]::DOUBLE[] END AS g FROM pr),
+b AS (SELECT *, bmr * f AS tdee, bmr * f * g[1] AS kcal FROM a),
+d AS (SELECT *, floor(kcal + 0.5)::BIGINT AS calories, floor(kcal * g[2] / 4 + 0.5)::BIGINT AS protein, floor(kcal * g[3] / 4 + 0.5)::BIGINT AS carbs, floor(kcal * g[4] / 9 + 0.5)::BIGINT AS fat FROM b)"""
+
+
+@query(f"{_TARGETS} SELECT c_custkey, round(bmr, 6) AS bmr, round(tdee, 6) AS tdee, calories, protein, carbs, fat FROM d")
+def daily_targets(spark, sf_dir):
+    out = planner.daily_targets(_profiles(spark, sf_dir))
+    return out.select("c_custkey", F.round("bmr", 6).alias("bmr"), F.round("tdee", 6).alias("tdee"), "calories", "protein", "carbs", "fat")
+
+
+@query(f"{_TARGETS} SELECT c_custkey, meal, floor(calories * s + 0.5)::BIGINT AS meal_calories FROM d, (VALUES ('breakfast', 0.25::DOUBLE), ('lunch', 0.35::DOUBLE), ('dinner', 0.30::DOUBLE), ('snacks', 0.10::DOUBLE)) v(meal, s)")
+def meal_targets(spark, sf_dir):
+    return planner.meal_targets(planner.daily_targets(_profiles(spark, sf_dir))).select("c_custkey", "meal", "meal_calories")
+
+
+def _foods(spark, sf_dir):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    return table(spark, sf_dir, "part").select(k.alias("food_id"), F.col("p_name").alias("title"), F.col("p_type").alias("category"), (60 + (k * 37) % 700).alias("calories"), (size % 30).alias("protein"), (size % 40).alias("carbs"), (size % 20).alias("fat"), F.lit("x.jpg").alias("image"))
+
+
+@query("SELECT p_partkey AS food_id FROM part WHERE 60 + (p_partkey * 37) % 700 BETWEEN 350 AND 650 AND p_size % 30 > 0 AND NOT contains(lower(p_name), 'red')")
+def meal_candidates(spark, sf_dir):
+    return planner.candidates(_foods(spark, sf_dir), 500.0, excluded=("Red",)).select("food_id")
+
+
+@query()
+def meal_plan(spark, sf_dir):
+    return planner.plan_day(_foods(spark, sf_dir), 2200.0)
+
+
+@query("SELECT p_partkey AS food_id, round(2 * (1000 - abs(c - 500)) + 5000 * p / c::DOUBLE + 1.5::DOUBLE * (2000 - c) + 10 * (100 - f), 6) AS score FROM (SELECT p_partkey, 60 + (p_partkey * 37) % 700 AS c, p_size % 30 AS p, p_size % 20 AS f FROM part)")
+def meal_scores(spark, sf_dir):
+    return _foods(spark, sf_dir).select("food_id", F.round(planner.regenerate_score(500.0), 6).alias("score"))
+
 
 def flagship(spark, sf_dir):
     return QUERIES["bm25_topk"](spark, sf_dir)
