@@ -66,13 +66,12 @@ def spans(text: Column, names: Sequence[str], mode: str = "earliest", word_bound
 def spans_by_automaton(df: DataFrame, text_col: str, names: DataFrame, mode: str = "earliest") -> DataFrame:
     """df with a column spans, for gazetteers beyond MOST_NAMES: the names are collected (a gazetteer
     is a stated dictionary), shipped to the tasks and matched in one pass of an automaton."""
-    import pandas as pd
-
     words = sorted({r[0] for r in names.select("surface").distinct().collect() if r[0]})
 
     @F.pandas_udf("array<struct<start:int,end:int,surface:string>>")
-    def match(texts: pd.Series) -> pd.Series:
+    def match(texts):
         import ahocorasick
+        import pandas as pd
 
         automaton = ahocorasick.Automaton()
         for w in words:
