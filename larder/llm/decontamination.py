@@ -66,7 +66,7 @@ class Index:
             h.append(grams(b + bytes(16), n))
             item.append(np.full(n, number))
             offset.append(np.arange(n))
-        h, item, offset = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, item, offset))
+        h, item, offset = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in ((h, np.uint64), (item, np.int64), (offset, np.int64)))
         order = np.argsort(h, kind="stable")
         self.keys, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
         self.item, self.offset = item[order].astype(np.int64), offset[order].astype(np.int64)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The fit's bounded sample: confirmed toxic texts and unlabelled ones. Features kept at most.
 POSITIVES, UNLABELLED, FEATURES = 3000, 9000, 5000
+#: Positives that a feature must be seen in.
+LEAST = 3
 THRESHOLD = 0.3
 
 
@@ -24,12 +26,13 @@ def features(word: str) -> list[int]:
     return [crc32(b"w" + raw), *(crc32(b"p" + word[:n].encode()) for n in (4, 5, 6, 7) if len(word) > n)]
 
 
-def fit(samples: list, prior: float, steps: int = 400, rate: float = 0.1, l2: float = 2e-4):
+def fit(samples: list, prior: float, steps: int = 400, rate: float = 0.1, l2: float = 2e-5):
     """samples: (1 if confirmed positive else 0, feature hashes as bytes) -> (bias, {hash: weight}).
 
-    Minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the logistic loss by Adam on
-    all samples; where the corrected negative risk falls below zero its gradient is turned round,
-    as in non-negative risk estimation. Features: of those that at least three positives have, and
+    Minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the sigmoid loss, whose bound
+    keeps a few easy positives from outweighing all else, by Adam on all samples; where the
+    corrected negative risk falls below zero its gradient is turned round, as in non-negative risk
+    estimation. Features: of those that at least three positives have, and
     three times as often as negatives (their rate is that of the unlabelled less the prior's share
     of positives), the FEATURES ones that stand out most against chance.
     """
@@ -40,50 +43,60 @@ def fit(samples: list, prior: float, steps: int = 400, rate: float = 0.1, l2: fl
     if not len(samples) or not y.any() or y.all():
         return float(np.log((prior + 1e-3) / (1 - prior + 1e-3))), {}
     parts = [np.unique(np.frombuffer(s[1], "<u4")) for s in samples]
-    lens = np.array([len(p) for p in parts])
-    everything, where = np.unique(np.concatenate(parts), return_inverse=True)
-    row = np.repeat(np.arange(len(parts)), lens)
-    of_p = np.bincount(where[y[row]], minlength=len(everything)) / y.sum()
-    of_u = np.bincount(where[~y[row]], minlength=len(everything)) / (~y).sum()
+    known, times = np.unique(np.concatenate([p for p, t in zip(parts, y) if t]), return_counts=True)
+    known = known[times >= LEAST]
+
+    def places(part, among):
+        at = np.minimum(np.searchsorted(among, part), max(0, len(among) - 1))
+        return at[among[at] == part] if len(among) else at[:0]
+
+    counts = np.zeros((2, len(known)))
+    for part, positive in zip(parts, y):
+        counts[int(positive), places(part, known)] += 1
+    of_p, of_u = counts[1] / y.sum(), counts[0] / (~y).sum()
     # what the unlabelled texts show that aren't positive, at least half a text's worth
     of_n = np.maximum((of_u - prior * of_p) / (1 - prior), 0.5 / (~y).sum())
     score = (of_p - of_n) / np.sqrt(of_p * (1 - of_p) / y.sum() + of_n / (~y).sum() + 1e-12)
-    score = np.where((of_p * y.sum() >= 3) & (of_p >= 3 * of_n), score, 0.0)
-    keep = np.sort(np.argsort(-score, kind="stable")[: min(FEATURES, int((score > 2).sum()))])
-    place = np.full(len(everything), -1)
-    place[keep] = np.arange(len(keep))
-    col = place[where]
-    row, col = row[col >= 0], col[col >= 0]
+    score = np.where(of_p >= 3 * of_n, score, 0.0)
+    keep = known[np.sort(np.argsort(-score, kind="stable")[: min(FEATURES, int((score > 2).sum()))])]
+    found = [places(part, keep) for part in parts]
+    row, col = np.repeat(np.arange(len(parts)), [len(f) for f in found]), np.concatenate(found)
+    del parts, found
     w, b = np.zeros(len(keep)), np.log((prior + 1e-3) / (1 - prior + 1e-3))
     m, v = np.zeros(len(keep) + 1), np.zeros(len(keep) + 1)
     n_p, n_u = y.sum(), (~y).sum()
     for step in range(1, steps + 1):
         z = np.bincount(row, w[col], minlength=len(y)) + b
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        negative = np.logaddexp(0, z)
-        corrected = negative[~y].mean() - prior * negative[y].mean()
-        grad = np.empty(len(y))
-        if corrected >= 0:
-            grad[y] = prior * (p[y] - 1) / n_p - prior * p[y] / n_p
-            grad[~y] = p[~y] / n_u
-        else:
-            grad[y] = prior * p[y] / n_p
-            grad[~y] = -p[~y] / n_u
+        slope = p * (1 - p)
+        grad = np.where(y, prior * slope / n_p, -slope / n_u)
+        if p[~y].mean() >= prior * p[y].mean():
+            grad = np.where(y, -2 * prior * slope / n_p, slope / n_u)
         g = np.append(np.bincount(col, grad[row], minlength=len(w)) + l2 * w, grad.sum())
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) * (1 - step / (steps + 1))
         w, b = w - move[:-1], b - move[-1]
     used = np.abs(w) > 1e-4
-    return float(b), dict(zip(everything[keep][used].tolist(), w[used].tolist()))
+    return float(b), dict(zip(keep[used].tolist(), w[used].tolist()))
 
 
-def _hashes(batches):
-    import numpy as np
-    import pyarrow as pa
+def _hashes(known=None):
+    """Feature hashes of each text, of the known ones if they are given."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            raw = []
+            for t in batch.column(1).to_pylist():
+                own = np.unique(np.array([h for w in words(t) for h in features(w)], "<u4"))
+                if known is not None:
+                    own = own[np.isin(own, known, assume_unique=True)]
+                raw.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["y", "hashes"])
 
-    for batch in batches:
-        raw = [np.array([h for w in words(t) for h in features(w)], "<u4").tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["y", "hashes"])
+    return run
 
 
 def learnable(id_col):
@@ -116,7 +129,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
     # at most POSITIVES + UNLABELLED pairs of numbers
     rows = rows.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("__y", "__text")
-    got = rows.mapInArrow(_hashes, "y int, hashes binary").collect()
+    # first the positives, whose features are the only ones that are of use
+    import numpy as np
+
+    taught = [np.frombuffer(r["hashes"], "<u4") for r in rows.filter("__y = 1").mapInArrow(_hashes(), "y int, hashes binary").collect()]
+    known, times = np.unique(np.concatenate(taught), return_counts=True) if taught else (np.zeros(0, np.uint32), np.zeros(0, int))
+    known = known[times >= LEAST]
+    del taught
+    got = rows.mapInArrow(_hashes(known), "y int, hashes binary").collect()
     return fit([(r["y"], bytes(r["hashes"])) for r in got], prior)
 
 
