@@ -6,13 +6,50 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-RULE_SQL = """
+def _moments_sql(src: str, by: str, name: str, good: str, n: str) -> str:
+    """The prior's mean and strength of reputation._moments in SQL."""
+    mean = "((g + 0.5::DOUBLE) / (n + 1.0::DOUBLE))"
+    return f"""{name} AS (SELECT {by}, g AS {name}_good, n AS {name}_n,
+  least(greatest({mean} * (1 - {mean}) / greatest(r2 / greatest(n, 1e-9::DOUBLE) - {mean} * {mean} - {mean} * (1 - {mean}) * k / greatest(n, 1e-9::DOUBLE), 1e-6::DOUBLE) - 1, 2.0::DOUBLE), 200.0::DOUBLE) AS {name}_m
+  FROM (SELECT {by}, sum({good}) AS g, sum({n}) AS n, sum({n} * ({good} / {n}) * ({good} / {n})) AS r2, count(*) AS k FROM {src} GROUP BY {by}))"""
+
+
+_TWO = "regexp_extract(host, '([^.]*\\.?[^.]*)$', 1)"
+OP9_SQL = f"""
 WITH h AS (
   SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages
-), s AS (
+), p AS (
   SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM h
-)
+), o AS (
+  SELECT host, (quality = 1 AND toxic = 0) AS good FROM p LEFT JOIN labels ON page_id = doc_id
+), u AS (
+  SELECT host, {_TWO} AS domain, regexp_extract(host, '([^.]*)$', 1) AS suffix, count(good)::DOUBLE AS n, coalesce(sum(good::INT), 0)::DOUBLE AS g, greatest(count(good)::DOUBLE, 1e-9::DOUBLE) AS told FROM o GROUP BY host
+), {_moments_sql("u", "suffix, domain", "d", "u.g", "u.told")}, {_moments_sql("d", "suffix", "s", "d_good", "d_n")},
+t AS (SELECT (sum(s_good) + 0.5::DOUBLE) / (sum(s_n) + 1.0::DOUBLE) AS whole FROM s),
+sm AS (SELECT suffix, s_m, (s_good + s_m * whole) / (s_n + s_m) AS s_mean FROM s, t),
+dm AS (SELECT suffix, domain, d_m, (d_good + s_m * s_mean) / (d_n + s_m) AS d_mean FROM d JOIN sm USING (suffix)),
+b AS (SELECT host, g + d_m * d_mean AS a, n - g + d_m * (1 - d_mean) AS b FROM u JOIN dm USING (suffix, domain)),
+l AS (SELECT host, 1 / (1 + exp(-(ln(a / (a + b) / (1 - a / (a + b))) - 1.645::DOUBLE * sqrt(1 / a + 1 / b)))) AS low FROM b),
+r AS (SELECT p.*, low,
+  CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/7%' THEN 'example.com/en/7' WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/de/8%' THEN 'example.net/de/8'
+       WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/en/%' THEN 'com/en/' WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/de/%' THEN 'net/de/' WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/es/%' THEN 'org/es/' END AS rule
+  FROM p JOIN l USING (host))
+SELECT page_id, host, path, rule, CASE rule WHEN 'example.com/en/7' THEN 'allow' WHEN 'com/en/' THEN 'block' WHEN 'example.net/de/8' THEN 'block' WHEN 'net/de/' THEN 'block' WHEN 'org/es/' THEN 'block'
+  ELSE CASE WHEN low >= 0.5 THEN 'allow' ELSE 'block' END END AS verdict, round(low, 6) AS good_low FROM r
+"""
+
+OP6_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 3 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])) END AS sh FROM w
+), n AS (SELECT doc_id, len(sh) AS n FROM s), e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+c AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS m FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM c JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * m >= 90 * (p.n + q.n - m)),
+k AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT k.y, r.root FROM r JOIN k ON k.x = r.doc_id)
+SELECT doc_id, any_value(n)::BIGINT AS n_shingles, min(root) AS component_id FROM r JOIN n USING (doc_id) GROUP BY doc_id
 """
 
 OP2_SQL = """
@@ -90,8 +127,8 @@ def op9_url_reputation(spark, sf_dir):
 
     labels = read(spark, sf_dir, "labels")
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    return judge_urls(read(spark, sf_dir, "pages"), labels.select("doc_id", good))
+    return judge_urls(read(spark, sf_dir, "pages"), labels.select("doc_id", good)).withColumn("good_low", F.round("good_low", 6))
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_secret_scan, op4_toxicity, op5_html_text, op6_jaccard_join, op7_token_store, op8_decontamination, op9_url_reputation, op10_lm_scores)}
-ORACLES = {"op2_exact_dedup": OP2_SQL}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op6_jaccard_join": OP6_SQL, "op9_url_reputation": OP9_SQL}
