@@ -28,11 +28,19 @@ class Engine:
         return cls(spark, recipes.from_documents(spark.read.parquet(path)))
 
     def cache(self) -> Engine:
-        """Keep the index in memory for interactive queries."""
-        for name in ("postings", "docmeta", "terms", "stats"):
+        """Keep the index, with the terms' impacts in order, in memory for interactive queries."""
+
+        def keep(name):
             df = getattr(self.index, name).cache()
             df.count()
             setattr(self.index, name, df)
+
+        for name in ("postings", "docmeta", "terms", "stats"):
+            keep(name)
+        if self.index.impacts is None:
+            self.index = self.index.with_impacts()
+            self.index.impacts = self.index.impacts.sortWithinPartitions("term")
+        keep("impacts")
         return self
 
     def allowed(self, settings: dict | None) -> DataFrame | None:

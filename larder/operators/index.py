@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -24,16 +24,25 @@ class Index:
     terms: DataFrame
     stats: DataFrame
     stopwords: Sequence[str] = STOPWORDS
+    #: (term, doc_id, bm25, dot, square): what a term adds to a document's scores, whatever the query.
+    impacts: DataFrame | None = None
+
+    def with_impacts(self) -> Index:
+        from .search import impacts
+
+        return replace(self, impacts=impacts(self))
 
     def write(self, path: str, buckets: int = 64) -> None:
         """Parquet tables; postings are dealt by term and sorted, so that a query's terms read few row groups."""
         self.postings.repartition(buckets, "term").sortWithinPartitions("term", "field", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        full = self if self.impacts is not None else self.with_impacts()
+        full.impacts.repartition(buckets, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/impacts")
         for name in ("docmeta", "terms", "stats"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, stopwords: Sequence[str] = STOPWORDS) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "docmeta", "terms", "stats")), stopwords)
+        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "docmeta", "terms", "stats")), stopwords, spark.read.parquet(f"{path}/impacts"))
 
     def export_tsv(self, path: str) -> None:
         """terms, postings and docmeta as sorted tab-separated files with a header; idf with six decimals."""

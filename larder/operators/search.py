@@ -44,16 +44,35 @@ def _hits(index: Index, terms: Sequence[str], allowed: DataFrame | None) -> Data
     return postings.join(index.terms.filter(F.col("term").isin(*terms)).select("term", "idf"), "term")
 
 
+def _bm25_part():
+    tf = F.col("tf")
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * _length() / F.col("avg_len"))) * F.col("idf") * _weight()
+
+
+def impacts(index: Index) -> DataFrame:
+    """What each (term, document) adds to BM25, to the dot product of TF-IDF and to its squared norm:
+    with these a query is a filter and one sum."""
+    rows = index.postings.join(index.terms.select("term", "idf"), "term")
+    rows = rows.join(index.docmeta.select("doc_id", *(f"len_{f}" for f in FIELDS)), "doc_id").crossJoin(F.broadcast(index.stats.select("avg_len")))
+    d = F.col("tf") * F.col("idf") * _weight()
+    return rows.groupBy("term", "doc_id").agg(F.sum(_bm25_part()).alias("bm25"), F.sum(d * F.col("idf")).alias("dot"), F.sum(d * d).alias("square"))
+
+
+def _impacts_of(index: Index, terms: Sequence[str], allowed: DataFrame | None) -> DataFrame:
+    rows = index.impacts.filter(F.col("term").isin(*terms))
+    return rows if allowed is None else rows.join(allowed.select("doc_id"), "doc_id", "left_semi")
+
+
 def bm25_scores(index: Index, query: str, allowed: DataFrame | None = None) -> DataFrame:
     """(doc_id, score): per posting tf (k1 + 1) / (tf + k1 (1 - b + b len_field / avg_len)) idf weight,
     with the average of the documents' whole lengths; a term counts once however often it is asked."""
     terms = sorted(set(py_tokenize(query, index.stopwords)))
     if not terms:
         return index.docmeta.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+    if index.impacts is not None:
+        return _impacts_of(index, terms, allowed).groupBy("doc_id").agg(_ranked(F.sum("bm25")))
     rows = _hits(index, terms, allowed).join(index.docmeta.select("doc_id", *(f"len_{f}" for f in FIELDS)), "doc_id").crossJoin(F.broadcast(index.stats.select("avg_len")))
-    tf = F.col("tf")
-    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * _length() / F.col("avg_len"))) * F.col("idf") * _weight()
-    return rows.groupBy("doc_id").agg(_ranked(F.sum(part)))
+    return rows.groupBy("doc_id").agg(_ranked(F.sum(_bm25_part())))
 
 
 def tfidf_scores(index: Index, query: str, allowed: DataFrame | None = None) -> DataFrame:
@@ -68,6 +87,10 @@ def tfidf_scores(index: Index, query: str, allowed: DataFrame | None = None) ->
         times = F.when(F.col("term") == t, F.lit(asked[t])).otherwise(times)
     own = index.terms.filter(F.col("term").isin(*terms))
     norm = own.agg(F.sqrt(F.sum(F.pow(times * F.col("idf"), 2))).alias("q_norm"))
+    if index.impacts is not None:
+        sums = _impacts_of(index, terms, allowed).groupBy("doc_id").agg(F.sum(times * F.col("dot")).alias("dot"), F.sqrt(F.sum("square")).alias("d_norm"))
+        sums = sums.crossJoin(F.broadcast(norm)).filter("d_norm > 0 and q_norm > 0")
+        return sums.select("doc_id", _ranked(F.col("dot") / (F.col("d_norm") * F.col("q_norm"))))
     rows = _hits(index, terms, allowed).withColumn("q", times * F.col("idf")).withColumn("d", F.col("tf") * F.col("idf") * _weight())
     sums = rows.groupBy("doc_id").agg(F.sum(F.col("q") * F.col("d")).alias("dot"), F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("d_norm"))
     sums = sums.crossJoin(F.broadcast(norm)).filter("d_norm > 0 and q_norm > 0")
@@ -118,9 +141,7 @@ def search_batch(index: Index, queries: DataFrame, k: int = 10, stop=None) -> Da
     asked = queries.select("qid", F.explode(F.array_distinct(tokenize(F.col("query"), stop or index.stopwords))).alias("term"))
     rows = index.postings.join(asked, "term").join(index.terms.select("term", "idf"), "term")
     rows = rows.join(index.docmeta.select("doc_id", *(f"len_{f}" for f in FIELDS)), "doc_id").crossJoin(F.broadcast(index.stats.select("avg_len")))
-    tf = F.col("tf")
-    part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * _length() / F.col("avg_len"))) * F.col("idf") * _weight()
-    scored = rows.groupBy("qid", "doc_id").agg(_ranked(F.sum(part)))
+    scored = rows.groupBy("qid", "doc_id").agg(_ranked(F.sum(_bm25_part())))
     w = W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("qid", "rank", "doc_id", "score")
 

@@ -44,6 +44,14 @@ def test_scores(index, query, bm25, tfidf):
     assert near(hits(search.search(index, query, "tfidf")), tfidf)
 
 
+def test_impacts_give_the_same_scores(index, table):
+    fast, some = index.with_impacts(), table.filter("doc_id <> 2").select("doc_id")
+    for metric in ("bm25", "tfidf"):
+        for query in ("lemon chicken", "onion tart tart", "zzz"):
+            for allowed in (None, some):
+                assert hits(search.search(fast, query, metric, allowed=allowed)) == hits(search.search(index, query, metric, allowed=allowed))
+
+
 def test_index_tables(index):
     df = {r.term: r.df for r in index.terms.collect()}
     assert (df["chicken"], df["lemon"], df["onion"], df["tart"]) == (6, 5, 2, 2)
