@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard self-join, answered by set relations.
 
 1. Each text becomes its set of distinct word n-grams (64-bit hashes). Rows with one and the same
-   set (128-bit hash) are one class; only the class's smallest id goes on.
+   set (64-bit hash) are one class; only the class's smallest id goes on.
 2. Candidates: two sets of at least the threshold differ in at most D elements, D given by their
    sizes. The hash space is cut into more than D ranges, so some ranges are equal in both. A set
    gives one signature for each range that holds enough elements, in the families of its size.
@@ -23,7 +23,7 @@ from .common import materialize, without_ids
 from .components import components
 
 #: n-grams that one task holds at once; a list of single n-grams longer than this is a hot one.
-GROUP, HOT = 2_000_000, 64
+GROUP, HOT = 2_000_000, 8
 BROADCAST_ROWS = 1_000_000
 
 
@@ -57,13 +57,30 @@ def size_bounds(most: int, num: int, den: int) -> list[int]:
 def ranges_of(top: int, num: int, den: int) -> tuple[int, int]:
     """(D, number of ranges) of a family whose smaller sets have at most `top` elements."""
     differ = top * (den - num) // num
-    empty = 0.03 if 10 * num < 9 * den else 0.012
-    return differ, differ + 1 + (1 + int(empty * differ) if differ else 0)
+    # more ranges than must differ, so that enough agree even without those that hold too few grams
+    more = 0.4 if 10 * num < 9 * den else 0.012
+    return differ, differ + 1 + (1 + int(more * differ) if differ else 0)
+
+
+def families(n: int, num: int, den: int) -> list[int]:
+    """The families of a set of n elements: pairs of its interval with the one below, and above."""
+    import bisect
+
+    interval = bisect.bisect_right(size_bounds(n + 1, num, den), n) - 1
+    return [f for f in (interval - 1, interval) if f >= 0]
+
+
+def node_of(own: int, family: int) -> int:
+    """A class in a family, as a signed 64-bit number."""
+    h = (own * 0x9E3779B97F4A7C15 + (family + 1) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
+    h ^= h >> 29
+    return h - (1 << 64) if h >> 63 else h
 
 
 def signatures(s, num: int, den: int):
-    """(signatures, flags): of both families of the set's size. flags: the family's slack * 2, plus 1
-    for a range of a single gram. Ranges of too few grams are left out where enough others must agree."""
+    """(signatures, flags, families): of both families of the set's size. flags: the family's slack, at most 63,
+    times 4, plus 2 for the larger family, plus 1 for a range of a single gram. Ranges of too few grams
+    are left out where enough others must agree."""
     import bisect
 
     import numpy as np
@@ -71,7 +88,8 @@ def signatures(s, num: int, den: int):
     n = len(s)
     bounds = size_bounds(n + 1, num, den)
     interval = bisect.bisect_right(bounds, n) - 1
-    few = 2 if 10 * num >= 9 * den else 0
+    which = []
+    few = 2 if 10 * num >= 9 * den else 1
     out, flags = [], []
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((s ^ (s >> np.uint64(31))) * np.uint64(0x94D049BB133111EB), dtype=np.uint64)])
     for family in (interval - 1, interval):
@@ -89,8 +107,9 @@ def signatures(s, num: int, den: int):
         sig = (own[pick] ^ (np.uint64((family * 0x10001 + 7) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))) + (pick.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
         sig = (sig ^ (sig >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         out.append(sig ^ (sig >> np.uint64(31)))
-        flags.append(np.where(size[pick] == 1, 1, 0) + 2 * min(max(slack, 0), 1 << 20) + ((family - interval + 1) << 24))
-    return np.concatenate(out).view(np.int64), np.concatenate(flags)
+        flags.append((size[pick] == 1) + 2 * (family == interval) + 4 * min(max(slack, 0), 63))
+        which.append(np.full(len(pick), family))
+    return np.concatenate(out), np.concatenate(flags).astype(np.uint8), np.concatenate(which)
 
 
 def join_group(sets: list, num: int, den: int) -> list[tuple[int, int]]:
@@ -176,24 +195,132 @@ def _answer(members, sets, num, den, link) -> None:
 
 
 def _mark(k: int, num: int, den: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = [grams(t, k) for t in batch.column(1).to_pylist()]
+            own = [class_of(s) for s in sets]
+            nodes = [[node_of(c, f) for f in families(len(s), num, den)] if len(s) else [0] for c, s in zip(own, sets)]
+            cols = ([len(s) for s in sets], own, [x[0] for x in nodes], [x[-1] for x in nodes])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["id", "n", "class", "low", "high"])
+
+    return run
+
+
+def class_of(s) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    h = xxh3_64_intdigest(s.tobytes())
+    return h - (1 << 64) if h >> 63 else h
+
+
+def _sign(k: int, num: int, den: int, buckets: int):
+    """Signatures as packed entries: for each bucket, 40 bits of the signature, flags and the set's class."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
-        from xxhash import xxh3_128_digest
+
+        held, seen, met = [], 0, set()
+
+        def table():
+            sig, flag, own = (np.concatenate([h[i] for h in held]) for i in range(3))
+            held.clear(), met.clear()
+            bucket = (sig % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            sig, flag, own, bucket = (sig // np.uint64(buckets))[order], flag[order], own[order], bucket[order]
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            blobs = []
+            for a, b in zip(first, [*first[1:], len(bucket)]):
+                blobs.append(sig[a:b].astype("<u4").tobytes() + (sig[a:b] >> np.uint64(32)).astype("u1").tobytes() + flag[a:b].tobytes() + own[a:b].astype("<i8").tobytes())
+            return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
 
         for batch in batches:
-            rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text in batch.column(0).to_pylist():
                 s = grams(text, k)
-                sig, flag = signatures(s, num, den) if len(s) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-                rows.append((doc, len(s), xxh3_128_digest(s.tobytes()), sig, flag))
-            cols = list(zip(*rows)) if rows else [()] * 5
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["id", "n", "class", "sig", "flag"])
+                if len(s) and (own := class_of(s)) not in met:  # copies that are near each other go once
+                    met.add(own)
+                    sig, flag, family = signatures(s, num, den)
+                    nodes = {f: node_of(own, f) for f in families(len(s), num, den)}
+                    held.append((sig, flag, np.where(family == family[0], nodes[int(family[0])], nodes[int(family[-1])])))
+                    seen += len(sig)
+                    if seen >= GROUP // 2:
+                        yield table()
+                        seen = 0
+        if held:
+            yield table()
 
     return run
 
 
+def _unpack(parts):
+    """Sorted distinct (signature, class) entries with their flags; copies count once."""
+    import numpy as np
+
+    n = [len(p) // 14 for p in parts]
+    low, high, flag, own = (np.concatenate([np.frombuffer(p, kind, m, at * m) for p, m in zip(parts, n)]) for kind, at in (("<u4", 0), ("u1", 4), ("u1", 5), ("<i8", 6)))
+    sig = low.astype(np.int64) | (high.astype(np.int64) << 32)
+    order = np.lexsort((own, sig))
+    sig, flag, own = sig[order], flag[order].astype(np.int32), own[order]
+    new = np.flatnonzero(np.append(True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])))
+    return sig[new], flag[new], own[new]
+
+
+def _lists(batches):
+    """Of each bucket the lists with two classes or more: each member with its list's first, once; hot is
+    the number of hot lists that say so, 0 for others.
+
+    A bucket is read in portions; what stays between them is each signature's first class, so a list
+    of very many members takes no more room than another. Lists of a bucket that has several portions
+    aren't marked hot, which only leaves more candidates.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    state = None
+
+    def table(parts, last):
+        nonlocal state
+        sig, flag, own = _unpack(parts)
+        first = np.flatnonzero(np.diff(sig, prepend=-1))
+        size = np.diff(np.append(first, len(sig)))
+        lead, total = own[first], size.copy()
+        if state is not None and len(state[0]):
+            at = np.minimum(np.searchsorted(state[0], sig[first]), len(state[0]) - 1)
+            old = state[0][at] == sig[first]
+            lead, total = np.where(old, state[1][at], lead), total + old
+        whole = state is None and last
+        if last:
+            state = None
+        else:
+            merged, where = np.unique(np.concatenate([[], sig[first]] if state is None else [state[0], sig[first]]).astype(np.int64), return_index=True)
+            state = (merged, np.concatenate([[], lead] if state is None else [state[1], lead]).astype(np.int64)[where])
+        pick = np.repeat(total > 1, size)
+        long = np.repeat(size > HOT, size)[pick] & whole
+        flag, own, lead = flag[pick], own[pick], np.repeat(lead, size)[pick]
+        hot = ((flag & 1) == 1) & long
+        # sets that share many lists share most firsts: a pair goes once a bucket, with its number of lists
+        plain = ~hot & (own != lead)
+        pairs = np.unique(np.stack([own[plain], lead[plain]], 1), axis=0)
+        more, times = np.unique(np.stack([own[hot], lead[hot], flag[hot].astype(np.int64) >> 1], 1), axis=0, return_counts=True)
+        none = np.zeros(len(pairs), np.int64)
+        cols = [np.concatenate(x) for x in ((pairs[:, 0], more[:, 0]), (pairs[:, 1], more[:, 1]), (none, times), (none, more[:, 2] & 1), (none, more[:, 2] >> 1))]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), *(pa.array(c.astype(np.int32)) for c in cols[2:])], names=["id", "first", "hot", "f", "slack"])
+
+    key, parts, held = None, [], 0
+    for batch in batches:
+        for bucket, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if parts and (bucket != key or held >= 2 * GROUP * 14):
+                yield table(parts, bucket != key)
+                parts, held = [], 0
+            key = bucket
+            parts.append(entries)
+            held += len(entries)
+    if parts:
+        yield table(parts, True)
+
+
 def _links(k: int, num: int, den: int):
     def run(batches):
         import pyarrow as pa
@@ -228,25 +355,25 @@ def similar_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, i
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marks = materialize(rows.mapInArrow(_mark(k, num, den), "id long, n long, class binary, sig array<long>, flag array<int>"))
+    marks = materialize(rows.mapInArrow(_mark(k, num, den), "id long, n long, class long, low long, high long"))
     full = marks.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = full.groupBy("class").agg(F.min("id").alias("rep"))
-    heads = full.join(classes.select("rep"), F.col("id") == F.col("rep"), "left_semi")
-    sigs = heads.select("id", F.explode(F.arrays_zip("sig", "flag")).alias("s")).select("id", F.col("s.sig").alias("sig"), F.col("s.flag").alias("flag"))
-    # lists of one are nothing; a list is known by its smallest id and its length
-    sizes = sigs.groupBy("sig").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("len")).filter("first <> last").select(F.col("sig").alias("s"), "first", "len")
-    lists = materialize(sigs.join(sizes, F.col("sig") == F.col("s")).select("id", "sig", "flag", "first", ((F.col("flag").bitwiseAND(1) == 1) & (F.col("len") > HOT)).alias("hot")))
+    classes = full.groupBy("class").agg(F.min("id").alias("rep"), *(F.max(c).alias(c) for c in ("n", "low", "high")))
+    # a bucket's entries fit a task: each set has about 2 (den - num) / num signatures a gram, and some
+    n_grams = full.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, spark.sparkContext.defaultParallelism, -(-n_grams * 3 * (den - num) // num // GROUP))
+    signed = rows.filter(F.col("id").isNotNull()).select("text").mapInArrow(_sign(k, num, den, buckets), "bucket int, entries binary")
+    lists = signed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, "id long, first long, hot int, f int, slack int")
+    lists = materialize(lists)
     # a common single gram: sets with enough other ranges that must agree need not follow its list
-    family = F.shiftright("flag", 24)
-    slack = F.shiftright(F.col("flag").bitwiseAND((1 << 24) - 1), 1)
-    hot = lists.filter("hot").select("id", "sig", family.alias("f"), slack.alias("slack"))
-    bound = hot.groupBy("id", "f").agg(F.count(F.lit(1)).alias("k"), F.max("slack").alias("m")).filter("k >= m").select(F.col("id").alias("i"), F.col("f").alias("g"))
-    bound = hot.join(bound, (F.col("id") == F.col("i")) & (F.col("f") == F.col("g")), "left_semi").select("id", "sig")
-    firsts = bound.groupBy("sig").agg(F.min("id").alias("first")).withColumnRenamed("sig", "s")
-    stars = lists.filter("not hot and id <> first").select("id", "first").unionByName(bound.join(firsts, F.col("sig") == F.col("s")).filter("id <> first").select("id", "first"))
+    hot = lists.filter("hot > 0")
+    bound = hot.groupBy("id", "f").agg(F.sum("hot").alias("k"), F.max("slack").alias("m")).filter("k >= m").select(F.col("id").alias("i"), F.col("f").alias("g"))
+    bound = hot.join(bound, (F.col("id") == F.col("i")) & (F.col("f") == F.col("g")), "left_semi")
+    stars = lists.filter("hot = 0").select("id", "first").unionByName(bound.select("id", "first")).filter("id <> first")
     near = components(stars, "id", "first")
     # the candidate components' groups: (component, family, block, block)
-    known = heads.select("id", "n").join(near, F.col("id") == F.col("node")).select("id", "n", F.col("component").alias("c"))
+    # a class is a node in each family of its size, so chains don't run on from one size to the next
+    own = classes.select("rep", "n", F.explode(F.array_distinct(F.array("low", "high"))).alias("own"))
+    known = own.join(near, F.col("own") == F.col("node")).select(F.col("rep").alias("id"), "n", F.col("component").alias("c"))
     known = materialize(known)
     total = known.groupBy("c").agg(F.sum("n").alias("t")).withColumnRenamed("c", "__c")
     sized = known.join(total, F.col("c") == F.col("__c"))
@@ -261,7 +388,7 @@ def similar_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, i
     dealt = rows.join(wanted, F.col("id") == F.col("__id")).select("g", "id", "text").repartition(parts, "g").sortWithinPartitions("g", "id")
     links = dealt.select(F.to_json("g").alias("g"), "id", "text").mapInArrow(_links(k, num, den), "a long, b long")
     linked = components(links, "a", "b")
-    of_class = classes.join(linked, F.col("rep") == F.col("node"), "left").select(F.col("class").alias("__class"), F.coalesce("component", "rep").alias("component_id"))
+    of_class = classes.select("class", "rep").join(linked, F.col("rep") == F.col("node"), "left").select(F.col("class").alias("__class"), F.coalesce("component", "rep").alias("component_id"))
     out = marks.select("id", "n", F.when(F.col("n") > 0, F.col("class")).alias("__own")).join(of_class, F.col("__own") == F.col("__class"), "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 

@@ -222,6 +222,32 @@ def test_jaccard_odd_tables(spark):
     assert {r.doc_id for r in kept.collect()} == {0, 2} and kept.columns[2:] == ["start", "score", "n"]
 
 
+def test_lists_in_portions(monkeypatch):
+    """However a bucket is cut into portions, the members of a list stay connected."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    sig, own = r.integers(0, 60, 400), r.integers(0, 50, 400)
+    blob = lambda s, o: s.astype("<u4").tobytes() + bytes(len(s)) + bytes(len(s)) + o.astype("<i8").tobytes()
+    batch = pa.RecordBatch.from_arrays([pa.array([b for b in (1, 2) for _ in range(10)], pa.int32()), pa.array([blob(sig[i : i + 20], own[i : i + 20]) for i in range(0, 400, 20)], pa.binary())], names=["bucket", "entries"])
+
+    def parts(group):
+        monkeypatch.setattr(jaccard, "GROUP", group)
+        parent = {}
+
+        def root(x):
+            while parent.setdefault(x, x) != x:
+                x = parent[x]
+            return x
+
+        for t in jaccard._lists(iter([batch])):
+            for a, b in zip(t.column(0).to_pylist(), t.column(1).to_pylist()):
+                parent[root(a)] = root(b)
+        return {frozenset(y for y in parent if root(y) == root(x)) for x in parent}
+
+    assert parts(1) == parts(2_000_000) == parts(3)
+
+
 def test_group_join_is_brute_force():
     r = np.random.default_rng(0)
     for _ in range(30):
