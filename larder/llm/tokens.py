@@ -49,6 +49,8 @@ def _encoder(path: str):
     import json
     import re
 
+    from unicodedata import normalize
+
     import numpy as np
     import regex
 
@@ -62,21 +64,35 @@ def _encoder(path: str):
     wide, narrow = (regex.compile(BYTE_PATTERN), re.compile(BYTE_ASCII)) if spaced else (regex.compile(WORD_PATTERN), re.compile(WORD_ASCII))
     words: dict[str, bytes] = {}
 
+    tokenize, pack = model.tokenize, np.array
+
     def word(w: str) -> bytes:
         ids = words.get(w)
         if ids is None:
-            ids = np.array([t.id for t in model.tokenize(w.encode().decode("latin-1").translate(letters))], "<u4").tobytes()
+            if w.isascii() and w.isalnum():
+                raw = w
+            else:
+                raw = w.encode().decode("latin-1").translate(letters)
+            ids = pack([t.id for t in tokenize(raw)], "<u4").tobytes()
             if len(words) < WORDS:
                 words[w] = ids
         return ids
 
     def piece_ids(piece: str) -> bytes:
+        if not spaced:
+            if not piece.isascii():
+                # a capital sigma's small form depends on the letters round it in Python alone
+                piece = tok.normalizer.normalize_str(piece) if "Σ" in piece else normalize("NFC", piece).lower()
+            else:
+                piece = piece.lower()
+        # letters only, or letters and one mark that ends a phrase, need no pattern
+        lead, last = piece[:-1], piece[-1:]
+        if piece.isalpha():
+            return word(" " + piece if spaced else piece)
+        if (last == "." or last == ",") and lead.isalpha():
+            return word(" " + lead if spaced else lead) + word(last)
         if spaced:
             piece = " " + piece
-        elif piece.isascii():
-            piece = piece.lower()
-        else:
-            piece = tok.normalizer.normalize_str(piece)
         return b"".join([word(w) for w in (narrow if piece.isascii() else wide).findall(piece)])
 
     class Pieces(dict):
