@@ -24,6 +24,8 @@ from .components import components
 
 #: n-grams that one task holds at once; a list of single n-grams longer than this is a hot one.
 GROUP, HOT = 2_000_000, 8
+#: Signatures of a bucket, as many as are expected; a task unpacks twice as many at once. Rows that become text at once.
+ENTRIES, ROWS = 500_000, 500
 BROADCAST_ROWS = 1_000_000
 
 
@@ -194,11 +196,18 @@ def _answer(members, sets, num, den, link) -> None:
         before, x = x, int(np.where(waiting, counts / (size + size[x] - counts), -1.0).argmax())
 
 
+def _pieces(batches):
+    """The batches in pieces of few rows: what a task holds as Python text doesn't depend on Spark's batch size."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def _mark(k: int, num: int, den: int):
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in _pieces(batches):
             sets = [grams(t, k) for t in batch.column(1).to_pylist()]
             own = [class_of(s) for s in sets]
             nodes = [[node_of(c, f) for f in families(len(s), num, den)] if len(s) else [0] for c, s in zip(own, sets)]
@@ -236,7 +245,7 @@ def _sign(k: int, num: int, den: int, buckets: int):
                 blobs.append(sig[a:b].astype("<u4").tobytes() + (sig[a:b] >> np.uint64(32)).astype("u1").tobytes() + flag[a:b].tobytes() + own[a:b].astype("<i8").tobytes())
             return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
 
-        for batch in batches:
+        for batch in _pieces(batches):
             for text in batch.column(0).to_pylist():
                 s = grams(text, k)
                 if len(s) and (own := class_of(s)) not in met:  # copies that are near each other go once
@@ -310,8 +319,8 @@ def _lists(batches):
 
     key, parts, held = None, [], 0
     for batch in batches:
-        for bucket, entries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            if parts and (bucket != key or held >= 2 * GROUP * 14):
+        for bucket, entries in zip(batch.column(0).to_pylist(), (e.as_buffer() for e in batch.column(1))):
+            if parts and (bucket != key or held >= 2 * ENTRIES * 14):
                 yield table(parts, bucket != key)
                 parts, held = [], 0
             key = bucket
@@ -331,7 +340,7 @@ def _links(k: int, num: int, den: int):
             found = join_group(sets, num, den) if len(sets) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], names=["a", "b"])
 
-        for batch in batches:
+        for batch in _pieces(batches):
             for group, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if group != key:
                     if len(ids) > 1:
@@ -360,7 +369,7 @@ def similar_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, i
     classes = full.groupBy("class").agg(F.min("id").alias("rep"), *(F.max(c).alias(c) for c in ("n", "low", "high")))
     # a bucket's entries fit a task: each set has about 2 (den - num) / num signatures a gram, and some
     n_grams = full.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, spark.sparkContext.defaultParallelism, -(-n_grams * 3 * (den - num) // num // GROUP))
+    buckets = max(1, spark.sparkContext.defaultParallelism, -(-n_grams * 3 * (den - num) // num // ENTRIES))
     signed = rows.filter(F.col("id").isNotNull()).select("text").mapInArrow(_sign(k, num, den, buckets), "bucket int, entries binary")
     lists = signed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, "id long, first long, hot int, f int, slack int")
     lists = materialize(lists)
