@@ -10,6 +10,8 @@ POSITIVES, UNLABELLED, FEATURES = 3000, 9000, 5000
 #: Positives that a feature must be seen in.
 LEAST = 3
 THRESHOLD = 0.3
+#: Words whose weight a scoring task remembers (others are weighed anew), and texts that are Python strings at once.
+REMEMBERED, ROWS = 100_000, 500
 
 
 def words(text: str | None):
@@ -87,7 +89,7 @@ def _hashes(known=None):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             raw = []
             for t in batch.column(1).to_pylist():
                 own = np.unique(np.array([h for w in words(t) for h in features(w)], "<u4"))
@@ -144,28 +146,28 @@ def scorer(model: tuple[float, dict[int, float]]):
     """A column function: text -> score in [0, 1]."""
     bias, weights = model
 
-    @F.pandas_udf("double")
+    @F.arrow_udf("double")
     def score(texts):
         import numpy as np
-        import pandas as pd
+        import pyarrow as pa
 
         known: dict[str, float] = {}
 
         def weigh(word):
             w = sum(weights.get(h, 0.0) for h in features(word))
-            if len(known) < 400_000:
+            if len(known) < REMEMBERED:
                 known[word] = w
             return w
 
         find = known.get
         out = []
-        for text in texts:
+        for text in (t for at in range(0, len(texts), ROWS) for t in texts.slice(at, ROWS).to_pylist()):
             total = bias
             for word in words(text):
                 w = find(word)
                 total += weigh(word) if w is None else w
             out.append(total)
-        return pd.Series(1 / (1 + np.exp(-np.clip(np.array(out, float), -40, 40))))
+        return pa.array(1 / (1 + np.exp(-np.clip(np.array(out, float), -40, 40))))
 
     return score
 
