@@ -21,8 +21,8 @@ OWN_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 ASIDE_TAGS = frozenset("head nav footer aside form button menu dialog".split())
 ASIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|aside|footer|header|masthead|cookie|cookies|consent|notice|notices|gdpr|newsletter|subscribe|popup|modal|share|social|comment|comments|disqus|reply|replies|related|recommended|toolbar|skip|pagination|login|search|complementary|contentinfo)(?:$|[\s_-])", re.I)
 #: Pages that a host needs for its template to count; share of them that a constant node has;
-#: children of one node that the tree matching aligns by dynamic programming.
-LEAST_PAGES, CONSTANT, ALIGN = 4, 0.7, 400
+#: pairs of children beyond which the tree matching halves the lists, for memory alone.
+LEAST_PAGES, CONSTANT, CELLS = 4, 0.7, 1 << 16
 
 
 class Node:
@@ -136,48 +136,150 @@ def blocks(root: Node) -> Node:
     return top
 
 
-def match(a: Node, b: Node) -> dict[int, Node]:
-    """Simple tree matching: id of a node of a -> its partner in b. Children are aligned in order so
-    that the matched subtrees are largest; equal beginnings are aligned as they stand, and what is
-    left of two lists by dynamic programming (by tag alone where it is longer than ALIGN)."""
-    pairs: dict[int, Node] = {}
-    todo = [(a, b)]
-    kind = lambda n: (n.tag, n.words)
+def _interned(a: Node, b: Node):
+    """Numbers of equal subtrees of a and b: (number by id of node, kind, numbers of children, weight in itself
+    by number). A leaf's text counts only where both trees have it, so other leaves are all alike."""
+    orders = []
+    for root in (a, b):
+        order = [root]
+        for n in order:
+            order.extend(n.kids)
+        orders.append(order)
+    shared = {n.text for n in orders[0] if n.tag == "#"} & {n.text for n in orders[1] if n.tag == "#"}
+    known: dict[tuple, int] = {}
+    number, kinds, kids, own = {}, [], [], []
+    for order in orders:
+        for n in reversed(order):
+            text = n.text if n.tag == "#" and n.text in shared else None
+            key = (n.tag, n.words, text, tuple(number[id(k)] for k in n.kids))
+            at = known.get(key)
+            if at is None:
+                at = known[key] = len(own)
+                kinds.append((n.tag, n.words))
+                kids.append(key[3])
+                own.append(1 + (text is not None) + sum(own[k] for k in key[3]))
+            number[id(n)] = at
+    return number, kinds, kids, own
+
+
+def _trimmed(p, q):
+    """Lengths of the equal beginning and end of two lists: equal subtrees there are tied in a best alignment."""
+    i, most = 0, min(len(p), len(q))
+    while i < most and p[i] == q[i]:
+        i += 1
+    j = 0
+    while j < most - i and p[-1 - j] == q[-1 - j]:
+        j += 1
+    return i, j
+
+
+def _best(p, q, weight):
+    """Gains of the best alignments of p with each beginning of q, in memory linear in q."""
+    import numpy as np
+
+    rows: dict = {}
+    line = np.zeros(len(q) + 1, np.int64)
+    for x in p:
+        if x not in rows:
+            values = {y: weight(x, y) for y in set(q)}
+            rows[x] = np.array([values[y] for y in q], np.int64)
+        both = np.where(rows[x] > 0, line[:-1] + rows[x], 0)
+        line[1:] = np.maximum(line[1:], both)
+        np.maximum.accumulate(line, out=line)
+    return line
+
+
+def _gain(p, q, weight):
+    """The gain of a best alignment."""
+    if len(p) * len(q) > 256:
+        return int(_best(p, q, weight)[-1])
+    line = [0] * (len(q) + 1)
+    for x in p:
+        before = 0
+        for t, y in enumerate(q):
+            w = weight(x, y)
+            before, line[t + 1] = line[t + 1], max(line[t + 1], line[t], before + w if w else 0)
+    return line[-1]
+
+
+def _align(p, q, weight):
+    """Places (in p, in q) of a best alignment in order. Long lists are halved (Hirschberg)."""
+    out, todo = [], [(0, len(p), 0, len(q))]
     while todo:
-        x, y = todo.pop()
-        pairs[id(x)] = y
-        k, l = x.kids, y.kids
-        i = 0
-        while i < len(k) and i < len(l) and kind(k[i]) == kind(l[i]):
-            todo.append((k[i], l[i]))
-            i += 1
-        p, q = k[i:], l[i:]
-        while p and q and kind(p[-1]) == kind(q[-1]):
-            todo.append((p.pop(), q.pop()))
-        if not p or not q:
+        s0, s1, t0, t1 = todo.pop()
+        if s0 == s1 or t0 == t1:
             continue
-        if len(p) * len(q) > ALIGN * ALIGN:
-            seen = iter(q)
-            for n in p:
-                partner = next((m for m in seen if kind(m) == kind(n)), None)
-                if partner is None:
-                    break
-                todo.append((n, partner))
+        if (s1 - s0) * (t1 - t0) > CELLS and s1 - s0 > 1:
+            import numpy as np
+
+            half = (s0 + s1) // 2
+            cut = t0 + int(np.argmax(_best(p[s0:half], q[t0:t1], weight) + _best(p[half:s1][::-1], q[t0:t1][::-1], weight)[::-1]))
+            todo += [(s0, half, t0, cut), (half, s1, cut, t1)]
             continue
-        gain = [[0] * (len(q) + 1) for _ in range(len(p) + 1)]
-        for s in range(len(p) - 1, -1, -1):
-            for t in range(len(q) - 1, -1, -1):
-                both = min(p[s].size, q[t].size) + gain[s + 1][t + 1] if kind(p[s]) == kind(q[t]) else 0
-                gain[s][t] = max(both, gain[s + 1][t], gain[s][t + 1])
+        n, m = s1 - s0, t1 - t0
+        gain = [[0] * (m + 1) for _ in range(n + 1)]
+        for s in range(n - 1, -1, -1):
+            below, row, x = gain[s + 1], gain[s], p[s0 + s]
+            for t in range(m - 1, -1, -1):
+                w = weight(x, q[t0 + t])
+                row[t] = max(w + below[t + 1] if w else 0, below[t], row[t + 1])
         s = t = 0
-        while s < len(p) and t < len(q):
-            if kind(p[s]) == kind(q[t]) and gain[s][t] == min(p[s].size, q[t].size) + gain[s + 1][t + 1]:
-                todo.append((p[s], q[t]))
+        while s < n and t < m:
+            w = weight(p[s0 + s], q[t0 + t])
+            if w and gain[s][t] == w + gain[s + 1][t + 1]:
+                out.append((s0 + s, t0 + t))
                 s, t = s + 1, t + 1
             elif gain[s][t] == gain[s + 1][t]:
                 s += 1
             else:
                 t += 1
+    return out
+
+
+def match(a: Node, b: Node) -> dict[int, Node]:
+    """Simple tree matching: id of a node of a -> its partner in b. Children are aligned in order so
+    that most nodes are matched in their subtrees, a leaf with the same text counting twice; at
+    every size, with memory linear in long lists. Weights are kept by pairs of unequal subtrees."""
+    number, kinds, kids, own = _interned(a, b)
+    memo: dict[tuple[int, int], int] = {}
+
+    def weight(x, y):
+        return own[x] if x == y else memo[x, y] if kinds[x] == kinds[y] else 0
+
+    def weigh(x, y):
+        todo = [(x, y)]
+        while todo:  # no recursion: pages may be deep
+            x, y = todo[-1]
+            if (x, y) in memo:
+                todo.pop()
+                continue
+            i, j = _trimmed(kids[x], kids[y])
+            p, q = kids[x][i : len(kids[x]) - j], kids[y][i : len(kids[y]) - j]
+            missing = [(k, l) for k in set(p) for l in set(q) if k != l and kinds[k] == kinds[l] and (k, l) not in memo] if p and q else []
+            if missing:
+                todo += missing
+                continue
+            sure = sum(own[k] for k in kids[x][:i]) + sum(own[k] for k in kids[x][len(kids[x]) - j :])
+            memo[x, y] = 1 + sure + (_gain(p, q, weight) if p and q else 0)
+            todo.pop()
+
+    pairs: dict[int, Node] = {}
+    todo = [(a, b)]
+    while todo:
+        x, y = todo.pop()
+        pairs[id(x)] = y
+        k, l = x.kids, y.kids
+        p, q = [number[id(n)] for n in k], [number[id(n)] for n in l]
+        i, j = _trimmed(p, q)
+        todo += zip(k[:i], l[:i])
+        todo += zip(k[len(k) - j :], l[len(l) - j :])
+        p, q = p[i : len(p) - j], q[i : len(q) - j]
+        if p and q:
+            for s in set(p):
+                for t in set(q):
+                    if s != t and kinds[s] == kinds[t] and (s, t) not in memo:
+                        weigh(s, t)
+            todo += [(k[i + s], l[i + t]) for s, t in _align(p, q, weight)]
     return pairs
 
 

@@ -394,6 +394,43 @@ def test_tree_matching():
     assert got["t"] == "t" and set(got.values()) <= {"t", "a", "b", "c"} and len(got) == 3
 
 
+def test_tree_matching_is_whole(monkeypatch):
+    """Long lists are aligned past a child without partner, inserted blocks shift nothing, and weights are those of the subtrees."""
+    tree = lambda html: wrappers.blocks(wrappers.parse(html))
+    same = lambda a, b: (lambda pairs: {n.text for n, _, _ in wrappers.leaves(a) if id(n) in pairs and pairs[id(n)].text == n.text})(wrappers.match(a, b))
+    many = lambda own, more: "".join(f"<{('p', 'h2', 'pre')[i % 3]}>{own}{i}</{('p', 'h2', 'pre')[i % 3]}>" for i in range(500 + more))
+    a = tree(f"<div><h1>a</h1><table><td>x</table>{many('a', 0)}<p>kept</p><ul><li>a</ul></div>")
+    b = tree(f"<div><h2>b</h2>{many('b', 30)}<p>kept</p><ol><li>b</ol></div>")
+    assert same(a, b) == {"kept"}
+    assert same(tree("<div>one</div><div>two</div><p>a</p>"), tree("<div>new</div><div>one</div><div>two</div><ul><li>b</ul>")) == {"one", "two"}
+
+    def weight(x, y, shared):
+        if (x.tag, x.words) != (y.tag, y.words):
+            return 0
+        gain = [[0] * (len(y.kids) + 1) for _ in range(len(x.kids) + 1)]
+        for s, k in enumerate(x.kids):
+            for t, l in enumerate(y.kids):
+                w = weight(k, l, shared)
+                gain[s + 1][t + 1] = max(gain[s][t + 1], gain[s + 1][t], gain[s][t] + w if w else 0)
+        return 1 + (x.tag == "#" and x.text == y.text) + gain[-1][-1]
+
+    r = random.Random(4)
+
+    def some(depth):
+        return "".join(f"<{t}>{r.choice('abcdef') if depth == 0 or r.random() < 0.5 else some(depth - 1)}</{t}>" for t in r.choices(["div", "section", "pre"], k=r.randint(0, 5)))
+
+    for cells in (1 << 16, 1):
+        monkeypatch.setattr(wrappers, "CELLS", cells)
+        for _ in range(150):
+            a, b = tree(some(2)), tree(some(2))
+            pairs = wrappers.match(a, b)
+            nodes = [a]
+            for n in nodes:
+                nodes.extend(n.kids)
+            own = [(n, pairs[id(n)]) for n in nodes if id(n) in pairs]
+            assert sum(1 + (n.tag == "#" and n.text == m.text) for n, m in own) == weight(a, b, None) and len({id(m) for _, m in own}) == len(own)
+
+
 def test_wrapper_induction(spark):
     page = lambda i: f"<div><div>Site name</div><div><h2>Title {i}</h2><p>Body of {i} &amp; more.</p></div><div>All rights kept</div></div>"
     rows = [(i, f"http://a.example/{i}", page(i)) for i in range(8)] + [(20, "http://b.example/x", page(1)), (21, None, None), (22, "nourl", ""), (23, "http://b.example/x", page(1)), (None, "http://c.example", "<p>q")]
