@@ -23,6 +23,8 @@ ASIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|ba
 #: Pages that a host needs for its template to count; share of them that a constant node has;
 #: pairs of children beyond which the tree matching halves the lists, for memory alone.
 LEAST_PAGES, CONSTANT, CELLS = 4, 0.7, 1 << 16
+#: A near copy of the reference's article has at most this share of other words in the leaves that differ.
+NEAR = 0.2
 
 
 class Node:
@@ -321,29 +323,59 @@ def _tree(html, known: dict):
     return known[html]
 
 
+def _body(found, kept: set[str]) -> tuple[list[str], int]:
+    """Words of a page's article that the reference's article doesn't repeat as whole leaves, and a
+    number that copies and most near copies of them share: the smallest hash of three words in a row."""
+    from xxhash import xxh3_64_intdigest
+
+    words = [w for n in found if n.text not in kept for w in n.text.split()]
+    runs = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
+    return words, min(xxh3_64_intdigest(r.encode("utf-8", "surrogatepass")) for r in runs) - (1 << 63)
+
+
+def article_leaves(root: Node) -> list[Node]:
+    """Leaves outside aside parts; of these the ones in an article or main element if there are any."""
+    found = [(n, article) for n, aside, article in leaves(root) if not aside]
+    inside = [n for n, article in found if article]
+    return inside or [n for n, _ in found]
+
+
 def _observe(batches):
-    """(host, leaf number of the reference page) -> pages that align a leaf with it, and with the same text."""
+    """A row a page whose article isn't the reference's or a near copy of it: (host, number of the article,
+    a byte for each leaf of the reference page: 0 not aligned, 1 aligned, 2 with the same text)."""
     import pyarrow as pa
 
     known: dict = {}
     for batch in batches:
-        seen: dict[tuple, list[int]] = {}
+        rows = []
         for host, html, reference in zip(*(batch.column(i).to_pylist() for i in range(3))):
             root, own = _tree(reference, known)
             page = blocks(parse(html or ""))
+            article = article_leaves(root)
+            kept, told = {n.text for n in article}, {w for n in article for w in n.text.split()}
+            words, body = _body(article_leaves(page), kept)
+            if sum(w not in told for w in words) <= NEAR * len(words):
+                continue
             pairs = match(root, page)
-            texts = {id(n) for n, _, _ in leaves(page)}
-            for i, n in enumerate(own):
-                partner = pairs.get(id(n))
-                if partner is not None and id(partner) in texts:
-                    at = seen.setdefault((host, i), [0, 0])
-                    at[0] += 1
-                    at[1] += partner.text == n.text
-            at = seen.setdefault((host, -1), [0, 0])
-            at[0] += 1
-            # pages that are copies of the reference say nothing about what is template
-            at[1] += [n.text for n in own] == [n.text for n, _, _ in leaves(page)]
-        rows = [(h, i, a, b) for (h, i), (a, b) in seen.items()]
+            partners = [pairs.get(id(n)) for n in own]
+            rows.append((host, body, bytes(0 if p is None else 1 + (p.text == n.text) for n, p in zip(own, partners))))
+        cols = list(zip(*rows)) if rows else [()] * 3
+        kinds = (pa.string(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "body", "seen"])
+
+
+def _add(batches):
+    """(host, leaf number of the reference page) -> articles whose page aligns a leaf with it, and with the same text."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        sums: dict[str, object] = {}
+        for host, seen in zip(*(batch.column(i).to_pylist() for i in range(2))):
+            seen = np.frombuffer(seen, np.uint8)
+            own = np.stack([seen > 0, seen > 1]).astype(np.int64)
+            sums[host] = sums[host] + own if host in sums else own
+        rows = [(h, i, int(n), int(same)) for h, own in sums.items() for i, (n, same) in enumerate(own.T) if n]
         cols = list(zip(*rows)) if rows else [()] * 4
         kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "leaf", "n", "same"])
@@ -398,11 +430,11 @@ def extract_text(pages: DataFrame, broadcast_bytes: int = 32 << 20, id_col: str
     small = n_bytes <= broadcast_bytes
     hint = F.broadcast if small else (lambda df: df)
     joined = rows.join(hint(wrappers), F.col("host") == F.col("h"))
-    counts = joined.select("host", "html", "reference").mapInArrow(_observe, "host string, leaf int, n long, same long")
-    counts = counts.groupBy("host", "leaf").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
-    total = counts.filter("leaf = -1").select(F.col("host").alias("__h"), F.col("n").alias("pages"), F.col("same").alias("copies"))
-    steady = counts.filter("leaf >= 0").join(total, F.col("host") == F.col("__h"))
-    steady = steady.filter((F.col("pages") - F.col("copies") >= LEAST_PAGES) & (F.col("same") - F.col("copies") >= CONSTANT * (F.col("pages") - F.col("copies"))))
+    seen = joined.select("host", "html", "reference").mapInArrow(_observe, "host string, body long, seen binary")
+    seen = seen.groupBy("host", "body").agg(F.min("seen").alias("seen")).select("host", "seen")
+    counts = seen.mapInArrow(_add, "host string, leaf int, n long, same long")
+    counts = materialize(counts.groupBy("host", "leaf").agg(F.sum("n").alias("n"), F.sum("same").alias("same")))
+    steady = counts.filter((F.col("n") >= LEAST_PAGES) & (F.col("same") >= CONSTANT * F.col("n")))
     template = steady.groupBy("host").agg(F.sort_array(F.collect_list("leaf")).alias("template")).withColumnRenamed("host", "__h")
     wrappers = materialize(wrappers.join(template, F.col("h") == F.col("__h"), "left").select("h", "reference", "template"))
     joined = rows.join(hint(wrappers), F.col("host") == F.col("h"), "left")

@@ -445,6 +445,29 @@ def test_wrapper_induction(spark):
     assert wrappers.extract_text(df.limit(0)).count() == 0
 
 
+def test_repeated_articles_are_no_template(spark):
+    """Copies and near copies of an article, under adverts and footers that vary, keep it whole; template around other articles goes."""
+    r = random.Random(7)
+    prose = lambda n: " ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(n))
+    paragraphs = [prose(30) for _ in range(6)]
+    around = lambda i, inside: f"<div class='ad'>Buy {i}</div>{inside}<footer>Seen {i} times</footer>"
+
+    def near(i):
+        own = list(paragraphs)
+        own[i % 6] = own[i % 6].replace(" ", f" edit{i} ", 1)
+        return own
+
+    told = {}
+    for i in range(12):
+        told[i] = ("copies", paragraphs, "article")
+        told[20 + i] = ("near", near(i), "article")
+        told[40 + i] = ("mixed", paragraphs if i < 9 else [prose(30)] * 2, "div")
+        told[60 + i] = ("site", [prose(30), prose(30)], "div")
+    rows = [(i, f"http://{host}.example/{i}", around(i, f"<{tag}>{''.join(f'<p>{p}</p>' for p in own)}</{tag}>" + "<p>All rights kept</p>" * (host == "site"))) for i, (host, own, tag) in told.items()]
+    got = {x.page_id: x.text for x in wrappers.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    assert got == {i: "\n".join(own) for i, (_, own, _) in told.items()}
+
+
 URLS = ["http://www.Example.com/en/71?q", "http://example.com/en/8", "https://x.example.net/de/8", "https://x.example.net/de/9", "http://notexample.com/en/7", "http://org/es/", "http://a.org/es", "ftp://h.de#f", "h.com/en/1", None, "", "http://", "://net/de/x", "http://com"]
 
 
