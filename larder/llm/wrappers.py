@@ -1,4 +1,4 @@
-"""Main text of HTML pages by wrapper induction over pages of one host."""
+"""Main text of HTML pages by wrapper induction over pages of one host and layout."""
 
 from __future__ import annotations
 
@@ -20,9 +20,12 @@ OWN_KIND = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 #: Elements and class, id or role words that are never part of an article.
 ASIDE_TAGS = frozenset("head nav footer aside form button menu dialog".split())
 ASIDE_WORDS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|aside|footer|header|masthead|cookie|cookies|consent|notice|notices|gdpr|newsletter|subscribe|popup|modal|share|social|comment|comments|disqus|reply|replies|related|recommended|toolbar|skip|pagination|login|search|complementary|contentinfo)(?:$|[\s_-])", re.I)
-#: Pages that a host needs for its template to count; share of them that a constant node has;
+#: Pages that (articles) that a template is learnt from at least; share of them that a constant node has;
 #: pairs of children beyond which the tree matching halves the lists, for memory alone.
 LEAST_PAGES, CONSTANT, CELLS = 4, 0.7, 1 << 16
+#: Start tags that tell a page's layout, and their class.
+LAYOUT = r"(?i)<(?:div|section|article|main|table|ul|ol|dl|h1|h2|center|td)\b[^>]*>"
+LAYOUT_CLASS = r"(?i)\bclass\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)"
 #: A near copy of the reference's article has at most this share of other words in the leaves that differ.
 NEAR = 0.2
 
@@ -313,8 +316,17 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.when(at > 0, url.substr(at + 3, F.length(url))), F.lit("")), r"^([^/?#]*)", 1))
 
 
+def layout_of(html: Column) -> Column:
+    """A number for the layout of a page: its structural elements with their classes, each once, whatever
+    their order, count and numerals; aside elements vary from page to page and are left out."""
+    found = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(LAYOUT), F.lit(0))
+    kind = lambda t: F.concat_ws(" ", F.lower(F.regexp_extract(t, r"^<(\w+)", 1)), F.regexp_replace(F.lower(F.regexp_extract(t, LAYOUT_CLASS, 1)), r"[\d\"']+", ""))
+    kinds = F.array_distinct(F.transform(found, kind))
+    return F.xxhash64(F.array_join(F.array_sort(F.filter(kinds, lambda k: ~k.rlike(ASIDE_WORDS.pattern))), "\n"))
+
+
 def _tree(html, known: dict):
-    """The block tree of a host's reference page, parsed once in a task while its host is at hand."""
+    """The block tree of a reference page, parsed once in a task while its pages are at hand."""
     if html not in known:
         if len(known) > 2000:
             known.clear()
@@ -401,41 +413,55 @@ def _extract(batches):
 def extract_text(pages: DataFrame, broadcast_bytes: int = 32 << 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row of pages: page_id, url, text, n_chars.
 
-    Each host's reference page (the one of its smallest id hash) gives its wrapper. Every page of
-    the host is aligned with it by simple tree matching over blocks; a reference leaf whose text at
-    least CONSTANT of the host's pages repeat is template, the others are slots. Counts are added
-    up over all pages of the host, copies of the reference page apart, so that an article that is
-    mirrored isn't taken for template; a host needs LEAST_PAGES pages that differ. Aligned again,
-    a page loses its template leaves and the parts that are never article (navigation, adverts,
-    forms, comments and so on, by element and class); what is left, of an article or main element
-    if the page has one, is the text, a block a line.
-
-    Wrappers are one row a host: they are broadcast if their measured size is at most
-    broadcast_bytes, else joined by host, where adaptive execution splits a host with a large share
-    of the pages. Only counts are shuffled otherwise.
-
-    Null html is empty text; a null url or one without :// has the empty host, whose pages share a
-    wrapper like any other's; repeated rows and tied ids each get their row; an empty table gives
+    A host's pages are told apart by layout (structural elements and classes). Each layout with more
+    than LEAST_PAGES pages has a reference page, the one of its smallest id hash; pages of scarcer
+    layouts go with the host's commonest. Every page is aligned with its reference by simple tree
+    matching over blocks; a reference leaf is template if at least CONSTANT of the articles whose
+    pages align it, LEAST_PAGES or more, repeat its text; the others are slots. Articles count once
+    however many pages have them, and copies and near copies of the reference's article don't count,
+    so that an article that is mirrored isn't taken for template. Aligned again, a page loses its
+    template leaves and the parts that are never article (navigation, adverts, forms, comments and
+    so on, by element and class); what is left, of an article or main element if the page has one,
+    is the text, a block a line.
+
+    Wrappers are one row a host and layout: they are broadcast if their measured size is at most
+    broadcast_bytes, else joined, where adaptive execution splits a layout with a large share of the
+    pages. Otherwise only a short row a page is shuffled.
+
+    Null html is empty text; a null url or one without :// has the empty host, whose pages share
+    wrappers like any other's; repeated rows and tied ids each get their row; an empty table gives
     no rows; other columns are ignored.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    rows = rows.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit("")))
+    rows = rows.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit(""))).withColumn("layout", layout_of(F.col("html")))
     pick = F.struct(F.xxhash64("page_id"), F.col("page_id"))
-    chosen = rows.filter(F.length("html") > 0).groupBy("host").agg(F.min(pick).alias("pick")).select(F.col("host").alias("h"), F.col("pick.page_id").alias("i"))
-    chosen = materialize(chosen)
-    small = chosen.count() <= broadcast_bytes // 200
-    wrappers = rows.join(F.broadcast(chosen) if small else chosen, (F.col("host") == F.col("h")) & (F.col("page_id") == F.col("i")))
-    wrappers = materialize(wrappers.groupBy("h").agg(F.min("html").alias("reference")))
-    n_bytes = wrappers.agg(F.sum(F.length("reference"))).first()[0] or 0
-    small = n_bytes <= broadcast_bytes
-    hint = F.broadcast if small else (lambda df: df)
-    joined = rows.join(hint(wrappers), F.col("host") == F.col("h"))
-    seen = joined.select("host", "html", "reference").mapInArrow(_observe, "host string, body long, seen binary")
+    found = rows.filter(F.length("html") > 0).groupBy("host", "layout").agg(F.min(pick).alias("pick"), F.count(F.lit(1)).alias("n"))
+    found = materialize(found.select(F.col("host").alias("h"), F.col("layout").alias("l"), F.col("pick.page_id").alias("i"), "n"))
+    common = found.groupBy("h").agg(F.max(F.struct("n", "l")).alias("m")).select(F.col("h").alias("__h"), F.col("m.l").alias("m"))
+    found = found.join(common, F.col("h") == F.col("__h")).withColumn("family", F.when(F.col("n") > LEAST_PAGES, F.col("l")).otherwise(F.col("m")))
+    found = materialize(found.select("h", "l", "i", F.concat("h", F.lit("\n"), F.col("family").cast("string")).alias("family"), (F.col("l") == F.col("family")).alias("first")))
+    chosen = found.filter("first")
+    n_layouts = found.count()
+    small = n_layouts <= broadcast_bytes // 200
+    chosen = F.broadcast(chosen) if small else chosen
+    wrappers = rows.join(chosen, (F.col("host") == F.col("h")) & (F.col("layout") == F.col("l")) & F.col("page_id").eqNullSafe(F.col("i")))
+    wrappers = materialize(wrappers.groupBy("family").agg(F.min("html").alias("reference")))
+    families = found.select("h", "l", "family")
+
+    def widened(wrappers):
+        """A row a host and layout, and whether they are small."""
+        known = materialize(families.join(wrappers, "family"))
+        n_bytes = known.agg(F.sum(F.length("reference"))).first()[0] or 0
+        return F.broadcast(known) if n_bytes <= broadcast_bytes else known
+
+    own = (F.col("host") == F.col("h")) & (F.col("layout") == F.col("l"))
+    joined = rows.join(widened(wrappers), own)
+    seen = joined.select(F.col("family").alias("host"), "html", "reference").mapInArrow(_observe, "host string, body long, seen binary")
     seen = seen.groupBy("host", "body").agg(F.min("seen").alias("seen")).select("host", "seen")
     counts = seen.mapInArrow(_add, "host string, leaf int, n long, same long")
-    counts = materialize(counts.groupBy("host", "leaf").agg(F.sum("n").alias("n"), F.sum("same").alias("same")))
+    counts = counts.groupBy("host", "leaf").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
     steady = counts.filter((F.col("n") >= LEAST_PAGES) & (F.col("same") >= CONSTANT * F.col("n")))
     template = steady.groupBy("host").agg(F.sort_array(F.collect_list("leaf")).alias("template")).withColumnRenamed("host", "__h")
-    wrappers = materialize(wrappers.join(template, F.col("h") == F.col("__h"), "left").select("h", "reference", "template"))
-    joined = rows.join(hint(wrappers), F.col("host") == F.col("h"), "left")
+    wrappers = materialize(wrappers.join(template, F.col("family") == F.col("__h"), "left").select("family", "reference", "template"))
+    joined = rows.join(widened(wrappers), own, "left")
     return joined.select("page_id", "url", "html", "reference", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

@@ -468,6 +468,23 @@ def test_repeated_articles_are_no_template(spark):
     assert got == {i: "\n".join(own) for i, (_, own, _) in told.items()}
 
 
+def test_each_layout_has_its_template(spark):
+    """Hosts with pages of two layouts, 60/40 and 80/20, and one with stubs lose the template of each; bounds change nothing."""
+    one = lambda i: f"<div class='top'><p>Site name</p></div><div class='text'><p>Story {i} of ours {i * i}</p><p>Ends {i}</p></div><div><p>All rights kept</p></div>"
+    two = lambda i: f"<table><td><p>Old site name</p></td><td><h2>Tale {i}</h2><p>Told {i} by {i * i}</p></td><td>Copying forbidden</td></table>"
+    rows, told = [], {}
+    for host, share in (("a", 18), ("b", 24)):
+        for i in range(30):
+            rows.append((len(rows), f"http://{host}.example/{i}", (one if i < share else two)(i)))
+            told[rows[-1][0]] = f"Story {i} of ours {i * i}\nEnds {i}" if i < share else f"Tale {i}\nTold {i} by {i * i}"
+    for i in range(20):
+        rows.append((len(rows), f"http://c.example/{i}", "<p>Gone</p>" if i < 8 else one(i)))
+        told[rows[-1][0]] = "Gone" if i < 8 else f"Story {i} of ours {i * i}\nEnds {i}"
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for bound in (32 << 20, 0):
+        assert {x.page_id: x.text for x in wrappers.extract_text(df, bound).collect()} == told
+
+
 URLS = ["http://www.Example.com/en/71?q", "http://example.com/en/8", "https://x.example.net/de/8", "https://x.example.net/de/9", "http://notexample.com/en/7", "http://org/es/", "http://a.org/es", "ftp://h.de#f", "h.com/en/1", None, "", "http://", "://net/de/x", "http://com"]
 
 
