@@ -558,3 +558,67 @@ def test_weights_learn_within_a_text():
     whole = mixing.mix(rows, c, a, np.array([0]), table, mixing.first_weights())[0]
     parts = mixing.mix(rows, c, a, np.arange(0, n, 64), table, mixing.first_weights()).sum()
     assert whole > parts + 1
+
+
+def test_lm_contexts_grow_with_the_corpus(spark):
+    """Each of many rare words tells the class of the next one, in texts that were held out."""
+    r = random.Random(3)
+    n = 1500  # contexts seen three times, under LEAST
+    after = {i: r.choice(["red", "blue", "green", "rare%d" % i]) for i in range(n)}
+    say = lambda ids, shift: " ".join(f"key{i} {after[(i + shift) % n]}" for i in ids)
+    held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    taught = [i for i in range(2000) if i not in set(held)]
+    rows = []
+    for times in range(3):
+        ids = r.sample(range(n), n)
+        rows += [(taught.pop(), say(ids[at : at + 30], 0)) for at in range(0, n, 30)]
+    right, wrong = held[0], held[1]
+    ids = r.sample(range(n), 400)
+    rows += [(right, say(ids, 0)), (wrong, say(ids, 1))]
+    got = {x.doc_id: x for x in mixing.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got[right].held_out and got[wrong].held_out
+    assert got[right].score / got[right].n_tokens > got[wrong].score / got[wrong].n_tokens + 0.1
+
+
+def test_lm_portions_and_buckets_change_no_counts(spark, monkeypatch):
+    """Counts of a context from other portions and from the text's own add up as in one portion."""
+    import pyarrow as pa
+
+    texts = [t for t in odd_texts(8, 80) if t]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    words = [[mixing.word_hash(w) for w in mixing.tokens(t)] for t in texts]
+    vocabulary = mixing.Vocabulary([], [], 1, 1, 1, 1, 1)
+    hashes = np.concatenate([np.append(np.array(w, np.int64), mixing.word_hash(b" ")) for w in words])
+    lens = np.array([len(w) + 1 for w in words])
+    starts = np.cumsum(lens) - lens
+    ends = np.cumsum(lens) - 1
+    numbers = np.zeros(len(hashes), np.int64)
+    numbers[ends] = 1
+    _, h1, h2, c, _ = mixing.contexts(numbers, hashes, starts, vocabulary.classes)
+    doc = np.repeat(np.arange(len(lens)), lens)
+    total, own = Counter(), Counter()
+    for d, a, b, k in zip(doc.tolist(), h1.tolist(), h2.tolist(), c.tolist()):
+        if not held[d]:
+            total.update([(a, k), (b, k)])
+            own.update([(d, a, k), (d, b, k)])
+    rows = []
+    frame_ = lambda lo, hi: pa.RecordBatch.from_pydict({"i": list(range(lo, hi)), "t": texts[lo:hi], "f": [not x for x in held[lo:hi]]})
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    monkeypatch.setattr(mixing, "PORTION", 200)
+    for batch in mixing._tally(vocabulary, 4)([frame_(0, 30), frame_(30, len(texts))]):
+        rows += batch.to_pylist()
+    kinds = pa.schema([("bucket", pa.int64()), ("portion", pa.int64()), ("data", pa.binary())])
+    out = [x for b in {x["bucket"] for x in rows} for x in mixing._resolve(pa.Table.from_pylist([x for x in rows if x["bucket"] == b], kinds)).to_pylist()]
+    small, at = np.zeros(mixing.SLOTS, np.float32), 0
+    assert len({x["portion"] for x in out}) > 5
+    for portion in sorted({x["portion"] for x in out if x["portion"] >= 0}):
+        t = mixing.Texts([x["data"] for x in sorted(out, key=lambda x: x["bucket"]) if x["portion"] == portion], vocabulary, small)
+        for i, lo in enumerate(t.starts.tolist()):
+            d = t.ids[i]
+            for j in range(int(t.lens[i])):
+                for row, h in ((t.rows[3], h1), (t.rows[4], h2)):
+                    key = int(h[starts[d] + j])
+                    want = [total[key, k] - own[d, key, k] for k in range(32)]
+                    assert (t.table[row[lo + j] : row[lo + j] + 32] == mixing.predictors(np.array(want))).all()
+                at += 1
+    assert at == len(hashes)
