@@ -622,3 +622,28 @@ def test_lm_portions_and_buckets_change_no_counts(spark, monkeypatch):
                     assert (t.table[row[lo + j] : row[lo + j] + 32] == mixing.predictors(np.array(want))).all()
                 at += 1
     assert at == len(hashes)
+
+
+def test_lm_weights_learn_in_short_texts():
+    """Weights change within the first 64 tokens, too."""
+    table = mixing.predictors(np.ones(mixing.SLOTS, np.int64))
+    table[32:64] = 3.0
+    n = 64
+    rows = [np.zeros(n, np.int64), np.full(n, 32), *(np.zeros(n, np.int64) for _ in range(4))]
+    c, a = np.full(n, 31), np.zeros(n, np.int64)
+    whole = mixing.mix(rows, c, a, np.array([0]), table, mixing.first_weights())[0]
+    assert whole > mixing.mix(rows, c, a, np.arange(n), table, mixing.first_weights()).sum() + 1e-3
+
+
+def test_lm_weights_come_from_all_training_texts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("T", (), {"partitionId": lambda self: 0})())
+    vocabulary = mixing.Vocabulary([], [], 1, 1, 1, 1, 1)
+    n = 2600
+    batch = pa.RecordBatch.from_pydict({"i": list(range(n)), "t": ["one two three"] * n, "f": [i >= 100 for i in range(n)]})
+    rows = [x for b in mixing._tally(vocabulary, 4)([batch]) for x in b.to_pylist()]
+    kinds = pa.schema([("bucket", pa.int64()), ("portion", pa.int64()), ("data", pa.binary())])
+    out = [x for b in sorted({x["bucket"] for x in rows if x["bucket"] <= -1000 or x["bucket"] >= 0}) for x in mixing._resolve(pa.Table.from_pylist([x for x in rows if x["bucket"] == b], kinds)).to_pylist()]
+    told = [x for b in mixing._weigh(vocabulary, np.zeros(mixing.SLOTS, np.float32))([pa.RecordBatch.from_pydict({"portion": [x["portion"] for x in out], "data": [x["data"] for x in out]})]) for x in b.to_pylist()]
+    assert sum(x["n"] for x in told) == 4 * (n - 100) and not np.array_equal(np.frombuffer(told[0]["w"]).reshape(2 * mixing.LEVELS, -1), mixing.first_weights())
