@@ -18,13 +18,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder named by spark.checkpoint.dir.
 
-    Only where neither the setting nor the context names a folder (tests on one machine) a
-    temporary one is used.
+    Only where neither the setting nor the context names a folder and all runs in one process
+    (a local master, as in tests) a temporary one is used; a cluster without a shared folder is an error.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="larder-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="larder-"))
     return df.checkpoint(eager=True)
 
 
@@ -46,12 +49,30 @@ def broadcast_if_small(df: DataFrame, n_bytes: int, bound: int = 32 << 20) -> Da
     return F.broadcast(df) if n_bytes <= bound else df
 
 
-def without_ids(docs: DataFrame, lost: DataFrame, id_col: str, bound: int = 1_000_000) -> DataFrame:
-    """The rows of docs whose id isn't in lost (one column). Up to `bound` ids are broadcast, after
-    they are counted, so the texts stay where they are; beyond that both sides are shuffled."""
-    lost = materialize(lost.toDF("__lost").distinct())
-    few = lost.count() <= bound
-    return docs.join(F.broadcast(lost) if few else lost, docs[id_col] == lost["__lost"], "left_anti")
+def few(df: DataFrame, bound: int = 1_000_000) -> DataFrame:
+    """The rows of df, which are short; broadcast if they are counted to be few, shuffled beyond that."""
+    df = materialize(df)
+    return F.broadcast(df) if df.count() <= bound else df
+
+
+def row_key(text):
+    """A number for a row's text; with the id it tells rows apart where ids repeat."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
+
+
+def without_rows(docs: DataFrame, lost: DataFrame, every: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that aren't in lost, one of each id and text. lost, every: (id, row_key) of the
+    rows that go and of all rows. Texts stay where they are unless very many rows go."""
+    names = [f"__larder_{i}" for i in range(3)]
+    own = docs.select("*", docs[id_col].cast("long").alias(names[0]), row_key(docs[text_col]).alias(names[1]))
+    same = lambda other: own[names[0]].eqNullSafe(other["__i"]) & (own[names[1]] == other["__k"])
+    lost = few(lost.toDF("__i", "__k").distinct())
+    repeated = materialize(every.toDF("__i", "__k").groupBy("__i", "__k").count().filter("count > 1").select("__i", "__k"))
+    if not repeated.isEmpty():  # rows that repeat id and text: one of each
+        again = few(repeated)
+        once = own.join(again, same(again), "left_semi").dropDuplicates(names[:2])
+        own = own.join(again, same(again), "left_anti").unionByName(once)
+    return own.join(lost, same(lost), "left_anti").drop(*names[:2])
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, without_ids
+from .common import ascii_lower, row_key, without_rows
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", normalise=ascii_lower) -> DataFrame:
@@ -22,22 +22,31 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     on each row whose id is keep_id. A null id is never the kept one unless its whole group has
     null ids. An empty table gives no rows. Other columns are ignored.
     """
+    found = _groups(docs, id_col, text_col, keep, normalise)
+    return found.select("doc_id", F.col("first.id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("first.id")).alias("kept"), "text_sha256")
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, keep: str, normalise) -> DataFrame:
+    """Per row doc_id, key (of its text as it is), first (its group's kept row: id, key), group_size, text_sha256."""
     pick = F.max if keep == "max" else F.min
     text: Column = normalise(F.coalesce(F.col(text_col), F.lit("")))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("__text"))
-    rows = rows.select("doc_id", "__text", F.md5(F.col("__text").cast("binary")).alias("__md5"))
-    groups = rows.groupBy("__md5", "__text").agg(F.count(F.lit(1)).alias("group_size"), pick("doc_id").alias("keep_id")).filter(F.col("group_size") > 1)
-    groups = groups.select(F.col("__md5").alias("__g"), F.sha2(F.col("__text").cast("binary"), 256).alias("__s"), "keep_id", "group_size")
-    marks = rows.select("doc_id", "__md5", F.sha2(F.col("__text").cast("binary"), 256).alias("text_sha256"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(text_col)).alias("key"), text.alias("__text"))
+    rows = rows.select("*", F.md5(F.col("__text").cast("binary")).alias("__md5"))
+    told = F.col("doc_id").isNotNull() if keep == "max" else F.col("doc_id").isNull()  # so that a null id comes last
+    own = F.struct(told.alias("told"), F.col("doc_id").alias("id"), "key")
+    groups = rows.groupBy("__md5", "__text").agg(F.count(F.lit(1)).alias("group_size"), pick(own).alias("first")).filter(F.col("group_size") > 1)
+    groups = groups.select(F.col("__md5").alias("__g"), F.sha2(F.col("__text").cast("binary"), 256).alias("__s"), "first", "group_size")
+    marks = rows.select("doc_id", "key", "__md5", F.sha2(F.col("__text").cast("binary"), 256).alias("text_sha256"), own.alias("__own"))
     joined = marks.join(groups, (F.col("__md5") == F.col("__g")) & (F.col("text_sha256") == F.col("__s")), "left")
-    keep_id = F.coalesce("keep_id", "doc_id")
-    return joined.select(
-        "doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("doc_id") == keep_id, F.lit(True)).alias("kept"), "text_sha256",
-    )
+    return joined.select("doc_id", "key", F.coalesce("first", "__own").alias("first"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
-    """The rows of docs that stay, with docs' columns; rows that repeat a kept id all stay."""
-    groups = exact_groups(docs, id_col, text_col, keep)
-    return without_ids(docs, groups.filter(~F.col("kept")).select("doc_id"), id_col)
+    """One row of each group of equal texts, with docs' columns: the one whose id is smallest (or
+    largest, by `keep`); null ids come after all others. Rows with equal id and text are one row;
+    rows that share an id but not their text are told apart. Null and empty texts are one group. An
+    empty table gives no rows; other columns, whatever their names, are kept.
+    """
+    rows = _groups(docs, id_col, text_col, keep, ascii_lower)
+    lost = rows.filter(~(F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key")))).select("doc_id", "key")
+    return without_rows(docs, lost, rows.filter("group_size > 1").select("doc_id", "key"), id_col, text_col)

@@ -1,17 +1,18 @@
 """Exact n-gram Jaccard self-join, answered by set relations.
 
 1. Each text becomes its set of distinct word n-grams (64-bit hashes). Rows with one and the same
-   set (64-bit hash) are one class; only the class's smallest id goes on.
-2. Candidates: two sets of at least the threshold differ in at most D elements, D given by their
-   sizes. The hash space is cut into more than D ranges, so some ranges are equal in both. A set
-   gives one signature for each range that holds enough elements, in the families of its size.
-   Sets that share a signature are candidates; the candidate graph's stars (each set to its list's
-   smallest id) are enough for its components, so no list is ever expanded into pairs.
-3. Each candidate component, or each block pair of a large one, is joined in one task: index lists
-   are blocked by size and blocks that can hold no partner are skipped; a set's overlaps with all
-   others are derived from those of the most similar set answered before, by the index lists of
-   the few elements in which the two differ.
-4. Components of the links found give the result.
+   set (64-bit hash) are one class; only the class's smallest row goes on.
+2. A set needs a certain number of its n-grams in a partner. Portions of texts send their distinct
+   n-grams to buckets of hashes, once a portion, and are told which ones occur elsewhere: a set with
+   too few of these has no partner and is done. Unrelated texts end here.
+3. The classes that remain ask once more, for how many of them hold each n-gram. Two similar sets
+   share one of their few rarest n-grams, which passages that many texts repeat never are; sets of a
+   family of sizes that share such a one are candidates. A portion links its own sets first and tells
+   one of each group and n-gram, so no list grows with the rows that share an n-gram.
+4. Each candidate component, or each block pair of a large one, is joined in one task: index lists
+   are ordered by position and read only as far as a partner may be; a set reached from another by a
+   link derives its overlaps from that one's answers, by the n-grams in which the two differ.
+5. Components of the links found give the result.
 """
 
 from __future__ import annotations
@@ -19,14 +20,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, without_ids
+from .common import few, materialize, row_key, without_rows
 from .components import components
 
-#: n-grams that one task holds at once; a list of single n-grams longer than this is a hot one.
-GROUP, HOT = 2_000_000, 8
-#: Signatures of a bucket, as many as are expected; a task unpacks twice as many at once. Rows that become text at once.
-ENTRIES, ROWS = 500_000, 500
-BROADCAST_ROWS = 1_000_000
+#: n-grams that one task joins at once; n-grams of a portion of texts; n-grams of a bucket, as many as are expected.
+GROUP, PORTION, BUCKET = 2_000_000, 1_000_000, 1_000_000
+#: Texts that are in memory at once as text; texts of a portion at most.
+ROWS, TEXTS = 500, 50_000
 
 
 def grams(text: str | None, k: int):
@@ -56,14 +56,6 @@ def size_bounds(most: int, num: int, den: int) -> list[int]:
     return bounds
 
 
-def ranges_of(top: int, num: int, den: int) -> tuple[int, int]:
-    """(D, number of ranges) of a family whose smaller sets have at most `top` elements."""
-    differ = top * (den - num) // num
-    # more ranges than must differ, so that enough agree even without those that hold too few grams
-    more = 0.4 if 10 * num < 9 * den else 0.012
-    return differ, differ + 1 + (1 + int(more * differ) if differ else 0)
-
-
 def families(n: int, num: int, den: int) -> list[int]:
     """The families of a set of n elements: pairs of its interval with the one below, and above."""
     import bisect
@@ -72,128 +64,152 @@ def families(n: int, num: int, den: int) -> list[int]:
     return [f for f in (interval - 1, interval) if f >= 0]
 
 
+def signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
 def node_of(own: int, family: int) -> int:
     """A class in a family, as a signed 64-bit number."""
     h = (own * 0x9E3779B97F4A7C15 + (family + 1) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
-    h ^= h >> 29
-    return h - (1 << 64) if h >> 63 else h
+    return signed(h ^ (h >> 29))
 
 
-def signatures(s, num: int, den: int):
-    """(signatures, flags, families): of both families of the set's size. flags: the family's slack, at most 63,
-    times 4, plus 2 for the larger family, plus 1 for a range of a single gram. Ranges of too few grams
-    are left out where enough others must agree."""
-    import bisect
+def class_of(s) -> int:
+    from xxhash import xxh3_64_intdigest
+
+    return signed(xxh3_64_intdigest(s.tobytes()))
+
 
+def least_shared(n, num: int, den: int):
+    """Elements that a set of n shares with any partner, at least: the threshold's share of its own."""
+    return -(-num * n // den)
+
+
+# -- the join inside a group ---------------------------------------------------------------------
+
+
+def join_group(sets: list, num: int, den: int) -> list[tuple[int, int]]:
+    """Links (i, j), enough to connect all that are connected, among sorted distinct arrays.
+
+    Sets are reached from each other along links, so each is asked about once, against those not
+    reached yet. A set asks the lists of its rarest elements. Entries of a list are in the order of
+    the element's position in their sets: x with it in place i and y with it in place j as the first
+    common element have at most |x| - i in common and at least |x| + j together, so a list is read
+    up to the largest j that can do. A set that was reached from another takes over that one's
+    overlaps, corrected by the lists of the elements in which the two differ.
+    """
     import numpy as np
 
-    n = len(s)
-    bounds = size_bounds(n + 1, num, den)
-    interval = bisect.bisect_right(bounds, n) - 1
-    which = []
-    few = 2 if 10 * num >= 9 * den else 1
-    out, flags = [], []
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((s ^ (s >> np.uint64(31))) * np.uint64(0x94D049BB133111EB), dtype=np.uint64)])
-    for family in (interval - 1, interval):
-        if family < 0:
+    n = len(sets)
+    size = np.array([len(s) for s in sets], np.int64)
+    if n < 2 or not size.any():
+        return []
+    if n == 2:
+        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
+        return [(0, 1)] if den * both >= num * (int(size.sum()) - both) and both else []
+    _, own, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(times), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(times))  # rarest first
+    own, member = rank[own], np.repeat(np.arange(n), size)
+    own = own[np.lexsort((own, member))]
+    starts = np.cumsum(size) - size
+    place = np.arange(len(own)) - np.repeat(starts, size)
+    width = int(size.max()) + 1
+    order = np.argsort(own * width + place, kind="stable")
+    lists = {"key": (own * width + place)[order], "set": member[order], "place": place[order]}
+    waiting, slot, mark = np.ones(n, bool), np.full(n, -1), np.zeros(len(times), bool)
+    of = lambda x: own[starts[x] : starts[x] + size[x]]
+
+    def read(low, high):
+        """Places of the lists' entries with low <= key < high, and the number of the range of each."""
+        lo = np.searchsorted(lists["key"], low)
+        k = np.maximum(np.searchsorted(lists["key"], high), lo) - lo
+        return np.arange(int(k.sum())) + np.repeat(lo - np.cumsum(k) + k, k), np.repeat(np.arange(len(k)), k)
+
+    def partners(x):
+        """Sets not reached yet that may be partners."""
+        i = np.arange(size[x] - least_shared(int(size[x]), num, den) + 1)
+        most = (size[x] - i) * den // num - size[x]  # the largest place worth reading
+        at, i = read(of(x)[i] * width, of(x)[i] * width + most + 1)
+        y, j = lists["set"][at], lists["place"][at]
+        return np.unique(y[waiting[y] & ((size[y] - j) * den >= num * (size[y] + i))])
+
+    def overlaps(x, ys):
+        mark[of(x)] = True
+        k = size[ys]
+        ends = np.cumsum(k)
+        held = mark[own[np.arange(int(ends[-1])) + np.repeat(starts[ys] - ends + k, k)]]
+        mark[of(x)] = False
+        return np.add.reduceat(held.astype(np.int64), ends - k)
+
+    def derived(x, z, ys, counts):
+        """Overlaps of x from those of z."""
+        total, slot[ys] = counts.copy(), np.arange(len(ys))
+        for tokens, sign in ((np.setdiff1d(of(z), of(x), assume_unique=True), -1), (np.setdiff1d(of(x), of(z), assume_unique=True), 1)):
+            to = slot[lists["set"][read(tokens * width, (tokens + 1) * width)[0]]]
+            total += sign * np.bincount(to[to >= 0], minlength=len(ys))
+        slot[ys] = -1
+        return total
+
+    links, gone = [], 0
+    for seed in np.argsort(size, kind="stable").tolist():
+        if not waiting[seed] or not size[seed]:
             continue
-        differ, m = ranges_of(bounds[family + 1] - 1, num, den)
-        # range i holds the hashes h with floor(h / 2^32 * m / 2^32) = i
-        edges = ((np.arange(m + 1, dtype=np.uint64) << np.uint64(32)) + np.uint64(m - 1)) // np.uint64(m)
-        cut = np.searchsorted(s >> np.uint64(32), edges)
-        size = np.diff(cut)
-        own = sums[cut[1:]] - sums[cut[:-1]]
-        weak = size <= few
-        slack = m - differ - int(weak.sum())
-        pick = np.flatnonzero(~weak) if slack > 0 else np.arange(m)
-        sig = (own[pick] ^ (np.uint64((family * 0x10001 + 7) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))) + (pick.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        sig = (sig ^ (sig >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append(sig ^ (sig >> np.uint64(31)))
-        flags.append((size[pick] == 1) + 2 * (family == interval) + 4 * min(max(slack, 0), 63))
-        which.append(np.full(len(pick), family))
-    return np.concatenate(out), np.concatenate(flags).astype(np.uint8), np.concatenate(which)
+        waiting[seed] = False
+        gone += 1
+        stack = [(seed, None)]
+        while stack:
+            x, known = stack.pop()
+            if 2 * gone > n:  # lists of those that wait
+                keep = waiting[lists["set"]]
+                lists = {k: v[keep] for k, v in lists.items()}
+                n, gone = int(waiting.sum()), 0
+            ys = partners(x)
+            if not len(ys):
+                continue
+            counts, new = np.zeros(len(ys), np.int64), np.ones(len(ys), bool)
+            if known and len(known[1]):
+                at = np.minimum(np.searchsorted(known[1], ys), len(known[1]) - 1)
+                new = known[1][at] != ys
+                if not new.all():
+                    counts[~new] = derived(x, known[0], ys[~new], known[2][at[~new]])
+            if new.any():
+                counts[new] = overlaps(x, ys[new])
+            linked = den * counts >= num * (size[ys] + size[x] - counts)
+            waiting[ys[linked]] = False
+            gone += int(linked.sum())
+            answers = (x, ys[~linked], counts[~linked])
+            for y in ys[linked].tolist():
+                links.append((x, y))
+                stack.append((y, answers))
+    return links
 
 
-def join_group(sets: list, num: int, den: int) -> list[tuple[int, int]]:
-    """Links (i, j), enough to connect all that are connected, among sorted distinct arrays."""
-    import bisect
+# -- portions and buckets ------------------------------------------------------------------------
 
+
+def pack(*arrays) -> bytes:
+    """Arrays as one value, byte by byte of their numbers, compressed where that helps."""
     import numpy as np
+    import pyarrow as pa
 
-    parent = list(range(len(sets)))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    links = []
-
-    def link(i, j):
-        a, b = root(i), root(j)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-            links.append((i, j))
-
-    size = [len(s) for s in sets]
-    bounds = size_bounds(max(size) + 1, num, den)
-    blocks: dict[int, list[int]] = {}
-    for i, n in enumerate(size):
-        blocks.setdefault(bisect.bisect_right(bounds, n) - 1, []).append(i)
-    for f in sorted(blocks):
-        # only neighbouring blocks can hold partners; a block's own pairs are answered with a neighbour's
-        if f + 1 in blocks:
-            _answer(blocks[f] + blocks[f + 1], sets, num, den, link)
-        elif f - 1 not in blocks and len(blocks[f]) > 1:
-            _answer(blocks[f], sets, num, den, link)
-    return links
+    raw = b"".join(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in arrays)
+    head = np.array([len(raw), *map(len, arrays)], "<i8").tobytes()
+    return head + (pa.compress(raw, codec="zstd", asbytes=True) if raw else b"")
 
 
-def _answer(members, sets, num, den, link) -> None:
+def unpack(blob: bytes, *kinds):
     import numpy as np
+    import pyarrow as pa
 
-    n = len(members)
-    size = np.array([len(sets[i]) for i in members])
-    if n == 2:
-        both = len(np.intersect1d(sets[members[0]], sets[members[1]], assume_unique=True))
-        if den * both >= num * (size.sum() - both):
-            link(members[0], members[1])
-        return
-    tokens, where = np.unique(np.concatenate([sets[i] for i in members]), return_inverse=True)
-    ends = np.cumsum(size)
-    own = [where[e - k : e] for e, k in zip(ends.tolist(), size.tolist())]  # token numbers, in order
-    order = np.argsort(where, kind="stable")
-    lists = np.repeat(np.arange(n), size)[order]  # index lists, one after the other
-    starts = np.concatenate([[0], np.cumsum(np.bincount(where, minlength=len(tokens)))])
-    length = np.diff(starts)
-
-    def overlaps(toks):
-        """How many of these tokens each set has."""
-        k = length[toks]
-        ends = np.cumsum(k)
-        if not len(ends) or not ends[-1]:
-            return np.zeros(n, np.int64)
-        return np.bincount(lists[np.arange(ends[-1]) - np.repeat(ends - k - starts[toks], k)], minlength=n)
-
-    waiting = np.ones(n, bool)
-    x, counts, before = 0, None, None
-    while True:
-        waiting[x] = False
-        if counts is None:
-            counts = overlaps(own[x])
-        else:
-            gone, come = np.setdiff1d(own[before], own[x], assume_unique=True), np.setdiff1d(own[x], own[before], assume_unique=True)
-            if length[gone].sum() + length[come].sum() < length[own[x]].sum():
-                counts = counts - overlaps(gone) + overlaps(come)
-            else:
-                counts = overlaps(own[x])
-        for y in np.flatnonzero(waiting & (den * counts >= num * (size + size[x] - counts))):
-            link(members[x], members[int(y)])
-        if not waiting.any():
-            return
-        # the next set is the waiting one most like this one
-        before, x = x, int(np.where(waiting, counts / (size + size[x] - counts), -1.0).argmax())
+    length, *lens = np.frombuffer(blob, "<i8", len(kinds) + 1).tolist()
+    raw = np.frombuffer(pa.decompress(blob[8 * len(kinds) + 8 :], decompressed_size=length, codec="zstd", asbytes=True) if length else b"", np.uint8)
+    out, at = [], 0
+    for kind, n in zip(kinds, lens):
+        kind = np.dtype(kind)
+        out.append(np.ascontiguousarray(raw[at : at + n * kind.itemsize].reshape(kind.itemsize, n).T).view(kind).reshape(n))
+        at += n * kind.itemsize
+    return out
 
 
 def _pieces(batches):
@@ -203,203 +219,326 @@ def _pieces(batches):
             yield batch.slice(start, ROWS)
 
 
-def _mark(k: int, num: int, den: int):
-    def run(batches):
-        import pyarrow as pa
+def _portions(batches, k: int):
+    """(portion, ids, keys, number of each row's set, distinct sets, their classes) of the rows (id, key, text)."""
+    from pyspark import TaskContext
+
+    portion = TaskContext.get().partitionId() << 32
+    ids, keys, which, sets, known, held = [], [], [], [], {}, 0
+    for batch in _pieces(batches):
+        for i, key, text in zip(*(batch.column(c).to_pylist() for c in range(3))):
+            s = grams(text, k)
+            own = class_of(s)
+            if own not in known:
+                known[own] = len(sets)
+                sets.append(s)
+                held += len(s)
+            ids.append(i), keys.append(key), which.append(known[own])
+            if held >= PORTION or len(ids) >= TEXTS:
+                yield portion, ids, keys, which, sets, list(known)
+                portion += 1
+                ids, keys, which, sets, known, held = [], [], [], [], {}, 0
+    if ids:
+        yield portion, ids, keys, which, sets, list(known)
+
+
+def _rows(rows):
+    """Rows (bucket, portion, kind, data)."""
+    import pyarrow as pa
 
-        for batch in _pieces(batches):
-            sets = [grams(t, k) for t in batch.column(1).to_pylist()]
-            own = [class_of(s) for s in sets]
-            nodes = [[node_of(c, f) for f in families(len(s), num, den)] if len(s) else [0] for c, s in zip(own, sets)]
-            cols = ([len(s) for s in sets], own, [x[0] for x in nodes], [x[-1] for x in nodes])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=["id", "n", "class", "low", "high"])
+    cols = list(zip(*rows)) if rows else [()] * 4
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["bucket", "portion", "kind", "data"])
 
-    return run
 
+SENT = "bucket long, portion long, kind long, data binary"
 
-def class_of(s) -> int:
-    from xxhash import xxh3_64_intdigest
 
-    h = xxh3_64_intdigest(s.tobytes())
-    return h - (1 << 64) if h >> 63 else h
+def _dealt(hashes, bits: int):
+    """(bucket, first, last, the hashes' next 32 bits) of each bucket that sorted hashes fall in."""
+    import numpy as np
+
+    edges = np.searchsorted(hashes >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+    rest = ((hashes >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)).astype("<u4")
+    for bucket in np.flatnonzero(np.diff(edges)).tolist():
+        yield bucket, int(edges[bucket]), int(edges[bucket + 1]), rest[edges[bucket] : edges[bucket + 1]]
 
 
-def _sign(k: int, num: int, den: int, buckets: int):
-    """Signatures as packed entries: for each bucket, 40 bits of the signature, flags and the set's class."""
+def _ask(k: int, bits: int):
+    """Of each portion: its rows, and its distinct n-grams dealt to buckets, each with the number of
+    the set that has it, or 0 where several sets of the portion do."""
 
     def run(batches):
         import numpy as np
-        import pyarrow as pa
 
-        held, seen, met = [], 0, set()
+        for portion, ids, keys, which, sets, classes in _portions(batches, k):
+            size = np.array([len(s) for s in sets], np.int64)
+            every = np.concatenate(sets)
+            order = np.argsort(every)
+            owner = np.repeat(np.arange(len(sets)), size)[order]
+            every = every[order]
+            first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.zeros(0, np.int64)
+            times = np.diff(np.append(first, len(every)))
+            shared = np.bincount(owner[np.repeat(times > 1, times)], minlength=len(sets))
+            out = [(-1 - portion, portion, 0, pack(np.array([i or 0 for i in ids], "<i8"), np.array([i is None for i in ids], "u1"), np.array(keys, "<i8"), np.array(which, "<i4"), size.astype("<i8"), np.array(classes, "<i8"), shared.astype("<i8")))]
+            one = np.where(times == 1, owner[first] + 1, 0).astype("<u4")
+            for bucket, lo, hi, rest in _dealt(every[first], bits):
+                by = np.argsort(one[lo:hi].astype(np.uint16), kind="stable")  # TEXTS fit 16 bits
+                out.append((bucket, portion, 1, pack(rest[by], one[lo:hi][by])))
+            yield _rows(out)
 
-        def table():
-            sig, flag, own = (np.concatenate([h[i] for h in held]) for i in range(3))
-            held.clear(), met.clear()
-            bucket = (sig % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            sig, flag, own, bucket = (sig // np.uint64(buckets))[order], flag[order], own[order], bucket[order]
-            first = np.flatnonzero(np.diff(bucket, prepend=-1))
-            blobs = []
-            for a, b in zip(first, [*first[1:], len(bucket)]):
-                blobs.append(sig[a:b].astype("<u4").tobytes() + (sig[a:b] >> np.uint64(32)).astype("u1").tobytes() + flag[a:b].tobytes() + own[a:b].astype("<i8").tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(bucket[first], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "entries"])
+    return run
 
-        for batch in _pieces(batches):
-            for text in batch.column(0).to_pylist():
-                s = grams(text, k)
-                if len(s) and (own := class_of(s)) not in met:  # copies that are near each other go once
-                    met.add(own)
-                    sig, flag, family = signatures(s, num, den)
-                    nodes = {f: node_of(own, f) for f in families(len(s), num, den)}
-                    held.append((sig, flag, np.where(family == family[0], nodes[int(family[0])], nodes[int(family[-1])])))
-                    seen += len(sig)
-                    if seen >= GROUP // 2:
-                        yield table()
-                        seen = 0
-        if held:
-            yield table()
 
-    return run
+def _by_bucket(batches):
+    """(bucket, [(portion, kind, data)]) of sorted rows; the rows of a portion itself come one by one."""
+    key, held = None, []
+    for batch in batches:
+        for bucket, portion, kind, data in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            if bucket != key and held:
+                yield key, held
+                held = []
+            key = bucket
+            held.append((portion, kind, data))
+    if held:
+        yield key, held
 
 
-def _unpack(parts):
-    """Sorted distinct (signature, class) entries with their flags; copies count once."""
+def _elsewhere(batches):
+    """Of each portion that asks: how many n-grams of each of its sets another portion has too."""
     import numpy as np
 
-    n = [len(p) // 14 for p in parts]
-    low, high, flag, own = (np.concatenate([np.frombuffer(p, kind, m, at * m) for p, m in zip(parts, n)]) for kind, at in (("<u4", 0), ("u1", 4), ("u1", 5), ("<i8", 6)))
-    sig = low.astype(np.int64) | (high.astype(np.int64) << 32)
-    order = np.lexsort((own, sig))
-    sig, flag, own = sig[order], flag[order].astype(np.int32), own[order]
-    new = np.flatnonzero(np.append(True, (sig[1:] != sig[:-1]) | (own[1:] != own[:-1])))
-    return sig[new], flag[new], own[new]
+    for bucket, rows in _by_bucket(batches):
+        if bucket < 0:
+            yield _rows([(bucket, *r) for r in rows])
+            continue
+        asked = [unpack(data, "<u4", "<u4") for _, _, data in rows]
+        every = np.concatenate([a for a, _ in asked])
+        order = np.argsort(every)
+        same = every[order][1:] == every[order][:-1]
+        found = np.zeros(len(every), bool)
+        found[order[1:][same]] = found[order[:-1][same]] = True
+        at, out = 0, []
+        for (portion, _, _), (a, one) in zip(rows, asked):
+            sets, times = np.unique(one[found[at : at + len(a)] & (one > 0)], return_counts=True)
+            at += len(a)
+            if len(sets):
+                out.append((bucket, portion, 1, pack((sets - 1).astype("<u4"), times.astype("<u4"))))
+        if out:
+            yield _rows(out)
+
+
+def _by_portion(batches):
+    """Lists of (kind, data) of each portion, in order of kind."""
+    key, held = None, []
+    for batch in batches:
+        for portion, kind, data in zip(*(batch.column(c).to_pylist() for c in range(1, 4))):
+            if portion != key and held:
+                yield held
+                held = []
+            key = portion
+            held.append((kind, data))
+    if held:
+        yield held
+
+
+def _marks(batches):
+    """(id, key, n, class, shared): shared is the number of the set's n-grams that other sets may have."""
+    import numpy as np
+    import pyarrow as pa
 
+    for rows in _by_portion(batches):
+        ids, nulls, keys, which, size, classes, shared = unpack(rows[0][1], "<i8", "u1", "<i8", "<i4", "<i8", "<i8", "<i8")
+        shared = shared.copy()
+        for _, data in rows[1:]:
+            sets, times = unpack(data, "<u4", "<u4")
+            shared[sets] += times
+        cols = [pa.array(ids, mask=nulls.astype(bool)), *(pa.array(c) for c in (keys, size[which], classes[which], shared[which]))]
+        yield pa.RecordBatch.from_arrays(cols, names=["id", "key", "n", "class", "shared"])
 
-def _lists(batches):
-    """Of each bucket the lists with two classes or more: each member with its list's first, once; hot is
-    the number of hot lists that say so, 0 for others.
 
-    A bucket is read in portions; what stays between them is each signature's first class, so a list
-    of very many members takes no more room than another. Lists of a bucket that has several portions
-    aren't marked hot, which only leaves more candidates.
-    """
+def _count(k: int, bits: int):
+    """Of each portion: its sets, and its distinct n-grams with the number of its sets that have them, dealt to buckets."""
+
+    def run(batches):
+        import numpy as np
+
+        for portion, _, _, _, sets, classes in _portions(batches, k):
+            size, every = np.array([len(s) for s in sets], "<i8"), np.concatenate(sets)
+            grams, times = np.unique(every, return_counts=True)
+            out = [(-1 - portion, portion, -1, pack(size, np.array(classes, "<i8"), every.astype("<u8")))]
+            out += [(bucket, portion, bucket, pack(rest, times[lo:hi].astype("<u4"))) for bucket, lo, hi, rest in _dealt(grams, bits)]
+            yield _rows(out)
+
+    return run
+
+
+def _held(batches):
+    """Of each portion that asks: how many sets have each of its n-grams, in the order in which it asked."""
     import numpy as np
-    import pyarrow as pa
 
-    state = None
-
-    def table(parts, last):
-        nonlocal state
-        sig, flag, own = _unpack(parts)
-        first = np.flatnonzero(np.diff(sig, prepend=-1))
-        size = np.diff(np.append(first, len(sig)))
-        lead, total = own[first], size.copy()
-        if state is not None and len(state[0]):
-            at = np.minimum(np.searchsorted(state[0], sig[first]), len(state[0]) - 1)
-            old = state[0][at] == sig[first]
-            lead, total = np.where(old, state[1][at], lead), total + old
-        whole = state is None and last
-        if last:
-            state = None
-        else:
-            merged, where = np.unique(np.concatenate([[], sig[first]] if state is None else [state[0], sig[first]]).astype(np.int64), return_index=True)
-            state = (merged, np.concatenate([[], lead] if state is None else [state[1], lead]).astype(np.int64)[where])
-        pick = np.repeat(total > 1, size)
-        long = np.repeat(size > HOT, size)[pick] & whole
-        flag, own, lead = flag[pick], own[pick], np.repeat(lead, size)[pick]
-        hot = ((flag & 1) == 1) & long
-        # sets that share many lists share most firsts: a pair goes once a bucket, with its number of lists
-        plain = ~hot & (own != lead)
-        pairs = np.unique(np.stack([own[plain], lead[plain]], 1), axis=0)
-        more, times = np.unique(np.stack([own[hot], lead[hot], flag[hot].astype(np.int64) >> 1], 1), axis=0, return_counts=True)
-        none = np.zeros(len(pairs), np.int64)
-        cols = [np.concatenate(x) for x in ((pairs[:, 0], more[:, 0]), (pairs[:, 1], more[:, 1]), (none, times), (none, more[:, 2] & 1), (none, more[:, 2] >> 1))]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), *(pa.array(c.astype(np.int32)) for c in cols[2:])], names=["id", "first", "hot", "f", "slack"])
-
-    key, parts, held = None, [], 0
-    for batch in batches:
-        for bucket, entries in zip(batch.column(0).to_pylist(), (e.as_buffer() for e in batch.column(1))):
-            if parts and (bucket != key or held >= 2 * ENTRIES * 14):
-                yield table(parts, bucket != key)
-                parts, held = [], 0
-            key = bucket
-            parts.append(entries)
-            held += len(entries)
-    if parts:
-        yield table(parts, True)
+    for bucket, rows in _by_bucket(batches):
+        if bucket < 0:
+            yield _rows([(bucket, *r) for r in rows])
+            continue
+        asked = [unpack(data, "<u4", "<u4") for _, _, data in rows]
+        _, where = np.unique(np.concatenate([a for a, _ in asked]), return_inverse=True)
+        total = np.bincount(where, np.concatenate([t for _, t in asked])).astype("<u4")[where]
+        ends = np.cumsum([len(a) for a, _ in asked])
+        yield _rows([(bucket, portion, kind, pack(total[end - len(a) : end])) for (portion, kind, _), (a, _), end in zip(rows, asked, ends)])
+
+
+def _candidates(num: int, den: int):
+    """Rows (kind, a, b): 0, node a and the first of its group in the portion; 1, an n-gram and a family, and the
+    first of those that have it; 2, a node and its class."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for rows in _by_portion(batches):
+            size, classes, every = unpack(rows[0][1], "<i8", "<i8", "<u8")
+            df = np.concatenate([np.zeros(0, "<u4"), *(unpack(data, "<u4")[0] for _, data in rows[1:])]).astype(np.int64)
+            _, where, times = np.unique(every, return_inverse=True, return_counts=True)
+            df, here = df[where], times[where]
+            nodes, keys, only, told = [], [], [], []
+            for i, (n, end) in enumerate(zip(size.tolist(), np.cumsum(size).tolist())):
+                own, least = df[end - n : end], least_shared(n, num, den)
+                if not n or int((own > 1).sum()) < least:
+                    continue
+                rare = np.argsort(own, kind="stable")[: n - least + 1]  # hashes are in order already
+                rare = rare[own[rare] > 1]
+                alone, rare = own[rare] == here[end - n : end][rare], every[end - n : end][rare]
+                for f in families(n, num, den):
+                    h = (rare ^ np.uint64((f + 1) * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xBF58476D1CE4E5B9)
+                    keys.append(h ^ (h >> np.uint64(29))), only.append(alone)
+                    nodes.append(np.full(len(rare), node := node_of(int(classes[i]), f)))
+                    told.append((2, node, int(classes[i])))
+            if not nodes:
+                continue
+            nodes, keys, only = (np.concatenate(x) for x in (nodes, keys, only))
+            order = np.argsort(keys)
+            nodes, keys, only = nodes[order], keys[order], only[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            parent: dict[int, int] = {}
+
+            def root(x):
+                while (up := parent.setdefault(x, x)) != x:
+                    parent[x] = x = parent.setdefault(up, up)
+                return x
+
+            lead = np.repeat(nodes[first], np.diff(np.append(first, len(keys))))
+            for x, y in np.unique(np.stack([nodes, lead], 1), axis=0).tolist():
+                if (p := root(x)) != (q := root(y)):
+                    parent[max(p, q)] = min(p, q)
+            told += [(0, x, root(x)) for x in list(parent)]
+            open_ = first[~only[first]]  # no other portion has the others
+            told += [(1, key, root(x)) for key, x in zip(keys[open_].view(np.int64).tolist(), nodes[open_].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*told)], names=["kind", "a", "b"])
+
+    return run
 
 
 def _links(k: int, num: int, den: int):
+    """Links between the classes of each group; rows (group, class, text) come in order."""
+
     def run(batches):
         import pyarrow as pa
 
         key, ids, sets = None, [], []
 
         def table():
-            found = join_group(sets, num, den) if len(sets) > 1 else []
+            found = join_group(sets, num, den)
             return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in found], pa.int64()), pa.array([ids[j] for _, j in found], pa.int64())], names=["a", "b"])
 
         for batch in _pieces(batches):
-            for group, doc, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for group, own, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if group != key:
                     if len(ids) > 1:
                         yield table()
                     key, ids, sets = group, [], []
-                ids.append(doc), sets.append(grams(text, k))
+                if not ids or ids[-1] != own:  # a row that is there twice
+                    ids.append(own), sets.append(grams(text, k))
         if len(ids) > 1:
             yield table()
 
     return run
 
 
+# -- the join ------------------------------------------------------------------------------------
+
+
+def _first(prefix: str = ""):
+    """What the smallest row of a group is told by: its id, null ids last, and the key of its text."""
+    return F.struct(F.col("id").isNull().alias("none"), "id", "key")
+
+
+def _groups(rows: DataFrame, k: int, num: int, den: int):
+    """rows: (id, key, text). (marks: a row each, with its class; classes: the first row of each, and of its component)."""
+    spark = rows.sparkSession
+    least = spark.sparkContext.defaultParallelism
+    n_bytes = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+    def sizes(n_grams: int) -> tuple[int, int]:
+        bits = max(4, (n_grams // BUCKET).bit_length())
+        return bits, max(least, (1 << bits) // 2)
+
+    bits, parts = sizes(n_bytes // 6)  # more or less as many words
+    asked = rows.mapInArrow(_ask(k, bits), SENT).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    told = asked.mapInArrow(_elsewhere, SENT).repartition(parts, "portion").sortWithinPartitions("portion", "kind")
+    marks = materialize(told.mapInArrow(_marks, "id long, key long, n long, class long, shared long"))
+    classes = materialize(marks.filter("n > 0").groupBy("class").agg(F.min(_first()).alias("row"), F.max("n").alias("n"), F.max("shared").alias("shared")))
+    left = classes.filter(F.col("shared") * den >= F.col("n") * num)
+    n_grams = left.agg(F.sum("n")).first()[0] or 0
+    bits, parts = sizes(n_grams)
+    asked = _rows_of(rows, left.select("row")).select("id", "key", "text").mapInArrow(_count(k, bits), SENT).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    told = asked.mapInArrow(_held, SENT).repartition(parts, "portion").sortWithinPartitions("portion", "kind")
+    found = materialize(told.mapInArrow(_candidates(num, den), "kind long, a long, b long"))
+    lists = found.filter("kind = 1").select("a", "b")
+    leads = lists.groupBy(F.col("a").alias("key")).agg(F.min("b").alias("lead"), F.max("b").alias("last")).filter("lead <> last")
+    edges = lists.join(leads, F.col("a") == F.col("key")).select("b", "lead").unionByName(found.filter("kind = 0").select(F.col("a").alias("b"), F.col("b").alias("lead")))
+    near = components(edges, "b", "lead")
+    nodes = found.filter("kind = 2").select("a", F.col("b").alias("own")).distinct()
+    # the candidate components' groups: (component, family, block, block)
+    # a class is a node in each family of its size, so chains don't run on from one size to the next
+    known = nodes.join(near, F.col("a") == F.col("node")).select("own", F.col("component").alias("c"))
+    known = materialize(known.join(classes, F.col("own") == F.col("class")).select("class", "row", "n", "c"))
+    total = known.groupBy("c").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("c").alias("__c"), "t")
+    sized = known.join(total, F.col("c") == F.col("__c"))
+    one = sized.filter(F.col("t") <= GROUP).select("class", "row", F.struct("c", F.lit(-1).alias("f"), F.lit(0).alias("x"), F.lit(0).alias("y")).alias("g"))
+    groups = materialize(one.unionByName(_blocks(sized.filter(F.col("t") > GROUP).select("class", "row", "n", "c"), num, den)))
+    n_grams = known.agg(F.sum("n")).first()[0] or 0
+    dealt = _rows_of(rows, groups).select(F.to_json("g").alias("g"), "class", "text").repartition(max(least, -(-n_grams // GROUP)), "g").sortWithinPartitions("g", "class")
+    links = dealt.mapInArrow(_links(k, num, den), "a long, b long")
+    linked = components(links, "a", "b")
+    of = materialize(linked.join(classes, F.col("node") == F.col("class")).select("class", "row", "component"))
+    first = of.groupBy("component").agg(F.min("row").alias("first")).select(F.col("component").alias("__c"), "first")
+    return marks, classes, of.join(first, F.col("component") == F.col("__c")).select("class", "row", "first")
+
+
+def _rows_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows that wanted.row names, with wanted's columns; texts stay in place where few are wanted."""
+    wanted = few(wanted.select(F.col("row.id").alias("__id"), F.col("row.key").alias("__key"), *(c for c in wanted.columns if c != "row")))
+    return rows.join(wanted, rows["id"].eqNullSafe(wanted["__id"]) & (rows["key"] == wanted["__key"]))
+
+
 def similar_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links of
     den * intersection >= num * union).
 
-    Null, empty and white-space texts have the empty set and are linked with nothing. Rows that
-    share an id are one node: what links one of them links all. A null id
-    gets its row with a null component and links nothing. An empty table gives no rows. Other
-    columns are ignored.
+    Null, empty and white-space texts have the empty set and are linked with nothing. Rows are told
+    apart by id and text, so rows that share an id are each linked by their own text. A null id
+    counts as the largest: its row has the smallest id of its group, null if there is none. An empty
+    table gives no rows. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    marks = materialize(rows.mapInArrow(_mark(k, num, den), "id long, n long, class long, low long, high long"))
-    full = marks.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    classes = full.groupBy("class").agg(F.min("id").alias("rep"), *(F.max(c).alias(c) for c in ("n", "low", "high")))
-    # a bucket's entries fit a task: each set has about 2 (den - num) / num signatures a gram, and some
-    n_grams = full.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, spark.sparkContext.defaultParallelism, -(-n_grams * 3 * (den - num) // num // ENTRIES))
-    signed = rows.filter(F.col("id").isNotNull()).select("text").mapInArrow(_sign(k, num, den, buckets), "bucket int, entries binary")
-    lists = signed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_lists, "id long, first long, hot int, f int, slack int")
-    lists = materialize(lists)
-    # a common single gram: sets with enough other ranges that must agree need not follow its list
-    hot = lists.filter("hot > 0")
-    bound = hot.groupBy("id", "f").agg(F.sum("hot").alias("k"), F.max("slack").alias("m")).filter("k >= m").select(F.col("id").alias("i"), F.col("f").alias("g"))
-    bound = hot.join(bound, (F.col("id") == F.col("i")) & (F.col("f") == F.col("g")), "left_semi")
-    stars = lists.filter("hot = 0").select("id", "first").unionByName(bound.select("id", "first")).filter("id <> first")
-    near = components(stars, "id", "first")
-    # the candidate components' groups: (component, family, block, block)
-    # a class is a node in each family of its size, so chains don't run on from one size to the next
-    own = classes.select("rep", "n", F.explode(F.array_distinct(F.array("low", "high"))).alias("own"))
-    known = own.join(near, F.col("own") == F.col("node")).select(F.col("rep").alias("id"), "n", F.col("component").alias("c"))
-    known = materialize(known)
-    total = known.groupBy("c").agg(F.sum("n").alias("t")).withColumnRenamed("c", "__c")
-    sized = known.join(total, F.col("c") == F.col("__c"))
-    one = sized.filter(F.col("t") <= GROUP).select("id", F.struct("c", F.lit(-1).alias("f"), F.lit(0).alias("x"), F.lit(0).alias("y")).alias("g"))
-    many = _blocks(sized.filter(F.col("t") > GROUP).select("id", "n", "c"), num, den)
-    groups = materialize(one.unionByName(many))
-    n_groups, n_grams = groups.count(), known.agg(F.sum("n")).first()[0] or 0
-    wanted = groups.select(F.col("id").alias("__id"), "g")
-    if n_groups <= BROADCAST_ROWS:  # 40 bytes each
-        wanted = F.broadcast(wanted)
-    parts = max(1, spark.sparkContext.defaultParallelism, -(-n_grams // GROUP))
-    dealt = rows.join(wanted, F.col("id") == F.col("__id")).select("g", "id", "text").repartition(parts, "g").sortWithinPartitions("g", "id")
-    links = dealt.select(F.to_json("g").alias("g"), "id", "text").mapInArrow(_links(k, num, den), "a long, b long")
-    linked = components(links, "a", "b")
-    of_class = classes.select("class", "rep").join(linked, F.col("rep") == F.col("node"), "left").select(F.col("class").alias("__class"), F.coalesce("component", "rep").alias("component_id"))
-    out = marks.select("id", "n", F.when(F.col("n") > 0, F.col("class")).alias("__own")).join(of_class, F.col("__own") == F.col("__class"), "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    marks, classes, linked = _groups(rows, k, num, den)
+    whole = classes.select("class", F.col("row.id").alias("own"))
+    first = linked.select(F.col("class").alias("__l"), F.col("first.id").alias("first"))
+    of = whole.join(first, F.col("class") == F.col("__l"), "left").select(F.col("class").alias("__class"), F.coalesce("first", "own").alias("component_id"))
+    marks = marks.select("id", "n", F.when(F.col("n") > 0, F.col("class")).alias("__own"))
+    out = marks.join(of, F.col("__own") == F.col("__class"), "left")
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
 def _blocks(sized: DataFrame, num: int, den: int) -> DataFrame:
@@ -410,12 +549,22 @@ def _blocks(sized: DataFrame, num: int, den: int) -> DataFrame:
     sized = sized.withColumn("f", F.explode(F.array(interval, interval - 1))).filter("f >= 0")
     total = sized.groupBy("c", "f").agg(F.ceil(F.sum("n") * 2 / GROUP).cast("int").alias("b")).select(F.col("c").alias("__c"), F.col("f").alias("__f"), F.when(F.col("b") <= 2, 1).otherwise(F.col("b")).alias("b"))
     rows = sized.join(total, (F.col("c") == F.col("__c")) & (F.col("f") == F.col("__f")))
-    own = F.pmod(F.xxhash64("id"), F.col("b")).cast("int")
-    rows = rows.select("id", "c", "f", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("other"))
-    return rows.select("id", F.struct("c", F.col("f").cast("int").alias("f"), F.least("own", "other").cast("int").alias("x"), F.greatest("own", "other").cast("int").alias("y")).alias("g"))
+    own = F.pmod(F.xxhash64("class"), F.col("b")).cast("int")
+    rows = rows.select("class", "row", "c", "f", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("b") - 1)).alias("other"))
+    return rows.select("class", "row", F.struct("c", F.col("f").cast("int").alias("f"), F.least("own", "other").cast("int").alias("x"), F.greatest("own", "other").cast("int").alias("y")).alias("g"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its group, with docs' columns."""
-    groups = similar_groups(docs, k, num, den, id_col, text_col)
-    return without_ids(docs, groups.filter("component_id <> doc_id").select("doc_id"), id_col)
+    """One row of each group of similar texts, with docs' columns: the one with the smallest id (a null
+    id counts as the largest; of several texts with that id, one). Rows with equal id and text are one
+    row. Null, empty and white-space texts are similar to nothing: all stay but such repeats. An
+    empty table gives no rows; other columns, whatever their names, are kept.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    marks, classes, linked = _groups(rows, k, num, den)
+    own = classes.select(F.col("class").alias("__o"), F.col("row").alias("own"))
+    first = linked.select(F.col("class").alias("__l"), "first")
+    whole = marks.filter("n > 0").join(own, F.col("class") == F.col("__o")).join(first, F.col("class") == F.col("__l"), "left")
+    kept = F.coalesce("first", "own")
+    lost = whole.filter(~(F.col("id").eqNullSafe(kept["id"]) & (F.col("key") == kept["key"]))).select("id", "key")
+    return without_rows(docs, lost, marks.select("id", "key"), id_col, text_col)

@@ -205,55 +205,56 @@ def chain(seed, n=40):
     return out
 
 
-@pytest.mark.parametrize(("k", "num", "den", "group", "hot"), [(3, 90, 100, 2_000_000, 64), (5, 80, 100, 2_000_000, 64), (5, 80, 100, 300, 1), (3, 90, 100, 200, 1)])
-def test_jaccard(spark, monkeypatch, k, num, den, group, hot):
-    monkeypatch.setattr(jaccard, "GROUP", group)
-    monkeypatch.setattr(jaccard, "HOT", hot)
+@pytest.mark.parametrize(("k", "num", "den", "sizes"), [(3, 90, 100, {}), (5, 80, 100, {}), (5, 80, 100, {"GROUP": 300, "PORTION": 500}), (3, 90, 100, {"GROUP": 200, "PORTION": 1, "BUCKET": 50}), (2, 60, 100, {"TEXTS": 7})])
+def test_jaccard(spark, monkeypatch, k, num, den, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(jaccard, name, value)
     texts = [*odd_texts(8, 80), *chain(3), *chain(4)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(frame(spark, texts), k, num, den).collect()}
     assert got == brute_groups(texts, k, num, den)
 
 
+@pytest.mark.parametrize(("k", "num", "den"), [(3, 90, 100), (5, 80, 100)])
+def test_texts_that_share_nothing_are_no_candidates(spark, k, num, den):
+    """Of all sizes; a passage that all share doesn't make them candidates either."""
+    r = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [" ".join(f"w{i}x{r.random()}" for i in range(n)) for n in (*range(1, 60), *(r.randint(60, 700) for _ in range(200)))]
+    texts += [f"{t} {passage}" for t in texts[60:]]
+    rows = frame(spark, texts[:259]).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text")
+    marks, _, linked = jaccard._groups(rows, k, num, den)
+    assert marks.count() == 259 and marks.filter("shared > 0").count() == 0 and linked.count() == 0
+    rows = frame(spark, texts[259:]).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), "text")
+    marks, _, linked = jaccard._groups(rows, k, num, den)
+    few = marks.filter(F.col("n") < 200)  # only the passage may bring it to the threshold
+    assert marks.filter("n >= 300").filter("shared > 40").count() == 0 and few.count() < marks.count() and linked.count() == 0
+
+
+def test_repeated_ids_lose_no_text(spark):
+    texts, ids = ["same", "same", "unique text B", "SAME", "unique text B", None, None, "q"], [3, 5, 5, 3, 5, 7, 7, None]
+    kept = sorted((str(r.doc_id), r.text) for r in dedup.drop_copies(frame(spark, texts, ids)).collect())
+    assert [k[0] for k in kept] == ["3", "5", "7", "None"] and kept[1][1] == "unique text B" and kept[0][1].lower() == "same"
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    texts, ids = [a, f"{a} more", b, f"{b} more", f"{b} more", "", "", "x", "x"], [3, 7, 7, 7, 7, 8, 8, None, None]
+    kept = [(r.doc_id, r.text) for r in jaccard.one_of_each(frame(spark, texts, ids)).collect()]
+    assert sorted(str(i) for i, _ in kept) == ["3", "7", "8", "None"] and {t for i, t in kept if i == 7} <= {b, f"{b} more"}
+    assert dedup.drop_copies(empty(spark)).count() == 0 and jaccard.one_of_each(empty(spark)).count() == 0
+
+
 def test_jaccard_odd_tables(spark):
     assert jaccard.similar_groups(empty(spark)).count() == 0
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(frame(spark, ["a b c", "a b c", "A b c", None], [None, 4, 3, 2])).collect()), key=str)
-    assert got == [(2, 0, 2), (3, 1, 3), (4, 1, 3), (None, 1, None)]
+    assert got == [(2, 0, 2), (3, 1, 3), (4, 1, 3), (None, 1, 3)]
     kept = jaccard.one_of_each(frame(spark, ["a b c d e f", "A b c d e f", "x"]))
     assert {r.doc_id for r in kept.collect()} == {0, 2} and kept.columns[2:] == ["start", "score", "n"]
 
 
-def test_lists_in_portions(monkeypatch):
-    """However a bucket is cut into portions, the members of a list stay connected."""
-    import pyarrow as pa
-
-    r = np.random.default_rng(3)
-    sig, own = r.integers(0, 60, 400), r.integers(0, 50, 400)
-    blob = lambda s, o: s.astype("<u4").tobytes() + bytes(len(s)) + bytes(len(s)) + o.astype("<i8").tobytes()
-    batch = pa.RecordBatch.from_arrays([pa.array([b for b in (1, 2) for _ in range(10)], pa.int32()), pa.array([blob(sig[i : i + 20], own[i : i + 20]) for i in range(0, 400, 20)], pa.binary())], names=["bucket", "entries"])
-
-    def parts(group):
-        monkeypatch.setattr(jaccard, "GROUP", group)
-        parent = {}
-
-        def root(x):
-            while parent.setdefault(x, x) != x:
-                x = parent[x]
-            return x
-
-        for t in jaccard._lists(iter([batch])):
-            for a, b in zip(t.column(0).to_pylist(), t.column(1).to_pylist()):
-                parent[root(a)] = root(b)
-        return {frozenset(y for y in parent if root(y) == root(x)) for x in parent}
-
-    assert parts(1) == parts(2_000_000) == parts(3)
-
-
 def test_group_join_is_brute_force():
     r = np.random.default_rng(0)
-    for _ in range(30):
+    for round_ in range(30):
         base = r.choice(10_000, 60, replace=False)
         sets = []
-        for _ in range(25):
+        for _ in range(60 if round_ % 2 else 25):
             own = base.copy()
             own[r.choice(60, r.integers(0, 9), replace=False)] = r.choice(10_000, 1)
             sets.append(np.unique(own[: r.integers(40, 61)]).astype(np.uint64))
