@@ -83,7 +83,7 @@ def op2_exact_dedup(spark, sf_dir):
 def op3_secret_scan(spark, sf_dir):
     from .secrets import scan_secrets
 
-    return scan_secrets(read(spark, sf_dir, "documents"))
+    return scan_secrets(read(spark, sf_dir, "documents"), words=_tok("word_bpe_49k.json"))
 
 
 def op4_toxicity(spark, sf_dir):
