@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a q-gram; share of an item's bytes that may be edits; least bytes of an item.
+from .common import worker_cache
+
+#: Bytes of a q-gram; share of an item's bytes that may be edits; least bytes of an item that may have any.
 Q, RATE, LEAST = 8, 0.07, 24
 #: Bytes of benchmark text in one index, and of document text that is looked at together.
 INDEX_BYTES, PART_BYTES = 4 << 20, 1 << 20
@@ -18,8 +20,8 @@ def normalise(text: str | None) -> bytes:
 
 
 def budget(length: int) -> int:
-    """Edits allowed for an item: RATE of its bytes, but never so many that the lemma says nothing."""
-    return max(0, min(int(RATE * length), (length - Q) // Q))
+    """Edits allowed for an item: RATE of its bytes from LEAST on, where the lemma's bound is positive; none below."""
+    return int(RATE * length) if length >= LEAST else 0
 
 
 def grams(buf: bytes, n: int):
@@ -59,7 +61,12 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         import numpy as np
 
-        self.items = [(i, b) for i, b in ((i, normalise(t)) for i, t in items) if len(b) >= LEAST]
+        every = [(i, b) for i, b in ((i, normalise(t)) for i, t in items) if b]
+        self.items = [x for x in every if len(x[1]) >= LEAST]
+        self.short: dict[str, list[int]] = {}  # bytes as characters
+        for i, b in every:
+            if len(b) < LEAST:
+                self.short.setdefault(b.decode("latin-1"), []).append(i)
         h, item, offset = [], [], []
         for number, (_, b) in enumerate(self.items):
             n = len(b) - Q + 1
@@ -85,8 +92,9 @@ class Index:
         import numpy as np
 
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
+        small = self._short(texts)
         if not self.items:
-            return []
+            return sorted(small)
         overlap = int(self.length.max()) + 2 * self.band + Q
         part, held, own = [], 0, []
         for number, text in enumerate(texts):
@@ -99,7 +107,28 @@ class Index:
                     part, held, own = [], 0, []
         if part:
             self._look(part, own, found)
-        return [(t, self.items[i][0], *found[t, i]) for t, i in sorted(found)]
+        return sorted([*small, *((t, self.items[i][0], *found[t, i]) for t, i in found)])
+
+    def _short(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
+        """Items too short for the lemma: their first verbatim place between characters that aren't letters or digits."""
+        if not self.short:
+            return []
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for b in self.short:
+            automaton.add_word(b, b)
+        automaton.make_automaton()
+        out = []
+        inside = lambda c: c.isascii() and c.isalnum() or c >= "\x80"
+        for number, text in enumerate(texts):
+            text, first = text.decode("latin-1"), {}
+            for end, b in automaton.iter(text):
+                start = end + 1 - len(b)
+                if (not start or not inside(text[start - 1]) or not inside(b[0])) and (end + 1 == len(text) or not inside(text[end + 1]) or not inside(b[-1])):
+                    first.setdefault(b, start)
+            out += [(number, i, start, len(b), 0) for b, start in first.items() for i in self.short[b]]
+        return out
 
     def _look(self, parts, own, found) -> None:
         import numpy as np
@@ -177,11 +206,21 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
     yield block
 
 
+def index_of(block: list[tuple[int, str]]) -> Index:
+    """The index of a block of items, built once a Python worker."""
+    from xxhash import xxh3_128_intdigest
+
+    cache, key = worker_cache(), xxh3_128_intdigest(repr(block).encode("utf-8", "surrogatepass"))
+    if cache.get("leaks", (None,))[0] != key:
+        cache["leaks"] = (key, Index(block))
+    return cache["leaks"][1]
+
+
 def _search(block):
     def run(batches):
         import pyarrow as pa
 
-        index = Index(block)
+        index = index_of(block)
         for batch in batches:
             docs = batch.column(0).to_pylist()
             hits = index.find([normalise(t) for t in batch.column(1).to_pylist()])
@@ -201,8 +240,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     overlapping bands of diagonals loses none; bands that reach the bound are aligned.
 
     The benchmark is the stated query set: it is indexed in blocks of bounded size and each block
-    is held against all rows; no document is shuffled. Null texts are empty and hold nothing; items
-    that are null or shorter than LEAST bytes are left out; items with one text are each found;
+    is held against all rows; no document is shuffled. Items under LEAST bytes, where the lemma says
+    nothing, are held where they stand verbatim, as whole words. Null texts are empty and hold
+    nothing; items that are null or empty once normalised are left out; items with one text are each found;
     repeated rows and tied ids each get their rows; an empty table gives no rows; other columns are
     ignored.
     """
@@ -215,14 +255,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no benchmark item, with docs' columns."""
+    """The rows of docs that hold no benchmark item (see find_leaks), with docs' columns, whatever their
+    names. Null and empty texts stay, and so do repeated rows and tied ids, each by its own text;
+    an empty table gives no rows, an empty benchmark takes none.
+    """
     for block in item_blocks(benchmark):
 
         @F.pandas_udf("boolean")
         def holds(texts, block=block):
             import pandas as pd
 
-            hits = {h[0] for h in Index(block).find([normalise(t) for t in texts])}
+            hits = {h[0] for h in index_of(block).find([normalise(t) for t in texts])}
             return pd.Series([i in hits for i in range(len(texts))], dtype=bool)
 
         docs = docs.filter(~holds(F.col(text_col)))
