@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|math|iframe|textarea|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|</?[a-zA-Z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>|[^<]+|<", re.S | re.I)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Fixed values of HTML: elements without content, elements inside a line, elements that end an open p.
@@ -311,6 +311,54 @@ def main_text(root: Node, constant: set[int]) -> str:
     return "\n".join(text for text, _ in found)
 
 
+#: Blocks that hold a text, not blocks of it: a content part isn't cut down to one. Headings.
+TEXTS = frozenset("# p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figcaption caption address".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of its slots' words that a part must hold for the rest to be left out.
+PART = 0.7
+
+
+def content_part(root: Node, slots: dict[int, int]) -> Node:
+    """The part of a reference page that its slots say is the content: from the whole page down, the one
+    child that holds nearly all words of the slots (places of leaves -> words of all pages there)."""
+    mass: dict[int, int] = {}
+    order = [root]
+    for n in order:
+        order.extend(n.kids)
+    at = {id(n): i for i, (n, aside, _) in enumerate(leaves(root)) if not aside}
+    for n in reversed(order):
+        mass[id(n)] = slots.get(at.get(id(n), -1), 0) if n.tag == "#" else sum(mass[id(k)] for k in n.kids)
+    part = root
+    while mass[id(part)]:
+        best = max(part.kids, key=lambda k: mass[id(k)])
+        if best.tag in TEXTS or all(k.tag == "#" for k in best.kids) or mass[id(best)] < PART * mass[id(part)]:
+            break
+        part = best
+    return part
+
+
+def part_text(page: Node, part: Node, constant: set[int]) -> str:
+    """The text of a page's content part: its leaves that are neither template nor in an aside part, and
+    the headings of that kind before it."""
+    inside, stack = set(), [part]
+    while stack:
+        n = stack.pop()
+        inside.add(id(n))
+        stack += n.kids
+    heads, out, begun = set(), [], False
+    stack = [page]
+    while stack:
+        n = stack.pop()
+        if n.tag in HEADINGS:
+            heads.update(id(k) for k in n.kids)
+        stack += n.kids
+    for n, aside, _ in leaves(page):
+        begun = begun or id(n) in inside
+        if not aside and id(n) not in constant and (id(n) in inside or (not begun and id(n) in heads)):
+            out.append(n.text)
+    return "\n".join(out)
+
+
 def host_of(url: Column) -> Column:
     at = F.instr(url, "://")
     return F.lower(F.regexp_extract(F.coalesce(F.when(at > 0, url.substr(at + 3, F.length(url))), F.lit("")), r"^([^/?#]*)", 1))
@@ -354,7 +402,9 @@ def article_leaves(root: Node) -> list[Node]:
 
 def _observe(batches):
     """A row a page whose article isn't the reference's or a near copy of it: (host, number of the article,
-    a byte for each leaf of the reference page: 0 not aligned, 1 aligned, 2 with the same text)."""
+    a byte for each leaf of the reference page: 0 not aligned, 1 aligned, 2 with the same text; and the
+    words that the page has there)."""
+    import numpy as np
     import pyarrow as pa
 
     known: dict = {}
@@ -370,43 +420,61 @@ def _observe(batches):
                 continue
             pairs = match(root, page)
             partners = [pairs.get(id(n)) for n in own]
-            rows.append((host, body, bytes(0 if p is None else 1 + (p.text == n.text) for n, p in zip(own, partners))))
-        cols = list(zip(*rows)) if rows else [()] * 3
-        kinds = (pa.string(), pa.int64(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "body", "seen"])
+            seen = bytes(0 if p is None else 1 + (p.text == n.text) for n, p in zip(own, partners))
+            rows.append((host, body, seen, np.array([0 if p is None else len(p.text.split()) for p in partners], "<u4").tobytes()))
+        cols = list(zip(*rows)) if rows else [()] * 4
+        kinds = (pa.string(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "body", "seen", "words"])
 
 
 def _add(batches):
-    """(host, leaf number of the reference page) -> articles whose page aligns a leaf with it, and with the same text."""
+    """(host, leaf number of the reference page) -> articles whose page aligns a leaf with it, and with the
+    same text; words of all of them there."""
     import numpy as np
     import pyarrow as pa
 
     for batch in batches:
         sums: dict[str, object] = {}
-        for host, seen in zip(*(batch.column(i).to_pylist() for i in range(2))):
+        for host, seen, words in zip(*(batch.column(i).to_pylist() for i in range(3))):
             seen = np.frombuffer(seen, np.uint8)
-            own = np.stack([seen > 0, seen > 1]).astype(np.int64)
+            own = np.stack([seen > 0, seen > 1, np.frombuffer(words, "<u4")]).astype(np.int64)
             sums[host] = sums[host] + own if host in sums else own
-        rows = [(h, i, int(n), int(same)) for h, own in sums.items() for i, (n, same) in enumerate(own.T) if n]
-        cols = list(zip(*rows)) if rows else [()] * 4
-        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "leaf", "n", "same"])
+        rows = [(h, i, int(n), int(same), int(w)) for h, own in sums.items() for i, (n, same, w) in enumerate(own.T) if n]
+        cols = list(zip(*rows)) if rows else [()] * 5
+        kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "leaf", "n", "same", "words"])
+
+
+def page_text(page: Node, root: Node, own: list[Node], template: list[int], part: Node | None) -> str:
+    """The text of a page by its wrapper: the reference page with its leaves, the template's places among
+    these, and the content part. A page that says itself what its article is (article, main) is cut to it."""
+    pairs = match(root, page)
+    constant = {id(pairs[id(own[i])]) for i in template if id(own[i]) in pairs and pairs[id(own[i])].text == own[i].text}
+    found = pairs.get(id(part)) if part is not None else None
+    if found is None or found is page or any(article for _, _, article in leaves(page)):
+        return main_text(page, constant)
+    return part_text(page, found, constant)
 
 
 def _extract(batches):
     import pyarrow as pa
 
     known: dict = {}
+    parts: dict = {}
     for batch in batches:
         out = []
-        for html, reference, template in zip(*(batch.column(c).to_pylist() for c in ("html", "reference", "template"))):
+        for html, reference, told in zip(*(batch.column(c).to_pylist() for c in ("html", "reference", "told"))):
             page = blocks(parse(html or ""))
-            constant: set[int] = set()
-            if template:
-                root, own = _tree(reference, known)
-                pairs = match(root, page)
-                constant = {id(pairs[id(own[i])]) for i in template if id(own[i]) in pairs and pairs[id(own[i])].text == own[i].text}
-            out.append(main_text(page, constant))
+            if not told:
+                out.append(main_text(page, set()))
+                continue
+            root, own = _tree(reference, known)
+            template, slots = [x["leaf"] for x in told if x["steady"]], {x["leaf"]: x["words"] for x in told if not x["steady"]}
+            if reference not in parts or parts[reference][0] is not root:
+                if len(parts) > 2000:
+                    parts.clear()
+                parts[reference] = (root, content_part(root, slots))
+            out.append(page_text(page, root, own, template, parts[reference][1]))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -419,10 +487,13 @@ def extract_text(pages: DataFrame, broadcast_bytes: int = 32 << 20, id_col: str
     matching over blocks; a reference leaf is template if at least CONSTANT of the articles whose
     pages align it, LEAST_PAGES or more, repeat its text; the others are slots. Articles count once
     however many pages have them, and copies and near copies of the reference's article don't count,
-    so that an article that is mirrored isn't taken for template. Aligned again, a page loses its
-    template leaves and the parts that are never article (navigation, adverts, forms, comments and
-    so on, by element and class); what is left, of an article or main element if the page has one,
-    is the text, a block a line.
+    so that an article that is mirrored isn't taken for template. The slots choose the content: the
+    smallest part of the reference page that holds nearly all their words (PART at each step). Aligned
+    again, a page loses its template leaves, what lies outside the content part but headings before
+    it, and the parts that are never article (navigation, adverts, forms, comments and so on, by
+    element and class); the rest is the text, a block a line. A page with an article or main element
+    has told its part itself. Pages without enough others of their layout have these and the aside
+    parts alone to go by.
 
     Wrappers are one row a host and layout: they are broadcast if their measured size is at most
     broadcast_bytes, else joined, where adaptive execution splits a layout with a large share of the
@@ -456,12 +527,13 @@ def extract_text(pages: DataFrame, broadcast_bytes: int = 32 << 20, id_col: str
 
     own = (F.col("host") == F.col("h")) & (F.col("layout") == F.col("l"))
     joined = rows.join(widened(wrappers), own)
-    seen = joined.select(F.col("family").alias("host"), "html", "reference").mapInArrow(_observe, "host string, body long, seen binary")
-    seen = seen.groupBy("host", "body").agg(F.min("seen").alias("seen")).select("host", "seen")
-    counts = seen.mapInArrow(_add, "host string, leaf int, n long, same long")
-    counts = counts.groupBy("host", "leaf").agg(F.sum("n").alias("n"), F.sum("same").alias("same"))
-    steady = counts.filter((F.col("n") >= LEAST_PAGES) & (F.col("same") >= CONSTANT * F.col("n")))
-    template = steady.groupBy("host").agg(F.sort_array(F.collect_list("leaf")).alias("template")).withColumnRenamed("host", "__h")
-    wrappers = materialize(wrappers.join(template, F.col("family") == F.col("__h"), "left").select("family", "reference", "template"))
+    seen = joined.select(F.col("family").alias("host"), "html", "reference").mapInArrow(_observe, "host string, body long, seen binary, words binary")
+    seen = seen.groupBy("host", "body").agg(F.min(F.struct("seen", "words")).alias("m")).select("host", "m.seen", "m.words")
+    counts = seen.mapInArrow(_add, "host string, leaf int, n long, same long, words long")
+    counts = counts.groupBy("host", "leaf").agg(F.sum("n").alias("n"), F.sum("same").alias("same"), F.sum("words").alias("words"))
+    steady = (F.col("same") >= CONSTANT * F.col("n")).alias("steady")
+    told = counts.filter(F.col("n") >= LEAST_PAGES).select("host", F.struct("leaf", steady, "words").alias("t"))
+    told = told.groupBy("host").agg(F.sort_array(F.collect_list("t")).alias("told")).withColumnRenamed("host", "__h")  # a page's leaves at most
+    wrappers = materialize(wrappers.join(told, F.col("family") == F.col("__h"), "left").select("family", "reference", "told"))
     joined = rows.join(widened(wrappers), own, "left")
-    return joined.select("page_id", "url", "html", "reference", "template").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return joined.select("page_id", "url", "html", "reference", "told").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
