@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import facets, filters, recipes, search
-from .operators.index import Index, build_field_index, build_index
+from .operators.index import FieldIndex, Index, build_field_index, build_index
 from .sources import files
 
 
@@ -16,6 +16,7 @@ class Engine:
     def __init__(self, spark: SparkSession, table: DataFrame, index: Index | None = None, id_col: str = "doc_id"):
         self.spark, self.table, self.id_col = spark, table, id_col
         self.index = index or build_index(table, id_col)
+        self.fields: FieldIndex | None = None  # built with the first boosted-field query, or loaded
         self.asked: list[tuple[int, float]] = []
 
     @classmethod
@@ -53,7 +54,11 @@ class Engine:
 
     def field_search(self, query: str, k: int = 10, similarity: str = "bm25", settings: dict | None = None) -> DataFrame:
         kept = filters.apply_index_filters(self.table, settings or {}).select(F.col(self.id_col).alias("doc_id")) if settings else None
-        return search.field_search(build_field_index(self.table, self.id_col), query, k, similarity, kept)
+        if self.fields is None:
+            self.fields = build_field_index(self.table, self.id_col)
+            for name in ("postings", "fields"):
+                setattr(self.fields, name, getattr(self.fields, name).cache())
+        return search.field_search(self.fields, query, k, similarity, kept)
 
     def page(self, query: str, page: int = 1, per_page: int = 10, metric: str = "bm25", settings: dict | None = None) -> dict:
         """A service's answer: hits with the recipes' columns, total and pages. One page reaches the driver."""

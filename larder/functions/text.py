@@ -24,17 +24,29 @@ def literals(values: Iterable[str]) -> Column:
     return F.array(*(F.lit(v) for v in values)).cast("array<string>")
 
 
+def runs(text: Column) -> Column:
+    """Lower-cased runs of letters, digits and _; entities count as white space."""
+    return F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), ENTITY, " ")), SPLIT)
+
+
+def is_term(run: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
+    """Whether a run is an index term: ASCII letters only, more than one, no stop word (a hash lookup)."""
+    return run.rlike(WORD) & (F.length(run) > 1) & ~run.isin(*stopwords)
+
+
 def tokenize(text: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
-    """Index terms: whole runs of letters, digits and _ that are ASCII letters only, longer than one,
-    lower-cased, and no stop words. Entities count as white space. A null text has none."""
-    runs = F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), ENTITY, " ")), SPLIT)
-    stop = literals(stopwords)
-    return F.filter(runs, lambda t: t.rlike(WORD) & (F.length(t) > 1) & ~F.array_contains(stop, t))
+    """Index terms of a text, in order. A null text has none. For whole tables it's faster to explode
+    `runs` and filter by `is_term`."""
+    return F.filter(runs(text), lambda t: is_term(t, stopwords))
+
+
+def runs_all(text: Column) -> Column:
+    return F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
 
 
 def tokenize_all(text: Column) -> Column:
     """Runs of letters and digits, lower-cased, digits kept: the analyzer of the boosted-field index."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.filter(runs_all(text), lambda t: t != "")
 
 
 def py_tokenize(text: str, stopwords: Sequence[str] = STOPWORDS) -> list[str]:

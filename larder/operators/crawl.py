@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 #: What a recipe page's URL looks like, and where its id is.
 RECIPE_URL = r"^https://www\.food\.com/recipe/[^/]*-(\d+)(?:/.*)?$"
-AGENTS = ("*", "foodrecipesbot", "foodrecipesbot/0.1")
+#: Names that our crawler goes by in robots files; pass others.
+AGENTS = ("*",)
 
 
 def document_id(url: Column) -> Column:
@@ -65,11 +66,19 @@ def url_path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
+def url_host(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
+
+
 def allowed_urls(urls: DataFrame, rules: DataFrame, url_col: str = "url", rfc: bool = False) -> DataFrame:
-    """URLs that no pattern forbids. rules (pattern) is one site's robots file: it is bounded by the
-    format (crawlers read 500 KiB of it), so it is broadcast."""
-    r = rules.select(robots_regex(F.col("pattern"), rfc).alias("__re"))
-    return urls.join(F.broadcast(r), F.expr(f"regexp_extract({url_col}, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1) rlike __re"), "left_anti")
+    """URLs that no pattern of their host forbids. rules (host, pattern) as parse_robots gives them, or
+    (pattern) for all hosts. A host's patterns, which the format bounds (crawlers read 500 KiB of a
+    robots file), become one expression; URLs meet it in a join by host."""
+    host = F.lower("host") if "host" in rules.columns else F.lit("")
+    one = rules.select(host.alias("__host"), robots_regex(F.col("pattern"), rfc).alias("__re")).groupBy("__host").agg(F.concat_ws("|", F.sort_array(F.collect_set("__re"))).alias("__re"))
+    own = urls.withColumn("__own", url_host(F.col(url_col)) if "host" in rules.columns else F.lit(""))
+    path = F.regexp_extract(url_col, r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    return own.join(one, F.col("__own") == F.col("__host"), "left").filter(F.col("__re").isNull() | ~F.coalesce(F.call_function("rlike", path, F.col("__re")), F.lit(False))).drop("__own", "__host", "__re")
 
 
 def sitemap_locations(xml: DataFrame, xml_col: str = "xml") -> DataFrame:
@@ -78,6 +87,26 @@ def sitemap_locations(xml: DataFrame, xml_col: str = "xml") -> DataFrame:
     return xml.select(F.expr(f"""xpath_boolean({xml_col}, '/*[local-name()="sitemapindex"]')""").alias("is_index"), F.explode(locs).alias("loc")).select("is_index", F.trim("loc").alias("loc"))
 
 
+def all_locations(sitemaps: DataFrame, roots: DataFrame, url_col: str = "url", xml_col: str = "xml") -> DataFrame:
+    """Distinct page URLs of the root sitemaps (url) and, where one is an index, of its children.
+    sitemaps (url, xml) holds the fetched documents."""
+    first = sitemaps.join(roots.select(url_col).distinct(), url_col, "left_semi")
+    locs = sitemap_locations(first, xml_col)
+    children = locs.filter("is_index").select(F.col("loc").alias(url_col)).distinct()
+    below = sitemap_locations(sitemaps.join(children, url_col, "left_semi"), xml_col)
+    return locs.unionByName(below).filter("not is_index").select(F.col("loc").alias(url_col)).distinct()
+
+
+def shuffled(urls: DataFrame, seed: int = 0, url_col: str = "url") -> DataFrame:
+    """The rows in an order that only the seed and their URL decide, so it is the same in every run."""
+    return urls.orderBy(F.xxhash64(F.lit(seed), F.col(url_col)), url_col)
+
+
+def enough_ratings(recipes: DataFrame, reviews) -> DataFrame:
+    """Rows with more than one review."""
+    return recipes.filter(reviews > 1)
+
+
 def quota_sample(df: DataFrame, quotas: dict[str, dict[str, int]], seq: str, target: int, other: dict[str, str] | None = None) -> DataFrame:
     """Rows that a reader taking rows in order of seq would keep: a row is kept while any of its
     buckets (one a column in quotas) is under its target, until `target` rows are kept.

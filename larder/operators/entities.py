@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.automaton import finder, first_ends
 from ..functions.text import normalize_surface
 from .index import field_text
 
-#: Names that one expression holds; more go through an automaton in Python.
-MOST_NAMES = 2000
 FIELDS = ("title", "ingredients", "instructions", "description")
 
 
@@ -31,79 +29,57 @@ def by_norm(gazetteer: DataFrame, seq: str) -> DataFrame:
     return gazetteer.groupBy("norm").agg(F.min_by(F.struct("wiki_title", "type"), seq).alias("m"), F.sort_array(F.collect_set("surface")).alias("variants")).select("norm", "m.wiki_title", "m.type", "variants")
 
 
-def _pattern(names: Sequence[str], longest: bool, word_boundary: bool) -> str:
-    order = sorted(set(names), key=lambda n: (-len(n) if longest else len(n), n))
-    body = "|".join(re.sub(r"([\\.\[\]{}()*+?^$|#&~-])", r"\\\1", n) for n in order)
-    return rf"(?<![\p{{L}}\p{{N}}_])({body})(?![\p{{L}}\p{{N}}_])" if word_boundary else f"({body})"
+SPANS = "array<struct<start:int,end:int,surface:string>>"
 
 
 def spans(text: Column, names: Sequence[str], mode: str = "earliest", word_boundary: bool = False) -> Column:
     """array<struct<start, end, surface>> of names in the lower-cased text, 0-based, end exclusive,
     none overlapping: leftmost first, of those that begin together the one that ends first ('earliest')
-    or last ('longest').
-
-    That is what an alternation in the order of length finds, so one scan of a regular expression
-    gives the names, and the texts between them give their places.
-    """
-    if not names:
-        return F.array().cast("array<struct<start:int,end:int,surface:string>>")
-    if len(names) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} names: use spans_by_automaton")
-    pattern = _pattern(names, mode == "longest", word_boundary)
-    low = F.lower(F.coalesce(text, F.lit("")))
-    found, between = F.regexp_extract_all(low, F.lit(pattern), F.lit(1)), F.split(low, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,surface:string>>").alias("out"))
-
-    def step(state, x):
-        start = state["at"] + F.length(x["b"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.array_append(state["out"], F.struct(start.alias("start"), end.alias("end"), x["m"].alias("surface"))).alias("out"))
-
-    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("b")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step, lambda s: s["out"])).otherwise(F.array().cast("array<struct<start:int,end:int,surface:string>>"))
-
-
-def spans_by_automaton(df: DataFrame, text_col: str, names: DataFrame, mode: str = "earliest") -> DataFrame:
-    """df with a column spans, for gazetteers beyond MOST_NAMES: the names are collected (a gazetteer
-    is a stated dictionary), shipped to the tasks and matched in one pass of an automaton."""
-    words = sorted({r[0] for r in names.select("surface").distinct().collect() if r[0]})
-
-    @F.pandas_udf("array<struct<start:int,end:int,surface:string>>")
-    def match(texts):
-        import ahocorasick
+    or last ('longest'). Any number of names: an automaton passes each text once."""
+    names = sorted(set(names))
+
+    @F.pandas_udf(SPANS)
+    def found(texts):
         import pandas as pd
 
-        automaton = ahocorasick.Automaton()
-        for w in words:
-            automaton.add_word(w, w)
-        automaton.make_automaton()
-        out = []
-        for t in texts:
-            hits = sorted(((e - len(w) + 1, e + 1, w) for e, w in automaton.iter((t or "").lower())), key=lambda h: (h[0], -h[1] if mode == "longest" else h[1]))
-            kept, at = [], 0
-            for start, end, w in hits:
-                if start >= at:
-                    kept.append({"start": start, "end": end, "surface": w})
-                    at = end
-            out.append(kept)
-        return pd.Series(out)
+        find = finder(names, mode, word_boundary)
+        return pd.Series([[{"start": a, "end": b, "surface": names[i]} for a, b, i in find(t)] for t in texts])
 
-    return df.withColumn("spans", match(F.col(text_col)))
+    return found(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def _dictionary(gazetteer: DataFrame, *columns: str) -> list:
+    """The rows of a gazetteer: a stated dictionary, which the driver and each task hold."""
+    return sorted(map(tuple, gazetteer.select(*columns).distinct().collect()), key=lambda r: tuple(x if isinstance(x, (str, list)) else "" for x in r[:2]))
 
 
 def link(recipes: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", mode: str = "earliest", word_boundary: bool = False) -> DataFrame:
     """(doc_id, field, start, end, surface, wiki_title) of title, ingredients, instructions and description."""
-    names = {r["surface"]: r["wiki_title"] for r in gazetteer.select("surface", "wiki_title").limit(MOST_NAMES + 1).collect()}
+    rows = _dictionary(gazetteer.filter("surface <> ''"), "surface", "wiki_title")
+    names = sorted({r[0] for r in rows})
+    titles = {n: [t for s, t in rows if s == n] for n in names} if len(names) < len(rows) else {s: [t] for s, t in rows}
     fields = [f for f in FIELDS if f in recipes.columns]
 
-    def tagged(field):
-        found = spans(field_text(recipes, field), list(names), mode, word_boundary)
-        return F.transform(found, lambda s: F.struct(F.lit(field).alias("field"), s["start"].alias("start"), s["end"].alias("end"), s["surface"].alias("surface")))
+    def run(batches):
+        import pyarrow as pa
+
+        find = finder(names, mode, word_boundary)
+        for batch in batches:
+            ids, out = [], []
+            for doc, *texts in zip(*(c.to_pylist() for c in batch.columns)):
+                new = [(f, a, b, names[i], title) for f, text in zip(fields, texts) for a, b, i in find(text) for title in titles[names[i]]]
+                out += new
+                ids += [doc] * len(new)
+            cols = list(zip(*out)) if out else [()] * 5
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "field", "start", "end", "surface", "wiki_title"])
 
-    each = F.concat(*map(tagged, fields))
-    rows = recipes.select(F.col(id_col).alias("doc_id"), F.explode(each).alias("s")).select("doc_id", "s.*")
-    titles = gazetteer.select("surface", "wiki_title")
-    return rows.join(F.broadcast(titles), "surface").select("doc_id", "field", "start", "end", "surface", "wiki_title")
+    kind = dict(recipes.dtypes)[id_col]
+    texts = recipes.select(F.col(id_col).alias("doc_id"), *(F.lower(field_text(recipes, f)).alias(f) for f in fields))
+    return texts.mapInArrow(run, f"doc_id {kind}, field string, start int, end int, surface string, wiki_title string")
+
+
+LINK = "struct<surface:string,wiki_title:string,type:string,norm:string,abstract:string,categories:array<string>>"
 
 
 def enrich(recipes: DataFrame, gazetteer: DataFrame, entities: DataFrame | None = None) -> DataFrame:
@@ -111,32 +87,32 @@ def enrich(recipes: DataFrame, gazetteer: DataFrame, entities: DataFrame | None
     order title, ingredients, instructions, cuisine and of the names' first ends; an empty cuisine is
     filled from links of type cuisine. entities (title, abstract, categories) adds an abstract and
     at most five categories."""
-    table = gazetteer.select("surface", "wiki_title", "type", "norm")
+    table = gazetteer.select("surface", "wiki_title", "type", "norm").filter("norm <> ''")
     if entities is not None:
         info = entities.select(F.col("title").alias("wiki_title"), F.col("abstract").alias("__a"), F.slice(F.col("categories"), 1, 5).alias("__c"))
         table = table.join(info, "wiki_title", "left")
     else:
         table = table.withColumn("__a", F.lit("")).withColumn("__c", F.array().cast("array<string>"))
-    names = [r.asDict() for r in table.limit(MOST_NAMES + 1).collect()]
-    if len(names) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} names")
-    lit = lambda v: F.lit(v or "")
-    known = F.array(*(F.struct(lit(n["surface"]).alias("surface"), lit(n["wiki_title"]).alias("wiki_title"), lit(n["type"]).alias("type"), lit(n["norm"]).alias("norm"), lit(n["__a"]).alias("abstract"), (F.array(*map(F.lit, n["__c"])) if n["__c"] else F.array()).cast("array<string>").alias("categories")) for n in sorted(names, key=lambda n: n["surface"])))
+    known = _dictionary(table, "surface", "wiki_title", "type", "norm", "__a", "__c")
+    norms = sorted({r[3] for r in known})
+    of = {n: [r for r in known if r[3] == n] for n in norms} if len(norms) < len(known) else {r[3]: [r] for r in known}
     fields = [f for f in ("title", "ingredients", "instructions", "cuisine") if f in recipes.columns]
 
-    def held(order, field):
-        low = F.lower(field_text(recipes, field))
-        found = F.filter(known, lambda g: F.contains(low, g["norm"]))
-        return F.transform(found, lambda g: F.struct(F.lit(order).alias("o"), (F.position(g["norm"], low) + F.length(g["norm"])).alias("end"), g.alias("g")))
-
-    parts = [held(i, f) for i, f in enumerate(fields)]
-    empty = F.filter(known, lambda g: F.lit(False))
+    @F.pandas_udf(f"array<{LINK}>")
+    def links(*texts):
+        import pandas as pd
 
-    def first_seen(out, x):
-        return F.when(F.exists(out, lambda y: y["wiki_title"] == x["g"]["wiki_title"]), out).otherwise(F.array_append(out, x["g"]))
+        find = first_ends(norms)
+        out = []
+        for row in zip(*texts):
+            found = [(o, end, g) for o, text in enumerate(row) for i, end in find(text).items() for g in of[norms[i]]]
+            seen = {}
+            for _, _, g in sorted(found, key=lambda x: (x[0], x[1], x[2][0] or "", x[2][1] or "")):
+                seen.setdefault(g[1], {"surface": g[0] or "", "wiki_title": g[1] or "", "type": g[2] or "", "norm": g[3], "abstract": g[4] or "", "categories": list(g[5] or [])})
+            out.append(list(seen.values()))
+        return pd.Series(out)
 
-    links = F.aggregate(F.array_sort(F.concat(*parts)), empty, first_seen)
-    out = recipes.withColumn("wiki_links", links)
+    out = recipes.withColumn("wiki_links", links(*(F.lower(field_text(recipes, f)) for f in fields)))
     if "cuisine" in recipes.columns:
         told = F.transform(F.filter("wiki_links", lambda x: x["type"] == "cuisine"), lambda x: x["wiki_title"])
         out = out.withColumn("cuisine", F.when(F.size(F.coalesce("cuisine", F.array().cast("array<string>"))) == 0, told).otherwise(F.col("cuisine")))

@@ -27,6 +27,11 @@ def all_facets(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.explode(pairs).alias("p")).groupBy("p.facet", "p.value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def matching_options(options: DataFrame, part: str, value_col: str = "value") -> DataFrame:
+    """Options that hold what was typed, in any case; all of them for nothing."""
+    return options.filter(F.contains(F.lower(value_col), F.lit(part.lower())))
+
+
 def shortest_name(df: DataFrame, id_col: str, name_col: str) -> DataFrame:
     """Each id's canonical name: the shortest, then the first in order."""
     return df.groupBy(id_col).agg(F.min(F.struct(F.length(name_col).alias("l"), F.col(name_col).alias("name"))).alias("m")).select(id_col, F.col("m.name").alias("name"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import STOPWORDS, tokenize, tokenize_all
+from ..functions.text import STOPWORDS, is_term, runs, runs_all
 
 FIELDS = ("title", "ingredients", "instructions")
 
@@ -63,9 +63,11 @@ def load_tsv(spark: SparkSession, path: str, stopwords: Sequence[str] = STOPWORD
     return Index(postings, docmeta, terms, _stats(docmeta), stopwords)
 
 
-def _tagged(field: str, *more):
-    """The terms of a field's column, each with the field's name."""
-    return F.transform(F.col(f"__{field}"), lambda t: F.struct(F.lit(field).alias("field"), t.alias("term"), *more))
+def _exploded(rows: DataFrame, id_col: str, texts: dict, split) -> DataFrame:
+    """(doc_id, field, run): a row for each run of each field's text, so that what follows is compiled code."""
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), text.alias("text")) for f, text in texts.items()))
+    fields = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(pairs).alias("f"))
+    return fields.select("doc_id", F.col("f.field").alias("field"), F.explode(split(F.col("f.text"))).alias("term"))
 
 
 def _stats(docmeta: DataFrame) -> DataFrame:
@@ -82,14 +84,14 @@ def build_index(recipes: DataFrame, id_col: str = "doc_id", stopwords: Sequence[
 
     df counts the (field, document) pairs of a term (df_mode 'field'), or its documents ('doc');
     idf = ln(documents / df), six decimals, so it may be negative. Counting is partial before the
-    one shuffle by (term, field, document).
+    shuffle by (term, field, document); lengths are sums of the postings, so texts are read once.
     """
-    rows = recipes.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col("title"), *(tokenize(field_text(recipes, f), stopwords).alias(f"__{f}") for f in FIELDS))
-    sizes = {f: F.size(f"__{f}").alias(f"len_{f}") for f in FIELDS}
-    docmeta = rows.select("doc_id", "title", *sizes.values()).withColumn("len_total", sum((F.col(f"len_{f}") for f in FIELDS), F.lit(0))).filter("len_total > 0")
-    pairs = F.concat(*map(_tagged, FIELDS))
-    postings = rows.select("doc_id", F.explode(pairs).alias("p")).groupBy(F.col("p.term").alias("term"), F.col("p.field").alias("field"), "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    stats = _stats(docmeta)
+    terms = _exploded(recipes, id_col, {f: field_text(recipes, f) for f in FIELDS}, runs).filter(is_term(F.col("term"), stopwords))
+    postings = terms.groupBy("term", "field", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    lens = postings.groupBy("doc_id").agg(*(F.sum(F.when(F.col("field") == f, F.col("tf")).otherwise(0)).cast("int").alias(f"len_{f}") for f in FIELDS), F.sum("tf").cast("int").alias("len_total"))
+    stats = _stats(lens)
+    titles = recipes.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), "title")
+    docmeta = titles.join(lens, "doc_id")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")) if df_mode == "field" else postings.groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
     # one row of statistics
     terms = df.crossJoin(F.broadcast(stats.select("n_docs"))).select("term", "df", F.round(F.ln(F.col("n_docs") / F.col("df")), 6).alias("idf"))
@@ -102,23 +104,44 @@ BOOSTS = {"title": 2.0, "ingredients": 1.5, "instructions": 1.0, "wiki": 1.0}
 
 @dataclass
 class FieldIndex:
-    """postings (term, field, doc_id, tf, len); fields (field, n_docs, avg_len)."""
+    """postings (term, field, doc_id, tf, len); fields (field, n_docs, avg_len); docs (doc_id)."""
 
     postings: DataFrame
     fields: DataFrame
     docs: DataFrame
 
+    def write(self, path: str, buckets: int = 64) -> None:
+        """Parquet tables; postings are dealt by term and sorted, so that a query's terms read few row groups."""
+        self.postings.repartition(buckets, "term").sortWithinPartitions("term", "field", "doc_id").write.mode("overwrite").parquet(f"{path}/field_postings")
+        self.fields.write.mode("overwrite").parquet(f"{path}/fields")
+        self.docs.write.mode("overwrite").parquet(f"{path}/field_docs")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> FieldIndex:
+        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("field_postings", "fields", "field_docs")))
+
+
+def detect_index_type(spark: SparkSession, path: str) -> str:
+    """What kind of index a folder holds: 'field' (boosted fields), 'index' (tables), 'tsv' (an export), or 'none'."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    has = lambda name: store.exists(spark._jvm.org.apache.hadoop.fs.Path(root, name))
+    if has("field_postings"):
+        return "field"
+    if not has("postings"):
+        return "none"
+    return "index" if has("stats") else "tsv"
+
 
 def build_field_index(recipes: DataFrame, id_col: str = "doc_id") -> FieldIndex:
     """Terms of four fields with each field's own length; `wiki` joins the abstracts of the links."""
     abstracts = F.array_join(F.filter(F.transform("wiki_links", lambda x: x["abstract"]), lambda a: F.coalesce(a, F.lit("")) != ""), " ") if "wiki_links" in recipes.columns else F.lit("")
     rows = recipes.filter(F.col(id_col).isNotNull()).withColumn("wiki", abstracts)
-    rows = rows.select(F.col(id_col).alias("doc_id"), *(tokenize_all(field_text(rows, f)).alias(f"__{f}") for f in BOOSTS))
-    pairs = F.concat(*(_tagged(f, F.size(f"__{f}").alias("len")) for f in BOOSTS))
-    postings = rows.select("doc_id", F.explode(pairs).alias("p")).groupBy(F.col("p.term").alias("term"), F.col("p.field").alias("field"), "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.max("p.len").alias("len"))
-    lens = rows.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.size(f"__{f}").alias("len")) for f in BOOSTS))).alias("f")).select("f.*").filter("len > 0")
+    terms = _exploded(rows, id_col, {f: field_text(rows, f) for f in BOOSTS}, runs_all).filter("term <> ''")
+    counts = terms.groupBy("term", "field", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    lens = counts.groupBy("doc_id", "field").agg(F.sum("tf").cast("int").alias("len"))
     fields = lens.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    return FieldIndex(postings, fields, rows.select("doc_id"))
+    return FieldIndex(counts.join(lens, ["doc_id", "field"]).select("term", "field", "doc_id", "tf", "len"), fields, rows.select(F.col(id_col).alias("doc_id")))
 
 
 def keep_last(recipes: DataFrame, id_col: str, seq: str) -> DataFrame:

@@ -9,10 +9,13 @@ from pyspark.sql import types as T
 from ..operators.recipes import SCHEMA
 
 
-def read_recipes(spark: SparkSession, path: str, schema: T.StructType = SCHEMA) -> DataFrame:
+def read_recipes(spark: SparkSession, path: str, schema: T.StructType = SCHEMA, limit: int | None = None) -> DataFrame:
     """JSON lines with the declared schema; blank lines are skipped, and what can't be read is kept
-    in _corrupt (see split_corrupt)."""
+    in _corrupt (see split_corrupt). limit counts lines, the unreadable ones too."""
     full = T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())])
+    if limit is not None:
+        lines = spark.read.text(path).filter(F.trim("value") != "").limit(limit)
+        return lines.select(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("r")).select("r.*")
     return spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").json(path)
 
 
@@ -21,6 +24,80 @@ def split_corrupt(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(F.col("_corrupt").isNull()).drop("_corrupt"), df.agg(F.count_if(F.col("_corrupt").isNotNull()).alias("errors"))
 
 
+def count_lines(spark: SparkSession, path: str) -> DataFrame:
+    """One row: n, the lines that aren't blank."""
+    return spark.read.text(path).agg(F.count_if(F.trim("value") != "").alias("n"))
+
+
+def read_static_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON file that may be missing (ingredient maps, category lists): then no rows."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def decode_body(body):
+    """A response's text, whatever its packing: gzip (by its first bytes) is unpacked, brotli too where the
+    library is there; anything else is read as it is. Bytes that aren't UTF-8 are replaced."""
+
+    @F.pandas_udf("string")
+    def decoded(bodies):
+        import gzip
+
+        try:
+            import brotli
+        except ImportError:
+            brotli = None
+
+        def text(raw):
+            if raw is None:
+                return None
+            raw = bytes(raw)
+            try:
+                if raw[:2] == b"\x1f\x8b":
+                    raw = gzip.decompress(raw)
+                elif brotli and raw[:1] not in b"<{[ \t\r\n":
+                    raw = brotli.decompress(raw)
+            except Exception:  # not packed after all, or cut off: as it is
+                pass
+            return raw.decode("utf-8", "replace")
+
+        return bodies.map(text)
+
+    return decoded(body)
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Fetched pages (page_id, url, html) as a table; more are appended."""
+    pages.select("page_id", "url", "html").write.mode("append").parquet(path)
+
+
+def write_seeds(urls: DataFrame, path: str, url_col: str = "url") -> None:
+    """One URL a line."""
+    urls.select(url_col).write.mode("overwrite").text(path)
+
+
+def write_selection(urls: DataFrame, path: str, columns: list[str], url_col: str = "url") -> None:
+    """The selected URLs, one a line, and how they are spread over the columns' values."""
+    from ..operators.facets import distribution
+
+    write_seeds(urls, f"{path}/urls", url_col)
+    write_json(distribution(urls, columns), f"{path}/distribution")
+
+
+def append_log(row: DataFrame, path: str) -> None:
+    """Statistics of a run, with the time, added to a log."""
+    row.withColumn("logged_at", F.current_timestamp()).write.mode("append").json(path)
+
+
+def write_report(stats: DataFrame, path: str, title: str = "Report") -> None:
+    """One row of statistics as a Markdown table."""
+    pairs = F.array(*(F.concat(F.lit(f"| {c} | "), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(" |")) for c in stats.columns))
+    lines = F.concat(F.array(F.lit(f"# {title}"), F.lit(""), F.lit("| figure | value |"), F.lit("|-|-|")), pairs)
+    stats.limit(1).select(F.array_join(lines, "\n").alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,12 +28,21 @@ def test_spans(spark):
     assert spans(spark, None) == [] and spans(spark, "nothing") == []
 
 
-def test_automaton_agrees(spark):
-    words = [random.Random(i).choice(["egg", "eggs", "tea", "black pepper", "pepper", "x", "plant"]) for i in range(60)]
-    df = spark.createDataFrame([(" ".join(words[i : i + 9]),) for i in range(50)], "t string")
-    pytest.importorskip("ahocorasick")
-    both = entities.spans_by_automaton(df, "t", spark.createDataFrame([(n,) for n in NAMES], "surface string")).select("spans", entities.spans(F.col("t"), NAMES).alias("s"))
-    assert both.filter("spans <> s").count() == 0
+@pytest.mark.parametrize("mode", ["earliest", "longest"])
+@pytest.mark.parametrize("word_boundary", [False, True])
+def test_spans_are_those_of_an_alternation(mode, word_boundary):
+    """Leftmost, then shortest or longest, for thousands of names as for a few."""
+    from larder.functions import automaton
+
+    r = random.Random(4)
+    for n in (5, 4000):
+        names = sorted({"".join(r.choices("abc é", k=r.randint(1, 6 if n > 5 else 2))).strip() for _ in range(n)} - {""})
+        body = "|".join(re.escape(x) for x in sorted(names, key=lambda x: (-len(x) if mode == "longest" else len(x), x)))
+        want = re.compile(rf"(?<!\w)(?:{body})(?!\w)" if word_boundary else body)
+        find = automaton.finder(names, mode, word_boundary)
+        for _ in range(40):
+            text = "".join(r.choices("abc é_,", k=60))
+            assert [(s, e, names[i]) for s, e, i in find(text)] == [(m.start(), m.end(), m[0]) for m in want.finditer(text)]
 
 
 def test_enrich(spark):
@@ -74,12 +84,12 @@ def test_urls(spark):
     assert page.filter(crawl.canonical_url(F.col("url"), F.col("html")) != F.col("want")).count() == 0
 
 
-ROBOTS = "User-agent: *\nDisallow: /private/*\nDisallow: /exact\nUser-agent: other\nDisallow: /other\nSitemap: http://h/s.xml\nUser-agent: FoodRecipesBot\nDisallow: /bot # note\n"
+ROBOTS = "User-agent: *\nDisallow: /private/*\nDisallow: /exact\nUser-agent: other\nDisallow: /other\nSitemap: http://h/s.xml\nUser-agent: OurBot\nDisallow: /bot # note\n"
 
 
 def test_robots_and_sitemaps(spark):
     lines = spark.createDataFrame([("h", i, x) for i, x in enumerate(ROBOTS.split("\n"))], "host string, line_no int, line string")
-    rules, maps = crawl.parse_robots(lines)
+    rules, maps = crawl.parse_robots(lines, agents=("*", "ourbot"))
     assert {r.pattern for r in rules.collect()} == {"/private/*", "/exact", "/bot"} and maps.first().sitemap == "http://h/s.xml"
     urls = spark.createDataFrame([("http://h/private/1",), ("http://h/exact",), ("http://h/exact/more",), ("http://h/x?/bot",)], "url string")
     assert {r.url for r in crawl.allowed_urls(urls, rules).collect()} == {"http://h/exact/more", "http://h/x?/bot"}
@@ -89,6 +99,43 @@ def test_robots_and_sitemaps(spark):
     assert [(r.is_index, r.loc) for r in got] == [(False, "http://h/1"), (False, "http://h/2")]
 
 
+def test_child_sitemaps_and_rules_by_host(spark):
+    one = lambda kind, tag, locs: f"<{kind}>" + "".join(f"<{tag}><loc>{x}</loc></{tag}>" for x in locs) + f"</{kind}>"
+    maps = spark.createDataFrame([("http://h/root.xml", one("sitemapindex", "sitemap", ["http://h/a.xml", "http://h/b.xml"])), ("http://h/a.xml", one("urlset", "url", ["http://h/1", "http://h/2"])), ("http://h/b.xml", one("urlset", "url", ["http://h/2"])), ("http://h/other.xml", one("urlset", "url", ["http://h/9"]))], "url string, xml string")
+    assert sorted(r.url for r in crawl.all_locations(maps, spark.createDataFrame([("http://h/root.xml",)], "url string")).collect()) == ["http://h/1", "http://h/2"]
+    urls = spark.createDataFrame([("http://A/x/1",), ("http://b/x/1",), ("http://c/x/1",)], "url string")
+    rules = spark.createDataFrame([("a", "/x/*"), ("b", "/y/*"), ("b", "/x")], "host string, pattern string")
+    assert sorted(r.url for r in crawl.allowed_urls(urls, rules).collect()) == ["http://b/x/1", "http://c/x/1"]
+    order = [r.url for r in crawl.shuffled(urls, 3).collect()]
+    assert sorted(order) == sorted(r.url for r in urls.collect()) and order == [r.url for r in crawl.shuffled(urls.repartition(3), 3).collect()]
+    assert crawl.enough_ratings(spark.range(4), F.col("id")).count() == 2
+
+
+def test_files(spark, tmp_path):
+    import gzip
+
+    at = lambda name: str(tmp_path / name)
+    (tmp_path / "r.jsonl").write_text('{"id": "1"}\n\nnot json\n{"id": "2"}\n{"id": "3"}\n')
+    assert files.count_lines(spark, at("r.jsonl")).first().n == 4 and files.read_recipes(spark, at("r.jsonl"), limit=2).count() == 2
+    assert files.read_static_json(spark, at("none.json"), "id string").count() == 0
+    (tmp_path / "map.json").write_text('[{"id": "a"}, {"id": "b"}]')
+    assert files.read_static_json(spark, at("map.json"), "id string").count() == 2
+    bodies = spark.createDataFrame([(1, bytearray(gzip.compress("ä<x>".encode()))), (2, bytearray(b"<y>")), (3, bytearray(b"\x1f\x8bcut")), (4, None)], "i int, b binary")
+    got = {r.i: r.t for r in bodies.select("i", files.decode_body(F.col("b")).alias("t")).collect()}
+    assert got[1] == "ä<x>" and got[2] == "<y>" and got[3].endswith("cut") and got[4] is None
+    pages = spark.createDataFrame([(1, "http://h/1", "<p>", "en"), (2, "http://h/2", "<q>", "de")], "page_id long, url string, html string, lang string")
+    for _ in range(2):
+        files.write_pages(pages, at("pages"))
+        files.append_log(pages.agg(F.count("*").alias("n")), at("log"))
+    assert spark.read.parquet(at("pages")).count() == 4 and spark.read.json(at("log")).filter("n = 2 and logged_at is not null").count() == 2
+    files.write_selection(pages, at("chosen"), ["lang"])
+    assert files.read_seeds(spark, at("chosen/urls")).count() == 2 and spark.read.json(at("chosen/distribution")).filter("value = 'de' and n = 1").count() == 1
+    files.write_report(pages.agg(F.count("*").alias("pages")), at("report"))
+    assert "| pages | 2 |" in [r.value for r in spark.read.text(at("report")).collect()]
+    options = spark.createDataFrame([("Tex Mex",), ("Thai",)], "value string")
+    assert facets.matching_options(options, "tEx").count() == 1 and facets.matching_options(options, "").count() == 2
+
+
 def ld(**more):
     data = {"@context": "http://schema.org", "@type": "Recipe", "name": "Pie", "recipeIngredient": ["flour", "egg"], "recipeInstructions": [{"text": "Mix"}, "Bake"], "prepTime": "PT10M", "cookTime": "PT1H", "keywords": "Easy,Italian,Tex Mex,Dessert", "author": {"name": "Ann"}, "nutrition": {"calories": "12"}, "image": "http://img/recipes/1.jpg"}
     return f'<script type="application/ld+json"><!-- {json.dumps(data | more)} --></script>'
