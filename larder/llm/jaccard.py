@@ -9,7 +9,8 @@
    share one of their few rarest n-grams, which passages that many texts repeat never are; sets of a
    family of sizes that share such a one are candidates. A portion links its own sets first and tells
    one of each group and n-gram, so no list grows with the rows that share an n-gram.
-4. Each candidate component, or each block pair of a large one, is joined in one task: index lists
+4. Each candidate component is joined in one task; of one that is too large, first all that is like one
+   of its members is linked with that, and the others meet in pairs of blocks. In a task index lists
    are ordered by position and read only as far as a partner may be; a set reached from another by a
    link derives its overlaps from that one's answers, by the n-grams in which the two differ.
 5. Components of the links found give the result.
@@ -20,11 +21,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, materialize, row_key, without_rows
+from .common import broadcast_if_small, few, materialize, row_key, without_rows
 from .components import components
 
 #: n-grams that one task joins at once; n-grams of a portion of texts; n-grams of a bucket, as many as are expected.
-GROUP, PORTION, BUCKET = 2_000_000, 1_000_000, 1_000_000
+GROUP, PORTION, BUCKET = 500_000, 1_000_000, 1_000_000
+#: Members of a large component that may become its pivot, about.
+PIVOTS = 8
 #: Texts that are in memory at once as text; texts of a portion at most.
 ROWS, TEXTS = 500, 50_000
 
@@ -506,11 +509,16 @@ def _groups(rows: DataFrame, k: int, num: int, den: int):
     total = known.groupBy("c").agg(F.sum("n").alias("t"), F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("c").alias("__c"), "t")
     sized = known.join(total, F.col("c") == F.col("__c"))
     one = sized.filter(F.col("t") <= GROUP).select("class", "row", F.struct("c", F.lit(-1).alias("f"), F.lit(0).alias("x"), F.lit(0).alias("y")).alias("g"))
-    groups = materialize(one.unionByName(_blocks(sized.filter(F.col("t") > GROUP).select("class", "row", "n", "c"), num, den)))
+    groups, sure = one, None
+    large = materialize(sized.filter(F.col("t") > GROUP).select("class", "row", "n", "c"))
+    if not large.isEmpty():
+        sure, others = _split(rows, large, k, num, den)
+        groups = groups.unionByName(others)
+    groups = materialize(groups)
     n_grams = known.agg(F.sum("n")).first()[0] or 0
     dealt = _rows_of(rows, groups).select(F.to_json("g").alias("g"), "class", "text").repartition(max(least, -(-n_grams // GROUP)), "g").sortWithinPartitions("g", "class")
     links = dealt.mapInArrow(_links(k, num, den), "a long, b long")
-    linked = components(links, "a", "b")
+    linked = components(links if sure is None else links.unionByName(sure), "a", "b")
     of = materialize(linked.join(classes, F.col("node") == F.col("class")).select("class", "row", "component"))
     first = of.groupBy("component").agg(F.min("row").alias("first")).select(F.col("component").alias("__c"), "first")
     return marks, classes, of.join(first, F.col("component") == F.col("__c")).select("class", "row", "first")
@@ -541,6 +549,68 @@ def similar_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, i
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def _with_pivots(k: int):
+    """Rows (class, c, n, text, pivots) -> (class, c, n, pivot, common elements, elements of the pivot)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        known: dict = {}
+        for batch in _pieces(batches):
+            out = []
+            for own, c, n, text, pivots in zip(*(x.to_pylist() for x in batch.columns)):
+                s = grams(text, k)
+                for p in pivots:
+                    if (c, p["pivot"]) not in known:
+                        if len(known) > 1000:
+                            known.clear()
+                        known[c, p["pivot"]] = grams(p["text"], k)
+                    z = known[c, p["pivot"]]
+                    out.append((own, c, n, p["pivot"], len(np.intersect1d(s, z, assume_unique=True)), len(z)))
+            cols = list(zip(*out)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], names=["class", "c", "n", "pivot", "m", "z"])
+
+    return run
+
+
+def _split(rows: DataFrame, large: DataFrame, k: int, num: int, den: int):
+    """Links and groups (class, row, g) that stand for the components that one task can't hold.
+
+    Of some members of each component, told by hash, the one with most links is its pivot. What is
+    linked to it is one class of links and needs no comparing inside, so a large group of copies of
+    one text costs a pass over its rows. Distances 1 - J obey the triangle's inequality: of the
+    others only those within twice the threshold's distance of the pivot can be linked with its
+    partners. They meet these, and all others meet each other, in pairs of hashed blocks.
+    """
+    size = large.groupBy("c").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / PIVOTS)).cast("long").alias("every")).withColumnRenamed("c", "__c")
+    chosen = large.join(size, F.col("c") == F.col("__c")).filter(F.pmod(F.xxhash64("class", F.lit(7)), F.col("every")) == 0)
+    texts = _rows_of(rows, chosen.select("class", "row", "c")).groupBy("c", F.col("class").alias("pivot")).agg(F.min("text").alias("text"))
+    pivots = materialize(texts.groupBy(F.col("c").alias("__c")).agg(F.collect_list(F.struct("pivot", "text")).alias("pivots")))  # about PIVOTS each
+    n_bytes = pivots.agg(F.sum(F.aggregate("pivots", F.lit(0).cast("long"), lambda x, p: x + F.octet_length(p["text"])))).first()[0] or 0
+    asked = _rows_of(rows, large).join(broadcast_if_small(pivots, n_bytes), F.col("c") == F.col("__c")).select("class", "c", "n", "text", "pivots")
+    seen = materialize(asked.mapInArrow(_with_pivots(k), "class long, c long, n long, pivot long, m long, z long").distinct())
+    union = F.col("n") + F.col("z") - F.col("m")
+    linked = F.col("m") * den >= num * union
+    best = seen.filter(linked).groupBy(F.col("c").alias("__c"), "pivot").agg(F.count(F.lit(1)).alias("k")).groupBy("__c").agg(F.max(F.struct("k", "pivot")).alias("p")).select("__c", F.col("p.pivot").alias("__p"))
+    told = materialize(seen.join(best, (F.col("c") == F.col("__c")) & (F.col("pivot") == F.col("__p"))).select("class", "c", "pivot", linked.alias("linked"), (F.col("m") * den >= (2 * num - den) * union).alias("near")))
+    sure = told.filter("linked").select(F.col("class").alias("a"), F.col("pivot").alias("b"))
+    own = large.join(told.select(F.col("class").alias("__o"), F.col("c").alias("__d"), "linked", "near"), (F.col("class") == F.col("__o")) & (F.col("c") == F.col("__d")), "left")
+    own = materialize(own.select("class", "row", "n", "c", F.coalesce("linked", F.lit(False)).alias("linked"), F.coalesce("near", F.lit(False)).alias("near")))
+    rest = _blocks(own.filter("not linked").select("class", "row", "n", "c"), num, den)
+    close = own.filter("near and not linked")
+    some = close.groupBy(F.col("c").alias("__c")).agg(F.ceil(F.sum("n") * 2 / GROUP).cast("int").alias("x"))
+    many = own.filter("linked").groupBy(F.col("c").alias("__d")).agg(F.ceil(F.sum("n") * 2 / GROUP).cast("int").alias("y"))
+    count = materialize(some.join(many, F.col("__c") == F.col("__d")).select("__c", "x", "y"))
+    each = own.filter("near").join(count, F.col("c") == F.col("__c"))  # what is linked is near
+    mine = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = each.filter("not linked").select("class", "row", "c", mine("x").alias("i"), every("y").alias("j"))
+    right = each.filter("linked").select("class", "row", "c", mine("y").alias("j"), every("x").alias("i"))
+    across = left.unionByName(right).select("class", "row", F.struct("c", F.lit(-2).alias("f"), F.col("i").alias("x"), F.col("j").alias("y")).alias("g"))
+    return sure, rest.unionByName(across)
+
+
 def _blocks(sized: DataFrame, num: int, den: int) -> DataFrame:
     """Groups of the components that one task can't hold: by families of size, then pairs of hashed
     blocks, so that any two sets that may be partners meet in one group."""
