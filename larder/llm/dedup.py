@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, row_key, without_rows
+from .common import ascii_lower, materialize, row_key, without_rows
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", normalise=ascii_lower) -> DataFrame:
@@ -47,6 +47,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows that share an id but not their text are told apart. Null and empty texts are one group. An
     empty table gives no rows; other columns, whatever their names, are kept.
     """
-    rows = _groups(docs, id_col, text_col, keep, ascii_lower)
+    rows = materialize(_groups(docs, id_col, text_col, keep, ascii_lower).drop("text_sha256"))  # short rows
     lost = rows.filter(~(F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key")))).select("doc_id", "key")
     return without_rows(docs, lost, rows.filter("group_size > 1").select("doc_id", "key"), id_col, text_col)
