@@ -34,9 +34,7 @@ def fit(samples: list, prior: float, steps: int = 400, rate: float = 0.1, l2: fl
     Minimises prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)) with the sigmoid loss, whose bound
     keeps a few easy positives from outweighing all else, by Adam on all samples; where the
     corrected negative risk falls below zero its gradient is turned round, as in non-negative risk
-    estimation. Features: of those that at least three positives have, and
-    three times as often as negatives (their rate is that of the unlabelled less the prior's share
-    of positives), the FEATURES ones that stand out most against chance.
+    estimation.
     """
     import numpy as np
 
@@ -45,22 +43,12 @@ def fit(samples: list, prior: float, steps: int = 400, rate: float = 0.1, l2: fl
     if not len(samples) or not y.any() or y.all():
         return float(np.log((prior + 1e-3) / (1 - prior + 1e-3))), {}
     parts = [np.unique(np.frombuffer(s[1], "<u4")) for s in samples]
-    known, times = np.unique(np.concatenate([p for p, t in zip(parts, y) if t]), return_counts=True)
-    known = known[times >= LEAST]
+    keep = np.unique(np.concatenate(parts))
 
     def places(part, among):
         at = np.minimum(np.searchsorted(among, part), max(0, len(among) - 1))
         return at[among[at] == part] if len(among) else at[:0]
 
-    counts = np.zeros((2, len(known)))
-    for part, positive in zip(parts, y):
-        counts[int(positive), places(part, known)] += 1
-    of_p, of_u = counts[1] / y.sum(), counts[0] / (~y).sum()
-    # what the unlabelled texts show that aren't positive, at least half a text's worth
-    of_n = np.maximum((of_u - prior * of_p) / (1 - prior), 0.5 / (~y).sum())
-    score = (of_p - of_n) / np.sqrt(of_p * (1 - of_p) / y.sum() + of_n / (~y).sum() + 1e-12)
-    score = np.where(of_p >= 3 * of_n, score, 0.0)
-    keep = known[np.sort(np.argsort(-score, kind="stable")[: min(FEATURES, int((score > 2).sum()))])]
     found = [places(part, keep) for part in parts]
     row, col = np.repeat(np.arange(len(parts)), [len(f) for f in found]), np.concatenate(found)
     del parts, found
@@ -82,6 +70,34 @@ def fit(samples: list, prior: float, steps: int = 400, rate: float = 0.1, l2: fl
     return float(b), dict(zip(keep[used].tolist(), w[used].tolist()))
 
 
+def chosen(known, times, prior: float, n_positive: int, n_unlabelled: int):
+    """The features to fit. known: hashes; times: (2, hashes), the unlabelled and the positive texts that
+    have each. Of those that at least LEAST positives have, and three times as often as negatives
+    (their rate is that of the unlabelled less the prior's share of positives), the FEATURES ones that
+    stand out most against chance."""
+    import numpy as np
+
+    of_p, of_u = times[1] / n_positive, times[0] / n_unlabelled
+    # what the unlabelled texts show that aren't positive, at least half a text's worth
+    of_n = np.maximum((of_u - prior * of_p) / (1 - prior), 0.5 / n_unlabelled)
+    score = (of_p - of_n) / np.sqrt(of_p * (1 - of_p) / n_positive + of_n / n_unlabelled + 1e-12)
+    score = np.where((of_p >= 3 * of_n) & (times[1] >= LEAST), score, 0.0)
+    return known[np.sort(np.argsort(-score, kind="stable")[: min(FEATURES, int((score > 2).sum()))])]
+
+
+def _tally(batches):
+    """(hash, y, texts): how many of a task's texts of each kind have a feature."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in _hashes()(batches):
+        y = np.array(batch.column(0).to_pylist(), np.uint64)
+        sets = [np.frombuffer(h, "<u4").astype(np.uint64) for h in batch.column(1).to_pylist()]
+        if sets:
+            keys, n = np.unique(np.concatenate([s * np.uint64(2) + k for s, k in zip(sets, y)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array((keys >> np.uint64(1)).astype(np.int64)), pa.array((keys & np.uint64(1)).astype(np.int32)), pa.array(n)], names=["hash", "y", "n"])
+
+
 def _hashes(known=None):
     """Feature hashes of each text, of the known ones if they are given."""
 
@@ -126,18 +142,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n, positive = told.agg(F.count(F.lit(1)), F.sum((F.col("__toxic") == 1).cast("long"))).first()
     prior = min(0.9, max(0.001, (positive or 0) / n)) if n else 0.001
     ids = docs.select(F.col(id_col).alias("__id")).filter(F.col("__id").isNotNull() & learnable(F.col("__id"))).distinct()
-    chosen = _sample(told.filter(F.col("__toxic") == 1).select("__id").distinct(), POSITIVES).withColumn("__y", F.lit(1))
-    chosen = chosen.unionByName(_sample(ids, UNLABELLED).withColumn("__y", F.lit(0)))
+    picked = _sample(told.filter(F.col("__toxic") == 1).select("__id").distinct(), POSITIVES).withColumn("__y", F.lit(1))
+    picked = picked.unionByName(_sample(ids, UNLABELLED).withColumn("__y", F.lit(0)))
     rows = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
     # at most POSITIVES + UNLABELLED pairs of numbers
-    rows = rows.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).select("__y", "__text")
-    # first the positives, whose features are the only ones that are of use
+    rows = rows.join(F.broadcast(picked), F.col("__doc") == F.col("__id")).select("__y", "__text")
     import numpy as np
 
-    taught = [np.frombuffer(r["hashes"], "<u4") for r in rows.filter("__y = 1").mapInArrow(_hashes(), "y int, hashes binary").collect()]
-    known, times = np.unique(np.concatenate(taught), return_counts=True) if taught else (np.zeros(0, np.uint32), np.zeros(0, int))
-    known = known[times >= LEAST]
-    del taught
+    # the driver sees the features that at least LEAST positives have, then the FEATURES chosen ones of each text
+    n_of = {r["y"]: r["n"] for r in rows.groupBy(F.col("__y").alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_p, n_u = n_of.get(1, 0), n_of.get(0, 0)
+    known = np.zeros(0, np.uint32)
+    if n_p and n_u:
+        tally = rows.mapInArrow(_tally, "hash long, y int, n long").groupBy("hash").agg(F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("u"), F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("p"))
+        told = sorted((r["hash"], r["u"], r["p"]) for r in tally.filter(F.col("p") >= LEAST).collect())
+        if told:
+            hashes, u, p = (np.array(x) for x in zip(*told))
+            known = chosen(hashes.astype(np.uint32), np.stack([u, p]).astype(float), prior, n_p, n_u)
     got = rows.mapInArrow(_hashes(known), "y int, hashes binary").collect()
     return fit([(r["y"], bytes(r["hashes"])) for r in got], prior)
 
@@ -186,6 +207,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that score below the threshold, with docs' columns."""
+    """The rows of docs that score below the threshold, with docs' columns, whatever their names.
+
+    Null and empty texts get the bias's score, which is below the threshold unless most labels are
+    toxic; repeated rows and tied ids are each judged by their own text; an empty table gives no
+    rows; without a toxic label all rows stay.
+    """
     score = scorer(train(docs, labels, id_col, text_col))
-    return docs.withColumn("__score", score(F.col(text_col))).filter(F.col("__score") < threshold).drop("__score")
+    return docs.filter(score(F.col(text_col)) < threshold)
