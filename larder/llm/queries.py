@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .common import read
+from .reputation import TWO_LABEL_SUFFIXES
 
 def _moments_sql(src: str, by: str, name: str, good: str, n: str) -> str:
     """The prior's mean and strength of reputation._moments in SQL."""
@@ -15,6 +16,9 @@ def _moments_sql(src: str, by: str, name: str, good: str, n: str) -> str:
 
 
 _TWO = "regexp_extract(host, '([^.]*\\.?[^.]*)$', 1)"
+_LONG = f"{_TWO} IN ({', '.join(repr(s) for s in TWO_LABEL_SUFFIXES)})"
+_DOMAIN = f"CASE WHEN {_LONG} THEN regexp_extract(host, '((?:[^.]*\\.)?[^.]*\\.[^.]*)$', 1) ELSE {_TWO} END"
+_SUFFIX = f"CASE WHEN {_LONG} THEN {_TWO} ELSE regexp_extract(host, '([^.]*)$', 1) END"
 OP9_SQL = f"""
 WITH h AS (
   SELECT page_id, CASE WHEN url IS NULL OR strpos(url, '://') = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages
@@ -24,7 +28,7 @@ WITH h AS (
 ), o AS (
   SELECT host, (quality = 1 AND toxic = 0) AS good FROM p LEFT JOIN labels ON page_id = doc_id
 ), u AS (
-  SELECT host, {_TWO} AS domain, regexp_extract(host, '([^.]*)$', 1) AS suffix, count(good)::DOUBLE AS n, coalesce(sum(good::INT), 0)::DOUBLE AS g, greatest(count(good)::DOUBLE, 1e-9::DOUBLE) AS told FROM o GROUP BY host
+  SELECT host, {_DOMAIN} AS domain, {_SUFFIX} AS suffix, count(good)::DOUBLE AS n, coalesce(sum(good::INT), 0)::DOUBLE AS g, greatest(count(good)::DOUBLE, 1e-9::DOUBLE) AS told FROM o GROUP BY host
 ), {_moments_sql("u", "suffix, domain", "d", "u.g", "u.told")}, {_moments_sql("d", "suffix", "s", "d_good", "d_n")},
 t AS (SELECT (sum(s_good) + 0.5::DOUBLE) / (sum(s_n) + 1.0::DOUBLE) AS whole FROM s),
 sm AS (SELECT suffix, s_m, (s_good + s_m * whole) / (s_n + s_m) AS s_mean FROM s, t),

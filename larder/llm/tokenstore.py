@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, remove_folder, shared_folder
+from .common import few, materialize, remove_folder, shared_folder
 from .tokens import encoder, tokenizer
 
 #: Ids between checkpoints, a multiple of 4; ids from which a block is closed; limit of a code's bits.
@@ -199,7 +199,8 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_co
     The rows are dealt by ranges of (id, hash of the text), so a tied id can be split; each range
     is one file. A range's ids are tokenized once and kept in a checkpoint, compressed, while the
     counts of all ranges are added up; the code comes from these global counts. The driver sees
-    the vocabulary's counts only. Null ids come first; null texts are empty (the end id alone).
+    the vocabulary's counts only. Null ids come first; null texts are empty (the end id alone); repeated
+    rows are each written; an empty table gives an empty store.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     parts = max(1, docs.rdd.getNumPartitions())
@@ -240,12 +241,17 @@ def read_tokens(spark: SparkSession, folder: str, with_ids: bool = True) -> Data
     files = blocks.groupBy("file").agg(F.sum("n_ids").alias("n"))
     files = files.select(F.col("file").alias("__file"), (F.sum("n").over(W.orderBy("file")) - F.col("n")).alias("__before"))
     got = blocks.mapInArrow(_read(lengths, with_ids), "file int, doc_id long, at long, n_tokens long, ids_crc32 long, ids binary")
-    out = got.join(F.broadcast(files), F.col("file") == F.col("__file"))
+    out = got.join(few(files), F.col("file") == F.col("__file"))
     return out.select("doc_id", (F.col("at") + F.col("__before")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
 
 def round_trip(docs: DataFrame, path: str, end_id: int = 2) -> DataFrame:
-    """Write a store in the shared folder, read all of it back, and drop it; what was read, without the ids."""
+    """Write a store in the shared folder, read all of it back, and drop it; what was read, without the ids.
+
+    Per row of docs: doc_id, start, n_tokens, ids_crc32, in ascending id order, null ids first. Null and
+    empty texts are the end id alone; repeated rows and tied ids each have theirs, tied ones in the order of
+    a hash of the text; an empty table gives no rows; other columns are ignored.
+    """
     spark = docs.sparkSession
     folder = shared_folder(spark, "tokens")
     try:

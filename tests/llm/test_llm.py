@@ -304,6 +304,29 @@ def test_guess_cost():
     assert all(bits(s) <= len(s) * math.log2(195) for s in ("a", "zZ9!é", "x" * 5000))
 
 
+def test_guess_cost_is_the_cheapest_segmentation():
+    r = random.Random(1)
+    parts = ["password", "Dr4gon", "qwer", "fgh", "789", "aaaa", "abcabc", "2019-04-05", "1999", "x", "7", "Zq", "!", "hello", "abab", "ddddd", "20200101", "asdfgfdsa"]
+    for _ in range(300):
+        value = "".join(r.choice(parts) for _ in range(r.randint(1, 5)))
+        cost = secrets.Coster(value, secrets._ranks(), max(map(len, secrets.WORDS)))
+        best = [0.0]
+        for j in range(1, len(value) + 1):
+            best.append(min(best[i] + cost.segment(i, j) for i in range(j)))
+        assert abs(best[-1] - secrets.guess_bits(value)) < 1e-9, value
+    assert secrets.guess_bits("passwordfgh") < secrets.guess_bits("password") + 10 and secrets.guess_bits("abcabcabcabc") < 20
+    assert secrets.guess_bits("a" * 20000) < 30 and secrets.guess_bits("ab" * 9000) < 30
+    words = secrets.load_words(P.path("word_bpe_49k.json"))
+    assert len(words) > 10_000 and secrets.guess_bits("government", words) < secrets.guess_bits("government")
+
+
+def test_short_items_are_found_verbatim():
+    index = decontamination.Index([(1, "Blue cat"), (2, "ox"), (3, "  "), (4, None or ""), (5, "blue  CAT")])
+    hits = index.find([decontamination.normalise(t) for t in ("A blue cat.", "blue cats", "box", "an ox", None, "BLUE\ncat ox")])
+    assert [(h[0], h[1], h[4]) for h in hits] == [(0, 1, 0), (0, 5, 0), (3, 2, 0), (5, 1, 0), (5, 2, 0), (5, 5, 0)]
+    assert decontamination.Index([]).find([b"x"]) == []
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(1)
     words = ["".join(r.choices("abcdefghij", k=r.randint(2, 7))) for _ in range(400)]
@@ -446,6 +469,23 @@ def test_wrapper_induction(spark):
     assert wrappers.extract_text(df.limit(0)).count() == 0
 
 
+def test_slots_choose_the_content(spark):
+    """Without telling names only induction finds the article: menus, remarks and lines at the foot vary, too."""
+    r = random.Random(7)
+    say = lambda n: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(n))
+    pages, want = [], []
+    for i in range(30):
+        head, paras = say(5), [say(r.randint(20, 60)) for _ in range(r.randint(2, 6))]
+        body = "".join(f"<p>{p}</p>" for p in paras)
+        pages.append(f"<div><div class=x1><div>{say(2)}</div><div>{say(1)}</div></div><div class=x2>Best offers here</div><h1>{head}</h1><div class=x3>{body}<p>Share this</p></div><div class=x4><div>{say(6)}</div><div>{say(4)}</div></div></div>")
+        want.append("\n".join([head, *paras]))
+    df = spark.createDataFrame([(i, f"http://n.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {x.page_id: x.text for x in wrappers.extract_text(df).collect()}
+    assert [got[i] for i in range(30)] == want
+    alone = [text_of(p) for p in pages]  # without a wrapper
+    assert all(a != w for a, w in zip(alone, want))
+
+
 def test_repeated_articles_are_no_template(spark):
     """Copies and near copies of an article, under adverts and footers that vary, keep it whole; template around other articles goes."""
     r = random.Random(7)
@@ -506,6 +546,19 @@ def test_url_rules(spark):
     assert reputation.judge_urls(pages.limit(0), told).count() == 0
 
 
+def test_many_rules_are_joined(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(["http://a.co.uk/x/1", "http://b.a.co.uk/x", "http://co.uk/", "http://z.net/x/1", None, "x", "http://a.co.uk/x/1"])], "page_id long, url string")
+    rules = [("block", "co.uk", "/x"), ("allow", "a.co.uk", "/x/"), ("block", "net", ""), ("allow", "", "/never")]
+    none = spark.createDataFrame([], "doc_id long, good boolean")
+    few = sorted((r.page_id, r.rule, r.verdict) for r in reputation.judge_urls(pages, none, rules).collect() if r.rule)
+    assert few == [(0, "a.co.uk/x/", "allow"), (1, "co.uk/x", "block"), (3, "net", "block"), (6, "a.co.uk/x/", "allow")]
+    monkeypatch.setattr(reputation, "MAX_RULES", 1)
+    assert sorted((r.page_id, r.rule, r.verdict) for r in reputation.judge_urls(pages, none, rules).collect() if r.rule) == few
+    domain, suffix = reputation.registered_domain(F.col("host"))
+    hosts = spark.createDataFrame([("w.a.co.uk",), ("co.uk",), ("w.a.com",), ("local",), ("",)], "host string").select("host", domain.alias("d"), suffix.alias("s")).collect()
+    assert [(r.d, r.s) for r in hosts] == [("a.co.uk", "co.uk"), ("co.uk", "co.uk"), ("a.com", "com"), ("local", "local"), ("", "")]
+
+
 def test_reputation_shrinks(spark):
     rows = [("good.example.com", True)] * 40 + [("bad.example.com", False)] * 40 + [("new.example.com", None), ("few.good.net", True), ("few.good.net", True)] + [(f"h{i}.good.net", True) for i in range(30)]
     got = {r.host: (r.alpha / (r.alpha + r.beta), r.alpha + r.beta) for r in reputation.host_reputation(spark.createDataFrame(rows, "host string, good boolean")).collect()}
@@ -543,108 +596,133 @@ def test_class_probabilities_add_up():
     r = np.random.default_rng(0)
     table = mixing.predictors(r.integers(0, 50, mixing.SLOTS))
     weights = r.normal(0.2, 0.1, (2 * mixing.LEVELS, len(mixing.SPACES)))
-    rows = [np.full(32, 32 * s) for s in (0, 1, 33, 1057, 1057 + mixing.HASHED, 1057 + 2 * mixing.HASHED)]
-    logp = mixing.mix(rows, np.arange(32), np.zeros(32, np.int64), np.arange(32), table, weights)
+    rows = [np.full(32, 32 * s) for s in (1, 40, 2000, 17500)]
+    one = np.ones(32, np.int64)
+    logp = mixing.mix(mixing.class_decisions(rows, np.arange(32), np.zeros(32, np.int64), table), np.arange(32), one, weights, mixing.RATE)
     assert abs((10.0**logp).sum() - 1) < 1e-9
 
 
 def test_weights_learn_within_a_text():
-    """A text whose classes follow one predictor gets cheaper as it goes on."""
-    counts = np.ones(mixing.SLOTS, np.int64)
-    table = mixing.predictors(counts)
-    table[32:64] = np.where(np.arange(32) >= 0, 3.0, 0).astype(np.float32)  # the second context says: ones
-    n = 64 * 40
-    rows = [np.zeros(n, np.int64), np.full(n, 32), *(np.zeros(n, np.int64) for _ in range(4))]
-    c, a = np.full(n, 31), np.zeros(n, np.int64)
-    whole = mixing.mix(rows, c, a, np.array([0]), table, mixing.first_weights())[0]
-    parts = mixing.mix(rows, c, a, np.arange(0, n, 64), table, mixing.first_weights()).sum()
-    assert whole > parts + 1
-
-
-def test_lm_contexts_grow_with_the_corpus(spark):
-    """Each of many rare words tells the class of the next one, in texts that were held out."""
+    """A text whose classes follow one predictor gets cheaper as it goes on, from its first tokens."""
+    table = mixing.predictors(np.ones(mixing.SLOTS, np.int64))
+    table[32:64] = 3.0  # the second context says: ones
+    first = np.full((2 * mixing.LEVELS, len(mixing.SPACES)), mixing.FIRST)
+    for n, gain in ((64 * 40, 1), (64, 1e-3)):
+        rows = [np.zeros(n, np.int64), np.full(n, 32), *(np.zeros(n, np.int64) for _ in range(2))]
+        decide = mixing.class_decisions(rows, np.full(n, 31), np.zeros(n, np.int64), table)
+        whole = mixing.mix(decide, np.array([0]), np.array([n]), first, mixing.RATE)[0]
+        parts = mixing.mix(decide, np.arange(n), np.ones(n, np.int64), first, mixing.RATE).sum()
+        assert whole > parts + gain
+
+
+def slow_scores(texts, held):
+    """The model's score of each text, one token and one decision at a time."""
+    words = [[*mixing.tokens(t), mixing.END_WORD] for t in texts]
+    taught = [ws for ws, h in zip(words, held) if not h]
+    count = Counter(w for ws in taught for w in ws)
+    frequent = sorted((w for w in count if count[w] >= mixing.LEAST and w != mixing.END_WORD), key=lambda w: (-count[w], mixing.word_hash(w)))
+    cls = {w: min(int(math.log2(i + 1)), mixing.RARE - 1) for i, w in enumerate(frequent)}
+    mass = Counter()
+    for w in frequent:
+        mass[cls[w]] += count[w]
+    rare = sum(n for w, n in count.items() if w not in cls and w != mixing.END_WORD)
+    unknown = min(max(sum(n == 1 for n in count.values()) / rare, 1e-9), 1 - 1e-9) if rare else 1.0
+    kind = lambda w: mixing.START if w is None else mixing.END if w == mixing.END_WORD else cls.get(w, mixing.RARE)
+    slot = lambda w: int(mixing.stir(np.array([1 if w is None else mixing.word_hash(w)], np.int64).view(np.uint64))[0]) % mixing.SPACES[2]
+
+    def contexts(ws, i):
+        one, two = (ws[i - d] if i >= d else None for d in (1, 2))
+        a, b = kind(one), kind(two)
+        return [(0, a), (1, a, b), (2, slot(one)), (3, min(int(math.log2(i + 1)), 15), a)], a, (two, one)
+
+    seen, went = {}, {}
+    for ws, h in zip(words, held):
+        for i, w in enumerate(ws):
+            rows, _, pair = contexts(ws, i)
+            if not h:
+                for r in rows:
+                    seen.setdefault(r, [0] * 32)[kind(w)] += 1
+                went.setdefault(pair, Counter())[w] += 1
+
+    def mixed(sequence, gates, first, rate):
+        """sequence: of each token, (inputs, bit, gate) of its decisions."""
+        weights, total, at = [list(first) for _ in range(gates)], 0.0, 0
+        while at < len(sequence):
+            width = min(max(at, 1), mixing.STRETCH)
+            change = [[0.0] * len(first) for _ in range(gates)]
+            for x, bit, gate in (d for token in sequence[at : at + width] for d in token):
+                p = 1 / (1 + math.exp(-min(max(sum(u * v for u, v in zip(weights[gate], x)), -20), 20)))
+                total += math.log10(p if bit else 1 - p)
+                for i, v in enumerate(x):
+                    change[gate][i] += (bit - p) * v
+            weights = [[u + rate * v for u, v in zip(*z)] for z in zip(weights, change)]
+            at += width
+        return total
+
+    out = []
+    for ws, h in zip(words, held):
+        mine = {}
+        for i, w in enumerate(ws):
+            if not h:
+                mine.setdefault(contexts(ws, i)[2], Counter())[w] += 1
+        score, hits, classes, run = 0.0, [], [], 0
+        for i, w in enumerate(ws):
+            rows, a, pair = contexts(ws, i)
+            others = went.get(pair, Counter()) - mine.get(pair, Counter())
+            been = sum(others.values())
+            if been:
+                hit = others[w] > 0
+                lately = math.copysign(math.log1p(2 * min(abs(run), 1024)), run)
+                hits.append([((math.log(been + 0.5), lately, 1.0), hit, int(run > 0))])
+                run = run + 1 if hit and run > 0 else 1 if hit else run - 1 if run < 0 else -1
+                if hit:
+                    score += math.log10(others[w] / been)
+                    continue
+            c = kind(w)
+            decisions = []
+            for level in range(mixing.LEVELS):
+                x = []
+                for r in rows:
+                    n = seen.get(r, [0] * 32)
+                    width = 32 >> level
+                    lo = (c >> (5 - level)) * width
+                    p = (sum(n[lo + width // 2 : lo + width]) + 0.2) / (sum(n[lo : lo + width]) + 0.4)
+                    x.append(min(max(math.log(p / (1 - p)), -12), 12))
+                decisions.append((x, bool(c >> (4 - level) & 1), 2 * level + (a == mixing.RARE)))
+            classes.append(decisions)
+            if w in cls:
+                score += math.log10(count[w] / mass[cls[w]])
+            elif w != mixing.END_WORD:
+                score += math.log10(count[w] * (1 - unknown) / rare) if count[w] else math.log10(unknown)
+        out.append(score + mixed(hits, 2, mixing.FIRST_HITS, mixing.RATE_HITS) + mixed(classes, 2 * mixing.LEVELS, [mixing.FIRST] * len(mixing.SPACES), mixing.RATE))
+    return out
+
+
+@pytest.mark.parametrize(("portion", "asked"), [(1 << 19, 1 << 21), (150, 100)])
+def test_lm_score_is_the_slow_one(spark, monkeypatch, portion, asked):
+    """However the corpus is cut into portions and buckets."""
+    monkeypatch.setattr(mixing, "PORTION", portion)
+    monkeypatch.setattr(mixing, "ASKED", asked)
+    texts = [t for t in odd_texts(8, 60) if not t or len(t) < 5000]
+    texts += [f"{texts[-1]} and then {texts[-2]}", texts[20], texts[20], "one two one two one two one two " * 5]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
+    got = {r.doc_id: r.score for r in mixing.score_texts(frame(spark, texts)).collect()}
+    for i, want in enumerate(slow_scores(texts, held)):
+        assert abs(got[i] - want) < 1e-5 * (1 + abs(want)), (i, texts[i])
+
+
+def test_lm_continuations_grow_with_the_corpus(spark):
+    """Each of many pairs of rare words tells the next one, in texts that were held out."""
     r = random.Random(3)
-    n = 1500  # contexts seen three times, under LEAST
-    after = {i: r.choice(["red", "blue", "green", "rare%d" % i]) for i in range(n)}
-    say = lambda ids, shift: " ".join(f"key{i} {after[(i + shift) % n]}" for i in ids)
+    n = 1500
+    say = lambda ids, shift: " ".join(f"key{i} part{i} after{(i + shift) % n}" for i in ids)
     held = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 10 == 0]
     taught = [i for i in range(2000) if i not in set(held)]
-    rows = []
-    for times in range(3):
-        ids = r.sample(range(n), n)
-        rows += [(taught.pop(), say(ids[at : at + 30], 0)) for at in range(0, n, 30)]
+    ids = r.sample(range(n), n)
+    rows = [(taught.pop(), say(ids[at : at + 30], 0)) for at in range(0, n, 30)]
     right, wrong = held[0], held[1]
     ids = r.sample(range(n), 400)
     rows += [(right, say(ids, 0)), (wrong, say(ids, 1))]
     got = {x.doc_id: x for x in mixing.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert got[right].held_out and got[wrong].held_out
-    assert got[right].score / got[right].n_tokens > got[wrong].score / got[wrong].n_tokens + 0.1
-
-
-def test_lm_portions_and_buckets_change_no_counts(spark, monkeypatch):
-    """Counts of a context from other portions and from the text's own add up as in one portion."""
-    import pyarrow as pa
-
-    texts = [t for t in odd_texts(8, 80) if t]
-    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i in range(len(texts))]
-    words = [[mixing.word_hash(w) for w in mixing.tokens(t)] for t in texts]
-    vocabulary = mixing.Vocabulary([], [], 1, 1, 1, 1, 1)
-    hashes = np.concatenate([np.append(np.array(w, np.int64), mixing.word_hash(b" ")) for w in words])
-    lens = np.array([len(w) + 1 for w in words])
-    starts = np.cumsum(lens) - lens
-    ends = np.cumsum(lens) - 1
-    numbers = np.zeros(len(hashes), np.int64)
-    numbers[ends] = 1
-    _, h1, h2, c, _ = mixing.contexts(numbers, hashes, starts, vocabulary.classes)
-    doc = np.repeat(np.arange(len(lens)), lens)
-    total, own = Counter(), Counter()
-    for d, a, b, k in zip(doc.tolist(), h1.tolist(), h2.tolist(), c.tolist()):
-        if not held[d]:
-            total.update([(a, k), (b, k)])
-            own.update([(d, a, k), (d, b, k)])
-    rows = []
-    frame_ = lambda lo, hi: pa.RecordBatch.from_pydict({"i": list(range(lo, hi)), "t": texts[lo:hi], "f": [not x for x in held[lo:hi]]})
-    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("T", (), {"partitionId": lambda self: 0})())
-    monkeypatch.setattr(mixing, "PORTION", 200)
-    for batch in mixing._tally(vocabulary, 4)([frame_(0, 30), frame_(30, len(texts))]):
-        rows += batch.to_pylist()
-    kinds = pa.schema([("bucket", pa.int64()), ("portion", pa.int64()), ("data", pa.binary())])
-    out = [x for b in {x["bucket"] for x in rows} for x in mixing._resolve(pa.Table.from_pylist([x for x in rows if x["bucket"] == b], kinds)).to_pylist()]
-    small, at = np.zeros(mixing.SLOTS, np.float32), 0
-    assert len({x["portion"] for x in out}) > 5
-    for portion in sorted({x["portion"] for x in out if x["portion"] >= 0}):
-        t = mixing.Texts([x["data"] for x in sorted(out, key=lambda x: x["bucket"]) if x["portion"] == portion], vocabulary, small)
-        for i, lo in enumerate(t.starts.tolist()):
-            d = t.ids[i]
-            for j in range(int(t.lens[i])):
-                for row, h in ((t.rows[3], h1), (t.rows[4], h2)):
-                    key = int(h[starts[d] + j])
-                    want = [total[key, k] - own[d, key, k] for k in range(32)]
-                    assert (t.table[row[lo + j] : row[lo + j] + 32] == mixing.predictors(np.array(want))).all()
-                at += 1
-    assert at == len(hashes)
-
-
-def test_lm_weights_learn_in_short_texts():
-    """Weights change within the first 64 tokens, too."""
-    table = mixing.predictors(np.ones(mixing.SLOTS, np.int64))
-    table[32:64] = 3.0
-    n = 64
-    rows = [np.zeros(n, np.int64), np.full(n, 32), *(np.zeros(n, np.int64) for _ in range(4))]
-    c, a = np.full(n, 31), np.zeros(n, np.int64)
-    whole = mixing.mix(rows, c, a, np.array([0]), table, mixing.first_weights())[0]
-    assert whole > mixing.mix(rows, c, a, np.arange(n), table, mixing.first_weights()).sum() + 1e-3
-
-
-def test_lm_weights_come_from_all_training_texts(monkeypatch):
-    import pyarrow as pa
-
-    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("T", (), {"partitionId": lambda self: 0})())
-    vocabulary = mixing.Vocabulary([], [], 1, 1, 1, 1, 1)
-    n = 2600
-    batch = pa.RecordBatch.from_pydict({"i": list(range(n)), "t": ["one two three"] * n, "f": [i >= 100 for i in range(n)]})
-    rows = [x for b in mixing._tally(vocabulary, 4)([batch]) for x in b.to_pylist()]
-    kinds = pa.schema([("bucket", pa.int64()), ("portion", pa.int64()), ("data", pa.binary())])
-    out = [x for b in sorted({x["bucket"] for x in rows if x["bucket"] <= -1000 or x["bucket"] >= 0}) for x in mixing._resolve(pa.Table.from_pylist([x for x in rows if x["bucket"] == b], kinds)).to_pylist()]
-    told = [x for b in mixing._weigh(vocabulary, np.zeros(mixing.SLOTS, np.float32))([pa.RecordBatch.from_pydict({"portion": [x["portion"] for x in out], "data": [x["data"] for x in out]})]) for x in b.to_pylist()]
-    assert sum(x["n"] for x in told) == 4 * (n - 100) and not np.array_equal(np.frombuffer(told[0]["w"]).reshape(2 * mixing.LEVELS, -1), mixing.first_weights())
+    assert got[right].score / got[right].n_tokens > got[wrong].score / got[wrong].n_tokens + 0.3
