@@ -91,7 +91,7 @@ def slugify(title: Column, doc_id: Column) -> Column:
 
 
 def split_keywords(text: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def iso_minutes(text: Column) -> Column:

@@ -94,7 +94,7 @@ def parse_json_ld(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     rows = pages.withColumn("__v", json_ld(F.col(html_col), lenient))
     return rows.select(
         *pages.columns, document_id(F.col(url_col)).alias("recipe_id"), url.alias("canonical"), s("$.name").alias("title"), s("$.description").alias("description"),
-        F.coalesce(F.filter(F.transform(_texts(v, "$.recipeIngredient"), F.trim), lambda x: x != ""), F.array().cast("array<string>")).alias("ingredients"), steps.alias("instructions"),
+        F.coalesce(F.filter(F.transform(_texts(v, "$.recipeIngredient"), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>")).alias("ingredients"), steps.alias("instructions"),
         F.struct(prep.alias("prep"), cook.alias("cook"), F.when(total == 0, prep + cook).otherwise(total).alias("total")).alias("times"),
         F.transform(keyword_values(keywords, CUISINES), title_case).alias("cuisine"), category.alias("category"), s("$.recipeYield").alias("yield"), author.alias("author"),
         split_keywords(keywords).alias("keywords"), s("$.datePublished").alias("date_published"), F.coalesce(F.get(images, F.lit(0)), F.lit("")).alias("image"), distinct_images(images).alias("all_images"),

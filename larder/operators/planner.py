@@ -86,16 +86,17 @@ def plan_meal(foods: DataFrame, target: float, keep: int = 50, most: int = 3) ->
     return items.select(greedy_pick(F.col("items"), F.lit(float(target)), most).alias("s")).select("s.picked", "s.total")
 
 
-def plan_day(foods: DataFrame, calories: float) -> DataFrame:
-    """(meal, food_id): meals in order, a food once a day."""
-    out, used = None, None
+def plan_day(foods: DataFrame, calories: float, most: int = 3) -> DataFrame:
+    """(meal, food_id): meals in order, a food once a day. Each meal's picks, `most` ids at most, are told
+    to the next one as values, so plans don't nest."""
+    rows, used = [], []
     for meal, share in MEALS.items():
         target = float(calories * share)
-        pool = candidates(foods, target, used=used)
-        part = plan_meal(pool, target).select(F.lit(meal).alias("meal"), F.explode("picked").alias("food_id"))
-        out = part if out is None else out.unionByName(part)
-        used = out.select("food_id")
-    return out
+        pool = candidates(foods.filter(~F.col("food_id").isin(used)) if used else foods, target)
+        picked = plan_meal(pool, target, most=most).first()["picked"] or []
+        rows += [(meal, i) for i in picked]
+        used += picked
+    return foods.sparkSession.createDataFrame(rows, "meal string, food_id long")
 
 
 def regenerate_score(target_calories: float) -> Column:

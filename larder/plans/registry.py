@@ -232,17 +232,53 @@ FILTERS = {
 @query(" UNION ALL ".join([_F + ", ".join([]) + "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{k}' AS setting, count(*) AS n, coalesce(sum(doc_id), 0)::BIGINT AS ids FROM r WHERE {w}" for k, (_, w) in FILTERS.items()) + ")"]))
 def filter_matrix(spark, sf_dir):
     rows = recipe_table(spark, sf_dir)
-    passes = [(k, filters.predicates(rows, s)) for k, (s, _) in FILTERS.items()]
+    return _counted(rows, FILTERS)
+
+
+_DATE = "CASE WHEN doc_id % 10 >= 2 THEN DATE '2020-01-01' + (doc_id % 1000)::INT END"
+_SODIUM = "CASE WHEN doc_id % 6 = 0 THEN 0 ELSE n_chars % 2000 END"
+MORE_FILTERS = {
+    "date_from": ({"min_publication_date": "2021-01-01"}, f"coalesce({_DATE} >= DATE '2021-01-01', true)"),
+    "date_to": ({"max_publication_date": "2020-03-01T00:00:00Z"}, f"coalesce({_DATE} <= DATE '2020-03-01', true)"),
+    "date_between": ({"date_from": "2020-06-01", "date_to": "2020-12-31"}, f"coalesce({_DATE} BETWEEN DATE '2020-06-01' AND DATE '2020-12-31', true)"),
+    "tools": ({"tools": ["Tool3", "tool5"]}, "doc_id % 7 IN (3, 5)"),
+    "required_tools": ({"required_tools": "tool1, none"}, "doc_id % 7 = 1"),
+    "ingredients": ({"ingredients": ["ING4"]}, "doc_id % 9 = 4"),
+    "author_location": ({"author_location": "City 2"}, "doc_id % 5 = 2"),
+    "carbs": ({"min_carbs": 20, "max_carbs": "40"}, "n_chars % 80 BETWEEN 20 AND 40"),
+    "fat": ({"max_fat": 30}, "n_chars % 70 <= 30"),
+    "fiber": ({"min_fiber": 12.5}, "n_chars % 30 >= 12.5"),
+    "sugar": ({"min_sugar": 1, "max_sugar": 9}, "n_chars % 60 BETWEEN 1 AND 9"),
+    "min_sodium": ({"min_sodium": 500}, f"{_SODIUM} >= 500"),
+    "max_sodium": ({"max_sodium": 100}, f"{_SODIUM} <= 100"),
+}
+
+
+def _counted(rows, settings):
+    """(setting, n, ids): how many rows pass each setting, and the sum of their ids, in one pass."""
     tests = []
-    for name, found in passes:
+    for name, (s, _) in settings.items():
         ok = F.lit(True)
-        for p in found:
+        for p in filters.predicates(rows, s):
             ok = ok & p
         tests.append(F.struct(F.lit(name).alias("setting"), F.coalesce(ok, F.lit(False)).alias("ok")))
     each = rows.select("doc_id", F.explode(F.array(*tests)).alias("t"))
     return each.groupBy(F.col("t.setting").alias("setting")).agg(F.count_if("t.ok").alias("n"), F.sum(F.when(F.col("t.ok"), F.col("doc_id")).otherwise(0)).alias("ids"))
 
 
+@query(" UNION ALL ".join(f"SELECT '{k}' AS setting, count(*) AS n, coalesce(sum(doc_id), 0)::BIGINT AS ids FROM documents WHERE {w}" for k, (_, w) in MORE_FILTERS.items()))
+def filter_matrix_more(spark, sf_dir):
+    """Settings on columns that documents don't fill: dates, some of them unreadable, tools, places, all nutrients."""
+    k, n = F.col("doc_id"), F.col("n_chars")
+    day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), (k % 1000).cast("int")), "yyyy-MM-dd")
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.array(F.concat(F.lit("tool"), (k % 7).cast("string"))).alias("tools"), F.array(F.lit("salt"), F.concat(F.lit("Ing"), (k % 9).cast("string"))).alias("ingredients"),
+        F.concat(F.lit("City "), (k % 5).cast("string")).alias("author_location"), F.when(k % 10 == 0, "").when(k % 10 == 1, "soon").otherwise(day).alias("date_published"),
+        F.struct(*((n % m).cast("string").alias(c) for c, m in (("carbs", 80), ("fat", 70), ("fiber", 30), ("sugar", 60))), F.when(k % 6 != 0, (n % 2000).cast("string")).alias("sodium")).alias("nutrition"),
+    )
+    return _counted(rows, MORE_FILTERS)
+
+
 @query(f"WITH {sql.RECIPES} SELECT doc_id FROM rec WHERE list_contains({_FIELD_TOK('ing')}, 'tion') AND list_contains({_FIELD_TOK('ing')}, 'the') AND lang IN ('en', 'de') AND n_chars % 240 BETWEEN 10 AND 10000")
 def index_filters(spark, sf_dir):
     return filters.apply_index_filters(recipe_table(spark, sf_dir), {"include_ingredients": "tion, the", "cuisine": ["en", "de"], "min_total_minutes": 10}).select("doc_id")
@@ -495,6 +531,27 @@ def parse_pages(spark, sf_dir):
     return parse.parse_pages(table(spark, sf_dir, "pages")).drop("html")
 
 
+_LD = """<html><script type="application/ld+json"><!-- {"@context": "http://schema.org", "@type": "Recipe", "name": "Pie %d", "recipeIngredient": [" flour0 ", "egg1", "milk2", " "], "recipeInstructions": [{"text": "Mix %d"}, " Bake "],
+"prepTime": "PT%dM", "cookTime": "PT1H", "keywords": "Easy,Italian, Tex Mex,Dessert", "author": {"name": "Ann %d"}, "recipeYield": "4", "nutrition": {"calories": "%d"}, "aggregateRating": {"ratingValue": "4.5", "reviewCount": "%d"}, "image": "http://img/recipes/%d.jpg"} --></script></html>"""
+
+
+@query("""SELECT doc_id::VARCHAR AS recipe_id, 'http://x/recipe/pie-' || doc_id AS canonical, 'Pie ' || doc_id AS title, 'flour0|egg1|milk2' AS ingredients, 'Mix ' || doc_id || '|Bake' AS instructions,
+(doc_id % 60)::INT AS prep, 60::INT AS cook, (60 + doc_id % 60)::INT AS total, 'Italian|Tex Mex' AS cuisine, 'Easy|Dessert' AS category, 'Easy|Italian|Tex Mex|Dessert' AS keywords, 'Ann ' || doc_id AS author, '4' AS yield,
+doc_id::VARCHAR AS calories, '4.5' AS rating, doc_id::VARCHAR AS review_count, 'http://img/recipes/' || doc_id || '.jpg' AS image, 'easy' AS difficulty, 'json-ld' AS parser FROM documents""")
+def parse_json_ld(spark, sf_dir):
+    """A recipe page a document, with its facts in JSON-LD."""
+    k = F.col("doc_id").cast("string")
+    parts = _LD.split("%d")
+    values = [k, k, (F.col("doc_id") % 60).cast("string"), k, k, k, k]
+    html = F.concat(F.lit(parts[0]), *(x for v, p in zip(values, parts[1:]) for x in (v, F.lit(p))))
+    pages = table(spark, sf_dir, "documents").select(F.concat(F.lit("http://x/recipe/pie-"), k).alias("url"), html.alias("html"))
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return parse.parse_pages(pages).select(
+        "recipe_id", "canonical", "title", joined("ingredients"), joined("instructions"), "times.prep", "times.cook", "times.total", joined("cuisine"), joined("category"), joined("keywords"),
+        "author", "yield", "nutrition.calories", "ratings.rating", "ratings.review_count", "image", "difficulty", "parser",
+    )
+
+
 @query("SELECT doc_id, trim(regexp_replace(regexp_replace(lower(coalesce(l[1], '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')) || '-' || doc_id AS slug FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
 def slugs(spark, sf_dir):
     return recipe_table(spark, sf_dir).select("doc_id", text.slugify(F.col("title"), F.col("doc_id")).alias("slug"))
@@ -559,6 +616,26 @@ def wiki_types(spark, sf_dir):
     return wiki.type_counts(wiki.extract_entities(spark.createDataFrame(WIKI_PAGES, "title string, text string")))
 
 
+_WIKI_TEXT = ("{{Infobox food\n| name = Dish\n| country = [[Land%d]]\n}}\n", "'''Dish %d''' is a [[food|dish]] of [[Land%d]]<ref>x</ref>.\n* a list item\n== Use ==\nmore\n[[Category:Foods]]\n[[Category:Dishes]]\n[[Category:Dishes originating from Land%d]]\n[[Category:Land%d cuisine]]")
+
+
+@query("""SELECT 'Dish_' || doc_id AS id, 'dish' AS type, 'Dish ' || doc_id || ' is a dish of Land' || doc_id % 9 || 'x.' AS abstract, 'Land' || doc_id % 9 AS origin_category, 'Land' || doc_id % 9 AS cuisine_region,
+CASE WHEN doc_id % 2 = 0 THEN 'Land' || doc_id % 9 END AS country, 4 AS n_categories FROM documents WHERE doc_id % 5 <> 0""")
+def wiki_entities(spark, sf_dir):
+    """A page a document: half with an infobox, a fifth about people."""
+    k = F.col("doc_id")
+    land = (k % 9).cast("string")
+
+    def filled(template, *values):
+        parts = template.split("%d")
+        return F.concat(F.lit(parts[0]), *(x for v, p in zip(values, parts[1:]) for x in (v, F.lit(p))))
+
+    body = filled(_WIKI_TEXT[1], k.cast("string"), land, land, land)
+    page = F.when(k % 5 == 0, "A writer of cooking books.\n[[Category:1561 births]]").when(k % 2 == 0, F.concat(filled(_WIKI_TEXT[0], land), body)).otherwise(body)
+    found = wiki.extract_entities(table(spark, sf_dir, "documents").select(F.concat(F.lit("Dish "), k.cast("string")).alias("title"), page.alias("text")))
+    return found.select("id", "type", "abstract", "origin_category", "cuisine_region", "country", F.size("categories").alias("n_categories"))
+
+
 # -- meal planning -------------------------------------------------------------------------------
 
 _PROFILE = """SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'male' ELSE 'female' END AS gender, 18 + c_custkey % 60 AS age, 150 + c_custkey % 45 AS height_cm, 50 + c_custkey % 70 AS weight_kg,

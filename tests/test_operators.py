@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from larder.functions import text
 from larder.operators import crawl, entities, facets, parse, planner, wiki
 from larder.plans import registry
 from larder.sources import files
@@ -169,6 +170,13 @@ def test_images(spark):
     assert one == ["http://a/food/1.jpg?w_10"]
 
 
+def test_list_items_keep_their_digits(spark):
+    """trim takes a second argument, which transform would fill with an item's place."""
+    df = spark.createDataFrame([("a0, b1 ,c2", "[[Category: x0]] [[Category:y1]]")], "k string, w string")
+    row = df.select(text.split_keywords(F.col("k")).alias("k"), wiki.categories(F.col("w")).alias("w")).first()
+    assert row.k == ["a0", "b1", "c2"] and row.w == ["x0", "y1"]
+
+
 def test_wiki(spark):
     got = {r.title: r for r in wiki.extract_entities(spark.createDataFrame(registry.WIKI_PAGES, "title string, text string")).collect()}
     assert set(got) == {"Black Pepper", "Italian Cuisine"}
