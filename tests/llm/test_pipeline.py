@@ -39,6 +39,28 @@ def test_stages(spark):
     assert packing.PIECE.split(", ")[0] == "doc_id long" and corpus_pipeline.ORACLE_SQL is None
 
 
+def test_stages_on_odd_rows(spark):
+    """Nulls, empty and very long texts, ties, repeated rows and clashing names: no text is lost, no row stays twice."""
+    import random
+
+    r = random.Random(9)
+    long = " ".join(f"w{r.randint(0, 10**6)}" for _ in range(30000))
+    near = [f"n{i}" for i in range(60)]
+    rows = [(None, None), (1, None), (1, ""), (2, " "), (3, long), (3, long), (4, "One text, of some words"), (5, "ONE text, of some words"), (5, "one more text under that id"), (None, "no id at all here"), (None, "no id at all here"), (6, " ".join(near)), (7, " ".join([*near[:59], "x"])), (7, "seven's other text")]
+    names = "doc_id long, text string, id string, key string, n int, class string, score string, __larder_9 string, start string"
+    docs = spark.createDataFrame([(*x, "i", "k", 1, "c", "s", "l", "t") for x in rows], names).repartition(5)
+    stage = docs
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        stage = f(spark, stage, SF)
+        assert stage.columns == docs.columns
+        assert f(spark, docs.limit(0), SF).count() == 0
+    left = [(x.doc_id, x.text) for x in stage.collect()]
+    assert sorted((str(i), (t or "")[:9]) for i, t in left) == [("1", ""), ("2", " "), ("3", long[:9]), ("4", "One text,"), ("5", "one more "), ("6", "n0 n1 n2 "), ("7", "seven's o"), ("None", "no id at ")]
+    pieces = corpus_pipeline.STAGES[-1][1](spark, stage, SF).collect()
+    assert {p.doc_id for p in pieces} == {1, 2, 3, 4, 5, 6, 7, None} and sum(p.length for p in pieces if p.doc_id == 3) > 30000
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).count() == 0
+
+
 def test_queries_are_registered(spark):
     import __spark_entry__
 
