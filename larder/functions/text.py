@@ -120,8 +120,28 @@ def leading_number(value: Column) -> Column:
 
 
 #: What is dropped from an ingredient line, in this order.
-MEASURES = "cups?|c\\.?;tablespoons?|tbsps?|tbs?|tb;teaspoons?|tsps?|ts;fluid\\s+ounces?|fl\\.?\\s*ozs?;milliliters?|mls?;liters?|ls?;pints?|pts?;quarts?|qts?;gallons?|gals?;pounds?|lbs?;ounces?|ozs?;grams?|gs?;kilograms?|kgs?;packages?|pkgs?;envelopes?;packets?;cans?;jars?;bottles?;boxes?;bags?;containers?;bunches?;cloves?;pinchs?|pinches?;dashs?|dashes?;handfuls?;slices?;pieces?;stalks?;heads?;sprigs?;lea(?:f|ves);strips?".split(";")
-DESCRIPTIONS = "chopped|minced|diced|sliced|shredded|grated|crushed|ground|peeled;cubed|julienned|halved|quartered|crumbled|mashed|pureed|pressed;separated|divided|pitted|seeded|deveined|skinned|boned|trimmed;finely|coarsely|roughly|thinly|thickly|lightly;fresh|freshly|dried|frozen|canned|jarred|bottled|packaged;raw|cooked|roasted|grilled|toasted|fried|boiled|steamed;large|medium|small|extra|mini|jumbo|giant|sized?;thick|thin|heavy|light|lean;low|reduced|fat|free|non;optional|additional|more|less;room\\s+temperature|softened|melted|beaten|whipped;unsalted|salted|sweetened|unsweetened;whole|half|halves|quarter;ripe|unripe|firm|soft|hard;organic|natural|artificial;regular|extra|super;approx(?:imate)?|about|up;total|combined|mixed;aged|old|new|young;pure|real|imitation;instant|active|quick|rapid|reg".split(";")
+MEASURES = (
+    "cups?|c\\.?", "tablespoons?|tbsps?|tbs?|tb", "teaspoons?|tsps?|ts", "fluid\\s+ounces?|fl\\.?\\s*ozs?",
+    "milliliters?|mls?", "liters?|ls?", "pints?|pts?", "quarts?|qts?", "gallons?|gals?", "pounds?|lbs?",
+    "ounces?|ozs?", "grams?|gs?", "kilograms?|kgs?", "packages?|pkgs?", "envelopes?", "packets?", "cans?",
+    "jars?", "bottles?", "boxes?", "bags?", "containers?", "bunches?", "cloves?", "pinchs?|pinches?",
+    "dashs?|dashes?", "handfuls?", "slices?", "pieces?", "stalks?", "heads?", "sprigs?", "lea(?:f|ves)",
+    "strips?",
+)
+DESCRIPTIONS = (
+    "chopped|minced|diced|sliced|shredded|grated|crushed|ground|peeled",
+    "cubed|julienned|halved|quartered|crumbled|mashed|pureed|pressed",
+    "separated|divided|pitted|seeded|deveined|skinned|boned|trimmed",
+    "finely|coarsely|roughly|thinly|thickly|lightly",
+    "fresh|freshly|dried|frozen|canned|jarred|bottled|packaged",
+    "raw|cooked|roasted|grilled|toasted|fried|boiled|steamed",
+    "large|medium|small|extra|mini|jumbo|giant|sized?", "thick|thin|heavy|light|lean",
+    "low|reduced|fat|free|non", "optional|additional|more|less",
+    "room\\s+temperature|softened|melted|beaten|whipped", "unsalted|salted|sweetened|unsweetened",
+    "whole|half|halves|quarter", "ripe|unripe|firm|soft|hard", "organic|natural|artificial",
+    "regular|extra|super", "approx(?:imate)?|about|up", "total|combined|mixed", "aged|old|new|young",
+    "pure|real|imitation", "instant|active|quick|rapid|reg",
+)
 PHRASES = ("to taste|for serving|for garnish|as needed|as desired", "cut into|drained?|rinsed?|washed?|trimmed?")
 PUNCTUATION = ",-–—.;:&!@#$%^*()[]{}|\\/\"'`~+=%\t\n"
 NOT_FOOD = (r"^\d+\s*\.", r"^\.", r"^\-", r"work\s*best", r"i\s*used?", "depending", r"may\s*need", "preferably", r"markets?")

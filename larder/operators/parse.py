@@ -9,11 +9,28 @@ from ..functions.text import iso_minutes, split_keywords
 from .crawl import canonical_url, document_id
 
 #: Names that count as cuisines, tags that count as categories, image URL rules.
-CUISINES = "american;canadian;mexican;tex mex;cajun;creole;southwestern u.s.;native american;south american;latin;caribbean;european;italian;french;spanish;greek;german;portuguese;british;irish;scandinavian;polish;asian;chinese;japanese;korean;thai;vietnamese;indian;filipino;indonesian;malaysian;singaporean;mediterranean;moroccan;ethiopian;african;middle eastern;lebanese;turkish;persian;australian;new zealand;hawaiian;jewish;kosher;halal".split(";")
-CATEGORIES = "breakfast;brunch;lunch;lunch/snacks;dinner;dessert;appetizers;beverages;snacks;side dishes;vegan;vegetarian;kosher;halal;gluten-free;dairy-free;egg free;lactose free;no shell fish;low cholesterol;low protein;high protein;high fiber;very low carbs;healthy;free of...;beginner cook;easy;intermediate;advanced;christmas;thanksgiving;halloween;easter;birthday;summer;winter;fall;spring;weeknight;potluck;for large groups;kid friendly".split(";")
-NOT_IMAGES = "logo;favicon;icon;brand;avatar;profile;sharegraphic;header;footer;navigation;nav;banner;static;gk-static".split(";")
-IMAGES = "img/recipes/;img/feed/;recipe;food;dish;cooking;kitchen;meal;cuisine".split(";")
-SIZED = "ar_5:4;ar_3:2;c_thumb;q_55;f_auto;w_744;w_860".split(";")
+CUISINES = (
+    "american", "canadian", "mexican", "tex mex", "cajun", "creole", "southwestern u.s.", "native american",
+    "south american", "latin", "caribbean", "european", "italian", "french", "spanish", "greek", "german",
+    "portuguese", "british", "irish", "scandinavian", "polish", "asian", "chinese", "japanese", "korean",
+    "thai", "vietnamese", "indian", "filipino", "indonesian", "malaysian", "singaporean", "mediterranean",
+    "moroccan", "ethiopian", "african", "middle eastern", "lebanese", "turkish", "persian", "australian",
+    "new zealand", "hawaiian", "jewish", "kosher", "halal",
+)
+CATEGORIES = (
+    "breakfast", "brunch", "lunch", "lunch/snacks", "dinner", "dessert", "appetizers", "beverages", "snacks",
+    "side dishes", "vegan", "vegetarian", "kosher", "halal", "gluten-free", "dairy-free", "egg free",
+    "lactose free", "no shell fish", "low cholesterol", "low protein", "high protein", "high fiber",
+    "very low carbs", "healthy", "free of...", "beginner cook", "easy", "intermediate", "advanced",
+    "christmas", "thanksgiving", "halloween", "easter", "birthday", "summer", "winter", "fall", "spring",
+    "weeknight", "potluck", "for large groups", "kid friendly",
+)
+NOT_IMAGES = (
+    "logo", "favicon", "icon", "brand", "avatar", "profile", "sharegraphic", "header", "footer", "navigation",
+    "nav", "banner", "static", "gk-static",
+)
+IMAGES = ("img/recipes/", "img/feed/", "recipe", "food", "dish", "cooking", "kitchen", "meal", "cuisine")
+SIZED = ("ar_5:4", "ar_3:2", "c_thumb", "q_55", "f_auto", "w_744", "w_860")
 NUTRIENTS = {"calories": "calories", "fat": "fatContent", "saturated_fat": "saturatedFatContent", "cholesterol": "cholesterolContent", "sodium": "sodiumContent", "carbohydrates": "carbohydrateContent", "fiber": "fiberContent", "sugar": "sugarContent", "protein": "proteinContent"}
 
 
