@@ -53,6 +53,9 @@ def kept_index(spark, sf_dir):
         index = index_of(spark, sf_dir)
         for name in ("postings", "docmeta", "terms", "stats"):
             setattr(index, name, getattr(index, name).persist())
+        for old in _KEPT.values():
+            for name in ("postings", "docmeta", "terms", "stats"):
+                getattr(old, name).unpersist()
         _KEPT.clear()
         _KEPT[key] = index
     return _KEPT[key]
