@@ -11,7 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a batch that reaches Python: whole texts are long, and both sides hold a batch.
+BATCH = "1000"
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A table of the corpus. The session's Arrow batches, where nobody has set their size, are made smaller."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, BATCH)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -36,12 +44,24 @@ def ascii_lower(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker, for loaded vocabularies and the like.
+def worker_cache(kind: str = "") -> dict:
+    """A dict that lives as long as the Python worker, for loaded vocabularies and the like of one kind.
 
-    Functions are shipped by value, so their module globals are new in each task; this isn't.
+    Functions are shipped by value, so their module globals are new in each task; this isn't. Workers
+    serve one operator after another: what another kind has left is dropped and its memory given back.
     """
-    return sys.modules.setdefault("_larder_worker", types.ModuleType("_larder_worker")).__dict__
+    kept = sys.modules.setdefault("_larder_worker", types.ModuleType("_larder_worker")).__dict__
+    if kept.get("kind") != kind:
+        import ctypes
+        import gc
+
+        kept.clear()
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+        kept["kind"] = kind
+    return kept
 
 
 def broadcast_if_small(df: DataFrame, n_bytes: int, bound: int = 32 << 20) -> DataFrame:

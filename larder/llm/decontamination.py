@@ -210,7 +210,7 @@ def index_of(block: list[tuple[int, str]]) -> Index:
     """The index of a block of items, built once a Python worker."""
     from xxhash import xxh3_128_intdigest
 
-    cache, key = worker_cache(), xxh3_128_intdigest(repr(block).encode("utf-8", "surrogatepass"))
+    cache, key = worker_cache("leaks"), xxh3_128_intdigest(repr(block).encode("utf-8", "surrogatepass"))
     if cache.get("leaks", (None,))[0] != key:
         cache["leaks"] = (key, Index(block))
     return cache["leaks"][1]

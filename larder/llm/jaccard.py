@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, few, materialize, row_key, without_rows
+from .common import broadcast_if_small, few, materialize, row_key, without_rows, worker_cache
 from .components import components
 
 #: n-grams that one task joins at once; n-grams of a portion of texts; n-grams of a bucket, as many as are expected.
@@ -226,6 +226,7 @@ def _portions(batches, k: int):
     """(portion, ids, keys, number of each row's set, distinct sets, their classes) of the rows (id, key, text)."""
     from pyspark import TaskContext
 
+    worker_cache()
     portion = TaskContext.get().partitionId() << 32
     ids, keys, which, sets, known, held = [], [], [], [], {}, 0
     for batch in _pieces(batches):
@@ -448,6 +449,7 @@ def _links(k: int, num: int, den: int):
     def run(batches):
         import pyarrow as pa
 
+        worker_cache()
         key, ids, sets = None, [], []
 
         def table():
@@ -494,7 +496,9 @@ def _groups(rows: DataFrame, k: int, num: int, den: int):
     left = classes.filter(F.col("shared") * den >= F.col("n") * num)
     n_grams = left.agg(F.sum("n")).first()[0] or 0
     bits, parts = sizes(n_grams)
-    asked = _rows_of(rows, left.select("row")).select("id", "key", "text").mapInArrow(_count(k, bits), SENT).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    # in order, so that a portion is the same if a task runs again
+    few_rows = _rows_of(rows, left.select("row")).select("id", "key", "text").sortWithinPartitions("id", "key")
+    asked = few_rows.mapInArrow(_count(k, bits), SENT).repartition(parts, "bucket").sortWithinPartitions("bucket")
     told = asked.mapInArrow(_held, SENT).repartition(parts, "portion").sortWithinPartitions("portion", "kind")
     found = materialize(told.mapInArrow(_candidates(num, den), "kind long, a long, b long"))
     lists = found.filter("kind = 1").select("a", "b")

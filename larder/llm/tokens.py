@@ -30,7 +30,7 @@ def byte_letters() -> dict[int, int]:
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    kept = worker_cache()
+    kept = worker_cache("tokens")
     if (key := ("tokenizer", path)) not in kept:
         kept[key] = Tokenizer.from_file(path)
         kept[key].encode_special_tokens = True
@@ -39,7 +39,7 @@ def tokenizer(path: str):
 
 def encoder(path: str):
     """text -> bytes of its ids, without special tokens; kept for the worker's life."""
-    kept = worker_cache()
+    kept = worker_cache("tokens")
     if (key := ("encoder", path)) not in kept:
         kept[key] = _encoder(path)
     return kept[key]

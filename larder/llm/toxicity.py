@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
+
 #: The fit's bounded sample: confirmed toxic texts and unlabelled ones. Features kept at most.
 POSITIVES, UNLABELLED, FEATURES = 3000, 9000, 5000
 #: Positives that a feature must be seen in.
@@ -105,6 +107,7 @@ def _hashes(known=None):
         import numpy as np
         import pyarrow as pa
 
+        worker_cache()
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             raw = []
             for t in batch.column(1).to_pylist():
@@ -172,6 +175,7 @@ def scorer(model: tuple[float, dict[int, float]]):
         import numpy as np
         import pyarrow as pa
 
+        worker_cache()
         known: dict[str, float] = {}
 
         def weigh(word):
