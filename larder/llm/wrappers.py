@@ -386,11 +386,16 @@ def _tree(html, known: dict):
 def _body(found, kept: set[str]) -> tuple[list[str], int]:
     """Words of a page's article that the reference's article doesn't repeat as whole leaves, and a
     number that copies and most near copies of them share: the smallest hash of three words in a row."""
+    import numpy as np
     from xxhash import xxh3_64_intdigest
 
     words = [w for n in found if n.text not in kept for w in n.text.split()]
-    runs = {" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
-    return words, min(xxh3_64_intdigest(r.encode("utf-8", "surrogatepass")) for r in runs) - (1 << 63)
+    raw = " ".join(words).encode("utf-8", "surrogatepass").split(b" ")
+    h = np.fromiter(map(xxh3_64_intdigest, raw), np.uint64, len(raw))
+    if len(h) > 2:
+        h = (h[:-2] * np.uint64(0x9E3779B97F4A7C15) ^ h[1:-1]) * np.uint64(0xBF58476D1CE4E5B9) ^ h[2:]
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return words, int(h.min() >> np.uint64(1))
 
 
 def article_leaves(root: Node) -> list[Node]:
@@ -445,22 +450,31 @@ def _add(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "leaf", "n", "same", "words"])
 
 
-def page_text(page: Node, root: Node, own: list[Node], template: list[int], part: Node | None) -> str:
-    """The text of a page by its wrapper: the reference page with its leaves, the template's places among
-    these, and the content part. A page that says itself what its article is (article, main) is cut to it."""
-    pairs = match(root, page)
-    constant = {id(pairs[id(own[i])]) for i in template if id(own[i]) in pairs and pairs[id(own[i])].text == own[i].text}
-    found = pairs.get(id(part)) if part is not None else None
-    if found is None or found is page or any(article for _, _, article in leaves(page)):
-        return main_text(page, constant)
-    return part_text(page, found, constant)
+class Wrapper:
+    """A reference page with its leaves, the template's places among these and their texts, and the content part."""
+
+    def __init__(self, root: Node, own: list[Node], told: list):
+        self.root, self.own = root, own
+        self.template = [x["leaf"] for x in told if x["steady"]]
+        self.texts = {own[i].text for i in self.template}
+        self.part = content_part(root, {x["leaf"]: x["words"] for x in told if not x["steady"]})
+
+    def text(self, page: Node) -> str:
+        """The text of a page. A page that says itself what its article is (article, main) is cut to it."""
+        whole = self.part is self.root or any(article for _, _, article in leaves(page))
+        if whole and not any(n.text in self.texts for n in article_leaves(page)):
+            return main_text(page, set())  # no leaf of the content can be template: nothing to align
+        pairs = match(self.root, page)
+        constant = {id(pairs[id(self.own[i])]) for i in self.template if id(self.own[i]) in pairs and pairs[id(self.own[i])].text == self.own[i].text}
+        found = pairs.get(id(self.part))
+        return main_text(page, constant) if whole or found is None else part_text(page, found, constant)
 
 
 def _extract(batches):
     import pyarrow as pa
 
+    trees: dict = {}
     known: dict = {}
-    parts: dict = {}
     for batch in batches:
         out = []
         for html, reference, told in zip(*(batch.column(c).to_pylist() for c in ("html", "reference", "told"))):
@@ -468,13 +482,11 @@ def _extract(batches):
             if not told:
                 out.append(main_text(page, set()))
                 continue
-            root, own = _tree(reference, known)
-            template, slots = [x["leaf"] for x in told if x["steady"]], {x["leaf"]: x["words"] for x in told if not x["steady"]}
-            if reference not in parts or parts[reference][0] is not root:
-                if len(parts) > 2000:
-                    parts.clear()
-                parts[reference] = (root, content_part(root, slots))
-            out.append(page_text(page, root, own, template, parts[reference][1]))
+            if reference not in known:
+                if len(known) > 2000:
+                    known.clear()
+                known[reference] = Wrapper(*_tree(reference, trees), told)
+            out.append(known[reference].text(page))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
