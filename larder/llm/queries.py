@@ -65,6 +65,67 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM n
 """
 
+_DIV = "floor({0}::DOUBLE / ({1})::DOUBLE)::BIGINT"
+_K = ("k1", "k2", "k3", "k4")
+
+
+def _fronts_sql(src: str, name: str, limit: int = 12) -> str:
+    """CTEs {name}1 .. of the fronts of src (g, k1 .. k4), each of what the ones before leave, and {name} with all."""
+    same = " AND ".join(f"b.{k} <= a.{k}" for k in _K)
+    more = " OR ".join(f"b.{k} < a.{k}" for k in _K)
+    out = []
+    for i in range(1, limit + 1):
+        left = src if i == 1 else f"{name}_left{i - 1}"
+        out.append(f"{name}{i} AS MATERIALIZED (SELECT * FROM {left} a WHERE NOT EXISTS (SELECT 1 FROM {left} b WHERE b.g = a.g AND {same} AND ({more})))")
+        out.append(f"{name}_left{i} AS MATERIALIZED (SELECT * FROM {left} EXCEPT SELECT * FROM {name}{i})")
+    out.append(f"{name} AS (" + " UNION ALL ".join(f"SELECT *, {i} AS layer FROM {name}{i}" for i in range(1, limit + 1)) + ")")
+    return ",\n".join(out)
+
+
+OP11_SQL = f"""
+WITH l AS (SELECT sale_id, item_id, vendor_id, quantity::BIGINT AS q, floor(100 * amount + 0.5::DOUBLE)::BIGINT AS c, floor(100 * discount + 0.5::DOUBLE)::BIGINT AS d, shipped_at::DATE AS day FROM sale_lines WHERE item_id IS NOT NULL AND vendor_id IS NOT NULL),
+s AS (SELECT sale_id, min(sold_at::DATE) AS sold FROM sales WHERE sold_at IS NOT NULL GROUP BY sale_id),
+m AS (SELECT l.item_id, vendor_id, sum(CASE WHEN c IS NOT NULL AND d IS NOT NULL AND q IS NOT NULL THEN c * (100 - d) END) AS paid, sum(CASE WHEN c IS NOT NULL AND d IS NOT NULL AND q IS NOT NULL THEN q END) AS units,
+  sum(d) AS ds, count(d) AS dn, sum(date_diff('day', sold, day)) AS es, count(date_diff('day', sold, day)) AS en, max(q) AS quantity FROM l LEFT JOIN s USING (sale_id) GROUP BY ALL),
+o AS MATERIALIZED (SELECT m.item_id, vendor_id, kind AS part_type, CASE WHEN floor(100 * i.price + 0.5::DOUBLE) >= 1 THEN {_DIV.format("paid", "floor(100 * i.price + 0.5::DOUBLE) * units")} END AS price,
+  CASE WHEN dn > 0 THEN {_DIV.format("ds", "dn")} END AS discount, CASE WHEN en > 0 THEN {_DIV.format("es", "en")} END AS delay, quantity FROM m LEFT JOIN items i USING (item_id)),
+v AS (SELECT *, coalesce('t' || part_type, '') AS g, coalesce(price, 9223372036854775807) AS k1, coalesce(-discount, 9223372036854775807) AS k2, coalesce(delay, 9223372036854775807) AS k3, coalesce(-quantity, 9223372036854775807) AS k4 FROM o),
+t0 AS MATERIALIZED (SELECT DISTINCT g, k1, k2, k3, k4 FROM v),
+{_fronts_sql("t0", "t")},
+e0 AS MATERIALIZED (SELECT DISTINCT '' AS g, k1, k2, k3, k4 FROM t),
+{_fronts_sql("e0", "e")}
+SELECT item_id, vendor_id, part_type, price, discount, delay, quantity, coalesce(t.layer, 0)::BIGINT AS type_layer, coalesce(e.layer, 0)::BIGINT AS global_layer, count(*) OVER (PARTITION BY v.k1, v.k2, v.k3, v.k4) AS n_equal
+FROM v LEFT JOIN t ON t.g = v.g AND t.k1 = v.k1 AND t.k2 = v.k2 AND t.k3 = v.k3 AND t.k4 = v.k4 LEFT JOIN e ON e.k1 = v.k1 AND e.k2 = v.k2 AND e.k3 = v.k3 AND e.k4 = v.k4
+"""
+
+#: What a source takes is whole passes over its blocks and the first blocks of one more.
+OP12_SQL = """
+WITH r AS (SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS name, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+s AS (SELECT name, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY name) - 1 AS no FROM r GROUP BY name),
+w AS (SELECT *, 1 + no % 3 AS weight, source_size * CASE no % 3 WHEN 0 THEN 18 WHEN 1 THEN 9 ELSE 6 END AS ratio FROM s),
+a AS (SELECT *, sum(source_size) OVER ()::BIGINT AS total, coalesce(sum(3 * source_size) OVER low, 0)::BIGINT AS below, (sum(weight) OVER () - coalesce(sum(weight) OVER low, 0))::BIGINT AS over FROM w WINDOW low AS (ORDER BY ratio GROUPS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, weight * (total - below)::HUGEINT > 3 * source_size::HUGEINT * over AS stops FROM a),
+f AS (SELECT *, CASE WHEN stops THEN (3 * source_size)::DOUBLE ELSE (weight * (total - coalesce(sum(3 * source_size) FILTER (stops) OVER (), 0)::BIGINT))::DOUBLE / (sum(weight) FILTER (NOT stops) OVER ())::DOUBLE END AS target, greatest(least(2048, source_size // 512), 1) AS width FROM c),
+b AS (SELECT *, (source_size + width - 1) // width AS blocks FROM f),
+k AS (SELECT name, source_size, target, greatest(blocks, 1) AS blocks, CASE WHEN blocks > 0 THEN least(floor(target * blocks / source_size + 0.5::DOUBLE)::BIGINT, 3 * blocks) ELSE 0 END AS slots FROM b),
+p AS (SELECT name, source_size, target, slots // blocks AS passes, (slots % blocks) * (source_size // blocks) + least(slots % blocks, source_size % blocks) AS rest FROM k),
+d AS (SELECT *, (sum(size) OVER (PARTITION BY name ORDER BY h, doc_id, size ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS pos FROM r)
+SELECT doc_id, size, source_size, target, (size * passes + greatest(0, least(pos + size, rest) - pos))::BIGINT AS taken FROM d JOIN p USING (name)
+"""
+
+_TERMS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+OP13_SQL = f"""
+WITH q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+t AS (SELECT doc_id, unnest({_TERMS}) AS term FROM documents),
+n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+s AS (SELECT count(*) AS nn, sum(n)::BIGINT AS ll FROM n),
+p AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, s GROUP BY term, nn),
+g AS (SELECT doc_id, 50 + (50 * n * nn) // ll AS m FROM n, s),
+c AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN g USING (doc_id) GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM c WHERE score > 0 QUALIFY rank <= 50
+"""
+
 
 def _tok(name):
     import public_tokenizers
@@ -134,5 +195,24 @@ def op9_url_reputation(spark, sf_dir):
     return judge_urls(read(spark, sf_dir, "pages"), labels.select("doc_id", good)).withColumn("good_low", F.round("good_low", 6))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_secret_scan, op4_toxicity, op5_html_text, op6_jaccard_join, op7_token_store, op8_decontamination, op9_url_reputation, op10_lm_scores)}
-ORACLES = {"op2_exact_dedup": OP2_SQL, "op6_jaccard_join": OP6_SQL, "op9_url_reputation": OP9_SQL}
+
+def op11_pareto(spark, sf_dir):
+    from .pareto import offer_layers
+
+    return offer_layers(*(read(spark, sf_dir, t) for t in ("sale_lines", "items", "sales")))
+
+
+def op12_mix(spark, sf_dir):
+    from .schedule import mix, taken_words
+
+    return taken_words(mix(read(spark, sf_dir, "documents")))
+
+
+def op13_search(spark, sf_dir):
+    from .wand import search
+
+    return search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_secret_scan, op4_toxicity, op5_html_text, op6_jaccard_join, op7_token_store, op8_decontamination, op9_url_reputation, op10_lm_scores, op11_pareto, op12_mix, op13_search)}
+ORACLES = {"op2_exact_dedup": OP2_SQL, "op6_jaccard_join": OP6_SQL, "op9_url_reputation": OP9_SQL, "op11_pareto": OP11_SQL, "op12_mix": OP12_SQL, "op13_search": OP13_SQL}
