@@ -6,17 +6,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, running
 
 #: Words of a block; a source that would have fewer than LEAST_BLOCKS of them has shorter ones.
 BLOCK = 2048
 LEAST_BLOCKS = 512
-#: Rows of a range whose sums are taken in one task.
-RANGE = 50_000
 #: Slots that one row is exploded to.
 SEGMENT = 50_000
 #: Sources up to which their table, some 100 bytes a row, is broadcast.
@@ -28,42 +24,6 @@ def words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _sums(values: list[str]):
-    def run(batches):
-        import numpy as np
-        import pyarrow as pa
-        from pyspark import TaskContext
-
-        part, before = TaskContext.get().partitionId(), [0] * len(values)
-        for batch in batches:
-            cols = list(batch.columns)
-            for i, name in enumerate(values):
-                n = batch.column(name).to_numpy(zero_copy_only=False)
-                total = np.cumsum(n)
-                cols.append(pa.array(total - n + before[i], pa.int64()))
-                before[i] += int(total[-1]) if len(n) else 0
-            cols.append(pa.array(np.full(batch.num_rows, part), pa.int64()))
-            yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, *(f"before_{v}" for v in values), "__part"])
-
-    return run
-
-
-def running(rows: DataFrame, order: Sequence[str], values: list[str], n_rows: int) -> DataFrame:
-    """rows with before_<value> for each of values (longs): its sum over all rows that come before, by `order`.
-
-    Ranges of the order are summed in their tasks; the sums of ranges, one row each, meet in a window.
-    Rows that tie in the whole order are in one range.
-    """
-    kind = T.StructType([*rows.schema.fields, *(T.StructField(f"before_{v}", T.LongType()) for v in values), T.StructField("__part", T.LongType())])
-    dealt = rows.repartitionByRange(max(1, -(-n_rows // RANGE)), *order).sortWithinPartitions(*order)
-    own = materialize(dealt.mapInArrow(_sums(values), kind))
-    sums = own.groupBy(F.col("__part").alias("__p")).agg(*(F.sum(v).alias(f"__{v}") for v in values))
-    w = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)  # one row for each range
-    sums = materialize(sums.select("__p", *(F.coalesce(F.sum(f"__{v}").over(w), F.lit(0)).alias(f"__{v}") for v in values)))
-    met = own.join(sums, F.col("__part") == F.col("__p"))
-    return met.select(*rows.columns, *((F.col(f"before_{v}") + F.col(f"__{v}")).alias(f"before_{v}") for v in values))
-
-
 # -- targets -------------------------------------------------------------------------------------
 
 
