@@ -694,3 +694,7 @@ def meal_scores(spark, sf_dir):
 
 def flagship(spark, sf_dir):
     return QUERIES["bm25_topk"](spark, sf_dir)
+
+
+# more queries register themselves on import
+from . import clauses  # noqa: E402, F401
