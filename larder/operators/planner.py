@@ -119,3 +119,159 @@ def day_totals(plan: DataFrame, foods: DataFrame, by: list[str] | None = None) -
 def status(actual: Column, target: Column) -> Column:
     ratio = actual / target * 100
     return F.when(ratio < 85, "under").when(ratio > 115, "over").otherwise("good")
+
+
+# -- day plans of a whole table of profiles --------------------------------------------------------
+
+#: Categories of a meal, words that a meal's titles must not hold, and words of titles and keywords that
+#: stand in where a meal has fewer than FEW foods by category.
+MEAL_CATEGORIES = {"breakfast": ("breakfast", "brunch"), "lunch": ("lunch",), "dinner": ("dinner", "main dish", "main course"), "snacks": ("snack", "appetizer", "dessert")}
+MEAL_EXCLUDED = {
+    "breakfast": ("dinner", "lunch", "kabob", "kabab", "bbq", "barbecue", "grilled chicken", "roast", "casserole", "steak", "curry", "pasta", "ribs", "brisket"),
+    "lunch": (),
+    "dinner": ("breakfast", "brunch", "cereal", "oatmeal"),
+    "snacks": ("breakfast", "dinner", "lunch", "main"),
+}
+MEAL_KEYWORDS = {
+    "breakfast": ("morning", "cereal", "pancake", "waffle", "egg", "oatmeal", "smoothie", "french toast", "bagel", "muffin", "toast", "bacon", "sausage", "hash brown", "crepe", "omelet", "scramble", "breakfast burrito"),
+    "lunch": ("sandwich", "salad", "soup", "wrap", "burger", "pizza"),
+    "dinner": ("entree", "casserole", "roast", "steak", "chicken breast", "pasta", "curry", "stir fry", "grilled"),
+    "snacks": ("bar", "bite", "cookie", "brownie", "cake", "pie", "chips", "dip"),
+}
+FEW = 10
+#: Calorie buckets a kcal: targets, and 0.8 or 1.2 of them, are multiples of a fifth and so never inside a bucket.
+PER_KCAL = 5
+_NEAR = "array<struct<food_id:bigint,calories:double,score:double>>"
+_LISTS = f"meal string, protein boolean, light boolean, lean boolean, target double, own {_NEAR}, more {_NEAR}"
+
+
+def eligible(foods: DataFrame) -> DataFrame:
+    """foods (food_id, title, category, keywords, calories, protein, fat, image) -> a row for each meal that a food may
+    serve: meal, own (by its category, else by a keyword), food_id, calories, protein, fat."""
+    types = dict(foods.dtypes)
+    listed = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")) if types[c].startswith("array") else F.array(c), lambda x: F.lower(x)) if c in types else F.array().cast("array<string>")
+    title = F.lower(F.coalesce("title", F.lit("")))
+    holds = lambda text, words: F.lit(False) if not words else F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+    meals = []
+    for meal, names in MEAL_CATEGORIES.items():
+        own = F.coalesce(F.arrays_overlap(listed("category"), F.array(*map(F.lit, names))), F.lit(False))
+        word = holds(title, MEAL_KEYWORDS[meal]) | holds(F.array_join(listed("keywords"), "\n"), MEAL_KEYWORDS[meal])
+        meals.append(F.when((own | word) & ~holds(title, MEAL_EXCLUDED[meal]), F.struct(F.lit(meal).alias("meal"), own.alias("own"))))
+    sound = foods.filter((F.col("calories") > 50) & (F.col("protein") > 0) & (F.coalesce("image", F.lit("")) != ""))
+    rows = sound.select("food_id", F.col("calories").cast("double").alias("calories"), F.col("protein").cast("double").alias("protein"), F.col("fat").cast("double").alias("fat"), F.explode(F.array_compact(F.array(*meals))).alias("m"))
+    return rows.select("m.meal", "m.own", "food_id", "calories", "protein", "fat")
+
+
+def preference(protein: Column, light: Column, lean: Column) -> Column:
+    """What wishes add to a food's score: rich in protein, light, lean."""
+    dense = F.col("protein") / F.when(F.col("calories") > 0, F.col("calories")).otherwise(1.0)
+    return F.when(protein, dense * 5000).otherwise(0.0) + F.when(light, (2000 - F.col("calories")) * 1.5).otherwise(0.0) + F.when(lean, (100 - F.col("fat")) * 10).otherwise(0.0)
+
+
+def shortlist(rows: DataFrame, wishes: list[tuple[bool, bool, bool]], keep: int) -> DataFrame:
+    """The eligible foods that can be among the `keep` best for any target, whatever the number of foods.
+
+    Of the foods of one calorie bucket a target has all on one side, and on one side their order by score doesn't depend on
+    the target. So a meal's bucket needs its `keep` best for each side and wish. Spark limits the groups of this
+    ranking before it shuffles, so a bucket that holds a third of all foods is a few rows a task.
+    """
+    from pyspark.sql import Window as W
+
+    wish = F.explode(F.array(*(F.struct(F.lit(p).alias("protein"), F.lit(l).alias("light"), F.lit(n).alias("lean")) for p, l, n in wishes)))  # noqa: E741
+    each = rows.select("*", wish.alias("w")).withColumn("extra", preference(F.col("w.protein"), F.col("w.light"), F.col("w.lean")))
+    each = each.withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("bucket", F.floor(F.col("calories") * PER_KCAL))
+    w = W.partitionBy("meal", "own", "bucket", "side", "w").orderBy(F.desc(F.col("side") * 2 * F.col("calories") + F.col("extra")), "food_id")
+    best = each.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep)
+    return best.select("meal", "w.protein", "w.light", "w.lean", "own", "food_id", "calories", "extra").distinct()
+
+
+def _nearest(keep: int):
+    def run(foods, wanted):
+        import numpy as np
+        import pandas as pd
+
+        out = []
+        parts = {own: foods[foods["own"] == own].sort_values(["calories", "food_id"]) for own in (True, False)}
+        parts = {own: (p["calories"].to_numpy(), p["food_id"].to_numpy(), p["extra"].to_numpy()) for own, p in parts.items()}
+        for row in wanted.itertuples(index=False):
+            found = []
+            for own in (True, False):
+                calories, ids, extra = parts[own]
+                a, b = np.searchsorted(calories, row.target * 0.7, "left"), np.searchsorted(calories, row.target * 1.3, "right")
+                score = 2 * (1000 - np.abs(calories[a:b] - row.target)) + extra[a:b]
+                best = np.lexsort((ids[a:b], -score))[:keep]
+                found.append([{"food_id": int(ids[a + i]), "calories": float(calories[a + i]), "score": float(score[i])} for i in best])
+            out.append((row.meal, row.protein, row.light, row.lean, row.target, *found))
+        return pd.DataFrame(out, columns=["meal", "protein", "light", "lean", "target", "own", "more"])
+
+    return run
+
+
+def nearest(foods: DataFrame, wanted: DataFrame, wishes: list[tuple[bool, bool, bool]], keep: int) -> DataFrame:
+    """wanted (meal, protein, light, lean, target), distinct -> with own and more: the `keep` best foods within 30 % of the
+    target, of the meal's category and by its keywords. A task has one meal and wish: the shortlist, whose size
+    is bound by the number of buckets, and the different targets."""
+    by = ["meal", "protein", "light", "lean"]
+    return shortlist(eligible(foods), wishes, keep).groupBy(*by).cogroup(wanted.groupBy(*by)).applyInPandas(_nearest(keep), _LISTS)
+
+
+def _picked(lists: Column, target: Column, used: Column, most: int) -> Column:
+    """The picked ids of one meal: unused foods by score, with those by keyword where fewer than FEW are of the category."""
+    free = lambda foods: F.filter(foods, lambda x: ~F.array_contains(used, x["food_id"]))
+    as_items = lambda foods: F.transform(foods, lambda x: F.struct((-x["score"]).alias("d"), x["food_id"].alias("food_id"), x["calories"].alias("calories")))
+    own = free(lists["own"])
+    pool = F.array_sort(as_items(F.when(F.size(own) < FEW, F.concat(own, free(lists["more"]))).otherwise(own)))
+    return greedy_pick(pool, target, most)["picked"]
+
+
+def plan_days(profiles: DataFrame, foods: DataFrame, most: int = 3) -> DataFrame:
+    """profiles with `calories` (whole numbers a day) -> their columns with plan: an array of (meal, target, picked food ids).
+
+    Meals are planned in order, each without the foods of those before. A plan depends on the day's calories alone, so
+    each different number of calories is planned once and profiles join its plan. Foods are read once; no pairs
+    of profiles and foods are made. A profile with null calories, or without any fitting food, has meals without picks.
+    """
+    order = {m: i for i, m in enumerate(MEALS)}
+    days = profiles.select(F.col("calories").alias("__day")).filter(F.col("calories").isNotNull()).distinct()
+    share = F.explode(F.array(*(F.struct(F.lit(order[m]).alias("nth"), F.lit(m).alias("meal"), F.lit(s).alias("share")) for m, s in MEALS.items())))
+    meals = days.select("__day", share.alias("m")).select("__day", "m.nth", "m.meal", half_up(F.col("__day") * F.col("m.share")).cast("double").alias("target"))
+    no = F.lit(False)
+    wanted = meals.select("meal", no.alias("protein"), no.alias("light"), no.alias("lean"), "target").distinct()
+    lists = nearest(foods, wanted, [(False, False, False)], FEW + most * len(MEALS)).select("meal", "target", "own", "more")
+    none = F.array().cast(_NEAR)
+    met = meals.join(lists, ["meal", "target"], "left").withColumns({c: F.coalesce(c, none) for c in ("own", "more")})
+    sets = met.groupBy("__day").agg(F.array_sort(F.collect_list(F.struct("nth", "meal", "target", "own", "more"))).alias("meals"))  # four each
+    zero = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast("array<struct<meal:string,target:double,picked:array<bigint>>>").alias("plan"))
+
+    def step(state, m):
+        picked = _picked(m, m["target"], state["used"], most)
+        row = F.struct(m["meal"].alias("meal"), m["target"].alias("target"), picked.alias("picked"))
+        return F.struct(F.concat(state["used"], picked).alias("used"), F.array_append(state["plan"], row).alias("plan"))
+
+    plans = sets.select("__day", F.aggregate("meals", zero, step)["plan"].alias("plan"))
+    return profiles.join(plans, F.col("calories") == F.col("__day"), "left").drop("__day")
+
+
+def regenerate_meals(plans: DataFrame, foods: DataFrame, meal: str, id_col: str, most: int = 3) -> DataFrame:
+    """plans (id, calories, protein, fat, plan: an array of (meal, target, picked)) -> id, meal, target, picked: one
+    meal planned again without any of the day's foods.
+
+    The day's totals say how: over 115 % of the calories it is planned for 0.8 of its target and prefers light foods, under 85 %
+    for 1.2; under 85 % of the protein it prefers rich foods, over 115 % of the fat lean ones. Different wishes
+    and targets are looked up once. An unknown food counts nothing; repeated ids are rows each.
+    """
+    eaten = plans.select(F.explode(F.flatten(F.transform("plan", lambda m: m["picked"]))).alias("food_id")).distinct()
+    facts = foods.select("food_id", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"__{c}") for c in ("calories", "protein", "fat"))).join(eaten, "food_id", "left_semi")
+    sums = plans.select("plan").distinct().select("plan", F.explode_outer(F.flatten(F.transform("plan", lambda m: m["picked"]))).alias("food_id")).join(facts, "food_id", "left")
+    sums = sums.groupBy("plan").agg(*(F.coalesce(F.sum(f"__{c}"), F.lit(0.0)).alias(f"__{c}") for c in ("calories", "protein", "fat")))
+    told = plans.join(sums, "plan")
+    ratio = {c: F.when(F.col(c) > 0, F.col(f"__{c}") / F.col(c)).otherwise(0.0) for c in ("calories", "protein", "fat")}
+    own = F.element_at(F.filter("plan", lambda m: m["meal"] == meal), 1)["target"]
+    change = F.when(ratio["calories"] > 1.15, 0.8).when(ratio["calories"] < 0.85, 1.2).otherwise(1.0)
+    told = told.select(F.col(id_col), F.flatten(F.transform("plan", lambda m: m["picked"])).alias("used"), F.lit(meal).alias("meal"), F.round(own * change, 1).alias("target"), (ratio["protein"] < 0.85).alias("protein"), (ratio["calories"] > 1.15).alias("light"), (ratio["fat"] > 1.15).alias("lean"))
+    by = ["meal", "protein", "light", "lean", "target"]
+    wishes = [(p, l, n) for p in (False, True) for l in (False, True) for n in (False, True)]  # noqa: E741
+    lists = nearest(foods, told.select(*by).filter(F.col("target").isNotNull()).distinct(), wishes, FEW + most * len(MEALS))
+    none = F.array().cast(_NEAR)
+    met = told.join(lists, by, "left").withColumns({c: F.coalesce(c, none) for c in ("own", "more")})
+    return met.select(id_col, "meal", "target", "protein", "light", "lean", _picked(F.struct("own", "more"), F.col("target"), F.col("used"), most).alias("picked"))
