@@ -697,4 +697,4 @@ def flagship(spark, sf_dir):
 
 
 # more queries register themselves on import
-from . import clauses, menus  # noqa: E402, F401
+from . import clauses, crawled, menus  # noqa: E402, F401

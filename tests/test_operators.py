@@ -112,7 +112,7 @@ def test_child_sitemaps_and_rules_by_host(spark):
     assert crawl.enough_ratings(spark.range(4), F.col("id")).count() == 2
 
 
-def test_files(spark, tmp_path):
+def test_files_and_reports(spark, tmp_path):
     import gzip
 
     at = lambda name: str(tmp_path / name)
