@@ -3,8 +3,9 @@
 A text is cut at single spaces, where the vocabularies' pre-tokenizers always cut, and each piece
 is looked up; pieces not seen before go through the pre-tokenizer's pattern and the BPE model of
 the tokenizers library. A piece that has white space at an end, where a cut at a space need not
-be one of the pattern's, makes the whole text take the plain path. The caches are bounded: once
-full, they take no new entries.
+be one of the pattern's, makes the whole text take the plain path; so does the name of an added token
+(such as <|endoftext|>) in a text, which the library turns into that token's id. The caches are
+bounded: once full, they take no new entries.
 """
 
 from __future__ import annotations
@@ -33,7 +34,6 @@ def tokenizer(path: str):
     kept = worker_cache("tokens")
     if (key := ("tokenizer", path)) not in kept:
         kept[key] = Tokenizer.from_file(path)
-        kept[key].encode_special_tokens = True
     return kept[key]
 
 
@@ -60,6 +60,8 @@ def _encoder(path: str):
     plain = lambda text: np.array(tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     if not spaced and (said.get("model") or {}).get("end_of_word_suffix") != "</w>":
         return plain
+    added = [(t.content, t.normalized) for t in tok.get_added_tokens_decoder().values()]
+    names, folded = [c for c, normal in added if not normal], [c.lower() for c, normal in added if normal]
     letters, model, cut = byte_letters(), tok.model, frozenset(SPACE)
     wide, narrow = (regex.compile(BYTE_PATTERN), re.compile(BYTE_ASCII)) if spaced else (regex.compile(WORD_PATTERN), re.compile(WORD_ASCII))
     words: dict[str, bytes] = {}
@@ -106,6 +108,8 @@ def _encoder(path: str):
     find, join = Pieces().__getitem__, b"".join
 
     def encode(text: str) -> bytes:
+        if any(name in text for name in names) or folded and any(name in text.lower() for name in folded):
+            return plain(text)
         pieces = text.split(" ")
         try:
             if not spaced:

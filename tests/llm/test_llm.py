@@ -47,8 +47,13 @@ def empty(spark):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_tokens_are_the_librarys(name):
     path = P.path(name)
-    encode, tok = tokens.encoder(path), tokens.tokenizer(path)
-    for t in odd_texts(3, 200) + ["it's o'clock", "a   b \n c", "x\n y", "<|endoftext|> x", "\xa0nb\xa0 sp", "é x ́y"]:
+    from tokenizers import Tokenizer
+
+    encode, tok = tokens.encoder(path), Tokenizer.from_file(path)
+    names = [t.content for t in tok.get_added_tokens_decoder().values()]
+    special = [f"hello {n} world" for n in names] + [f"x{n}{n.upper()}\n{n[1:]}" for n in names] + names
+    assert any(i in tok.get_added_tokens_decoder() for i in np.frombuffer(encode(special[0]), "<u4").tolist())
+    for t in odd_texts(3, 200) + special + ["it's o'clock", "a   b \n c", "x\n y", "<|endoftext|> x", "\xa0nb\xa0 sp", "é x ́y"]:
         assert np.frombuffer(encode(t or ""), "<u4").tolist() == tok.encode(t or "", add_special_tokens=False).ids, repr(t)
 
 
