@@ -33,12 +33,9 @@ def canonical_url(url: Column, html: Column) -> Column:
     """The page's <link rel=canonical> target, resolved against its URL, else the URL."""
     tag = F.regexp_extract(html, r"""(?is)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)""", 1)
     link = F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']([^"']+)["']""", 1)
-    root = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    scheme, folder = F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1), F.regexp_extract(url, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^?#]*/)", 1)
-    return (
-        F.when(F.coalesce(link, F.lit("")) == "", url).when(link.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(scheme, link))
-        .when(link.startswith("/"), F.concat(root, link)).otherwise(F.concat(F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder), link))
-    )
+    from .urls import resolve
+
+    return F.when(F.coalesce(link, F.lit("")) == "", url).otherwise(resolve(url, F.trim(link)))
 
 
 def parse_robots(lines: DataFrame, agents=AGENTS) -> tuple[DataFrame, DataFrame]:
@@ -88,13 +85,12 @@ def sitemap_locations(xml: DataFrame, xml_col: str = "xml") -> DataFrame:
 
 
 def all_locations(sitemaps: DataFrame, roots: DataFrame, url_col: str = "url", xml_col: str = "xml") -> DataFrame:
-    """Distinct page URLs of the root sitemaps (url) and, where one is an index, of its children.
+    """Distinct page URLs of the root sitemaps (url) and of all that their indexes lead to.
     sitemaps (url, xml) holds the fetched documents."""
-    first = sitemaps.join(roots.select(url_col).distinct(), url_col, "left_semi")
-    locs = sitemap_locations(first, xml_col)
-    children = locs.filter("is_index").select(F.col("loc").alias(url_col)).distinct()
-    below = sitemap_locations(sitemaps.join(children, url_col, "left_semi"), xml_col)
-    return locs.unionByName(below).filter("not is_index").select(F.col("loc").alias(url_col)).distinct()
+    from .urls import sitemap_closure
+
+    found = sitemap_locations(sitemap_closure(sitemaps, roots, url_col, xml_col), "xml")
+    return found.filter("not is_index").select(F.col("loc").alias(url_col)).distinct()
 
 
 def shuffled(urls: DataFrame, seed: int = 0, url_col: str = "url") -> DataFrame:
