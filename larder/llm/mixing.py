@@ -1,14 +1,19 @@
 """Language-model scores by online logistic context mixing, and an add-0.1 unigram base.
 
-Tokens are the words of the lower-cased text and an end. Where other training texts go on from the two
-words before, a first binary decision says whether they ever go on with this token: it's predicted
-from how often they have been there and from how long their predictions have held, mixed in the
-logistic domain. If so, the token costs its share among their continuations. If not, its symbol has two
-parts: its class, told in five binary decisions, and its place in the class. Classes are ranks of
-frequent words by powers of two, one for all rarer and unknown words, and one for the end. Each of
-these decisions is predicted from several hashed contexts (one and two classes before, the word
-before, place in the text and class before), whose counts are gathered from all training texts. All
-weights are chosen by a gate, are the same for each text at its start, and learn within it.
+Tokens are the words of the lower-cased text and an end. A token's symbol has two parts: its class, told in
+five binary decisions, and its place in the class. Classes are ranks of frequent words by powers of
+two, one for all rarer and unknown words, and one for the end. Each of these decisions is predicted
+from several hashed contexts (one and two classes before, the word before, place in the text and class
+before), whose counts are gathered from all training texts. All weights are chosen by a gate, are the
+same for each text at its start, and learn within it.
+
+Where other training texts go on from the two words before, a first binary decision says whether they ever
+go on with this token: it's predicted from how often they have been there and from how long their
+predictions have held, mixed in the logistic domain, and refined by what came true when this much was
+predicted before in the text. The token's probability is what both ways give it: that much of its share
+among their continuations, and the rest of its class and place. Continuations are counted by some bits of the next word's hash; its share
+among the words that have these bits, by their counts, is its own. So the probabilities of all words, of the unknown
+one and of the end add up to one.
 
 Two words and what follows them are counted for the whole corpus, in a distributed table that grows with
 it: portions of texts ask buckets of hashes, once a portion and continuation. So do rare words for their
@@ -31,6 +36,8 @@ SLOTS, CHUNK = 32 * sum(SPACES), 1 << 11
 #: Tokens between weight updates at most. First weights and learning rates by token, of classes and of continuations.
 STRETCH, FIRST, RATE = 8, 0.3, 0.02 / 64
 FIRST_HITS, RATE_HITS = (0.4, 0.7, 0.0), 0.004
+#: Steps of a refined prediction over a range of stretched ones, how fast they move, and their weight beside the mixed one.
+STEPS, REACH, MOVE, TRUST = 17, 4.0, 0.02, 0.5
 #: Words of a portion of texts; entries that portions send to a bucket, together; bits of a word in a continuation.
 PORTION, ASKED, WORD = 1 << 19, 1 << 21, 12
 
@@ -65,6 +72,10 @@ class Vocabulary:
         mass = np.bincount(classes, self.counts, minlength=32)
         # numbers: words, then rare, end, start
         self.classes = np.concatenate([classes, [RARE, END, START]]).astype(np.int64)
+        used = np.zeros(32, np.int64)
+        used[[*classes.tolist(), RARE, END]] = 1
+        #: nodes of the class tree with words on both sides; at others there is nothing to tell
+        self.free = np.concatenate([[False], *((used.reshape(-1, 2, 16 >> level).max(2).sum(1) == 2) for level in range(LEVELS))])
         self.within = np.concatenate([np.log10(self.counts / mass[classes]) if n else [], [0.0, 0.0, 0.0]])
         self.base = np.concatenate([self.smoothed(self.counts), [0.0, self.smoothed(np.array(ends))[()], 0.0]])
         # words never seen are one rare symbol, as likely as words seen once are among rare ones
@@ -352,18 +363,22 @@ def predictors(counts):
     return out.reshape(-1)
 
 
-def mix(decisions, starts, lens, first, rate):
-    """log10 probability of the binary decisions of each text, mixed online.
+def mix(decisions, starts, lens, first, rate, refine: bool = False):
+    """log10 probability of each token's binary decisions, mixed online in each text.
 
     decisions: a function of tokens' places that gives, for each decision of a token, its inputs, its
-    bit and its gate. first: (gates, inputs), the weights that each text begins with; they change
-    after each stretch of tokens, which is no longer than what is before it.
+    bit, its gate and whether there is anything to tell (None: always). first: (gates, inputs), the weights
+    that each text begins with; they change after each stretch of tokens, which is no longer than what is
+    before it. refine: each text keeps, for steps of the mixed prediction, what came true there, and what
+    it says of the two nearest steps is averaged with the mixed one.
     """
     import numpy as np
 
-    total = np.zeros(len(lens))
+    total = np.zeros(int(lens.sum()))
     own = np.repeat(first[None], len(lens), 0)
     gates, k = first.shape
+    levels = 1 / (1 + np.exp(-np.linspace(-REACH, REACH, STEPS)))
+    refined = np.tile(levels, (len(lens), gates, 1)) if refine else None
     order = np.argsort(-lens, kind="stable")
     alive = lens[order]
     at, width = 0, 0
@@ -375,21 +390,41 @@ def mix(decisions, starts, lens, first, rate):
         place = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(starts[live] + at, size)
         weights = own[live].reshape(-1, k)
         change = np.zeros_like(weights)
-        for x, bit, gate in decisions(place):
+        if refine:
+            steps = refined[live].reshape(-1)
+        for x, bit, gate, free in decisions(place):
             row = doc * gates + gate
             w = weights[row]
             z = np.clip(sum(w[:, i] * x[i] for i in range(k)), -20, 20)
             p = 1 / (1 + np.exp(-z))
-            total[live] += np.bincount(doc, np.log10(np.where(bit, p, 1 - p)), minlength=len(live))
+            told = p
+            if refine:
+                at_step = (np.clip(z, -REACH, REACH) + REACH) * ((STEPS - 1) / (2 * REACH))
+                low = np.minimum(at_step.astype(np.int64), STEPS - 2)
+                part = at_step - low
+                cell = row * STEPS + low
+                told = (1 - TRUST) * p + TRUST * (steps[cell] * (1 - part) + steps[cell + 1] * part)
+                near = cell + (part > 0.5)
+                n = np.bincount(near, minlength=len(steps))
+                seen = np.bincount(near, bit, minlength=len(steps))
+                moved = 1 - (1 - MOVE) ** n
+                steps += moved * (seen / np.maximum(n, 1) - steps)
+            logs = np.log10(np.where(bit, told, 1 - told))
             error = bit - p
+            if free is not None:
+                logs, error = np.where(free, logs, 0.0), np.where(free, error, 0.0)
+            total[place] += logs
             for i in range(k):
                 change[:, i] += np.bincount(row, error * x[i], minlength=len(change))
         own[live] += rate * change.reshape(len(live), gates, k)
+        if refine:
+            refined[live] = steps.reshape(len(live), gates, STEPS)
     return total
 
 
-def class_decisions(rows, c, a, table):
-    """The five decisions of each token's class; gates: level, and whether the class before was the rare one."""
+def class_decisions(rows, c, a, table, both):
+    """The five decisions of each token's class; gates: level, and whether the class before was the rare one.
+    both: which nodes have words on both sides."""
     import numpy as np
 
     slow = (a == RARE).astype(np.int64)
@@ -399,7 +434,7 @@ def class_decisions(rows, c, a, table):
         context = [row[place] for row in rows]
         for level in range(LEVELS):
             node = (1 << level) + (cls >> (LEVELS - level))
-            yield [table[row + node] for row in context], ((cls >> (LEVELS - 1 - level)) & 1).astype(bool), 2 * level + gate
+            yield [table[row + node] for row in context], ((cls >> (LEVELS - 1 - level)) & 1).astype(bool), 2 * level + gate, both[node]
 
     return decide
 
@@ -413,7 +448,7 @@ def hit_decisions(times, hit, run):
     lately = np.sign(run) * np.log1p(2 * np.minimum(np.abs(run), 1 << 10))
 
     def decide(place):
-        yield [sure[place], lately[place], np.ones(len(place))], hit[place], (run[place] > 0).astype(np.int64)
+        yield [sure[place], lately[place], np.ones(len(place))], hit[place], (run[place] > 0).astype(np.int64), None
 
     return decide
 
@@ -452,56 +487,84 @@ def others(t: Texts, every, total, pairs):
     return been, went
 
 
-def score_portion(t: Texts, answers, vocabulary: Vocabulary, table, of_pair: int, bits: int):
+def word_bits(hashes):
+    """The WORD bits by which continuations tell words."""
+    import numpy as np
+
+    return (stir(hashes.view(np.uint64)) >> np.uint64(64 - WORD)).astype(np.int64)
+
+
+def score_portion(t: Texts, *model):
     """(known tokens, base score, score) of each text."""
     import numpy as np
 
+    known, base, score = (np.add.reduceat(x, t.starts) for x in token_scores(t, *model))
+    return known.astype(np.int64), base, score
+
+
+def token_scores(t: Texts, answers, vocabulary: Vocabulary, table, alike, of_pair: int, bits: int):
+    """(whether it is known, base score, score) of each token. alike: by word bits, the training tokens of all words that have them."""
+    import numpy as np
+
     def joined(rows, n):
         got = [unpack(data, *["<i8"] * n) for _, data in rows]
         return [np.concatenate([np.zeros(0, np.int64), *(g[i] for g in got)]) for i in range(n)]
 
     been, went = others(t, t.continuations(of_pair), *joined([r for r in answers if r[0] < 1 << bits], 2))
     (rare,) = joined([r for r in answers if r[0] >= 1 << bits], 1)
-    add = lambda x: np.add.reduceat(x, t.starts)
     # words: counts, base, and place in the class
     numbers = vocabulary.numbers(t.hashes)
     base, within, known = vocabulary.base[numbers], vocabulary.within[numbers], np.ones(len(numbers))
+    count = np.concatenate([vocabulary.counts, [0.0, vocabulary.ends, 0.0]])[numbers]
     at = np.flatnonzero(numbers == len(vocabulary.hashes))
     at = at[np.argsort(t.hashes.view(np.uint64)[at])]
-    base[at], known[at] = vocabulary.smoothed(rare), rare > 0
+    base[at], known[at], count[at] = vocabulary.smoothed(rare), rare > 0, rare
     share = np.log10(np.maximum(rare, 1) * ((1 - vocabulary.unknown) / max(1, vocabulary.rare)) + (1e-300 if vocabulary.rare else 1.0))
     within[at] = np.where(rare > 0, share, np.log10(vocabulary.unknown))
     known[0] = vocabulary.ends > 0
-    score = np.zeros(len(t.starts))
-    # continuations
-    asked, hit = been > 0, went > 0
-    lens = add(asked.astype(np.int64))
-    starts, told = np.cumsum(lens) - lens, hit[asked]
-    if len(told):
-        first = np.tile(np.array(FIRST_HITS), (2, 1))
-        score += mix(hit_decisions(been[asked], told, runs(told, starts, lens)), starts, lens, first, RATE_HITS)
-    score += add(np.where(hit, np.log10(np.maximum(went, 1) / np.maximum(been, 1)), within[t.words]))
-    # classes of the others
+    # by class and place
     rows, c, a = t.contexts(vocabulary)
-    rest = ~hit
-    lens = add(rest.astype(np.int64))
-    score += mix(class_decisions([r[rest] for r in rows], c[rest], a[rest], table), np.cumsum(lens) - lens, lens, np.full((2 * LEVELS, len(SPACES)), FIRST), RATE)
-    return add(known[t.words]).astype(np.int64), add(base[t.words]), score
+    score = within[t.words] + mix(class_decisions(rows, c, a, table, vocabulary.free), t.starts, t.lens, np.full((2 * LEVELS, len(SPACES)), FIRST), RATE)
+    # by continuations: where others have been, and whether they go on with the word
+    own = count / np.maximum(alike[word_bits(t.hashes)], 1)
+    asked = been > 0
+    hit = ((went > 0) & (own[t.words] > 0))[asked]
+    if len(hit):
+        lens = np.add.reduceat(asked.astype(np.int64), t.starts)
+        starts = np.cumsum(lens) - lens
+        first = np.tile(np.array(FIRST_HITS), (2, 1))
+        right = 10.0 ** mix(hit_decisions(been[asked], hit, runs(hit, starts, lens)), starts, lens, first, RATE_HITS, refine=True)
+        go_on = np.where(hit, right, 1 - right)  # the probability that others go on with what comes
+        told = np.where(hit, went[asked] / been[asked] * own[t.words[asked]], 0.0)
+        score[asked] = np.log10(np.maximum(go_on * told + (1 - go_on) * 10.0 ** score[asked], 1e-300))
+    return known[t.words], base[t.words], score
 
 
-def _score(vocabulary: Vocabulary, table, of_pair: int, bits: int):
+def _score(vocabulary: Vocabulary, table, alike, of_pair: int, bits: int):
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for t, answers in _gathered(batches):
-            known, base, score = score_portion(t, answers, vocabulary, table, of_pair, bits)
+            known, base, score = score_portion(t, answers, vocabulary, table, alike, of_pair, bits)
             cols = [pa.array(t.ids, pa.int64()), pa.array(~t.told), *(pa.array(x) for x in (t.lens, known, base, score, score * -np.log2(10) / np.maximum(t.n_bytes, 1)))]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"])
 
     return run
 
 
+def _alike(batches):
+    """(word bits, tokens) of a part of the words' counts."""
+    import numpy as np
+    import pyarrow as pa
+
+    total = np.zeros(1 << WORD, np.int64)
+    for batch in batches:
+        total += np.bincount(word_bits(batch.column(0).to_numpy()), batch.column(1).to_numpy(), minlength=1 << WORD).astype(np.int64)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bits", "n"])
+
+
 def training(id_col):
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 10 != 0, F.lit(True))
 
@@ -536,6 +599,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     top = sorted(((r["c"], r["h"]) for r in words.filter(F.col("step") >= cut).select("c", "h").collect()), key=lambda x: (-x[0], x[1]))
     vocabulary = Vocabulary([h for _, h in top], [c for c, _ in top], total, distinct, single, ends)
     del top
+    alike = np.zeros(1 << WORD, np.int64)
+    for r in counts.mapInArrow(_alike, "bits long, n long").groupBy("bits").agg(F.sum("n").alias("n")).collect():  # as many as WORD bits tell
+        alike[r["bits"]] = r["n"]
     least = docs.sparkSession.sparkContext.defaultParallelism
     bits = max(4, (int(total) // ASKED).bit_length())
     of_pair = min(64 - WORD, max(36, int(total).bit_length() + 10))  # pairs that differ rarely meet, however large the corpus
@@ -547,5 +613,5 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         own = unpack(r["data"], "<i8")[0]
         slots[(-1 - r["bucket"]) * CHUNK : (-1 - r["bucket"]) * CHUNK + len(own)] = own
     gathered = texts.unionByName(answers.filter("bucket >= 0")).repartition(max(4 * least, int(total) // (2 * PORTION)), "portion").sortWithinPartitions("portion", "bucket")
-    scored = gathered.mapInArrow(_score(vocabulary, predictors(slots), of_pair, bits), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
+    scored = gathered.mapInArrow(_score(vocabulary, predictors(slots), alike, of_pair, bits), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), "base_score", "score", "bits_per_byte")

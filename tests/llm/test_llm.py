@@ -603,10 +603,57 @@ def test_class_probabilities_add_up():
     weights = r.normal(0.2, 0.1, (2 * mixing.LEVELS, len(mixing.SPACES)))
     rows = [np.full(32, 32 * s) for s in (1, 40, 2000, 17500)]
     one = np.ones(32, np.int64)
-    logp = mixing.mix(mixing.class_decisions(rows, np.arange(32), np.zeros(32, np.int64), table), np.arange(32), one, weights, mixing.RATE)
+    logp = mixing.mix(mixing.class_decisions(rows, np.arange(32), np.zeros(32, np.int64), table, np.ones(32, bool)), np.arange(32), one, weights, mixing.RATE)
     assert abs((10.0**logp).sum() - 1) < 1e-9
 
 
+def _texts(texts, taught):
+    """A portion of texts, each a list of words without the end."""
+    places, words, starts = {mixing.END_WORD: 0}, [], []
+    for ws in texts:
+        starts.append(len(words))
+        words += [places.setdefault(w, len(places)) for w in [*ws, mixing.END_WORD]]
+    n = len(texts)
+    return mixing.Texts(mixing.pack(np.array(words, "<u4"), np.array([mixing.word_hash(w) for w in places], "<i8"), np.array(starts, "<i8"), np.full(n, taught, "u1"), np.arange(n, dtype="<i8"), np.zeros(n, "u1"), np.ones(n, "<i8")))
+
+
+def _told(train, vocabulary, t, of_pair, bits):
+    """What buckets answer to a portion that was held out."""
+    every = train.continuations(of_pair)
+    known = np.unique(t.continuations(of_pair))
+    shift = np.uint64(mixing.WORD)
+    count = lambda a, b: np.array([(a == x).sum() for x in b], "<i8")
+    rare = t.rare(vocabulary)[0]
+    return [(0, mixing.pack(count(every, known), count(every >> shift, known >> shift))), (1 << bits, mixing.pack(count(train.hashes.view(np.uint64)[train.words], rare)))]
+
+
+@pytest.mark.parametrize("word_bits", [12, 3])
+def test_word_probabilities_add_up(monkeypatch, word_bits):
+    """After each of many contexts, seen or not, the probabilities of all words, of the unknown one and of the end sum to one,
+    also where a few bits tell hundreds of words. A false hit is none: unknown words are as likely whatever their bits."""
+    monkeypatch.setattr(mixing, "WORD", word_bits)
+    r = random.Random(2)
+    vocab = [f"w{i}".encode() for i in range(300)]
+    said = [[vocab[min(int(r.expovariate(0.05)), 299)] for _ in range(r.randint(1, 40))] for _ in range(80)]
+    train, count = _texts(said, True), Counter(w for ws in said for w in [*ws, mixing.END_WORD])
+    frequent = sorted((w for w in count if count[w] >= mixing.LEAST and w != mixing.END_WORD), key=lambda w: -count[w])
+    v = mixing.Vocabulary([mixing.word_hash(w) for w in frequent], [count[w] for w in frequent], sum(count.values()), len(count), sum(n == 1 for n in count.values()), count[mixing.END_WORD])
+    rows, c, _ = train.contexts(v)
+    table = mixing.predictors(sum(np.bincount(x + c, minlength=mixing.SLOTS) for x in rows))
+    alike = np.zeros(1 << word_bits, np.int64)
+    for w, n in count.items():
+        alike[mixing.word_bits(np.array([mixing.word_hash(w)]))] += n
+    common = [list(p) for p, _ in Counter(p for ws in said for p in zip(ws, ws[1:])).most_common(6)]
+    for before in [*common, [], [vocab[0]], [b"new", vocab[1]], said[3][:5], said[4], said[5][:12]]:
+        ends = [w for w in count if w != mixing.END_WORD] + [b"never seen"]
+        t = _texts([*([*before, w] for w in ends), before], False)
+        logp = mixing.token_scores(t, _told(train, v, t, 40, 4), v, table, alike, 40, 4)[2]
+        assert abs((10.0 ** logp[t.starts + len(before)]).sum() - 1) < 1e-6
+    unknown = _texts([[*common[0], f"new{i}".encode()] for i in range(40)], False)
+    logp = mixing.token_scores(unknown, _told(train, v, unknown, 40, 4), v, table, alike, 40, 4)[2]
+    assert np.ptp(logp[unknown.starts + 2]) < 1e-9
+
+
 def test_weights_learn_within_a_text():
     """A text whose classes follow one predictor gets cheaper as it goes on, from its first tokens."""
     table = mixing.predictors(np.ones(mixing.SLOTS, np.int64))
@@ -614,8 +661,8 @@ def test_weights_learn_within_a_text():
     first = np.full((2 * mixing.LEVELS, len(mixing.SPACES)), mixing.FIRST)
     for n, gain in ((64 * 40, 1), (64, 1e-3)):
         rows = [np.zeros(n, np.int64), np.full(n, 32), *(np.zeros(n, np.int64) for _ in range(2))]
-        decide = mixing.class_decisions(rows, np.full(n, 31), np.zeros(n, np.int64), table)
-        whole = mixing.mix(decide, np.array([0]), np.array([n]), first, mixing.RATE)[0]
+        decide = mixing.class_decisions(rows, np.full(n, 31), np.zeros(n, np.int64), table, np.ones(32, bool))
+        whole = mixing.mix(decide, np.array([0]), np.array([n]), first, mixing.RATE).sum()
         parts = mixing.mix(decide, np.arange(n), np.ones(n, np.int64), first, mixing.RATE).sum()
         assert whole > parts + gain
 
@@ -632,6 +679,8 @@ def slow_scores(texts, held):
         mass[cls[w]] += count[w]
     rare = sum(n for w, n in count.items() if w not in cls and w != mixing.END_WORD)
     unknown = min(max(sum(n == 1 for n in count.values()) / rare, 1e-9), 1 - 1e-9) if rare else 1.0
+    used = {*cls.values(), mixing.RARE, mixing.END}
+    bits = lambda w: int(mixing.word_bits(np.array([mixing.word_hash(w)]))[0])
     kind = lambda w: mixing.START if w is None else mixing.END if w == mixing.END_WORD else cls.get(w, mixing.RARE)
     slot = lambda w: int(mixing.stir(np.array([1 if w is None else mixing.word_hash(w)], np.int64).view(np.uint64))[0]) % mixing.SPACES[2]
 
@@ -649,20 +698,35 @@ def slow_scores(texts, held):
                     seen.setdefault(r, [0] * 32)[kind(w)] += 1
                 went.setdefault(pair, Counter())[w] += 1
 
-    def mixed(sequence, gates, first, rate):
-        """sequence: of each token, (inputs, bit, gate) of its decisions."""
-        weights, total, at = [list(first) for _ in range(gates)], 0.0, 0
+    def mixed(sequence, gates, first, rate, refine=False):
+        """sequence: of each token, (inputs, bit, gate) of its decisions -> log10 probability of each token's."""
+        weights, out, at = [list(first) for _ in range(gates)], [], 0
+        grid = [-mixing.REACH + 2 * mixing.REACH * i / (mixing.STEPS - 1) for i in range(mixing.STEPS)]
+        steps = [[1 / (1 + math.exp(-z)) for z in grid] for _ in range(gates)]
         while at < len(sequence):
             width = min(max(at, 1), mixing.STRETCH)
             change = [[0.0] * len(first) for _ in range(gates)]
-            for x, bit, gate in (d for token in sequence[at : at + width] for d in token):
-                p = 1 / (1 + math.exp(-min(max(sum(u * v for u, v in zip(weights[gate], x)), -20), 20)))
-                total += math.log10(p if bit else 1 - p)
-                for i, v in enumerate(x):
-                    change[gate][i] += (bit - p) * v
+            seen = {}
+            for token in sequence[at : at + width]:
+                logs = 0.0
+                for x, bit, gate in token:
+                    z = min(max(sum(u * v for u, v in zip(weights[gate], x)), -20), 20)
+                    p = told = 1 / (1 + math.exp(-z))
+                    if refine:
+                        place = (min(max(z, -mixing.REACH), mixing.REACH) + mixing.REACH) * (mixing.STEPS - 1) / (2 * mixing.REACH)
+                        low = min(int(place), mixing.STEPS - 2)
+                        part = place - low
+                        told = (1 - mixing.TRUST) * p + mixing.TRUST * (steps[gate][low] * (1 - part) + steps[gate][low + 1] * part)
+                        seen.setdefault((gate, low + (part > 0.5)), []).append(bit)
+                    logs += math.log10(told if bit else 1 - told)
+                    for i, v in enumerate(x):
+                        change[gate][i] += (bit - p) * v
+                out.append(logs)
+            for (gate, i), bits in seen.items():
+                steps[gate][i] += (1 - (1 - mixing.MOVE) ** len(bits)) * (sum(bits) / len(bits) - steps[gate][i])
             weights = [[u + rate * v for u, v in zip(*z)] for z in zip(weights, change)]
             at += width
-        return total
+        return out
 
     out = []
     for ws, h in zip(words, held):
@@ -670,36 +734,46 @@ def slow_scores(texts, held):
         for i, w in enumerate(ws):
             if not h:
                 mine.setdefault(contexts(ws, i)[2], Counter())[w] += 1
-        score, hits, classes, run = 0.0, [], [], 0
+        hits, classes, run, shares, places = [], [], 0, [], []
         for i, w in enumerate(ws):
             rows, a, pair = contexts(ws, i)
             others = went.get(pair, Counter()) - mine.get(pair, Counter())
             been = sum(others.values())
+            share = None
             if been:
-                hit = others[w] > 0
+                like = sum(n for x, n in others.items() if bits(x) == bits(w))
+                hit = like > 0 and count[w] > 0
                 lately = math.copysign(math.log1p(2 * min(abs(run), 1024)), run)
                 hits.append([((math.log(been + 0.5), lately, 1.0), hit, int(run > 0))])
                 run = run + 1 if hit and run > 0 else 1 if hit else run - 1 if run < 0 else -1
-                if hit:
-                    score += math.log10(others[w] / been)
-                    continue
+                share = like / been * count[w] / sum(n for x, n in count.items() if bits(x) == bits(w)) if hit else 0.0
+            shares.append(share)
             c = kind(w)
             decisions = []
             for level in range(mixing.LEVELS):
                 x = []
+                width = 32 >> level
+                lo = (c >> (5 - level)) * width
+                if not used & set(range(lo, lo + width // 2)) or not used & set(range(lo + width // 2, lo + width)):
+                    continue
                 for r in rows:
                     n = seen.get(r, [0] * 32)
-                    width = 32 >> level
-                    lo = (c >> (5 - level)) * width
                     p = (sum(n[lo + width // 2 : lo + width]) + 0.2) / (sum(n[lo : lo + width]) + 0.4)
                     x.append(min(max(math.log(p / (1 - p)), -12), 12))
                 decisions.append((x, bool(c >> (4 - level) & 1), 2 * level + (a == mixing.RARE)))
             classes.append(decisions)
-            if w in cls:
-                score += math.log10(count[w] / mass[cls[w]])
-            elif w != mixing.END_WORD:
-                score += math.log10(count[w] * (1 - unknown) / rare) if count[w] else math.log10(unknown)
-        out.append(score + mixed(hits, 2, mixing.FIRST_HITS, mixing.RATE_HITS) + mixed(classes, 2 * mixing.LEVELS, [mixing.FIRST] * len(mixing.SPACES), mixing.RATE))
+            places.append(math.log10(count[w] / mass[cls[w]]) if w in cls else 0.0 if w == mixing.END_WORD else math.log10(count[w] * (1 - unknown) / rare) if count[w] else math.log10(unknown))
+        by_class = mixed(classes, 2 * mixing.LEVELS, [mixing.FIRST] * len(mixing.SPACES), mixing.RATE)
+        by_hit = iter(mixed(hits, 2, mixing.FIRST_HITS, mixing.RATE_HITS, True))
+        score = 0.0
+        for share, place, log in zip(shares, places, by_class):
+            plain = 10 ** (place + log)
+            if share is not None:
+                right = 10 ** next(by_hit)
+                go_on = right if share else 1 - right
+                plain = go_on * share + (1 - go_on) * plain
+            score += math.log10(plain)
+        out.append(score)
     return out
 
 
