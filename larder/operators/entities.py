@@ -9,16 +9,18 @@ from pyspark.sql import functions as F
 
 from ..functions.automaton import finder, first_ends
 from ..functions.text import normalize_surface
+from . import names
 from .index import field_text
+from .store import materialize
 
 FIELDS = ("title", "ingredients", "instructions", "description")
 
 
-def build_gazetteer(names: DataFrame) -> DataFrame:
-    """names (surface, wiki_title[, type], seq) -> (surface, wiki_title, type, norm): lower-cased, each
+def build_gazetteer(given: DataFrame) -> DataFrame:
+    """given (surface, wiki_title[, type], seq) -> (surface, wiki_title, type, norm): lower-cased, each
     with its plural in s unless it ends in one; of equal surfaces the last by seq."""
-    kind = F.col("type") if "type" in names.columns else F.lit("ingredient")
-    rows = names.select(F.lower(F.trim("surface")).alias("surface"), "wiki_title", kind.alias("type"), "seq")
+    kind = F.col("type") if "type" in given.columns else F.lit("ingredient")
+    rows = given.select(F.lower(F.trim("surface")).alias("surface"), "wiki_title", kind.alias("type"), "seq")
     plural = rows.filter(~F.col("surface").endswith("s")).withColumn("surface", F.concat("surface", F.lit("s")))
     both = rows.unionByName(plural).groupBy("surface").agg(F.max_by(F.struct("wiki_title", "type"), "seq").alias("m"))
     return both.select("surface", "m.wiki_title", "m.type", normalize_surface(F.col("surface")).alias("norm"))
@@ -32,18 +34,18 @@ def by_norm(gazetteer: DataFrame, seq: str) -> DataFrame:
 SPANS = "array<struct<start:int,end:int,surface:string>>"
 
 
-def spans(text: Column, names: Sequence[str], mode: str = "earliest", word_boundary: bool = False) -> Column:
+def spans(text: Column, known: Sequence[str], mode: str = "earliest", word_boundary: bool = False) -> Column:
     """array<struct<start, end, surface>> of names in the lower-cased text, 0-based, end exclusive,
     none overlapping: leftmost first, of those that begin together the one that ends first ('earliest')
     or last ('longest'). Any number of names: an automaton passes each text once."""
-    names = sorted(set(names))
+    known = sorted(set(known))
 
     @F.pandas_udf(SPANS)
     def found(texts):
         import pandas as pd
 
-        find = finder(names, mode, word_boundary)
-        return pd.Series([[{"start": a, "end": b, "surface": names[i]} for a, b, i in find(t)] for t in texts])
+        find = finder(known, mode, word_boundary)
+        return pd.Series([[{"start": a, "end": b, "surface": known[i]} for a, b, i in find(t)] for t in texts])
 
     return found(F.lower(F.coalesce(text, F.lit(""))))
 
@@ -53,21 +55,28 @@ def _dictionary(gazetteer: DataFrame, *columns: str) -> list:
     return sorted(map(tuple, gazetteer.select(*columns).distinct().collect()), key=lambda r: tuple(x if isinstance(x, (str, list)) else "" for x in r[:2]))
 
 
-def link(recipes: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", mode: str = "earliest", word_boundary: bool = False) -> DataFrame:
-    """(doc_id, field, start, end, surface, wiki_title) of title, ingredients, instructions and description."""
-    rows = _dictionary(gazetteer.filter("surface <> ''"), "surface", "wiki_title")
-    names = sorted({r[0] for r in rows})
-    titles = {n: [t for s, t in rows if s == n] for n in names} if len(names) < len(rows) else {s: [t] for s, t in rows}
+def link(recipes: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", mode: str = "earliest", word_boundary: bool = False, large: int = names.LARGE) -> DataFrame:
+    """(doc_id, field, start, end, surface, wiki_title) of title, ingredients, instructions and description.
+
+    Up to `large` surfaces are an automaton in each task; more are found by names.occurrences, so that neither a task nor
+    the driver holds the dictionary."""
+    table = gazetteer.filter("surface <> ''").select("surface", "wiki_title").distinct()
     fields = [f for f in FIELDS if f in recipes.columns]
+    if table.count() > large:
+        return _link_large(recipes, table, id_col, fields, mode, word_boundary)
+    rows = _dictionary(table, "surface", "wiki_title")
+    known, titles = sorted({r[0] for r in rows}), {}
+    for surface, title in rows:
+        titles.setdefault(surface, []).append(title)
 
     def run(batches):
         import pyarrow as pa
 
-        find = finder(names, mode, word_boundary)
+        find = finder(known, mode, word_boundary)
         for batch in batches:
             ids, out = [], []
             for doc, *texts in zip(*(c.to_pylist() for c in batch.columns)):
-                new = [(f, a, b, names[i], title) for f, text in zip(fields, texts) for a, b, i in find(text) for title in titles[names[i]]]
+                new = [(f, a, b, known[i], title) for f, text in zip(fields, texts) for a, b, i in find(text) for title in titles[known[i]]]
                 out += new
                 ids += [doc] * len(new)
             cols = list(zip(*out)) if out else [()] * 5
@@ -79,24 +88,69 @@ def link(recipes: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", mode:
     return texts.mapInArrow(run, f"doc_id {kind}, field string, start int, end int, surface string, wiki_title string")
 
 
+def _link_large(recipes, table, id_col, fields, mode, word_boundary) -> DataFrame:
+    # rows are told apart by a number of their own, as ids may repeat
+    texts = recipes.select(F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row")).alias("doc_id"), *(F.lower(field_text(recipes, f)).alias(f) for f in fields))
+    texts = materialize(texts)  # numbers stay what they are if a task runs again
+    numbered = texts.select(F.col("doc_id.row").alias("doc_id"), *fields)
+    found = names.spans(names.occurrences(numbered, table.select(F.col("surface").alias("name")), word_boundary), mode)
+    field = F.element_at(F.array(*map(F.lit, fields)), F.col("nth") + 1)
+    hits = found.join(table, F.col("name") == F.col("surface")).select(F.col("doc_id").alias("row"), field.alias("field"), "start", "end", "surface", "wiki_title")
+    ids = texts.select("doc_id.row", F.col("doc_id.id").alias("doc_id"))
+    return hits.join(ids, "row").select("doc_id", "field", "start", "end", "surface", "wiki_title")
+
+
 LINK = "struct<surface:string,wiki_title:string,type:string,norm:string,abstract:string,categories:array<string>>"
 
 
-def enrich(recipes: DataFrame, gazetteer: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+def enrich(recipes: DataFrame, gazetteer: DataFrame, entities: DataFrame | None = None, large: int = names.LARGE) -> DataFrame:
     """recipes with wiki_links: every name that a field holds anywhere, one link a wiki title, in the
     order title, ingredients, instructions, cuisine and of the names' first ends; an empty cuisine is
     filled from links of type cuisine. entities (title, abstract, categories) adds an abstract and
-    at most five categories."""
-    table = gazetteer.select("surface", "wiki_title", "type", "norm").filter("norm <> ''")
-    if entities is not None:
-        info = entities.select(F.col("title").alias("wiki_title"), F.col("abstract").alias("__a"), F.slice(F.col("categories"), 1, 5).alias("__c"))
-        table = table.join(info, "wiki_title", "left")
-    else:
-        table = table.withColumn("__a", F.lit("")).withColumn("__c", F.array().cast("array<string>"))
-    known = _dictionary(table, "surface", "wiki_title", "type", "norm", "__a", "__c")
-    norms = sorted({r[3] for r in known})
-    of = {n: [r for r in known if r[3] == n] for n in norms} if len(norms) < len(known) else {r[3]: [r] for r in known}
+    at most five categories, in a join by title after matching. Up to `large` names are an automaton in
+    each task, more are found by names.occurrences."""
+    table = gazetteer.select("surface", "wiki_title", "type", "norm").filter("norm <> ''").distinct()
     fields = [f for f in ("title", "ingredients", "instructions", "cuisine") if f in recipes.columns]
+    out = _links_large(recipes, table, fields) if table.count() > large else _links(recipes, table, fields)
+    if entities is not None:
+        out = _with_facts(out, entities)
+    if "cuisine" in recipes.columns:
+        told = F.transform(F.filter("wiki_links", lambda x: x["type"] == "cuisine"), lambda x: x["wiki_title"])
+        out = out.withColumn("cuisine", F.when(F.size(F.coalesce("cuisine", F.array().cast("array<string>"))) == 0, told).otherwise(F.col("cuisine")))
+    return out
+
+
+def _links_large(recipes: DataFrame, table: DataFrame, fields: list[str]) -> DataFrame:
+    rows = materialize(recipes.withColumn("__row", F.monotonically_increasing_id()))  # numbers stay if a task runs again
+    texts = rows.select(F.col("__row").alias("doc_id"), *(F.lower(field_text(recipes, f)).alias(f) for f in fields))
+    found = names.occurrences(texts, table.select(F.col("norm").alias("name")))
+    first = found.groupBy("doc_id", "nth", "name").agg(F.min("end").alias("end"))
+    texts = {c: F.coalesce(c, F.lit("")) for c in ("surface", "wiki_title", "type")}
+    hits = first.join(table, F.col("name") == F.col("norm")).select("doc_id", "nth", "end", *(v.alias(c) for c, v in texts.items()), "norm")
+    one = hits.groupBy("doc_id", "wiki_title").agg(F.min(F.struct("nth", "end", "surface", "type", "norm")).alias("m"))
+    each = one.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("m.nth", "m.end", "m.surface", "wiki_title", "m.type", "m.norm"))).alias("l"))
+    bare = F.transform("l", lambda x: F.struct(x["surface"].alias("surface"), x["wiki_title"].alias("wiki_title"), x["type"].alias("type"), x["norm"].alias("norm"), F.lit("").alias("abstract"), F.array().cast("array<string>").alias("categories")))
+    links = each.select(F.col("doc_id").alias("__doc"), bare.cast(f"array<{LINK}>").alias("wiki_links"))
+    out = rows.join(links, F.col("__row") == F.col("__doc"), "left").drop("__row", "__doc")
+    return out.withColumn("wiki_links", F.coalesce("wiki_links", F.array().cast(f"array<{LINK}>")))
+
+
+def _with_facts(out: DataFrame, entities: DataFrame) -> DataFrame:
+    """wiki_links with the abstract and categories of their titles; of an entity that comes twice the smaller abstract."""
+    info = entities.groupBy(F.col("title").alias("__title")).agg(F.min(F.struct(F.coalesce("abstract", F.lit("")).alias("a"), F.slice(F.coalesce("categories", F.array().cast("array<string>")), 1, 5).alias("c"))).alias("__f"))
+    rows = materialize(out.withColumn("__row", F.monotonically_increasing_id()))
+    each = rows.select("__row", F.posexplode("wiki_links").alias("__at", "__l")).join(info, F.col("__l.wiki_title") == F.col("__title"), "left")
+    full = F.struct(*(F.col(f"__l.{c}").alias(c) for c in ("surface", "wiki_title", "type", "norm")), F.coalesce("__f.a", F.lit("")).alias("abstract"), F.coalesce("__f.c", F.array().cast("array<string>")).alias("categories"))
+    links = each.groupBy(F.col("__row").alias("__doc")).agg(F.array_sort(F.collect_list(F.struct("__at", full.alias("l")))).alias("__links"))
+    met = rows.drop("wiki_links").join(links, F.col("__row") == F.col("__doc"), "left")
+    return met.withColumn("wiki_links", F.coalesce(F.transform("__links", lambda x: x["l"]), F.array().cast(f"array<{LINK}>"))).select(*out.columns)
+
+
+def _links(recipes: DataFrame, table: DataFrame, fields: list[str]) -> DataFrame:
+    known = _dictionary(table, "surface", "wiki_title", "type", "norm")
+    norms, of = sorted({r[3] for r in known}), {}
+    for r in known:
+        of.setdefault(r[3], []).append(r)
 
     @F.pandas_udf(f"array<{LINK}>")
     def links(*texts):
@@ -108,15 +162,11 @@ def enrich(recipes: DataFrame, gazetteer: DataFrame, entities: DataFrame | None
             found = [(o, end, g) for o, text in enumerate(row) for i, end in find(text).items() for g in of[norms[i]]]
             seen = {}
             for _, _, g in sorted(found, key=lambda x: (x[0], x[1], x[2][0] or "", x[2][1] or "")):
-                seen.setdefault(g[1], {"surface": g[0] or "", "wiki_title": g[1] or "", "type": g[2] or "", "norm": g[3], "abstract": g[4] or "", "categories": list(g[5] or [])})
+                seen.setdefault(g[1], {"surface": g[0] or "", "wiki_title": g[1] or "", "type": g[2] or "", "norm": g[3], "abstract": "", "categories": []})
             out.append(list(seen.values()))
         return pd.Series(out)
 
-    out = recipes.withColumn("wiki_links", links(*(F.lower(field_text(recipes, f)) for f in fields)))
-    if "cuisine" in recipes.columns:
-        told = F.transform(F.filter("wiki_links", lambda x: x["type"] == "cuisine"), lambda x: x["wiki_title"])
-        out = out.withColumn("cuisine", F.when(F.size(F.coalesce("cuisine", F.array().cast("array<string>"))) == 0, told).otherwise(F.col("cuisine")))
-    return out
+    return recipes.withColumn("wiki_links", links(*(F.lower(field_text(recipes, f)) for f in fields)))
 
 
 def link_stats(enriched: DataFrame) -> DataFrame:

@@ -697,4 +697,4 @@ def flagship(spark, sf_dir):
 
 
 # more queries register themselves on import
-from . import clauses, crawl_plans, crawled, menus  # noqa: E402, F401
+from . import clauses, crawl_plans, crawled, menus, names_plans  # noqa: E402, F401
