@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import iso_minutes, split_keywords
 from .crawl import canonical_url, document_id
+from .dom import page_elements
 
 #: Names that count as cuisines, tags that count as categories, image URL rules.
 CUISINES = (
@@ -133,14 +134,6 @@ def html_title(html: Column) -> Column:
     return F.coalesce(*(F.when(F.length(h) > 3, h) for h in heads), F.lit(""))
 
 
-def html_items(html: Column, words: str, list_tag: str, least: int, longer: int) -> Column:
-    """Texts of li or p whose class has one of the words, else the items of the first list of at least `least`."""
-    items = lambda h: F.filter(F.transform(F.regexp_extract_all(h, F.lit(r"(?is)<li\b[^>]*>(.*?)(?:</li>|(?=<li\b)|$)"), F.lit(1)), clean), lambda x: F.length(x) > longer)
-    classed = F.filter(F.transform(F.regexp_extract_all(html, F.lit(rf"""(?is)<(?:li|p|span|div)\b[^>]*class=["'][^"']*(?:{words})[^"']*["'][^>]*>([^<]+(?:<(?!/?(?:li|p|div|ul|ol)\b)[^>]*>[^<]*)*)"""), F.lit(1)), clean), lambda x: F.length(x) > longer)
-    lists = F.filter(F.transform(F.regexp_extract_all(html, F.lit(rf"(?is)<{list_tag}\b[^>]*>(.*?)</{list_tag}>"), F.lit(1)), items), lambda x: F.size(x) >= least)
-    return F.when(F.size(classed) > 0, classed).otherwise(F.coalesce(F.get(lists, F.lit(0)), F.array().cast("array<string>")))
-
-
 def html_minutes(html: Column, what: str) -> Column:
     """Minutes after a label such as 'Prep Time: 1 hr 20 min'."""
     near = F.regexp_extract(F.lower(clean(html)), rf"{what}(?:\s*time)?\s*(?:in)?\s*:?\s*((?:\d+\s*(?:hours?|hrs?|h|minutes?|mins?|m)\b\s*)+)", 1)
@@ -148,26 +141,80 @@ def html_minutes(html: Column, what: str) -> Column:
     return n("hours?|hrs?|h") * 60 + n("minutes?|mins?|m")
 
 
+#: Categories that a page's crumbs and keywords may tell; tools; words of a difficulty; patterns, in the order in which
+#: they are asked.
+HTML_CATEGORIES = (
+    "breakfast", "brunch", "lunch", "lunch/snacks", "dinner", "dessert", "appetizers", "beverages", "snacks", "side dishes",
+    "vegan", "vegetarian", "kosher", "halal", "gluten-free", "dairy-free", "egg free", "lactose free", "no shell fish", "low cholesterol",
+    "low protein", "high protein", "high fiber", "very low carbs", "healthy", "free of...",
+)
+TOOLS = ("oven", "stove", "pan", "pot", "skillet", "grill", "microwave", "blender", "mixer", "food processor", "knife", "cutting board", "baking sheet", "casserole dish", "slow cooker", "pressure cooker")
+DIFFICULTIES = {"easy": ("easy", "simple", "quick", "basic", "beginner"), "intermediate": ("intermediate", "medium", "moderate"), "hard": ("hard", "difficult", "advanced", "complex", "challenging")}
+YIELDS = (r"serves?\s*(\d+)", r"yield[s]?\s*(\d+)", r"makes?\s*(\d+)", r"(\d+)\s*serving[s]?", r"(\d+)\s*portion[s]?")
+AUTHORS = (r"submitted\s+by\s+([^,\n]+)", r"by\s+([^,\n]+)", r"author[:\s]+([^,\n]+)")
+DATES = (r"""datePublished["']?\s*:\s*["']([^"']*)["']""", r"""OrigPubDate["']?\s*:\s*["']([^"']*)["']""")
+SERVINGS = (r"""servingSize["']?\s*:\s*["']([^"']*)["']""", r"serving\s*size[:\s]*([^<\n]+)", r"per\s*serving[:\s]*([^<\n]+)")
+BIOS = (r"""bio["']?\s*:\s*["']([^"']*)["']""", r"""biography["']?\s*:\s*["']([^"']*)["']""")
+PLACES = (r"""location["']?\s*:\s*["']([^"']*)["']""", r"""address["']?\s*:\s*["']([^"']*)["']""")
+DAILY_VALUES = {
+    "serving_size": "servingSize", "calories_from_fat": "caloriesFromFat", "calories_from_fat_pct": "caloriesFromFatPctDailyValue", "total_fat_pct": "totalFatPctDailyValue",
+    "saturated_fat_pct": "saturatedFatPctDailyValue", "cholesterol_pct": "cholesterolPctDailyValue", "sodium_pct": "sodiumPctDailyValue", "carbohydrate_pct": "totalCarbohydratePctDailyValue",
+    "fiber_pct": "dietaryFiberPctDailyValue", "sugar_pct": "sugarsPctDailyValue", "protein_pct": "proteinPctDailyValue",
+}
+
+
+def _asked(html: Column, patterns) -> Column:
+    """The group of the first pattern that the page has, in any case, stripped; empty without one."""
+    tries = [F.when(html.rlike("(?iU)" + p), F.regexp_extract(html, "(?iU)" + p, 1)) for p in patterns]
+    return F.regexp_replace(F.coalesce(*tries, F.lit("")), r"(?U)^\s+|\s+$", "")
+
+
 def parse_html(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The same columns from HTML patterns."""
-    h = F.col(html_col)
-    meta = lambda name: clean(F.regexp_extract(h, rf"""(?is)<meta[^>]*(?:name|property)=["'](?:og:)?{name}["'][^>]*content=["']([^"']*)""", 1))
-    keywords, none = meta("keywords"), F.array().cast("array<string>")
+    """The same columns, and tools, serving_size, author_bio, author_location, author_stats, daily_values, from the page's
+    elements (dom.read_page, one pass a page) and from patterns over its source."""
+    h, low = F.col(html_col), F.lower(html_col)
+    none = F.array().cast("array<string>")
+    e = lambda name: F.col(f"__e.{name}")
+    texts = lambda name: F.coalesce(e(name), none)
+    meta = lambda name: F.trim(F.coalesce(e("metas")[name], F.lit("")))
+    told = F.when(F.map_contains_key(e("metas"), F.lit("keywords")), e("metas")["keywords"])
+    keywords = split_keywords(F.coalesce(told, F.lit("")))
+    listed = F.when(told.isNotNull(), keywords).otherwise(split_keywords(_asked(h, (r"""keywords["']?\s*:\s*["']([^"']*)["']""",))))
+    crumbs = F.transform(texts("crumbs"), lambda x: F.lower(x))
+    places = F.filter(F.array(*map(F.lit, CUISINES)), lambda c: F.exists(crumbs, lambda t: F.contains(t, c)))
+    cuisine = F.array_distinct(F.concat(F.transform(F.filter(keywords, lambda k: F.lower(k).isin(*CUISINES)), title_case), F.transform(places, title_case)))
+    linked = F.filter(texts("crumb_links"), lambda t: (F.length(t) > 2) & F.lower(t).isin(*HTML_CATEGORIES))
+    category = F.concat(linked, F.filter(F.array_distinct(F.filter(keywords, lambda k: F.lower(k).isin(*HTML_CATEGORIES))), lambda k: ~F.array_contains(linked, k)))
+    tools = F.array_distinct(F.flatten(F.transform(texts("instructions"), lambda i: F.filter(F.array(*map(F.lit, TOOLS)), lambda t: F.contains(F.lower(i), t)))))
     prep, cook, total = html_minutes(h, "prep"), html_minutes(h, "cook"), html_minutes(h, "(?:total|ready)")
-    images = F.regexp_extract_all(h, F.lit(r"""(?is)<img\b[^>]*\bsrc=["']([^"']+)"""), F.lit(1))
-    good = distinct_images(images)
-    nutrition = {k: F.nullif(F.regexp_extract(clean(h), rf"(?i){k.replace('_', ' ')}\s*:?\s*([0-9.]+)", 1), F.lit("")) for k in NUTRIENTS}
-    rating = F.nullif(F.regexp_extract(h, r"""(?i)"?ratingvalue"?\s*[:=]\s*"?([0-9.]+)""", 1), F.lit(""))
-    reviews = F.nullif(F.regexp_extract(h, r"""(?i)"?reviewcount"?\s*[:=]\s*"?([0-9]+)""", 1), F.lit(""))
-    return pages.select(
-        *pages.columns, document_id(F.col(url_col)).alias("recipe_id"), canonical_url(F.col(url_col), h).alias("canonical"), html_title(h).alias("title"), meta("description").alias("description"),
-        html_items(h, "ingredient", "ul", 3, 1).alias("ingredients"), html_items(h, "direction|instruction|step", "ol", 2, 10).alias("instructions"),
+    good = lambda urls: F.filter(urls, lambda u: is_recipe_image(u))
+    og = F.when(F.map_contains_key(e("metas"), F.lit("og:image")), F.array(meta("og:image"))).otherwise(none)
+    lead = good(F.slice(texts("primary"), 1, 1))
+    own = F.array_distinct(F.concat(lead, good(texts("other"))))
+    pictures = F.when(F.size(own) > 0, own).otherwise(F.array_distinct(F.concat(good(og), good(texts("every")))))
+    image = F.coalesce(F.get(F.concat(lead, good(texts("media")), good(og), good(texts("every"))), F.lit(0)), F.lit(""))
+    hard = F.lit("")
+    for level, words in reversed(DIFFICULTIES.items()):
+        hard = F.when(low.rlike("|".join(words)), F.lit(level)).otherwise(hard)
+    served = _asked(low, YIELDS)
+    served = F.when(served != "", served).otherwise(F.regexp_extract(clean(h), r"(?i)(?:serves|servings|yields?|makes)\s*:?\s*(\d+(?:\s*-\s*\d+)?)", 1))
+    value = lambda name: rf"""{name}["']?\s*:\s*["']([^"']*)["']"""
+    daily = F.map_filter(F.create_map(*(x for k, name in DAILY_VALUES.items() for x in (F.lit(k), F.when(h.rlike("(?i)" + value(name)), _asked(h, (value(name),)))))), lambda k, v: v.isNotNull())
+    number = lambda name: F.nullif(F.regexp_extract(h, rf"""(?i){name}["']?\s*:\s*(\d+)""", 1), F.lit("")).cast("long")
+    bio = F.regexp_replace(F.regexp_replace(_asked(h, BIOS), r"<[^>]+>", ""), r"&[^;]+;", " ")
+    date = F.when(F.map_contains_key(e("metas"), F.lit("datePublished")), meta("datePublished")).otherwise(_asked(h, DATES))
+    description = F.when(F.map_contains_key(e("metas"), F.lit("description")), meta("description")).otherwise(meta("og:description"))
+    rows = pages.withColumn("__e", page_elements(h))
+    return rows.select(
+        *pages.columns, document_id(F.col(url_col)).alias("recipe_id"), canonical_url(F.col(url_col), h).alias("canonical"), F.coalesce(e("title"), F.lit("")).alias("title"), description.alias("description"),
+        texts("ingredients").alias("ingredients"), texts("instructions").alias("instructions"),
         F.struct(prep.cast("int").alias("prep"), cook.cast("int").alias("cook"), F.when(total == 0, prep + cook).otherwise(total).cast("int").alias("total")).alias("times"),
-        F.transform(keyword_values(keywords, CUISINES), title_case).alias("cuisine"), keyword_values(keywords, CATEGORIES).alias("category"),
-        F.regexp_extract(clean(h), r"(?i)(?:serves|servings|yields?|makes)\s*:?\s*(\d+(?:\s*-\s*\d+)?)", 1).alias("yield"), meta("author").alias("author"),
-        split_keywords(keywords).alias("keywords"), meta("article:published_time").alias("date_published"), F.coalesce(F.get(good, F.lit(0)), F.lit("")).alias("image"), F.coalesce(good, none).alias("all_images"),
-        difficulty(keywords).alias("difficulty"), F.struct(*(c.alias(k) for k, c in nutrition.items())).alias("nutrition"),
-        F.when(rating.isNotNull(), F.struct(rating.alias("rating"), reviews.alias("review_count"))).alias("ratings"), F.lit("html").alias("parser"),
+        cuisine.alias("cuisine"), category.alias("category"), served.alias("yield"), _asked(low, AUTHORS).alias("author"),
+        listed.alias("keywords"), date.alias("date_published"), image.alias("image"), pictures.alias("all_images"), hard.alias("difficulty"),
+        F.when(F.size(e("nutrition")) > 0, F.struct(*(e("nutrition")[k].alias(k) for k in NUTRIENTS))).alias("nutrition"),
+        F.when(e("rating").isNotNull() | e("reviews").isNotNull(), F.struct(e("rating").alias("rating"), e("reviews").alias("review_count"))).alias("ratings"), F.lit("html").alias("parser"),
+        tools.alias("tools"), _asked(h, SERVINGS).alias("serving_size"), bio.alias("author_bio"), _asked(h, PLACES).alias("author_location"),
+        F.struct(number("recipesCount").alias("recipes"), number("followMeCount").alias("followers")).alias("author_stats"), daily.alias("daily_values"),
     )
 
 
@@ -176,7 +223,7 @@ def parse_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     first = parse_json_ld(pages, url_col, html_col, lenient)
     ok = (F.col("title") != "") & (F.size("ingredients") > 0)
     rest = parse_html(first.filter(~ok).select(*pages.columns), url_col, html_col)
-    return first.filter(ok).unionByName(rest).filter("title <> ''")
+    return first.filter(ok).unionByName(rest, allowMissingColumns=True).filter("title <> ''")
 
 
 def ingredient_links(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -531,7 +531,7 @@ def html_links(spark, sf_dir):
 
 @query()
 def parse_pages(spark, sf_dir):
-    return parse.parse_pages(table(spark, sf_dir, "pages")).drop("html")
+    return parse.parse_pages(table(spark, sf_dir, "pages")).drop("html", "daily_values")
 
 
 _LD = """<html><script type="application/ld+json"><!-- {"@context": "http://schema.org", "@type": "Recipe", "name": "Pie %d", "recipeIngredient": [" flour0 ", "egg1", "milk2", " "], "recipeInstructions": [{"text": "Mix %d"}, " Bake "],
@@ -697,4 +697,4 @@ def flagship(spark, sf_dir):
 
 
 # more queries register themselves on import
-from . import clauses, crawl_plans, crawled, menus, names_plans  # noqa: E402, F401
+from . import clauses, crawl_plans, crawled, html_plans, menus, names_plans  # noqa: E402, F401
