@@ -7,7 +7,8 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import facets, filters, recipes, search
+from .operators import boolean, facets, filters, recipes, search
+from .operators.boolean import PositionalIndex, build_positional_index
 from .operators.index import FieldIndex, Index, build_field_index, build_index
 from .sources import files
 
@@ -17,6 +18,7 @@ class Engine:
         self.spark, self.table, self.id_col = spark, table, id_col
         self.index = index or build_index(table, id_col)
         self.fields: FieldIndex | None = None  # built with the first boosted-field query, or loaded
+        self.positions: PositionalIndex | None = None  # with the first Boolean one
         self.asked: list[tuple[int, float]] = []
 
     @classmethod
@@ -60,6 +62,21 @@ class Engine:
                 setattr(self.fields, name, getattr(self.fields, name).cache())
         return search.field_search(self.fields, query, k, similarity, kept)
 
+    def boolean_search(self, query: str, k: int = 10, settings: dict | None = None, tree=None) -> DataFrame:
+        """The k best as wide rows (boolean.hits), all that is asked adding to the score; or what a clause tree matches."""
+        if self.positions is None:
+            self.positions = build_positional_index(self.table, self.id_col)
+            for name in ("postings", "fields", "docs"):
+                setattr(self.positions, name, getattr(self.positions, name).cache())
+        return boolean.hits(self.positions, boolean.search(self.positions, tree or boolean.settings_clause(query, settings or {}), k))
+
+    def render(self, hits: DataFrame, quiet: bool = False) -> list[str]:
+        """A line a hit, of k rows at most: id and score for other programs, or rank, title, minutes, cuisine and URL for people."""
+        rows = hits.orderBy("rank").collect()
+        if quiet:
+            return [f"{r['docId']}\t{r['score']:.4f}" for r in rows]
+        return [" | ".join(str(x) for x in (f"{r['rank']}.", r["title"] or f"Document {r['docId']}", f"{r['total_minutes']} min" if r["total_minutes"] else "", r["cuisine"], r["url"]) if x) for r in rows]
+
     def page(self, query: str, page: int = 1, per_page: int = 10, metric: str = "bm25", settings: dict | None = None) -> dict:
         """A service's answer: hits with the recipes' columns, total and pages. One page reaches the driver."""
         began = time.time()

@@ -163,7 +163,7 @@ def stored_fields(recipes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     listed = lambda c: F.array_join(F.filter(F.transform(c, lambda v: F.trim(v)), lambda v: v != ""), ", ") if types.get(c, "").startswith("array") else text(c)
     minutes = lambda c: F.coalesce(F.nullif(F.col(f"times.{c}").cast("string"), F.lit("0")), F.lit("")) if f"{c}:" in types.get("times", "") else F.lit("")
     total = F.coalesce(F.col("times.total").cast("int"), F.lit(0)) if "total:" in types.get("times", "") else F.lit(0)
-    links = F.col("wiki_links") if "wiki_links" in types else F.lit(None).cast("array<string>")
+    links = F.coalesce("wiki_links", F.array().cast(types["wiki_links"])) if "wiki_links" in types else F.array().cast("array<string>")
     return recipes.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), total.alias("total_minutes"), *(text(c).alias(c) for c in SHOWN), *(F.coalesce(listed(c), F.lit("")).alias(c) for c in LISTS),
         *((F.coalesce(F.when(F.to_json(c) != "{}", F.to_json(c)), F.lit("")) if c in types else F.lit("")).alias(c) for c in OBJECTS),

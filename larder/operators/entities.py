@@ -14,6 +14,41 @@ from .index import field_text
 from .store import materialize
 
 FIELDS = ("title", "ingredients", "instructions", "description")
+#: Common ingredients as surface, wiki title, normalised name.
+INGREDIENT_NAMES = (
+    ("chicken", "Chicken", "chicken"), ("beef", "Beef", "beef"), ("pork", "Pork", "pork"), ("fish", "Fish", "fish"), ("salmon", "Salmon", "salmon"),
+    ("turkey", "Turkey (bird)", "turkey"), ("lamb", "Lamb and mutton", "lamb"), ("shrimp", "Shrimp", "shrimp"), ("crab", "Crab", "crab"), ("lobster", "Lobster", "lobster"),
+    ("onion", "Onion", "onion"), ("garlic", "Garlic", "garlic"), ("tomato", "Tomato", "tomato"), ("potato", "Potato", "potato"), ("carrot", "Carrot", "carrot"),
+    ("celery", "Celery", "celery"), ("pepper", "Bell pepper", "bell pepper"), ("mushroom", "Mushroom", "mushroom"), ("spinach", "Spinach", "spinach"), ("lettuce", "Lettuce", "lettuce"),
+    ("broccoli", "Broccoli", "broccoli"), ("cauliflower", "Cauliflower", "cauliflower"), ("cabbage", "Cabbage", "cabbage"), ("cucumber", "Cucumber", "cucumber"), ("zucchini", "Zucchini", "zucchini"),
+    ("eggplant", "Eggplant", "eggplant"), ("asparagus", "Asparagus", "asparagus"), ("artichoke", "Artichoke", "artichoke"),
+    ("apple", "Apple", "apple"), ("banana", "Banana", "banana"), ("orange", "Orange (fruit)", "orange"), ("lemon", "Lemon", "lemon"), ("lime", "Lime (fruit)", "lime"),
+    ("strawberry", "Strawberry", "strawberry"), ("blueberry", "Blueberry", "blueberry"), ("raspberry", "Raspberry", "raspberry"), ("grape", "Grape", "grape"), ("cherry", "Cherry", "cherry"),
+    ("peach", "Peach", "peach"), ("pear", "Pear", "pear"), ("plum", "Plum", "plum"), ("mango", "Mango", "mango"), ("pineapple", "Pineapple", "pineapple"),
+    ("watermelon", "Watermelon", "watermelon"), ("cantaloupe", "Cantaloupe", "cantaloupe"),
+    ("milk", "Milk", "milk"), ("cheese", "Cheese", "cheese"), ("butter", "Butter", "butter"), ("cream", "Cream", "cream"), ("yogurt", "Yogurt", "yogurt"),
+    ("sour cream", "Sour cream", "sour cream"), ("cottage cheese", "Cottage cheese", "cottage cheese"), ("ricotta", "Ricotta", "ricotta"), ("mozzarella", "Mozzarella", "mozzarella"), ("cheddar", "Cheddar cheese", "cheddar cheese"),
+    ("parmesan", "Parmesan cheese", "parmesan cheese"), ("feta", "Feta", "feta cheese"), ("goat cheese", "Goat cheese", "goat cheese"), ("blue cheese", "Blue cheese", "blue cheese"), ("swiss cheese", "Swiss cheese", "swiss cheese"),
+    ("rice", "Rice", "rice"), ("pasta", "Pasta", "pasta"), ("bread", "Bread", "bread"), ("flour", "Flour", "flour"), ("oats", "Oat", "oats"),
+    ("quinoa", "Quinoa", "quinoa"), ("barley", "Barley", "barley"), ("wheat", "Wheat", "wheat"), ("corn", "Maize", "corn"), ("potato", "Potato", "potato"),
+    ("sweet potato", "Sweet potato", "sweet potato"), ("yam", "Yam (vegetable)", "yam"),
+    ("almond", "Almond", "almond"), ("walnut", "Walnut", "walnut"), ("pecan", "Pecan", "pecan"), ("cashew", "Cashew", "cashew"), ("pistachio", "Pistachio", "pistachio"),
+    ("hazelnut", "Hazelnut", "hazelnut"), ("peanut", "Peanut", "peanut"), ("sunflower seed", "Sunflower seed", "sunflower seed"), ("sesame seed", "Sesame", "sesame seed"), ("chia seed", "Chia seed", "chia seed"),
+    ("flax seed", "Flax", "flax seed"),
+    ("basil", "Basil", "basil"), ("oregano", "Oregano", "oregano"), ("thyme", "Thyme", "thyme"), ("rosemary", "Rosemary", "rosemary"), ("sage", "Sage", "sage"),
+    ("parsley", "Parsley", "parsley"), ("cilantro", "Coriander", "cilantro"), ("dill", "Dill", "dill"), ("mint", "Mint", "mint"), ("chives", "Chives", "chives"),
+    ("ginger", "Ginger", "ginger"), ("cinnamon", "Cinnamon", "cinnamon"), ("nutmeg", "Nutmeg", "nutmeg"), ("cloves", "Clove", "cloves"), ("cardamom", "Cardamom", "cardamom"),
+    ("cumin", "Cumin", "cumin"), ("coriander", "Coriander", "coriander"), ("paprika", "Paprika", "paprika"), ("cayenne", "Cayenne pepper", "cayenne pepper"), ("black pepper", "Black pepper", "black pepper"),
+    ("salt", "Salt", "salt"),
+    ("olive oil", "Olive oil", "olive oil"), ("vegetable oil", "Vegetable oil", "vegetable oil"), ("canola oil", "Canola oil", "canola oil"), ("coconut oil", "Coconut oil", "coconut oil"), ("sesame oil", "Sesame oil", "sesame oil"),
+    ("avocado oil", "Avocado oil", "avocado oil"), ("lard", "Lard", "lard"), ("shortening", "Shortening", "shortening"),
+    ("bean", "Bean", "bean"), ("black bean", "Black bean", "black bean"), ("kidney bean", "Kidney bean", "kidney bean"), ("chickpea", "Chickpea", "chickpea"), ("lentil", "Lentil", "lentil"),
+    ("soybean", "Soybean", "soybean"), ("pea", "Pea", "pea"), ("green bean", "Green bean", "green bean"),
+    ("egg", "Egg (food)", "egg"), ("honey", "Honey", "honey"), ("sugar", "Sugar", "sugar"), ("brown sugar", "Brown sugar", "brown sugar"), ("maple syrup", "Maple syrup", "maple syrup"),
+    ("vanilla", "Vanilla", "vanilla"), ("chocolate", "Chocolate", "chocolate"), ("cocoa", "Cocoa bean", "cocoa"), ("coffee", "Coffee", "coffee"), ("tea", "Tea", "tea"),
+    ("vinegar", "Vinegar", "vinegar"), ("soy sauce", "Soy sauce", "soy sauce"), ("worcestershire sauce", "Worcestershire sauce", "worcestershire sauce"), ("ketchup", "Ketchup", "ketchup"), ("mustard", "Mustard (condiment)", "mustard"),
+    ("mayonnaise", "Mayonnaise", "mayonnaise"), ("salsa", "Salsa (sauce)", "salsa"), ("pesto", "Pesto", "pesto"), ("hummus", "Hummus", "hummus"), ("tahini", "Tahini", "tahini"),
+)
 
 
 def build_gazetteer(given: DataFrame) -> DataFrame:
@@ -189,3 +224,14 @@ def grouped_links(enriched: DataFrame, id_col: str = "doc_id", n: int = 5) -> Da
 
 def literal_gazetteer(spark: SparkSession, pairs: Sequence[tuple[str, str, str]]) -> DataFrame:
     return build_gazetteer(spark.createDataFrame([(*p, i) for i, p in enumerate(pairs)], "surface string, wiki_title string, type string, seq int"))
+
+
+def ingredient_gazetteer(spark: SparkSession) -> DataFrame:
+    """INGREDIENT_NAMES and their plurals in s: (surface, wiki_title, type, norm), a plural with the norm of its name. Where a name and
+    a plural are the same text, the later one in the list counts."""
+    rows = {}
+    for surface, title, norm in INGREDIENT_NAMES:
+        rows[surface] = (title, norm)
+        if not surface.endswith("s"):
+            rows[surface + "s"] = (title, norm)
+    return spark.createDataFrame([(k, t, "ingredient", n) for k, (t, n) in rows.items()], "surface string, wiki_title string, type string, norm string")

@@ -94,6 +94,16 @@ def difficulty(keywords: Column) -> Column:
     return F.when(low.contains("easy"), "easy").when(low.contains("intermediate") | low.contains("medium"), "intermediate").when(low.rlike("hard|difficult|advanced"), "hard").otherwise("")
 
 
+#: Where a page's script tells its URL, in the order in which they are asked.
+URLS = (r'"url"\s*:\s*"(https://www\.food\.com/recipe/[^"]*)"', r"""canonicalUrl["']?\s*:\s*["']([^"']*)["']""", r"""currentUrl["']?\s*:\s*["']([^"']*)["']""")
+
+
+def script_url(html: Column) -> Column:
+    """The recipe's URL in the page's script: the first pattern whose first match is one; null without any."""
+    found = F.transform(F.array(*(F.regexp_extract(html, "(?iU)" + p, 1) for p in URLS)), lambda u: F.trim(u))
+    return F.get(F.filter(found, lambda u: u.contains("food.com") & u.contains("/recipe/")), F.lit(0))
+
+
 def parse_json_ld(pages: DataFrame, url_col: str = "url", html_col: str = "html", lenient: bool = False) -> DataFrame:
     """pages with the columns of a recipe taken from JSON-LD; title is empty where there is none."""
     v = F.col("__v")
@@ -103,8 +113,8 @@ def parse_json_ld(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     steps = F.coalesce(F.filter(F.transform(F.try_variant_get(v, "$.recipeInstructions", "array<variant>"), lambda x: F.trim(F.coalesce(F.try_variant_get(x, "$.text", "string"), F.try_variant_get(x, "$", "string"), F.lit("")))), lambda x: x != ""), F.array().cast("array<string>"))
     author = F.coalesce(_text(v, "$.author.name"), F.when(F.schema_of_variant(F.try_variant_get(v, "$.author", "variant")) == "STRING", _text(v, "$.author")), F.lit(""))
     images = F.coalesce(_texts(v, "$.image"), F.when(s("$.image") != "", F.array(s("$.image"))), F.array().cast("array<string>"))
-    entity = F.coalesce(_text(v, "$.mainEntityOfPage['@id']"), F.when(F.schema_of_variant(F.try_variant_get(v, "$.mainEntityOfPage", "variant")) == "STRING", _text(v, "$.mainEntityOfPage")))
-    url = F.coalesce(F.nullif(_text(v, "$.url"), F.lit("")), entity, canonical_url(F.col(url_col), F.col(html_col)))
+    named = F.when(F.schema_of_variant(F.try_variant_get(v, "$.mainEntityOfPage", "variant")) == "STRING", F.nullif(_text(v, "$.mainEntityOfPage"), F.lit("true")))
+    url = F.coalesce(F.nullif(_text(v, "$.url"), F.lit("")), _text(v, "$.mainEntityOfPage.url"), named, script_url(F.col(html_col)), F.col(url_col))
     keywords = s("$.keywords")
     category = F.array_distinct(F.concat(F.when(F.trim(s("$.recipeCategory")) != "", F.array(F.trim(s("$.recipeCategory")))).otherwise(F.array().cast("array<string>")), keyword_values(keywords, CATEGORIES)))
     nutrition = F.when(F.try_variant_get(v, "$.nutrition", "variant").isNotNull(), F.struct(*(_text(v, f"$.nutrition.{n}").alias(k) for k, n in NUTRIENTS.items())))
@@ -206,7 +216,7 @@ def parse_html(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     description = F.when(F.map_contains_key(e("metas"), F.lit("description")), meta("description")).otherwise(meta("og:description"))
     rows = pages.withColumn("__e", page_elements(h))
     return rows.select(
-        *pages.columns, document_id(F.col(url_col)).alias("recipe_id"), canonical_url(F.col(url_col), h).alias("canonical"), F.coalesce(e("title"), F.lit("")).alias("title"), description.alias("description"),
+        *pages.columns, document_id(F.col(url_col)).alias("recipe_id"), F.when(canonical_url(F.lit(""), h) != "", canonical_url(F.col(url_col), h)).otherwise(F.coalesce(script_url(h), F.col(url_col))).alias("canonical"), F.coalesce(e("title"), F.lit("")).alias("title"), description.alias("description"),
         texts("ingredients").alias("ingredients"), texts("instructions").alias("instructions"),
         F.struct(prep.cast("int").alias("prep"), cook.cast("int").alias("cook"), F.when(total == 0, prep + cook).otherwise(total).cast("int").alias("total")).alias("times"),
         cuisine.alias("cuisine"), category.alias("category"), served.alias("yield"), _asked(low, AUTHORS).alias("author"),

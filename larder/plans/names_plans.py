@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import runs_all
 from ..operators import entities
-from .registry import query, table
+from . import sql
+from .registry import query, recipe_table, table
 
 _WORDS = r"list_filter(string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: length(t) > 2)"
 
@@ -20,3 +21,21 @@ def entity_links_grown(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("title"))
     found = entities.link(rows, said.withColumn("wiki_title", F.col("surface")), mode="longest", word_boundary=True, large=0)
     return found.groupBy("doc_id", "surface").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _builtin_sql() -> str:
+    """Every ingredient's name in titles, ingredients and instructions, leftmost first and then shortest."""
+    rows = {}
+    for surface, title, _ in entities.INGREDIENT_NAMES:
+        rows |= {x: title for x in ((surface,) if surface.endswith("s") else (surface, surface + "s"))}
+    given = ", ".join(f"('{s}', '{t.replace(chr(39), chr(39) * 2)}')" for s, t in rows.items())
+    names = "|".join(sorted(rows, key=lambda s: (len(s), s)))
+    return f"""WITH g(surface, wiki_title) AS (VALUES {given}), {sql.RECIPES}, f AS (SELECT doc_id, 'title' AS field, lower(title) AS t FROM rec UNION ALL SELECT doc_id, 'ingredients', lower(ing) FROM rec UNION ALL SELECT doc_id, 'instructions', lower(instr) FROM rec),
+x AS (SELECT doc_id, field, unnest(regexp_extract_all(t, '{names}')) AS surface FROM f) SELECT doc_id, field, wiki_title, count(*) AS n FROM x JOIN g USING (surface) GROUP BY ALL"""
+
+
+@query(_builtin_sql())
+def ingredient_name_links(spark, sf_dir):
+    """The built-in ingredients found in all documents, in words too."""
+    found = entities.link(recipe_table(spark, sf_dir).drop("description"), entities.ingredient_gazetteer(spark))
+    return found.groupBy("doc_id", "field", "wiki_title").agg(F.count(F.lit(1)).alias("n"))

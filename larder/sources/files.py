@@ -156,3 +156,21 @@ def sample_rows(spark: SparkSession, n: int = 20) -> DataFrame:
 
 def page(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
+
+
+def default_recipes(spark: SparkSession, path: str, limit: int = 10_000) -> DataFrame:
+    """The first `limit` recipes of a JSON-lines file, broken lines left out; where the file is missing or has none, up to
+    20 samples, so that a service has something to show."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        rows = read_recipes(spark, path).filter("_corrupt is null").drop("_corrupt").limit(limit)
+        if rows.head(1):
+            return rows
+    n = F.col("id").cast("string")
+    own = {
+        "id": F.concat(F.lit("sample_"), n), "title": F.concat(F.lit("Sample Recipe "), n), "description": F.concat(F.lit("This is a sample recipe number "), n, F.lit(" for testing purposes.")),
+        "ingredients": F.array(*(F.concat(F.lit("Ingredient "), n, F.lit(x)) for x in "ABC")), "instructions": F.array(*(F.concat(F.lit(f"Step {i} for recipe "), n) for i in (1, 2, 3))),
+        "times": F.struct((10 + F.col("id")).cast("int").alias("prep"), (20 + F.col("id") * 2).cast("int").alias("cook"), (30 + F.col("id") * 5).cast("int").alias("total")),
+        "yield": (4 + F.col("id")).cast("string"), "cuisine": F.array(F.lit("Sample Cuisine")), "difficulty": F.lit("medium"), "author": F.concat(F.lit("Chef "), n),
+    }
+    return spark.range(1, min(limit, 20) + 1).select(*(own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in SCHEMA.fields))
