@@ -185,6 +185,9 @@ def test_wiki(spark):
     assert a.region == "[[Kerala"  # a value ends at a bar
     more = wiki.extract_entities(spark.createDataFrame(registry.WIKI_PAGES, "title string, text string"), binomials=False)
     assert {r.title: r.type for r in more.collect()}["Caesar salad"] == "dish"
+    cut = {"== Head ==\nlater": "", "{{Infobox\n== not a heading ==\n}}\nlead [[a|b]]\n==H==\nlater": "lead b", "one {{x}}\n|rest\n* item\ntwo\n== H": "one two", "": ""}
+    rows = spark.createDataFrame([(t,) for t in cut], "t string").select("t", wiki.abstract(F.col("t")).alias("a")).collect()
+    assert {r.t: r.a for r in rows} == cut
     short = spark.range(1).select(wiki.abstract(F.lit("One two three. Four five six seven eight."), 20).alias("x")).first().x
     assert short == "One two three."
 
