@@ -44,6 +44,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of frames that nobody holds any more: it does so once the driver's garbage is
+    collected, which without a word may be long after a job."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ascii_lower(col):
     """Lower-case A-Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, worker_cache
+from .common import materialize, release, worker_cache
 
 #: Words with a class by rank, at most, and the least count of one; the classes; bits of a class.
 FREQUENT, LEAST = 1 << 17, 4
@@ -608,6 +608,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     parts = max(2 * least, 1 << bits)
     asked = texts.select("portion", "data").mapInArrow(_ask(vocabulary, of_pair, bits), SENT)
     answers = materialize(asked.repartition(parts, "bucket").sortWithinPartitions("bucket", "portion").mapInArrow(_answer(bits), SENT))
+    del asked
+    release(docs.sparkSession)  # what portions sent, once it is answered
     slots = np.zeros(SLOTS, np.int64)
     for r in answers.filter("bucket < 0").collect():  # SLOTS numbers in all
         own = unpack(r["data"], "<i8")[0]
