@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import numbered
+
 #: What a recipe page's URL looks like, and where its id is.
 RECIPE_URL = r"^https://www\.food\.com/recipe/[^/]*-(\d+)(?:/.*)?$"
 #: Names that our crawler goes by in robots files; pass others.
@@ -293,8 +295,12 @@ def select_pages(pages: DataFrame, seq: str, target: int = 4000, quotas: dict[st
 
 
 def round_robin(frontier: DataFrame, source: str = "source", seq: str = "seq") -> DataFrame:
-    """Tasks in turn: each source's first, then each source's second, and so on."""
-    return frontier.withColumn("turn", F.row_number().over(W.partitionBy(source).orderBy(seq))).orderBy("turn", source)
+    """Tasks in turn: each source's first, then each source's second, and so on. A turn is a row's number in the order of
+    (source, seq), found by ranges, less its source's first: a source of any size is in many tasks."""
+    rows = numbered(frontier, [source, seq], "__at")
+    first = rows.groupBy(F.col(source).alias("__source")).agg(F.min("__at").alias("__first"))
+    met = rows.join(first, F.col(source).eqNullSafe(F.col("__source"))).withColumn("turn", (F.col("__at") - F.col("__first") + 1).cast("int"))
+    return met.select(*frontier.columns, "turn").orderBy("turn", source)
 
 
 def frontier_stats(frontier: DataFrame, source: str = "source") -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranges import numbered
+from .store import materialize
+
 
 def distinct_values(df: DataFrame, array_col: str) -> DataFrame:
     """Sorted distinct values, trimmed and lower-cased, without blanks."""
@@ -56,12 +59,19 @@ def sort_recipes(df: DataFrame, by: str, id_col: str = "doc_id") -> DataFrame:
 
 
 def neighbours(df: DataFrame, id_col: str, order: list, group: list[str] | None = None) -> DataFrame:
-    """Each row's id with the one before and after it, round the ends of its group."""
-    w = W.partitionBy(*(group or [])).orderBy(*order)
+    """Each row's id with the one before and after it, round the ends of its group, or of the whole table: there rows are
+    numbered by ranges of the order and meet those with the next numbers, so no task sees them all."""
+    if not group:
+        rows = materialize(numbered(df, order, "__at").select(id_col, "__at"))
+        n = max(1, rows.count())
+        beside = lambda by, name: rows.select(F.col(id_col).alias(name), ((F.col("__at") + by) % n).alias(f"__{name}"))
+        met = rows.join(beside(1, "prev_id"), F.col("__at") == F.col("__prev_id")).join(beside(n - 1, "next_id"), F.col("__at") == F.col("__next_id"))
+        return met.select(id_col, "prev_id", "next_id")
+    w = W.partitionBy(*group).orderBy(*order)
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     before = F.coalesce(F.lag(id_col).over(w), F.last(id_col).over(whole))
     after = F.coalesce(F.lead(id_col).over(w), F.first(id_col).over(whole))
-    return df.select(*(group or []), id_col, before.alias("prev_id"), after.alias("next_id"))
+    return df.select(*group, id_col, before.alias("prev_id"), after.alias("next_id"))
 
 
 def success_stats(df: DataFrame, ok) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import crawl, entities, evaluate, facets, filters, parse, planner, recipes, search, wiki
-from ..operators.index import build_field_index, build_index
+from ..operators.index import Index, build_field_index, build_index
+from ..operators.store import materialize, new_folder, remove
 from ..sources import files
 from . import sql
 
@@ -47,18 +48,18 @@ _KEPT: dict = {}
 
 
 def kept_index(spark, sf_dir):
-    """The index that ranked queries share: built with the first of them and kept by the session."""
+    """The index that ranked queries share: written to the shared folder with the first of them and loaded by each, so
+    that it takes no memory between queries and outlives lost executors. A new table's index replaces it."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _KEPT:
-        index = index_of(spark, sf_dir)
-        for name in ("postings", "docmeta", "terms", "stats"):
-            setattr(index, name, getattr(index, name).persist())
-        for old in _KEPT.values():
-            for name in ("postings", "docmeta", "terms", "stats"):
-                getattr(old, name).unpersist()
+        folder = new_folder(spark, "index")
+        build_index(recipe_table(spark, sf_dir), keep=materialize).write(folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        for old, path in list(_KEPT.items()):
+            if old[0] == key[0]:
+                remove(spark, path)
         _KEPT.clear()
-        _KEPT[key] = index
-    return _KEPT[key]
+        _KEPT[key] = folder
+    return Index.load(spark, _KEPT[key])
 
 
 def six(df: DataFrame, *names: str) -> DataFrame:
@@ -336,6 +337,12 @@ def prev_next(spark, sf_dir):
     return facets.neighbours(table(spark, sf_dir, "conversations"), "turn", ["turn"], ["conv_id"])
 
 
+@query("SELECT doc_id, coalesce(lag(doc_id) OVER w, last_value(doc_id) OVER x) AS prev_id, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER x) AS next_id FROM documents WINDOW w AS (ORDER BY n_chars DESC, doc_id), x AS (ORDER BY n_chars DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
+def prev_next_all(spark, sf_dir):
+    """Every document with those before and after it in one order of all."""
+    return facets.neighbours(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", [F.desc("n_chars"), "doc_id"])
+
+
 @query("SELECT p_size AS ingredient_id, arg_min(p_name, (length(p_name), p_name)) AS name FROM part GROUP BY p_size")
 def canonical_name_shortest(spark, sf_dir):
     return facets.shortest_name(table(spark, sf_dir, "part").withColumnRenamed("p_size", "ingredient_id"), "ingredient_id", "p_name")

@@ -160,3 +160,26 @@ def test_engine(spark):
 
 def test_stopwords_are_words():
     assert all(re.fullmatch("[a-z]+", w) for w in text.STOPWORDS)
+
+
+def test_neighbours_and_turns_of_a_whole_table(spark):
+    """As one sorted list tells them, whatever the partitions."""
+    import random
+
+    from larder.operators import crawl, facets
+
+    r = random.Random(4)
+    rows = [(i, r.randint(0, 10**6), r.choice(["a", "a", "b", None])) for i in range(500)]
+    df = spark.createDataFrame(rows, "k long, v long, s string").repartition(7)
+    order = [k for k, v, _ in sorted(rows, key=lambda x: (-x[1], x[0]))]
+    want = {k: (order[i - 1], order[(i + 1) % len(order)]) for i, k in enumerate(order)}
+    assert {x.k: (x.prev_id, x.next_id) for x in facets.neighbours(df, "k", [F.desc("v"), "k"]).collect()} == want
+    one = facets.neighbours(spark.createDataFrame([(7,)], "k long"), "k", ["k"]).first()
+    assert (one.k, one.prev_id, one.next_id) == (7, 7, 7)
+    assert facets.neighbours(df.limit(0), "k", ["k"]).count() == 0
+    got = [(x.turn, x.s, x.k) for x in crawl.round_robin(df, "s", "k").collect()]
+    turns = {}
+    for k, _, s in rows:
+        turns.setdefault(s, []).append(k)
+    assert sorted(got, key=str) == sorted(((i + 1, s, k) for s, ks in turns.items() for i, k in enumerate(ks)), key=str)
+    assert [t for t, _, _ in got] == sorted(t for t, _, _ in got)
