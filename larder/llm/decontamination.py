@@ -242,7 +242,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     The benchmark is the stated query set: it is indexed in blocks of bounded size and each block
     is held against all rows; no document is shuffled. Items under LEAST bytes, where the lemma says
     nothing, are held where they stand verbatim, as whole words. Null texts are empty and hold
-    nothing; items that are null or empty once normalised are left out; items with one text are each found;
+    nothing; very long ones are searched whole; items that are null or empty once normalised are left out; items with one text are each found;
     repeated rows and tied ids each get their rows; an empty table gives no rows; other columns are
     ignored.
     """
@@ -256,7 +256,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that hold no benchmark item (see find_leaks), with docs' columns, whatever their
-    names. Null and empty texts stay, and so do repeated rows and tied ids, each by its own text;
+    names. Null and empty texts stay, very long ones are searched whole; repeated rows and tied ids go by their own text;
     an empty table gives no rows, an empty benchmark takes none.
     """
     for block in item_blocks(benchmark):

@@ -20,7 +20,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text counts as empty; of tied ids (repeated rows) all rows with the kept id are one
     kept row and the others copies: the row order among equal ids is not defined, `kept` is true
     on each row whose id is keep_id. A null id is never the kept one unless its whole group has
-    null ids. An empty table gives no rows. Other columns are ignored.
+    null ids. Texts of any length are hashed and compared whole. An empty table gives no rows. Other
+    columns are ignored.
     """
     found = _groups(docs, id_col, text_col, keep, normalise)
     return found.select("doc_id", F.col("first.id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("first.id")).alias("kept"), "text_sha256")
@@ -44,8 +45,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, keep: str, normalise) -
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
     """One row of each group of equal texts, with docs' columns: the one whose id is smallest (or
     largest, by `keep`); null ids come after all others. Rows with equal id and text are one row;
-    rows that share an id but not their text are told apart. Null and empty texts are one group. An
-    empty table gives no rows; other columns, whatever their names, are kept.
+    rows that share an id but not their text are told apart. Null and empty texts are one group; very
+    long ones are compared whole. An empty table gives no rows; other columns, whatever their names, are kept.
     """
     rows = materialize(_groups(docs, id_col, text_col, keep, ascii_lower).drop("text_sha256"))  # short rows
     lost = rows.filter(~(F.col("doc_id").eqNullSafe(F.col("first.id")) & (F.col("key") == F.col("first.key")))).select("doc_id", "key")

@@ -538,7 +538,8 @@ def similar_groups(docs: DataFrame, k: int = 3, num: int = 90, den: int = 100, i
     """Per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links of
     den * intersection >= num * union).
 
-    Null, empty and white-space texts have the empty set and are linked with nothing. Rows are told
+    Null, empty and white-space texts have the empty set and are linked with nothing; a very long text's
+    set is whole. Rows are told
     apart by id and text, so rows that share an id are each linked by their own text. A null id
     counts as the largest: its row has the smallest id of its group, null if there is none. An empty
     table gives no rows. Other columns are ignored.
@@ -631,7 +632,8 @@ def _blocks(sized: DataFrame, num: int, den: int) -> DataFrame:
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group of similar texts, with docs' columns: the one with the smallest id (a null
     id counts as the largest; of several texts with that id, one). Rows with equal id and text are one
-    row. Null, empty and white-space texts are similar to nothing: all stay but such repeats. An
+    row. Null, empty and white-space texts are similar to nothing: all stay but such repeats. Very long texts
+    are read whole. An
     empty table gives no rows; other columns, whatever their names, are kept.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))

@@ -578,7 +578,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     sends each of its words and continuations once, so a common one takes no more room in its bucket
     than portions. Texts are written once, as numbers of words, and meet the answers by portion.
 
-    Null and empty texts are their end alone; repeated rows and tied ids each count and get their
+    Null and empty texts are their end alone; very long ones are scored whole; repeated rows and tied ids each count and get their
     row; a null id is a training row; without training rows all counts are 0; an empty table gives
     no rows; other columns are ignored.
     """

@@ -208,7 +208,7 @@ def scan_secrets(docs: DataFrame, least_bits: float = 36.0, id_col: str = "doc_i
     costs; without it the list WORDS does.
 
     A span is kind:start:end of the whole match in code points, end exclusive (for `guess`: of the
-    value). Row by row, nothing is shuffled. A null or empty text has no spans; repeated rows and
+    value). Row by row, nothing is shuffled. A null or empty text has no spans; a very long one is scanned whole; repeated rows and
     ties each get their row; a null id stays null; an empty table gives no rows; other columns are
     ignored.
     """

@@ -199,7 +199,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end_id: int = 2, id_co
     The rows are dealt by ranges of (id, hash of the text), so a tied id can be split; each range
     is one file. A range's ids are tokenized once and kept in a checkpoint, compressed, while the
     counts of all ranges are added up; the code comes from these global counts. The driver sees
-    the vocabulary's counts only. Null ids come first; null texts are empty (the end id alone); repeated
+    the vocabulary's counts only. Null ids come first; null texts are empty (the end id alone); very long texts are one block; repeated
     rows are each written; an empty table gives an empty store.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -200,8 +200,8 @@ def scorer(model: tuple[float, dict[int, float]]):
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: doc_id, held_out, score, predicted.
 
-    Inputs of a score are the text's words alone. Null and empty texts get the bias's score;
-    repeated rows and ties each get their row; a null id is not held out; an empty table gives no
+    Inputs of a score are the text's words alone, all of them however long it is. Null and empty texts get
+    the bias's score; repeated rows and ties each get their row; a null id is not held out; an empty table gives no
     rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -214,7 +214,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     """The rows of docs that score below the threshold, with docs' columns, whatever their names.
 
     Null and empty texts get the bias's score, which is below the threshold unless most labels are
-    toxic; repeated rows and tied ids are each judged by their own text; an empty table gives no
+    toxic; very long texts are read whole; repeated rows and tied ids are each judged by their own text; an empty table gives no
     rows; without a toxic label all rows stay.
     """
     score = scorer(train(docs, labels, id_col, text_col))

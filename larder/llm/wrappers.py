@@ -512,7 +512,8 @@ def extract_text(pages: DataFrame, broadcast_bytes: int = 32 << 20, id_col: str
     pages. Otherwise only a short row a page is shuffled.
 
     Null html is empty text; a null url or one without :// has the empty host, whose pages share
-    wrappers like any other's; repeated rows and tied ids each get their row; an empty table gives
+    wrappers like any other's; very long pages are read whole; repeated rows and tied ids each get their
+    row, by their own html; an empty table gives
     no rows; other columns are ignored.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
