@@ -32,17 +32,22 @@ class Index:
 
         return replace(self, impacts=impacts(self))
 
-    def write(self, path: str, buckets: int = 64) -> None:
-        """Parquet tables; postings are dealt by term and sorted, so that a query's terms read few row groups."""
+    def write(self, path: str, buckets: int = 64, impacts: bool = True) -> None:
+        """Parquet tables; postings are dealt by term and sorted, so that a query's terms read few row groups. impacts make
+        each query cheaper and the index dearer."""
         self.postings.repartition(buckets, "term").sortWithinPartitions("term", "field", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        full = self if self.impacts is not None else self.with_impacts()
-        full.impacts.repartition(buckets, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/impacts")
         for name in ("docmeta", "terms", "stats"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        if not impacts:
+            return
+        full = self if self.impacts is not None else self.with_impacts()
+        full.impacts.repartition(buckets, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/impacts")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, stopwords: Sequence[str] = STOPWORDS) -> Index:
-        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "docmeta", "terms", "stats")), stopwords, spark.read.parquet(f"{path}/impacts"))
+        root = spark._jvm.org.apache.hadoop.fs.Path(path)
+        held = root.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(root, "impacts"))
+        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "docmeta", "terms", "stats")), stopwords, spark.read.parquet(f"{path}/impacts") if held else None)
 
     def export_tsv(self, path: str) -> None:
         """terms, postings and docmeta as sorted tab-separated files with a header; idf with six decimals."""

@@ -53,7 +53,7 @@ def kept_index(spark, sf_dir):
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _KEPT:
         folder = new_folder(spark, "index")
-        build_index(recipe_table(spark, sf_dir), keep=materialize).write(folder, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        build_index(recipe_table(spark, sf_dir), keep=materialize).write(folder, int(spark.conf.get("spark.sql.shuffle.partitions")), impacts=False)
         for old, path in list(_KEPT.items()):
             if old[0] == key[0]:
                 remove(spark, path)
