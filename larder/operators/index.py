@@ -84,18 +84,25 @@ def field_text(recipes: DataFrame, field: str):
     return F.array_join(F.coalesce(field, F.array().cast("array<string>")), " ") if kind.startswith("array") else F.coalesce(F.col(field), F.lit(""))
 
 
-def build_index(recipes: DataFrame, id_col: str = "doc_id", stopwords: Sequence[str] = STOPWORDS, df_mode: str = "field", keep=None) -> Index:
+def build_index(recipes: DataFrame, id_col: str = "doc_id", stopwords: Sequence[str] = STOPWORDS, df_mode: str = "field", keep=None, only: DataFrame | Sequence[str] | None = None) -> Index:
     """Index rows with an id and at least one term.
 
     df counts the (field, document) pairs of a term (df_mode 'field'), or its documents ('doc');
     idf = ln(documents / df), six decimals, so it may be negative. Counting is partial before the
     shuffle by (term, field, document); lengths are sums of the postings, so texts are read once.
     keep: what to do with the postings before the rest is derived from them, such as to materialize them.
+    only: terms (a list, or a column `term` without repeats) that will be asked. The index has the postings of these, and the
+    lengths and statistics of all texts: other terms count together, so a document is a few rows from the start.
     """
     terms = _exploded(recipes, id_col, {f: field_text(recipes, f) for f in FIELDS}, runs).filter(is_term(F.col("term"), stopwords))
-    postings = terms.groupBy("term", "field", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    postings = keep(postings) if keep else postings
-    lens = postings.groupBy("doc_id").agg(*(F.sum(F.when(F.col("field") == f, F.col("tf")).otherwise(0)).cast("int").alias(f"len_{f}") for f in FIELDS), F.sum("tf").cast("int").alias("len_total"))
+    if isinstance(only, DataFrame):
+        terms = terms.join(only.select(F.col("term").alias("__asked")), F.col("term") == F.col("__asked"), "left").select("doc_id", "field", F.col("__asked").alias("term"))
+    elif only is not None:
+        terms = terms.withColumn("term", F.when(F.col("term").isin(*only), F.col("term")))
+    counts = terms.groupBy("term", "field", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    counts = keep(counts) if keep else counts
+    postings = counts if only is None else counts.filter(F.col("term").isNotNull())
+    lens = counts.groupBy("doc_id").agg(*(F.sum(F.when(F.col("field") == f, F.col("tf")).otherwise(0)).cast("int").alias(f"len_{f}") for f in FIELDS), F.sum("tf").cast("int").alias("len_total"))
     stats = _stats(lens)
     titles = recipes.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), "title")
     docmeta = titles.join(lens, "doc_id")

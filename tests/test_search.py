@@ -71,6 +71,16 @@ def test_batch_count_pages_and_empty(spark, index, table):
     assert search.page_numbers(21, 3, 10) == {"offset": 20, "total_pages": 3}
 
 
+def test_an_index_of_the_asked_terms_scores_like_the_whole(spark, index, table):
+    words = ["lemon", "chicken", "nowhere"]
+    for only in (words, spark.createDataFrame([(w,) for w in words], "term string")):
+        few = build_index(table, only=only)
+        assert {r.term for r in few.postings.collect()} == {"lemon", "chicken"} == {r.term for r in few.terms.collect()}
+        assert few.stats.collect() == index.stats.collect() and sorted(few.docmeta.collect()) == sorted(index.docmeta.collect())
+        for metric in ("bm25", "tfidf"):
+            assert hits(search.search(few, "lemon chicken", metric)) == hits(search.search(index, "lemon chicken", metric))
+
+
 def test_field_search(table):
     ix = build_field_index(table)
     for kind in ("bm25", "classic"):
