@@ -178,28 +178,40 @@ def _abstracts(recipes: DataFrame) -> Column:
     return F.coalesce(F.array_join(F.filter(F.transform("wiki_links", lambda x: x["abstract"]), lambda a: F.coalesce(a, F.lit("")) != ""), " "), F.lit(""))
 
 
-def build_positional_index(recipes: DataFrame, id_col: str = "doc_id") -> PositionalIndex:
+def asked_terms(tree) -> list[str]:
+    """The terms whose postings a tree reads."""
+    if isinstance(tree, Bool):
+        return sorted({t for part in (tree.must, tree.should, tree.without, tree.filters) for c in part for t in asked_terms(c)})
+    return sorted(set(tree.terms)) if isinstance(tree, Phrase) else [tree.text] if isinstance(tree, Term) else []
+
+
+def build_positional_index(recipes: DataFrame, id_col: str = "doc_id", only: Sequence[str] | None = None, keep=None) -> PositionalIndex:
     """Terms of the text fields with their positions, whole ingredients and cuisines as keywords, total minutes as a number.
 
     Texts are read once: a row for each occurrence carries its field's length, and one shuffle by (term, field,
     document) gathers the positions of one term in one field of one document.
+    only: terms that will be asked, such as asked_terms(tree). The index has the postings of these, and the lengths
+    and statistics of all texts: a text keeps its first place for its length. keep: what to do with the postings before
+    the rest is derived from them, such as to materialize them.
     """
+    asked = lambda df: df if only is None else df.withColumn("term", F.when(F.col("term").isin(*only), F.col("term"))).filter(F.col("term").isNotNull() | (F.col("pos") == 0))
     rows = recipes.filter(F.col(id_col).isNotNull()).withColumn("wiki", _abstracts(recipes))
     types = dict(rows.dtypes)
     texts = F.array(*(F.struct(F.lit(f).alias("field"), tokenize_all(field_text(rows, f) if f in types else F.lit("")).alias("t")) for f in BOOSTS))
     each = rows.select(F.col(id_col).alias("doc_id"), F.explode(texts).alias("f"))
     each = each.select("doc_id", F.col("f.field").alias("field"), F.size("f.t").alias("len"), F.posexplode("f.t").alias("pos", "term"))
-    postings = each.groupBy("term", "field", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"), F.sort_array(F.collect_list("pos")).alias("p"))
+    postings = asked(each).groupBy("term", "field", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.max("len").alias("len"), F.sort_array(F.collect_list("pos")).alias("p"))
     postings = postings.select("term", "field", "doc_id", "tf", "len", encode_positions(F.col("p")).alias("positions"))
     values = {"cuisine_kw": F.filter(F.transform("cuisine", lambda c: F.trim(c)), lambda c: c != "") if "cuisine" in types else None, "ingredients_kw": normalize_lines(F.col("ingredients")) if "ingredients" in types else None}
     words = [F.struct(F.lit(f).alias("field"), v.alias("t")) for f, v in values.items() if v is not None]
     if words:
         kept = rows.select(F.col(id_col).alias("doc_id"), F.explode(F.array(*words)).alias("f"))
-        kept = kept.select(F.explode(F.array_distinct("f.t")).alias("term"), F.col("f.field").alias("field"), "doc_id", F.lit(1).cast("long").alias("tf"), F.size("f.t").alias("len"))
-        postings = postings.unionByName(kept, allowMissingColumns=True)
+        kept = kept.select(F.posexplode(F.array_distinct("f.t")).alias("pos", "term"), F.col("f.field").alias("field"), "doc_id", F.lit(1).cast("long").alias("tf"), F.size("f.t").alias("len"))
+        postings = postings.unionByName(asked(kept).drop("pos"), allowMissingColumns=True)
+    postings = keep(postings) if keep else postings
     lens = postings.groupBy("field", "doc_id").agg(F.max("len").alias("len"))
     fields = lens.groupBy("field").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    return PositionalIndex(postings, fields, stored_fields(recipes, id_col))
+    return PositionalIndex(postings if only is None else postings.filter(F.col("term").isNotNull()), fields, stored_fields(recipes, id_col))
 
 
 # -- evaluation ------------------------------------------------------------------------------------

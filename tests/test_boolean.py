@@ -89,6 +89,14 @@ def test_trees(index, seed):
     assert got == pytest.approx(Plain(recipes()).all(tree), abs=2e-6)
 
 
+def test_an_index_of_the_asked_terms_scores_like_the_whole(spark, index):
+    tree = Bool(should=(Term("title", "a"), Phrase("instructions", ("a", "b", "a")), Term("cuisine_kw", "x")), without=(Term("ingredients", "d"),))
+    few = b.build_positional_index(spark.createDataFrame(recipes(), SCHEMA).repartition(3), only=b.asked_terms(tree))
+    assert b.asked_terms(tree) == ["a", "b", "d", "x"] and {r.term for r in few.postings.select("term").distinct().collect()} == {"a", "b", "d", "x"}
+    assert sorted(few.fields.collect()) == sorted(index.fields.collect())
+    assert b.scored(few, tree).orderBy("doc_id").collect() == b.scored(index, tree).orderBy("doc_id").collect()
+
+
 def test_more_slots_than_a_mask_holds(index):
     each = tuple(Bool(must=(Term(f, t, float(i)),)) for i, (f, t) in enumerate([(f, t) for f in ("title", "ingredients", "instructions") for t in "abcd"] * 6))
     tree = Bool(should=each, least=20)
