@@ -127,12 +127,9 @@ def _link_large(recipes, table, id_col, fields, mode, word_boundary) -> DataFram
     # rows are told apart by a number of their own, as ids may repeat
     texts = recipes.select(F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row")).alias("doc_id"), *(F.lower(field_text(recipes, f)).alias(f) for f in fields))
     texts = materialize(texts)  # numbers stay what they are if a task runs again
-    numbered = texts.select(F.col("doc_id.row").alias("doc_id"), *fields)
-    found = names.spans(names.occurrences(numbered, table.select(F.col("surface").alias("name")), word_boundary), mode)
+    found = names.spans(names.occurrences(texts, table.select(F.col("surface").alias("name")), word_boundary), mode)
     field = F.element_at(F.array(*map(F.lit, fields)), F.col("nth") + 1)
-    hits = found.join(table, F.col("name") == F.col("surface")).select(F.col("doc_id").alias("row"), field.alias("field"), "start", "end", "surface", "wiki_title")
-    ids = texts.select("doc_id.row", F.col("doc_id.id").alias("doc_id"))
-    return hits.join(ids, "row").select("doc_id", "field", "start", "end", "surface", "wiki_title")
+    return found.join(table, F.col("name") == F.col("surface")).select("doc_id.id", field.alias("field"), "start", "end", "surface", "wiki_title").withColumnRenamed("id", "doc_id")
 
 
 LINK = "struct<surface:string,wiki_title:string,type:string,norm:string,abstract:string,categories:array<string>>"

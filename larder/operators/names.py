@@ -29,7 +29,8 @@ def _powers(base: int, n: int):
 
 
 def _hashes(points):
-    """A function of (places, length) that gives the hash of the code points there; hashes of equal stretches are equal."""
+    """A function of a length, and places if not all of them, that gives the hash of the code points there; hashes of equal
+    stretches are equal."""
     import numpy as np
 
     x = (points.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
@@ -37,8 +38,11 @@ def _hashes(points):
     sums = np.concatenate([[np.uint64(0)], np.cumsum(x * _powers(FACTOR, len(x)), dtype=np.uint64)])
     back = _powers(_INVERSE, len(x))
 
-    def at(length: int):
-        h = (sums[length:] - sums[: len(sums) - length]) * back[: len(sums) - length]
+    def at(length: int, places=None):
+        if places is None:
+            h = (sums[length:] - sums[: len(sums) - length]) * back[: len(sums) - length]
+        else:
+            h = (sums[places + length] - sums[places]) * back[places]
         h = (h ^ (h >> np.uint64(29))) * np.uint64(FACTOR + 2 * length)
         return h ^ (h >> np.uint64(32))
 
@@ -89,27 +93,32 @@ def _candidates(lengths: list[int], filter_words, bits: int, n_fields: int, boun
             points = np.concatenate(parts)
             hashes = _hashes(points)
             where, sizes = [], []
+            if boundary:  # only places that no word character is before, up to places that none is behind
+                word = _word_marks(points)
+                open_at = np.flatnonzero(~np.concatenate([[False], word[:-1]]))
+                ends = np.append(~word, True)
             for n in lengths:
                 if n > len(points):
                     break
-                h = hashes(n)
+                place = None
+                if boundary:
+                    place = open_at[: np.searchsorted(open_at, len(points) - n, side="right")]
+                    place = place[ends[place + n]]
+                h = hashes(n, place)
                 a, b = _bits_of(h, bits)
                 hit = np.flatnonzero(test(a))
                 hit = hit[test(b[hit]) > 0]
-                where.append(hit)
+                where.append(hit if place is None else place[hit])
                 sizes.append(np.full(len(hit), n))
             place = np.concatenate(where) if where else np.zeros(0, np.int64)
             size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
             own = np.searchsorted(starts, place, side="right") - 1
             begin = place - starts[own]
             ok = place + size < starts[own + 1]  # a text's last point is the mark behind it
-            rows = []
-            for i, a, n in zip(own[ok].tolist(), begin[ok].tolist(), size[ok].tolist()):
-                text = texts[i]
-                if not boundary or not (a and _is_word(text[a - 1])) and not (a + n < len(text) and _is_word(text[a + n])):
-                    rows.append((docs[i], fields[i], a, a + n, text[a : a + n]))
-            cols = list(zip(*rows)) if rows else [()] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (kind, pa.int32(), pa.int32(), pa.int32(), pa.string()))], names=["doc_id", "nth", "start", "end", "name"])
+            own, begin, end = own[ok], begin[ok], (begin + size)[ok]
+            found_names = [texts[i][a:b] for i, a, b in zip(own.tolist(), begin.tolist(), end.tolist())]
+            doc, nth = pa.array(docs, kind).take(pa.array(own)), np.array(fields, np.int32)[own]
+            return pa.RecordBatch.from_arrays([doc, pa.array(nth), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(found_names, pa.string())], names=["doc_id", "nth", "start", "end", "name"])
 
         for batch in batches:
             docs, fields, texts, held = [], [], [], 0
@@ -132,6 +141,14 @@ def _is_word(char: str) -> bool:
     return char.isalnum() or char == "_"
 
 
+def _word_marks(points):
+    """Whether each code point is a word character; each different one is looked at once."""
+    import numpy as np
+
+    seen, back = np.unique(points, return_inverse=True)
+    return np.array([p < BETWEEN and _is_word(chr(p)) for p in seen.tolist()], bool)[back]
+
+
 def occurrences(texts: DataFrame, names: DataFrame, word_boundary: bool = False) -> DataFrame:
     """texts (doc_id, one column a field), names (name), distinct -> (doc_id, nth field, start, end, name): every
     occurrence of every name, overlapping ones too; null texts have none. The driver sees the lengths that names
@@ -151,25 +168,43 @@ def occurrences(texts: DataFrame, names: DataFrame, word_boundary: bool = False)
 
 
 def _kept(batches):
-    """Of occurrences in order those that don't overlap an earlier one that is kept."""
+    """Of occurrences in order those that don't overlap an earlier one that is kept. What begins behind all before it is kept
+    anyway; only the others are looked at one by one."""
     import numpy as np
     import pyarrow as pa
 
     last, at = None, 0
     for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
-        for i, (doc, nth, start, end) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "nth", "start", "end")))):
-            if (doc, nth) != last:
-                last, at = (doc, nth), 0
-            if start >= at:
-                keep[i], at = True, end
+        n = batch.num_rows
+        if not n:
+            continue
+        doc = batch.column("doc_id")
+        doc = doc.field("row") if pa.types.is_struct(doc.type) else doc
+        code = doc.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        nth, start, end = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("nth", "start", "end"))
+        new = np.concatenate([[(doc[0].as_py(), int(nth[0])) != last], (code[1:] != code[:-1]) | (nth[1:] != nth[:-1])])
+        at = 0 if new[0] else at
+        group = np.cumsum(new) << 32
+        behind = np.concatenate([[group[0] + at], np.maximum.accumulate(np.maximum(group + end, group[0] + at))[:-1]])
+        keep = new | (group + start >= behind)
+        before = np.maximum.accumulate(np.where(keep, np.arange(n), -1))
+        own = -2
+        for i in np.flatnonzero(~keep).tolist():
+            if before[i] != own:
+                own = before[i]
+                at = int(end[own]) if own >= 0 else at
+            if start[i] >= at:
+                keep[i], at = True, int(end[i])
+        last = (doc[n - 1].as_py(), int(nth[n - 1]))
+        latest = np.flatnonzero(keep)
+        at = int(end[latest[-1]]) if len(latest) else at  # a group's first row is kept, or begins in the batch before
         yield batch.filter(pa.array(keep))
 
 
 def spans(found: DataFrame, mode: str = "earliest") -> DataFrame:
     """occurrences() without overlaps: leftmost first, of those that begin together the one that ends first
     ('earliest') or last ('longest'). Rows stream through in order, so no document's are held together. Documents with
-    the same id count as one: make ids distinct."""
+    the same id count as one: make ids distinct, or structs with a number `row` of their own."""
     order = F.desc("end") if mode == "longest" else F.asc("end")
     return found.repartition("doc_id", "nth").sortWithinPartitions("doc_id", "nth", "start", order).mapInArrow(_kept, found.schema)
 

@@ -60,3 +60,28 @@ def test_two_titles_of_many_surfaces(spark):
     gaz = gaz.unionByName(spark.createDataFrame([("n5", "u")], "surface string, wiki_title string"))
     docs = spark.createDataFrame([(1, "n5 and n29999")], "doc_id long, title string")
     assert sorted((r.surface, r.wiki_title) for r in entities.link(docs, gaz, mode="longest").collect()) == [("n29999", "t"), ("n5", "t"), ("n5", "u")]
+
+
+def test_kept_spans_across_batches():
+    """Rows one by one and in batches of any size keep the same as a plain walk, whatever overlaps."""
+    import random
+
+    import pyarrow as pa
+
+    from larder.operators import names
+
+    r = random.Random(5)
+    rows = sorted((d, f, a, a + r.randint(1, 6)) for d in (1, 2, 3) for f in (0, 1) for a in r.choices(range(60), k=40))
+    want, last, at = [], None, 0
+    for d, f, a, b in rows:
+        at = at if (d, f) == last else 0
+        last = (d, f)
+        if a >= at:
+            want.append((d, f, a, b))
+            at = b
+    columns = list(zip(*rows))
+    for doc in (pa.array(columns[0]), pa.array([{"id": None, "row": d} for d in columns[0]], pa.struct([("id", pa.int64()), ("row", pa.int64())]))):
+        whole = pa.RecordBatch.from_arrays([doc, *(pa.array(c, pa.int32()) for c in columns[1:])], names=["doc_id", "nth", "start", "end"])
+        for size in (1, 3, 7, 1000):
+            got = [tuple(x.values()) for b in names._kept(whole.slice(i, size) for i in range(0, len(rows), size)) for x in b.to_pylist()]
+            assert [(d["row"] if isinstance(d, dict) else d, *x) for d, *x in got] == want
