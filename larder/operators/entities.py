@@ -90,6 +90,17 @@ def _dictionary(gazetteer: DataFrame, *columns: str) -> list:
     return sorted(map(tuple, gazetteer.select(*columns).distinct().collect()), key=lambda r: tuple(x if isinstance(x, (str, list)) else "" for x in r[:2]))
 
 
+#: Texts that a task holds as Python objects at once, with what is found in them.
+PIECE = 200
+
+
+def _pieces(batches):
+    """The batches' rows in batches of at most PIECE."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE):
+            yield batch.slice(at, PIECE)
+
+
 def link(recipes: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", mode: str = "earliest", word_boundary: bool = False, large: int = names.LARGE) -> DataFrame:
     """(doc_id, field, start, end, surface, wiki_title) of title, ingredients, instructions and description.
 
@@ -108,7 +119,7 @@ def link(recipes: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", mode:
         import pyarrow as pa
 
         find = finder(known, mode, word_boundary)
-        for batch in batches:
+        for batch in _pieces(batches):
             ids, out = [], []
             for doc, *texts in zip(*(c.to_pylist() for c in batch.columns)):
                 new = [(f, a, b, known[i], title) for f, text in zip(fields, texts) for a, b, i in find(text) for title in titles[known[i]]]
@@ -184,19 +195,25 @@ def _links(recipes: DataFrame, table: DataFrame, fields: list[str]) -> DataFrame
     for r in known:
         of.setdefault(r[3], []).append(r)
 
-    @F.pandas_udf(f"array<{LINK}>")
-    def links(*texts):
-        import pandas as pd
+    @F.arrow_udf(f"array<{LINK}>", F.ArrowUDFType.SCALAR_ITER)
+    def links(batches):
+        import pyarrow as pa
 
         find = first_ends(norms)
-        out = []
-        for row in zip(*texts):
+        names = ("surface", "wiki_title", "type", "norm", "abstract")
+        kind = pa.list_(pa.struct([*((n, pa.string()) for n in names), ("categories", pa.list_(pa.string()))]))
+
+        def of_row(row):
             found = [(o, end, g) for o, text in enumerate(row) for i, end in find(text).items() for g in of[norms[i]]]
             seen = {}
             for _, _, g in sorted(found, key=lambda x: (x[0], x[1], x[2][0] or "", x[2][1] or "")):
                 seen.setdefault(g[1], {"surface": g[0] or "", "wiki_title": g[1] or "", "type": g[2] or "", "norm": g[3], "abstract": "", "categories": []})
-            out.append(list(seen.values()))
-        return pd.Series(out)
+            return list(seen.values())
+
+        for texts in batches:
+            texts = texts if isinstance(texts, tuple) else (texts,)  # one field comes by itself
+            for at in range(0, len(texts[0]), PIECE):
+                yield pa.array([of_row(row) for row in zip(*(t.slice(at, PIECE).to_pylist() for t in texts))], kind)
 
     return recipes.withColumn("wiki_links", links(*(F.lower(field_text(recipes, f)) for f in fields)))
 

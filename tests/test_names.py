@@ -85,3 +85,19 @@ def test_kept_spans_across_batches():
         for size in (1, 3, 7, 1000):
             got = [tuple(x.values()) for b in names._kept(whole.slice(i, size) for i in range(0, len(rows), size)) for x in b.to_pylist()]
             assert [(d["row"] if isinstance(d, dict) else d, *x) for d, *x in got] == want
+
+
+def test_pieces_lose_no_text(spark):
+    """More texts in a batch than a task holds at once: all are enriched and linked."""
+    import pyarrow as pa
+
+    from larder.operators import entities
+
+    n = 2 * entities.PIECE + 7
+    pieces = list(entities._pieces([pa.RecordBatch.from_pydict({"a": list(range(n))})]))
+    assert max(p.num_rows for p in pieces) == entities.PIECE and [x for p in pieces for x in p.column(0).to_pylist()] == list(range(n))
+    rows = spark.range(n).selectExpr("id AS doc_id", "concat('salt ', id) AS title").coalesce(1)
+    given = entities.literal_gazetteer(spark, [("salt", "Salt", "ingredient")])
+    enriched = {r.doc_id: [x.wiki_title for x in r.wiki_links] for r in entities.enrich(rows, given).select("doc_id", "wiki_links").collect()}
+    assert enriched == {i: ["Salt"] for i in range(n)}
+    assert sorted(r.doc_id for r in entities.link(rows, given).select("doc_id").collect()) == list(range(n))
