@@ -102,7 +102,8 @@ def build_index(recipes: DataFrame, id_col: str = "doc_id", stopwords: Sequence[
     counts = terms.groupBy("term", "field", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
     counts = keep(counts) if keep else counts
     postings = counts if only is None else counts.filter(F.col("term").isNotNull())
-    lens = counts.groupBy("doc_id").agg(*(F.sum(F.when(F.col("field") == f, F.col("tf")).otherwise(0)).cast("int").alias(f"len_{f}") for f in FIELDS), F.sum("tf").cast("int").alias("len_total"))
+    each = counts if keep else terms.withColumn("tf", F.lit(1))  # what isn't kept would be counted and shuffled again for its sums
+    lens = each.groupBy("doc_id").agg(*(F.sum(F.when(F.col("field") == f, F.col("tf")).otherwise(0)).cast("int").alias(f"len_{f}") for f in FIELDS), F.sum("tf").cast("int").alias("len_total"))
     stats = _stats(lens)
     titles = recipes.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), "title")
     docmeta = titles.join(lens, "doc_id")
