@@ -145,15 +145,15 @@ _NEAR = "array<struct<food_id:bigint,calories:double,score:double>>"
 _LISTS = f"meal string, protein boolean, light boolean, lean boolean, target double, own {_NEAR}, more {_NEAR}"
 
 
-def eligible(foods: DataFrame) -> DataFrame:
-    """foods (food_id, title, category, keywords, calories, protein, fat, image) -> a row for each meal that a food may
-    serve: meal, own (by its category, else by a keyword), food_id, calories, protein, fat."""
+def eligible(foods: DataFrame, among=tuple(MEALS)) -> DataFrame:
+    """foods (food_id, title, category, keywords, calories, protein, fat, image) -> a row for each meal (of those
+    asked) that a food may serve: meal, own (by its category, else by a keyword), food_id, calories, protein, fat."""
     types = dict(foods.dtypes)
     listed = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")) if types[c].startswith("array") else F.array(c), lambda x: F.lower(x)) if c in types else F.array().cast("array<string>")
     title = F.lower(F.coalesce("title", F.lit("")))
     holds = lambda text, words: F.lit(False) if not words else F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
     meals = []
-    for meal, names in MEAL_CATEGORIES.items():
+    for meal, names in ((m, MEAL_CATEGORIES[m]) for m in among):
         own = F.coalesce(F.arrays_overlap(listed("category"), F.array(*map(F.lit, names))), F.lit(False))
         word = holds(title, MEAL_KEYWORDS[meal]) | holds(F.array_join(listed("keywords"), "\n"), MEAL_KEYWORDS[meal])
         meals.append(F.when((own | word) & ~holds(title, MEAL_EXCLUDED[meal]), F.struct(F.lit(meal).alias("meal"), own.alias("own"))))
@@ -168,21 +168,59 @@ def preference(protein: Column, light: Column, lean: Column) -> Column:
     return F.when(protein, dense * 5000).otherwise(0.0) + F.when(light, (2000 - F.col("calories")) * 1.5).otherwise(0.0) + F.when(lean, (100 - F.col("fat")) * 10).otherwise(0.0)
 
 
+#: Rows of eligible foods that a task gathers before it drops those that can't be among the best.
+GATHERED = 200_000
+
+
+def _best(n_wishes: int, keep: int):
+    def marked(foods):
+        """foods with `wishes`: a bit for each wish for which a food is among its bucket's `keep` best of a side; the others go."""
+        import numpy as np
+
+        foods = foods.drop_duplicates(["meal", "own", "bucket", "food_id", "calories", *(f"extra{i}" for i in range(n_wishes))])
+        group = foods.groupby(["meal", "own", "bucket"], sort=False).ngroup().to_numpy()
+        ids, calories, bits = foods["food_id"].to_numpy(), foods["calories"].to_numpy(), np.zeros(len(foods), np.int64)
+        for i in range(n_wishes):
+            extra = foods[f"extra{i}"].to_numpy()
+            for side in (1, -1):
+                order = np.lexsort((ids, -(side * 2 * calories + extra), group))
+                first = np.flatnonzero(np.diff(group[order], prepend=-1))
+                rank = np.arange(len(order)) - np.repeat(first, np.diff(first, append=len(order)))
+                bits[order[rank < keep]] |= 1 << i
+        return foods.assign(wishes=bits)[bits > 0]
+
+    def run(batches):
+        import pandas as pd
+
+        held, n, most = [], 0, GATHERED
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= most:
+                held = [marked(pd.concat(held, ignore_index=True))]
+                n = len(held[0])
+                most = max(GATHERED, 2 * n)
+        if n:
+            yield marked(pd.concat(held, ignore_index=True))
+
+    return run
+
+
 def shortlist(rows: DataFrame, wishes: list[tuple[bool, bool, bool]], keep: int) -> DataFrame:
     """The eligible foods that can be among the `keep` best for any target, whatever the number of foods.
 
     Of the foods of one calorie bucket a target has all on one side, and on one side their order by score doesn't depend on
-    the target. So a meal's bucket needs its `keep` best for each side and wish. Spark limits the groups of this
-    ranking before it shuffles, so a bucket that holds a third of all foods is a few rows a task.
+    the target. So a meal's bucket needs its `keep` best for each side and wish. Each task that reads foods finds these of
+    its own, holding no more rows than GATHERED or twice what stays; a bucket's foods then meet and are ranked again, so
+    a bucket that holds a third of all foods is a few rows a task.
     """
-    from pyspark.sql import Window as W
-
-    wish = F.explode(F.array(*(F.struct(F.lit(p).alias("protein"), F.lit(l).alias("light"), F.lit(n).alias("lean")) for p, l, n in wishes)))  # noqa: E741
-    each = rows.select("*", wish.alias("w")).withColumn("extra", preference(F.col("w.protein"), F.col("w.light"), F.col("w.lean")))
-    each = each.withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1)))).withColumn("bucket", F.floor(F.col("calories") * PER_KCAL))
-    w = W.partitionBy("meal", "own", "bucket", "side", "w").orderBy(F.desc(F.col("side") * 2 * F.col("calories") + F.col("extra")), "food_id")
-    best = each.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= keep)
-    return best.select("meal", "w.protein", "w.light", "w.lean", "own", "food_id", "calories", "extra").distinct()
+    extras = [preference(F.lit(p), F.lit(l), F.lit(n)).cast("double").alias(f"extra{i}") for i, (p, l, n) in enumerate(wishes)]  # noqa: E741
+    each = rows.select("meal", "own", F.floor(F.col("calories") * PER_KCAL).alias("bucket"), "food_id", "calories", *extras, F.lit(0).cast("long").alias("wishes"))
+    best = _best(len(wishes), keep)
+    met = each.mapInPandas(best, each.schema).repartition("meal", "own", "bucket").mapInPandas(best, each.schema)
+    wish = lambda i, p, l, n: F.when(F.col("wishes").bitwiseAND(1 << i) != 0, F.struct(F.lit(p).alias("protein"), F.lit(l).alias("light"), F.lit(n).alias("lean"), F.col(f"extra{i}").alias("extra")))  # noqa: E731, E741
+    rows = met.select("meal", "own", "food_id", "calories", F.explode(F.array_compact(F.array(*(wish(i, *w) for i, w in enumerate(wishes))))).alias("w"))
+    return rows.select("meal", "w.protein", "w.light", "w.lean", "own", "food_id", "calories", "w.extra")
 
 
 def _nearest(keep: int):
@@ -207,12 +245,12 @@ def _nearest(keep: int):
     return run
 
 
-def nearest(foods: DataFrame, wanted: DataFrame, wishes: list[tuple[bool, bool, bool]], keep: int) -> DataFrame:
-    """wanted (meal, protein, light, lean, target), distinct -> with own and more: the `keep` best foods within 30 % of the
+def nearest(foods: DataFrame, wanted: DataFrame, wishes: list[tuple[bool, bool, bool]], keep: int, among=tuple(MEALS)) -> DataFrame:
+    """wanted (meal, of `among`, protein, light, lean, target), distinct -> with own and more: the `keep` best foods within 30 % of the
     target, of the meal's category and by its keywords. A task has one meal and wish: the shortlist, whose size
     is bound by the number of buckets, and the different targets."""
     by = ["meal", "protein", "light", "lean"]
-    return shortlist(eligible(foods), wishes, keep).groupBy(*by).cogroup(wanted.groupBy(*by)).applyInPandas(_nearest(keep), _LISTS)
+    return shortlist(eligible(foods, among), wishes, keep).groupBy(*by).cogroup(wanted.groupBy(*by)).applyInPandas(_nearest(keep), _LISTS)
 
 
 def _picked(lists: Column, target: Column, used: Column, most: int) -> Column:
@@ -257,21 +295,24 @@ def regenerate_meals(plans: DataFrame, foods: DataFrame, meal: str, id_col: str,
     meal planned again without any of the day's foods.
 
     The day's totals say how: over 115 % of the calories it is planned for 0.8 of its target and prefers light foods, under 85 %
-    for 1.2; under 85 % of the protein it prefers rich foods, over 115 % of the fat lean ones. Different wishes
-    and targets are looked up once. An unknown food counts nothing; repeated ids are rows each.
+    for 1.2; under 85 % of the protein it prefers rich foods, over 115 % of the fat lean ones. Different days, wishes
+    and targets are looked up once, and plans join their day's answer. An unknown food counts nothing; repeated ids are rows each.
     """
-    eaten = plans.select(F.explode(F.flatten(F.transform("plan", lambda m: m["picked"]))).alias("food_id")).distinct()
+    key = ["calories", "protein", "fat", "plan"]
+    days = plans.select(*key).filter(F.col("plan").isNotNull()).distinct()
+    eaten = days.select(F.explode(F.flatten(F.transform("plan", lambda m: m["picked"]))).alias("food_id")).distinct()
     facts = foods.select("food_id", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(f"__{c}") for c in ("calories", "protein", "fat"))).join(eaten, "food_id", "left_semi")
-    sums = plans.select("plan").distinct().select("plan", F.explode_outer(F.flatten(F.transform("plan", lambda m: m["picked"]))).alias("food_id")).join(facts, "food_id", "left")
+    sums = days.select("plan").distinct().select("plan", F.explode_outer(F.flatten(F.transform("plan", lambda m: m["picked"]))).alias("food_id")).join(facts, "food_id", "left")
     sums = sums.groupBy("plan").agg(*(F.coalesce(F.sum(f"__{c}"), F.lit(0.0)).alias(f"__{c}") for c in ("calories", "protein", "fat")))
-    told = plans.join(sums, "plan")
+    told = days.join(sums, "plan")
     ratio = {c: F.when(F.col(c) > 0, F.col(f"__{c}") / F.col(c)).otherwise(0.0) for c in ("calories", "protein", "fat")}
     own = F.element_at(F.filter("plan", lambda m: m["meal"] == meal), 1)["target"]
     change = F.when(ratio["calories"] > 1.15, 0.8).when(ratio["calories"] < 0.85, 1.2).otherwise(1.0)
-    told = told.select(F.col(id_col), F.flatten(F.transform("plan", lambda m: m["picked"])).alias("used"), F.lit(meal).alias("meal"), F.round(own * change, 1).alias("target"), (ratio["protein"] < 0.85).alias("protein"), (ratio["calories"] > 1.15).alias("light"), (ratio["fat"] > 1.15).alias("lean"))
+    told = told.select(F.struct(*key).alias("__day"), F.flatten(F.transform("plan", lambda m: m["picked"])).alias("used"), F.lit(meal).alias("meal"), F.round(own * change, 1).alias("target"), (ratio["protein"] < 0.85).alias("protein"), (ratio["calories"] > 1.15).alias("light"), (ratio["fat"] > 1.15).alias("lean"))
     by = ["meal", "protein", "light", "lean", "target"]
     wishes = [(p, l, n) for p in (False, True) for l in (False, True) for n in (False, True)]  # noqa: E741
-    lists = nearest(foods, told.select(*by).filter(F.col("target").isNotNull()).distinct(), wishes, FEW + most * len(MEALS))
+    lists = nearest(foods, told.select(*by).filter(F.col("target").isNotNull()).distinct(), wishes, FEW + most * len(MEALS), (meal,))
     none = F.array().cast(_NEAR)
     met = told.join(lists, by, "left").withColumns({c: F.coalesce(c, none) for c in ("own", "more")})
-    return met.select(id_col, "meal", "target", "protein", "light", "lean", _picked(F.struct("own", "more"), F.col("target"), F.col("used"), most).alias("picked"))
+    found = met.select("__day", *by, _picked(F.struct("own", "more"), F.col("target"), F.col("used"), most).alias("picked"))
+    return plans.select(F.col(id_col), F.struct(*key).alias("__day")).join(found, "__day").select(id_col, "meal", "target", "protein", "light", "lean", "picked")

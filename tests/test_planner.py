@@ -79,3 +79,30 @@ def test_no_profiles_or_foods(spark):
     profiles, foods = spark.createDataFrame([(1, 2000, 1, 1)], PLANS), spark.createDataFrame([], FOODS)
     assert [(m.meal, m.picked) for m in p.plan_days(profiles, foods).first().plan] == [(m, []) for m in p.MEALS]
     assert p.plan_days(profiles.limit(0), foods).count() == 0
+
+
+def test_shortlist_in_bounded_memory(spark, monkeypatch):
+    """Each bucket's best for each side and wish, a food that is listed often once; nothing is sorted before portions are cut down."""
+    monkeypatch.setattr(p, "GATHERED", 40)
+    r = random.Random(5)
+    wishes, keep = [(False, False, False), (True, False, True)], 3
+    rows = [("lunch", r.random() < 0.5, i, float(r.choice([300, 300, 300.1, 500])), float(r.randint(1, 9)), float(r.randint(0, 9))) for i in range(400)] + [("lunch", True, 1000, 700.0, 5.0, 5.0)] * 30 + [("lunch", True, 1001, 700.0, 5.0, 5.0), ("lunch", True, 1002, 700.0, 5.0, None)]
+    foods = spark.createDataFrame(rows, "meal string, own boolean, food_id long, calories double, protein double, fat double").repartition(2)
+    best = p.shortlist(foods, wishes, keep)
+    got = {tuple(x) for x in best.select("protein", "lean", "own", "food_id").collect()}
+    want = set()
+    for rich, _, lean in wishes:
+        extra = lambda f: (f[4] / f[3] * 5000 if rich else 0.0) + (((100 - f[5]) * 10 if f[5] is not None else float("-inf")) if lean else 0.0)  # noqa: B023, E731
+        for key in {(f[1], int(f[3] * 5)) for f in rows}:
+            own = sorted({f for f in rows if (f[1], int(f[3] * 5)) == key}, key=lambda f: f[2])
+            for side in (1, -1):
+                want |= {(rich, lean, f[1], f[2]) for f in sorted(own, key=lambda f: -(side * 2 * f[3] + extra(f)))[:keep]}
+    assert got == want
+    assert "Window" not in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_profiles_without_goals_keep_their_answer(spark):
+    foods = spark.createDataFrame(menu(7, 300), FOODS)
+    profiles = spark.createDataFrame([(1, 2000, None, 50), (1, 2000, None, 50), (2, 2000, 100, None), (3, None, 1, 1)], PLANS)
+    got = sorted((x.id, x.protein, x.lean) for x in p.regenerate_meals(p.plan_days(profiles, foods), foods, "dinner", "id").collect())
+    assert [g[0] for g in got] == [1, 1, 2] and got[0][1] is True and got[2][2] is False
