@@ -31,10 +31,15 @@ def dedupe_urls(urls: DataFrame, seq: str, url_col: str = "url", seen: DataFrame
     return out.join(seen.select("sha1"), "sha1", "left_anti") if seen is not None else out
 
 
-def canonical_url(url: Column, html: Column) -> Column:
-    """The page's <link rel=canonical> target, resolved against its URL, else the URL."""
+def canonical_link(html: Column) -> Column:
+    """The target of the page's <link rel=canonical> as written."""
     tag = F.regexp_extract(html, r"""(?is)(<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>)""", 1)
-    link = F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']([^"']+)["']""", 1)
+    return F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']([^"']+)["']""", 1)
+
+
+def canonical_url(url: Column, html: Column, link: Column | None = None) -> Column:
+    """The page's <link rel=canonical> target (or link, where it's known), resolved against its URL, else the URL."""
+    link = canonical_link(html) if link is None else link
     from .urls import resolve
 
     return F.when(F.coalesce(link, F.lit("")) == "", url).otherwise(resolve(url, F.trim(link)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import iso_minutes, split_keywords
-from .crawl import canonical_url, document_id
+from .crawl import canonical_link, canonical_url, document_id
 from .dom import page_elements
 
 #: Names that count as cuisines, tags that count as categories, image URL rules.
@@ -104,8 +104,22 @@ def script_url(html: Column) -> Column:
     return F.get(F.filter(found, lambda u: u.contains("food.com") & u.contains("/recipe/")), F.lit(0))
 
 
-def parse_json_ld(pages: DataFrame, url_col: str = "url", html_col: str = "html", lenient: bool = False) -> DataFrame:
-    """pages with the columns of a recipe taken from JSON-LD; title is empty where there is none."""
+#: What both ways of reading a page tell, and what only its elements and patterns do.
+JSON_LD_COLUMNS = (
+    "recipe_id", "canonical", "title", "description", "ingredients", "instructions", "times", "cuisine", "category", "yield", "author",
+    "keywords", "date_published", "image", "all_images", "difficulty", "nutrition", "ratings", "parser",
+)
+HTML_COLUMNS = (*JSON_LD_COLUMNS, "tools", "serving_size", "author_bio", "author_location", "author_stats", "daily_values")
+
+
+def _with_json_ld(pages: DataFrame, html_col: str, lenient: bool) -> DataFrame:
+    """pages with `__v`, the page's JSON-LD. As an exploded column of one value it's computed once a page: a filter on what comes
+    from it stays above, where a plain column's expression would be copied into the filter for each use."""
+    return pages.select("*", F.explode(F.array(json_ld(F.col(html_col), lenient))).alias("__v"))
+
+
+def _json_ld_columns(url_col: str, html_col: str) -> dict[str, Column]:
+    """A recipe's columns from `__v`."""
     v = F.col("__v")
     s = lambda path: F.coalesce(_text(v, path), F.lit(""))
     minutes = lambda path: iso_minutes(s(path))
@@ -119,15 +133,21 @@ def parse_json_ld(pages: DataFrame, url_col: str = "url", html_col: str = "html"
     category = F.array_distinct(F.concat(F.when(F.trim(s("$.recipeCategory")) != "", F.array(F.trim(s("$.recipeCategory")))).otherwise(F.array().cast("array<string>")), keyword_values(keywords, CATEGORIES)))
     nutrition = F.when(F.try_variant_get(v, "$.nutrition", "variant").isNotNull(), F.struct(*(_text(v, f"$.nutrition.{n}").alias(k) for k, n in NUTRIENTS.items())))
     ratings = F.when(F.try_variant_get(v, "$.aggregateRating", "variant").isNotNull(), F.struct(_text(v, "$.aggregateRating.ratingValue").alias("rating"), _text(v, "$.aggregateRating.reviewCount").alias("review_count")))
-    rows = pages.withColumn("__v", json_ld(F.col(html_col), lenient))
-    return rows.select(
-        *pages.columns, document_id(F.col(url_col)).alias("recipe_id"), url.alias("canonical"), s("$.name").alias("title"), s("$.description").alias("description"),
+    cols = (
+        document_id(F.col(url_col)).alias("recipe_id"), url.alias("canonical"), s("$.name").alias("title"), s("$.description").alias("description"),
         F.coalesce(F.filter(F.transform(_texts(v, "$.recipeIngredient"), lambda x: F.trim(x)), lambda x: x != ""), F.array().cast("array<string>")).alias("ingredients"), steps.alias("instructions"),
         F.struct(prep.alias("prep"), cook.alias("cook"), F.when(total == 0, prep + cook).otherwise(total).alias("total")).alias("times"),
         F.transform(keyword_values(keywords, CUISINES), title_case).alias("cuisine"), category.alias("category"), s("$.recipeYield").alias("yield"), author.alias("author"),
         split_keywords(keywords).alias("keywords"), s("$.datePublished").alias("date_published"), F.coalesce(F.get(images, F.lit(0)), F.lit("")).alias("image"), distinct_images(images).alias("all_images"),
         difficulty(keywords).alias("difficulty"), nutrition.alias("nutrition"), ratings.alias("ratings"), F.when(v.isNotNull(), "json-ld").alias("parser"),
     )
+    return dict(zip(JSON_LD_COLUMNS, cols, strict=True))
+
+
+def parse_json_ld(pages: DataFrame, url_col: str = "url", html_col: str = "html", lenient: bool = False) -> DataFrame:
+    """pages with the columns of a recipe taken from JSON-LD; title is empty where there is none."""
+    cols = _json_ld_columns(url_col, html_col)
+    return _with_json_ld(pages, html_col, lenient).select(*pages.columns, *(c.alias(n) for n, c in cols.items()))
 
 
 def clean(html: Column) -> Column:
@@ -144,13 +164,21 @@ def html_title(html: Column) -> Column:
     return F.coalesce(*(F.when(F.length(h) > 3, h) for h in heads), F.lit(""))
 
 
-def html_minutes(html: Column, what: str) -> Column:
-    """Minutes after a label such as 'Prep Time: 1 hr 20 min'."""
-    near = F.regexp_extract(F.lower(clean(html)), rf"{what}(?:\s*time)?\s*(?:in)?\s*:?\s*((?:\d+\s*(?:hours?|hrs?|h|minutes?|mins?|m)\b\s*)+)", 1)
+def _near(plain: Column, what: str) -> Column:
+    """What follows a label such as 'Prep Time:' in a page's lower-cased text."""
+    return F.regexp_extract(plain, rf"{what}(?:\s*time)?\s*(?:in)?\s*:?\s*((?:\d+\s*(?:hours?|hrs?|h|minutes?|mins?|m)\b\s*)+)", 1)
+
+
+def _minutes(near: Column) -> Column:
     n = lambda unit: F.coalesce(F.regexp_extract(near, rf"(\d+)\s*(?:{unit})\b", 1).try_cast("int"), F.lit(0))
     return n("hours?|hrs?|h") * 60 + n("minutes?|mins?|m")
 
 
+def html_minutes(html: Column, what: str) -> Column:
+    """Minutes after a label such as 'Prep Time: 1 hr 20 min'."""
+    return _minutes(_near(F.lower(clean(html)), what))
+
+
 #: Categories that a page's crumbs and keywords may tell; tools; words of a difficulty; patterns, in the order in which
 #: they are asked.
 HTML_CATEGORIES = (
@@ -179,10 +207,19 @@ def _asked(html: Column, patterns) -> Column:
     return F.regexp_replace(F.coalesce(*tries, F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
-def parse_html(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The same columns, and tools, serving_size, author_bio, author_location, author_stats, daily_values, from the page's
-    elements (dom.read_page, one pass a page) and from patterns over its source."""
-    h, low = F.col(html_col), F.lower(html_col)
+#: The label of a time, as a pattern.
+TIMES = {"prep": "prep", "cook": "cook", "total": "(?:total|ready)"}
+
+
+def _with_elements(pages: DataFrame, html: Column) -> DataFrame:
+    """pages with what several columns of a page's facts come from, each computed once: source, elements, text, link, times."""
+    rows = pages.withColumn("__h", html).withColumn("__e", page_elements(F.col("__h"))).withColumns({"__low": F.lower("__h"), "__text": clean(F.col("__h")), "__link": canonical_link(F.col("__h"))})
+    return rows.withColumn("__plain", F.lower("__text")).withColumns({"__served": _asked(F.col("__low"), YIELDS), **{f"__{k}": _near(F.col("__plain"), p) for k, p in TIMES.items()}})
+
+
+def _html_columns(url_col: str) -> dict[str, Column]:
+    """A recipe's columns from those of _with_elements."""
+    h, low, link = F.col("__h"), F.col("__low"), F.col("__link")
     none = F.array().cast("array<string>")
     e = lambda name: F.col(f"__e.{name}")
     texts = lambda name: F.coalesce(e(name), none)
@@ -196,7 +233,7 @@ def parse_html(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     linked = F.filter(texts("crumb_links"), lambda t: (F.length(t) > 2) & F.lower(t).isin(*HTML_CATEGORIES))
     category = F.concat(linked, F.filter(F.array_distinct(F.filter(keywords, lambda k: F.lower(k).isin(*HTML_CATEGORIES))), lambda k: ~F.array_contains(linked, k)))
     tools = F.array_distinct(F.flatten(F.transform(texts("instructions"), lambda i: F.filter(F.array(*map(F.lit, TOOLS)), lambda t: F.contains(F.lower(i), t)))))
-    prep, cook, total = html_minutes(h, "prep"), html_minutes(h, "cook"), html_minutes(h, "(?:total|ready)")
+    prep, cook, total = (_minutes(F.col(f"__{k}")) for k in TIMES)
     good = lambda urls: F.filter(urls, lambda u: is_recipe_image(u))
     og = F.when(F.map_contains_key(e("metas"), F.lit("og:image")), F.array(meta("og:image"))).otherwise(none)
     lead = good(F.slice(texts("primary"), 1, 1))
@@ -206,17 +243,15 @@ def parse_html(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     hard = F.lit("")
     for level, words in reversed(DIFFICULTIES.items()):
         hard = F.when(low.rlike("|".join(words)), F.lit(level)).otherwise(hard)
-    served = _asked(low, YIELDS)
-    served = F.when(served != "", served).otherwise(F.regexp_extract(clean(h), r"(?i)(?:serves|servings|yields?|makes)\s*:?\s*(\d+(?:\s*-\s*\d+)?)", 1))
+    served = F.when(F.col("__served") != "", F.col("__served")).otherwise(F.regexp_extract("__text", r"(?i)(?:serves|servings|yields?|makes)\s*:?\s*(\d+(?:\s*-\s*\d+)?)", 1))
     value = lambda name: rf"""{name}["']?\s*:\s*["']([^"']*)["']"""
     daily = F.map_filter(F.create_map(*(x for k, name in DAILY_VALUES.items() for x in (F.lit(k), F.when(h.rlike("(?i)" + value(name)), _asked(h, (value(name),)))))), lambda k, v: v.isNotNull())
     number = lambda name: F.nullif(F.regexp_extract(h, rf"""(?i){name}["']?\s*:\s*(\d+)""", 1), F.lit("")).cast("long")
     bio = F.regexp_replace(F.regexp_replace(_asked(h, BIOS), r"<[^>]+>", ""), r"&[^;]+;", " ")
     date = F.when(F.map_contains_key(e("metas"), F.lit("datePublished")), meta("datePublished")).otherwise(_asked(h, DATES))
     description = F.when(F.map_contains_key(e("metas"), F.lit("description")), meta("description")).otherwise(meta("og:description"))
-    rows = pages.withColumn("__e", page_elements(h))
-    return rows.select(
-        *pages.columns, document_id(F.col(url_col)).alias("recipe_id"), F.when(canonical_url(F.lit(""), h) != "", canonical_url(F.col(url_col), h)).otherwise(F.coalesce(script_url(h), F.col(url_col))).alias("canonical"), F.coalesce(e("title"), F.lit("")).alias("title"), description.alias("description"),
+    cols = (
+        document_id(F.col(url_col)).alias("recipe_id"), F.when(canonical_url(F.lit(""), h, link) != "", canonical_url(F.col(url_col), h, link)).otherwise(F.coalesce(script_url(h), F.col(url_col))).alias("canonical"), F.coalesce(e("title"), F.lit("")).alias("title"), description.alias("description"),
         texts("ingredients").alias("ingredients"), texts("instructions").alias("instructions"),
         F.struct(prep.cast("int").alias("prep"), cook.cast("int").alias("cook"), F.when(total == 0, prep + cook).otherwise(total).cast("int").alias("total")).alias("times"),
         cuisine.alias("cuisine"), category.alias("category"), served.alias("yield"), _asked(low, AUTHORS).alias("author"),
@@ -226,14 +261,25 @@ def parse_html(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
         tools.alias("tools"), _asked(h, SERVINGS).alias("serving_size"), bio.alias("author_bio"), _asked(h, PLACES).alias("author_location"),
         F.struct(number("recipesCount").alias("recipes"), number("followMeCount").alias("followers")).alias("author_stats"), daily.alias("daily_values"),
     )
+    return dict(zip(HTML_COLUMNS, cols, strict=True))
+
+
+def parse_html(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """The same columns, and tools, serving_size, author_bio, author_location, author_stats, daily_values, from the page's
+    elements (dom.read_page, one pass a page) and from patterns over its source."""
+    cols = _html_columns(url_col)
+    return _with_elements(pages, F.col(html_col)).select(*pages.columns, *(c.alias(n) for n, c in cols.items()))
 
 
 def parse_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html", lenient: bool = False) -> DataFrame:
-    """JSON-LD where it has a title and ingredients, else HTML patterns; rows without a title are left out."""
-    first = parse_json_ld(pages, url_col, html_col, lenient)
-    ok = (F.col("title") != "") & (F.size("ingredients") > 0)
-    rest = parse_html(first.filter(~ok).select(*pages.columns), url_col, html_col)
-    return first.filter(ok).unionByName(rest, allowMissingColumns=True).filter("title <> ''")
+    """JSON-LD where it has a title and ingredients, else HTML patterns; rows without a title are left out. Pages are read
+    once, and elements only where JSON-LD doesn't do."""
+    told, seen = _json_ld_columns(url_col, html_col), _html_columns(url_col)
+    ok = (told["title"] != "") & (F.size(told["ingredients"]) > 0)
+    first = _with_json_ld(pages, html_col, lenient).withColumn("__ok", ok)
+    rows = _with_elements(first, F.when(~F.col("__ok"), F.col(html_col)))
+    either = [(F.when(F.col("__ok"), told[n]).otherwise(c) if n in told else F.when(~F.col("__ok"), c)).alias(n) for n, c in seen.items()]
+    return rows.select(*pages.columns, *either).filter("title <> ''")
 
 
 def ingredient_links(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -28,7 +28,8 @@ CASE k WHEN 4 THEN '12' END AS calories, CASE k WHEN 4 THEN '3g' END AS saturate
 def html_recipes(spark, sf_dir):
     """A page a document, without JSON-LD, written in five ways."""
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("([a-z]{4,})"), F.lit(1))
-    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
+    # exploded, the list of words is computed once; a plain column's expression would be copied to each use of a word
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(words)).alias("w"))
     w = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(f"none{i}"))
     parts = {"\x01": F.concat(w(0), F.lit(" "), w(1)), "\x02": w(2), "\x03": w(3), "\x04": w(4), "\x05": F.concat(F.lit("mix the "), w(5), F.lit(" well")), "\x06": F.concat(F.lit("then bake "), w(6))}
     html = F.element_at(F.array(*(F.lit(_marked(p)) for p in PAGES)), (F.col("doc_id") % len(PAGES) + 1).cast("int"))

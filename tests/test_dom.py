@@ -62,3 +62,32 @@ def test_fields_of_a_page(spark):
     assert (getattr(r, "yield"), r.author, r.date_published, r.difficulty, r.serving_size, r.times.prep) == ("6", "ann lee", "2020-01-02", "easy", "1 cup", 10)
     assert (r.author_bio, r.author_location, r.author_stats.recipes, r.author_stats.followers, r.daily_values) == ("I cook much", "Rome", 12, None, {"serving_size": "1 cup", "total_fat_pct": "9"})
     assert (r.image, r.all_images, r.nutrition, r.ratings) == ("http://x/food/og.jpg", ["http://x/recipe/2.jpg"], None, None)
+
+
+def test_pages_are_read_once(spark, tmp_path):
+    """A filter on what a page tells makes neither its elements nor its JSON-LD be read again."""
+    ld = '<script type="application/ld+json">{"@context": "http://schema.org", "@type": "Recipe", "name": "Pie", "recipeIngredient": ["egg"]}</script>'
+    pages = [("http://x/recipe/a-1", ld), ("http://x/recipe/b-2", "<h1>Soup of the day</h1>"), ("http://x/recipe/c-3", "<p>no title</p>"), ("http://x/recipe/d-4", None)]
+    spark.createDataFrame(pages, "url string, html string").write.parquet(str(tmp_path / "p"))
+    rows = parse.parse_pages(spark.read.parquet(str(tmp_path / "p")))
+    assert sorted((r.recipe_id, r.title, r.parser, r.tools) for r in rows.collect()) == [("1", "Pie", "json-ld", None), ("2", "Soup of the day", "html", [])]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and plan.count("parseJson") == 1 and plan.count("Relation") == 1
+
+
+def test_candidates_of_an_element_are_those_of_all_selectors():
+    for html in (TREE, *(h for h, _ in GOLDEN.values())):
+        for n in dom.Tree(html).nodes:
+            keys = (("", n.tag), *((".", c) for c in n.classes), *(("@", a) for a in n.attrs))
+            assert sorted(s for k in keys for s, parts in dom._BY_KEY.get(k, ()) if dom._fits(n, parts)) == sorted(s for s in dom._ALL if dom.matches(n, s))
+
+
+def test_functions_travel_without_the_package():
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    got = subprocess.run([sys.executable, "-c", "import pickle, sys; print(pickle.loads(sys.stdin.buffer.read())('<h1>Soup</h1>')['title'])"], input=cloudpickle.dumps(dom.read_page), capture_output=True, cwd="/", env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert got.stdout.decode().strip().endswith("Soup"), got.stderr.decode()[-300:]
