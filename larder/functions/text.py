@@ -31,12 +31,27 @@ def runs(text: Column) -> Column:
 
 def is_term(run: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
     """Whether a run is an index term: ASCII letters only, more than one, no stop word (a hash lookup)."""
-    return run.rlike(WORD) & (F.length(run) > 1) & ~run.isin(*stopwords)
+    return (F.length(run) > 1) & run.rlike(WORD) & ~run.isin(*stopwords)
+
+
+#: A run that is a word (the group), else the whole run: each match begins where a run does.
+ASCII_WORD = r"([a-z]{2,}+)(?![\p{L}\p{N}_])|[\p{L}\p{N}_]++"
+
+
+def words(text: Column) -> Column:
+    """The runs of a text that are two or more ASCII letters, in order, and an empty string for each other run: one pass of one
+    pattern tells what `runs` and the pattern of `is_term` do."""
+    return F.regexp_extract_all(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), ENTITY, " ")), F.lit(ASCII_WORD), F.lit(1))
+
+
+def is_kept(word: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
+    """Whether one of `words` is an index term (a hash lookup)."""
+    return (word != "") & ~word.isin(*stopwords)
 
 
 def tokenize(text: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
     """Index terms of a text, in order. A null text has none. For whole tables it's faster to explode
-    `runs` and filter by `is_term`."""
+    `words` and filter by `is_kept`."""
     return F.filter(runs(text), lambda t: is_term(t, stopwords))
 
 

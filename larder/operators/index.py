@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import STOPWORDS, is_term, runs, runs_all
+from ..functions.text import STOPWORDS, is_kept, runs_all, words
 
 FIELDS = ("title", "ingredients", "instructions")
 
@@ -84,6 +84,15 @@ def field_text(recipes: DataFrame, field: str):
     return F.array_join(F.coalesce(field, F.array().cast("array<string>")), " ") if kind.startswith("array") else F.coalesce(F.col(field), F.lit(""))
 
 
+def term_counts(recipes: DataFrame, id_col: str = "doc_id", stopwords: Sequence[str] = STOPWORDS) -> DataFrame:
+    """(term, docs, n): each term's documents and occurrences, over all fields. Rows are dealt by document, so that what is counted by
+    term and document is counted where the text is; only a task's sums by term are shuffled."""
+    dealt = recipes.select(id_col, *FIELDS).repartition(id_col)
+    terms = _exploded(dealt, id_col, {f: field_text(recipes, f) for f in FIELDS}, words).filter(is_kept(F.col("term"), stopwords))
+    each = terms.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    return each.groupBy("term").agg(F.count(F.lit(1)).alias("docs"), F.sum("tf").alias("n"))
+
+
 def build_index(recipes: DataFrame, id_col: str = "doc_id", stopwords: Sequence[str] = STOPWORDS, df_mode: str = "field", keep=None, only: DataFrame | Sequence[str] | None = None) -> Index:
     """Index rows with an id and at least one term.
 
@@ -94,7 +103,7 @@ def build_index(recipes: DataFrame, id_col: str = "doc_id", stopwords: Sequence[
     only: terms (a list, or a column `term` without repeats) that will be asked. The index has the postings of these, and the
     lengths and statistics of all texts: other terms count together, so a document is a few rows from the start.
     """
-    terms = _exploded(recipes, id_col, {f: field_text(recipes, f) for f in FIELDS}, runs).filter(is_term(F.col("term"), stopwords))
+    terms = _exploded(recipes, id_col, {f: field_text(recipes, f) for f in FIELDS}, words).filter(is_kept(F.col("term"), stopwords))
     if isinstance(only, DataFrame):
         terms = terms.join(only.select(F.col("term").alias("__asked")), F.col("term") == F.col("__asked"), "left").select("doc_id", "field", F.col("__asked").alias("term"))
     elif only is not None:

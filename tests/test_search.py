@@ -193,3 +193,33 @@ def test_neighbours_and_turns_of_a_whole_table(spark):
         turns.setdefault(s, []).append(k)
     assert sorted(got, key=str) == sorted(((i + 1, s, k) for s, ks in turns.items() for i, k in enumerate(ks)), key=str)
     assert [t for t, _, _ in got] == sorted(t for t, _, _ in got)
+
+
+def test_words_are_the_runs_that_are_terms(spark):
+    """One pattern against splitting and testing, with letters beyond the basic plane beside words, digits, _ and entities."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from larder.functions import text as x
+
+    r = random.Random(3)
+    pieces = ["ab", "Egg", "THE", "a", "é", "ß", "İ", "K", "_", "9", "٣", "Ⅷ", "𝒳", "😀", "́", " ", "-", "\n", "&amp;", "&", ";", "中", "zz"]
+    texts = ["".join(r.choices(pieces, k=r.randint(0, 14))) for _ in range(1500)] + [None, "", "𝒳ab", "😀ab", "ab𝒳", "ab😀cd"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = rows.select("t", F.filter(x.words(F.col("t")), lambda w: x.is_kept(w)).alias("a"), F.filter(x.runs(F.col("t")), lambda w: x.is_term(w)).alias("b")).collect()
+    assert all(g.a == g.b for g in got), [g for g in got if g.a != g.b][:3]
+    assert sum(len(g.a) for g in got) > 300
+
+
+def test_terms_are_counted_where_their_text_is(spark):
+    """No shuffle has a row for each term of a document; ids that repeat are one document."""
+    from larder.operators.index import build_index, term_counts
+
+    rows = [(1, "egg Pie", ["egg"], ["bake egg", "cool pie"]), (1, "egg", [], []), (2, "Pie", None, ["x pie"]), (None, "egg", [], []), (3, None, [], [])]
+    recipes = spark.createDataFrame(rows, "doc_id long, title string, ingredients array<string>, instructions array<string>")
+    counts, postings = term_counts(recipes), build_index(recipes).postings
+    assert {tuple(c) for c in counts.collect()} == {("egg", 1, 4), ("pie", 2, 4), ("bake", 1, 1), ("cool", 1, 1)}
+    assert {tuple(c) for c in postings.collect()} >= {("egg", "title", 1, 2), ("egg", "ingredients", 1, 1), ("pie", "instructions", 2, 1)}
+    plan = term_counts(recipes)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(doc_id#" in plan and "hashpartitioning(term#" in plan and plan.count("Exchange hashpartitioning") == 2
