@@ -41,7 +41,9 @@ ASCII_WORD = r"([a-z]{2,}+)(?![\p{L}\p{N}_])|[\p{L}\p{N}_]++"
 def words(text: Column) -> Column:
     """The runs of a text that are two or more ASCII letters, in order, and an empty string for each other run: one pass of one
     pattern tells what `runs` and the pattern of `is_term` do."""
-    return F.regexp_extract_all(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), ENTITY, " ")), F.lit(ASCII_WORD), F.lit(1))
+    text = F.coalesce(text, F.lit(""))
+    plain = F.when(text.contains("&"), F.regexp_replace(text, ENTITY, " ")).otherwise(text)  # most texts have no entity
+    return F.regexp_extract_all(F.lower(plain), F.lit(ASCII_WORD), F.lit(1))
 
 
 def is_kept(word: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
@@ -49,6 +51,11 @@ def is_kept(word: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
     return (word != "") & ~word.isin(*stopwords)
 
 
+def ends_of_equal(values: Column) -> Column:
+    """Where each stretch of equal values of an array ends, counted from 1."""
+    return F.array_compact(F.transform(values, lambda v, i: F.when(F.coalesce(F.get(values, i + 1) != v, F.lit(True)), i + 1)))
+
+
 def tokenize(text: Column, stopwords: Sequence[str] = STOPWORDS) -> Column:
     """Index terms of a text, in order. A null text has none. For whole tables it's faster to explode
     `words` and filter by `is_kept`."""

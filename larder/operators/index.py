@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import STOPWORDS, is_kept, runs_all, words
+from ..functions.text import STOPWORDS, ends_of_equal, is_kept, runs_all, words
 
 FIELDS = ("title", "ingredients", "instructions")
 
@@ -68,11 +68,45 @@ def load_tsv(spark: SparkSession, path: str, stopwords: Sequence[str] = STOPWORD
     return Index(postings, docmeta, terms, _stats(docmeta), stopwords)
 
 
+def _fields(rows: DataFrame, id_col: str, texts: dict) -> DataFrame:
+    """(doc_id, f: (field, text)): a row for each field of each row with an id."""
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), text.alias("text")) for f, text in texts.items()))
+    return rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(pairs).alias("f"))
+
+
 def _exploded(rows: DataFrame, id_col: str, texts: dict, split) -> DataFrame:
     """(doc_id, field, run): a row for each run of each field's text, so that what follows is compiled code."""
-    pairs = F.array(*(F.struct(F.lit(f).alias("field"), text.alias("text")) for f, text in texts.items()))
-    fields = rows.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(pairs).alias("f"))
-    return fields.select("doc_id", F.col("f.field").alias("field"), F.explode(split(F.col("f.text"))).alias("term"))
+    return _fields(rows, id_col, texts).select("doc_id", F.col("f.field").alias("field"), F.explode(split(F.col("f.text"))).alias("term"))
+
+
+def _row_counts(recipes: DataFrame, id_col: str, stopwords: Sequence[str]) -> DataFrame:
+    """(doc_id, field, term, tf): each row's terms, counted in the row: its words are sorted, and where equal ones end tells how many
+    there are. So no table of counts grows with the rows. Rows whose ids repeat are not added up."""
+    once = lambda array: F.explode(F.array(array))  # noqa: E731  made once a row, however often it's read
+    rows = _fields(recipes, id_col, {f: field_text(recipes, f) for f in FIELDS})
+    rows = rows.select("doc_id", F.col("f.field").alias("field"), once(F.sort_array(words(F.col("f.text")))).alias("words"))
+    rows = rows.select("doc_id", "field", "words", once(ends_of_equal(F.col("words"))).alias("ends"))
+    # one start more than ends: its term is null and isn't kept
+    columns = F.arrays_zip(F.transform("ends", lambda end: F.get("words", end - 1)), "ends", F.concat(F.array(F.lit(0)), "ends"))
+    counts = rows.select("doc_id", "field", F.inline(columns)).toDF("doc_id", "field", "term", "end", "start")
+    return counts.select("doc_id", "field", "term", (F.col("end") - F.col("start")).cast("long").alias("tf")).filter(is_kept(F.col("term"), stopwords))
+
+
+#: Rows are told apart by so many hashes of their ids where it matters whether an id repeats.
+BUCKETS = 1 << 18
+
+
+def _postings(recipes: DataFrame, id_col: str, stopwords: Sequence[str]) -> DataFrame:
+    """(term, field, doc_id, tf). The counts of a row whose id is its own are postings already: only its text is dealt, so that tasks are
+    even however the rows are stored. Rows with the hash of an id that repeats are added up by term, field and document."""
+    rows = recipes.select(id_col, *FIELDS).filter(F.col(id_col).isNotNull())
+    bucket = F.pmod(F.xxhash64(id_col), F.lit(BUCKETS)).alias("__bucket")
+    # BUCKETS numbers at most, whatever repeats
+    repeated = F.broadcast(rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(bucket).distinct())
+    own, shared = (rows.withColumn("__bucket", bucket).join(repeated, "__bucket", how).drop("__bucket") for how in ("left_anti", "left_semi"))
+    own = own.repartition(int(recipes.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
+    added = _row_counts(shared, id_col, stopwords).groupBy("term", "field", "doc_id").agg(F.sum("tf").alias("tf"))
+    return _row_counts(own, id_col, stopwords).select("term", "field", "doc_id", "tf").unionByName(added)
 
 
 def _stats(docmeta: DataFrame) -> DataFrame:
@@ -97,21 +131,21 @@ def build_index(recipes: DataFrame, id_col: str = "doc_id", stopwords: Sequence[
     """Index rows with an id and at least one term.
 
     df counts the (field, document) pairs of a term (df_mode 'field'), or its documents ('doc');
-    idf = ln(documents / df), six decimals, so it may be negative. Counting is partial before the
-    shuffle by (term, field, document); lengths are sums of the postings, so texts are read once.
+    idf = ln(documents / df), six decimals, so it may be negative. Terms are counted in their row; lengths
+    are sums of these counts.
     keep: what to do with the postings before the rest is derived from them, such as to materialize them.
     only: terms (a list, or a column `term` without repeats) that will be asked. The index has the postings of these, and the
     lengths and statistics of all texts: other terms count together, so a document is a few rows from the start.
     """
-    terms = _exploded(recipes, id_col, {f: field_text(recipes, f) for f in FIELDS}, words).filter(is_kept(F.col("term"), stopwords))
+    terms = _row_counts(recipes, id_col, stopwords)
     if isinstance(only, DataFrame):
-        terms = terms.join(only.select(F.col("term").alias("__asked")), F.col("term") == F.col("__asked"), "left").select("doc_id", "field", F.col("__asked").alias("term"))
+        terms = terms.join(only.select(F.col("term").alias("__asked")), F.col("term") == F.col("__asked"), "left").select("doc_id", "field", F.col("__asked").alias("term"), "tf")
     elif only is not None:
         terms = terms.withColumn("term", F.when(F.col("term").isin(*only), F.col("term")))
-    counts = terms.groupBy("term", "field", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
+    counts = _postings(recipes, id_col, stopwords) if only is None else terms.groupBy("term", "field", "doc_id").agg(F.sum("tf").alias("tf"))
     counts = keep(counts) if keep else counts
     postings = counts if only is None else counts.filter(F.col("term").isNotNull())
-    each = counts if keep else terms.withColumn("tf", F.lit(1))  # what isn't kept would be counted and shuffled again for its sums
+    each = counts if keep else terms  # what isn't kept would be counted and shuffled again for its sums
     lens = each.groupBy("doc_id").agg(*(F.sum(F.when(F.col("field") == f, F.col("tf")).otherwise(0)).cast("int").alias(f"len_{f}") for f in FIELDS), F.sum("tf").cast("int").alias("len_total"))
     stats = _stats(lens)
     titles = recipes.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), "title")

@@ -223,3 +223,34 @@ def test_terms_are_counted_where_their_text_is(spark):
     assert {tuple(c) for c in postings.collect()} >= {("egg", "title", 1, 2), ("egg", "ingredients", 1, 1), ("pie", "instructions", 2, 1)}
     plan = term_counts(recipes)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(doc_id#" in plan and "hashpartitioning(term#" in plan and plan.count("Exchange hashpartitioning") == 2
+
+
+def test_postings_of_ids_that_do_not_repeat_are_not_shuffled(spark):
+    """A row's terms are counted in the row; only ids that repeat are added up. Both give what exploding and grouping gives."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from larder.functions import text as x
+
+    r = random.Random(5)
+    pieces = ["egg ", "Egg", "pie ", "THE ", "é", "&amp;", "&", "K", "_", "9", "𝒳", " ", "-", "\n", "bake ", "zz "]
+    make = lambda: "".join(r.choices(pieces, k=r.randint(0, 30)))
+    rows = [(i, make() if i % 7 else None, [make(), None, make()] if i % 5 else None, [make()] * (i % 3)) for i in range(200)]
+    schema = "doc_id long, title string, ingredients array<string>, instructions array<string>"
+    more = [(i % 40 if i % 9 else None, *row[1:]) for i, row in enumerate(rows)]  # 0 to 39 repeat, also with themselves
+
+    def plain(recipes):
+        texts = F.array(*(F.struct(F.lit(f).alias("field"), (F.array_join(f, " ") if f != "title" else F.col(f)).alias("text")) for f in ("title", "ingredients", "instructions")))
+        fields = recipes.filter("doc_id IS NOT NULL").select("doc_id", F.explode(texts).alias("f"))
+        return fields.select("doc_id", "f.field", F.explode(x.tokenize(F.col("f.text"))).alias("term")).groupBy("term", "field", "doc_id").count()
+
+    for given in (rows, rows + more):
+        recipes = spark.createDataFrame(given, schema)
+        index = build_index(recipes)
+        got = index.postings
+        held = [tuple(p) for p in got.collect()]
+        assert len(held) == len(set(held)) > 500 and sorted(held) == sorted(map(tuple, plain(recipes).collect()))
+        assert index.stats.first().avg_len * index.stats.first().n_docs == pytest.approx(sum(p[3] for p in held))
+        ran = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert "isFinalPlan=true" in ran and ("hashpartitioning(term#" in ran) == (given is not rows)
