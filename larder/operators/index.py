@@ -131,21 +131,21 @@ def build_index(recipes: DataFrame, id_col: str = "doc_id", stopwords: Sequence[
     """Index rows with an id and at least one term.
 
     df counts the (field, document) pairs of a term (df_mode 'field'), or its documents ('doc');
-    idf = ln(documents / df), six decimals, so it may be negative. Terms are counted in their row; lengths
-    are sums of these counts.
+    idf = ln(documents / df), six decimals, so it may be negative. All terms are counted in their row, asked
+    ones where they are partly counted before a shuffle by (term, field, document).
     keep: what to do with the postings before the rest is derived from them, such as to materialize them.
     only: terms (a list, or a column `term` without repeats) that will be asked. The index has the postings of these, and the
     lengths and statistics of all texts: other terms count together, so a document is a few rows from the start.
     """
-    terms = _row_counts(recipes, id_col, stopwords)
+    terms = _exploded(recipes, id_col, {f: field_text(recipes, f) for f in FIELDS}, words).filter(is_kept(F.col("term"), stopwords))
     if isinstance(only, DataFrame):
-        terms = terms.join(only.select(F.col("term").alias("__asked")), F.col("term") == F.col("__asked"), "left").select("doc_id", "field", F.col("__asked").alias("term"), "tf")
+        terms = terms.join(only.select(F.col("term").alias("__asked")), F.col("term") == F.col("__asked"), "left").select("doc_id", "field", F.col("__asked").alias("term"))
     elif only is not None:
         terms = terms.withColumn("term", F.when(F.col("term").isin(*only), F.col("term")))
-    counts = _postings(recipes, id_col, stopwords) if only is None else terms.groupBy("term", "field", "doc_id").agg(F.sum("tf").alias("tf"))
+    counts = _postings(recipes, id_col, stopwords) if only is None else terms.groupBy("term", "field", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
     counts = keep(counts) if keep else counts
     postings = counts if only is None else counts.filter(F.col("term").isNotNull())
-    each = counts if keep else terms  # what isn't kept would be counted and shuffled again for its sums
+    each = counts if keep else terms.withColumn("tf", F.lit(1))  # what isn't kept would be counted and shuffled again for its sums
     lens = each.groupBy("doc_id").agg(*(F.sum(F.when(F.col("field") == f, F.col("tf")).otherwise(0)).cast("int").alias(f"len_{f}") for f in FIELDS), F.sum("tf").cast("int").alias("len_total"))
     stats = _stats(lens)
     titles = recipes.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), "title")
