@@ -130,17 +130,28 @@ def link(recipes: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", mode:
             yield pa.RecordBatch.from_arrays([pa.array(ids, batch.column(0).type), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "field", "start", "end", "surface", "wiki_title"])
 
     kind = dict(recipes.dtypes)[id_col]
-    texts = recipes.select(F.col(id_col).alias("doc_id"), *(F.lower(field_text(recipes, f)).alias(f) for f in fields))
-    return texts.mapInArrow(run, f"doc_id {kind}, field string, start int, end int, surface string, wiki_title string")
+    return _texts(recipes, id_col, fields).mapInArrow(run, f"doc_id {kind}, field string, start int, end int, surface string, wiki_title string")
+
+
+def _texts(recipes, id_col, fields) -> DataFrame:
+    return recipes.select(F.col(id_col).alias("doc_id"), *(F.lower(field_text(recipes, f)).alias(f) for f in fields))
+
+
+def _field(fields):
+    return F.element_at(F.array(*map(F.lit, fields)), F.col("nth") + 1).alias("field")
 
 
 def _link_large(recipes, table, id_col, fields, mode, word_boundary) -> DataFrame:
-    # rows are told apart by a number of their own, as ids may repeat
-    texts = recipes.select(F.struct(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row")).alias("doc_id"), *(F.lower(field_text(recipes, f)).alias(f) for f in fields))
-    texts = materialize(texts)  # numbers stay what they are if a task runs again
-    found = names.spans(names.occurrences(texts, table.select(F.col("surface").alias("name")), word_boundary), mode)
-    field = F.element_at(F.array(*map(F.lit, fields)), F.col("nth") + 1)
-    return found.join(table, F.col("name") == F.col("surface")).select("doc_id.id", field.alias("field"), "start", "end", "surface", "wiki_title").withColumnRenamed("id", "doc_id")
+    found = names.links(_texts(recipes, id_col, fields), table.select(F.col("surface").alias("name")), mode, word_boundary)
+    return found.join(table, F.col("name") == F.col("surface")).select("doc_id", _field(fields), "start", "end", "surface", "wiki_title")
+
+
+def surface_counts(recipes: DataFrame, surfaces: DataFrame, id_col: str = "doc_id", mode: str = "earliest", word_boundary: bool = False) -> DataFrame:
+    """(doc_id, field, surface, n): how often link() finds each surface of a dictionary that may grow with the data. Titles aren't asked
+    for, so places needn't meet the dictionary: they are counted in their text."""
+    fields = [f for f in FIELDS if f in recipes.columns]
+    found = names.counts(_texts(recipes, id_col, fields), surfaces.select(F.col("surface").alias("name")), mode, word_boundary)
+    return found.select("doc_id", _field(fields), F.col("name").alias("surface"), "n")
 
 
 LINK = "struct<surface:string,wiki_title:string,type:string,norm:string,abstract:string,categories:array<string>>"

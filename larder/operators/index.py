@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS, ends_of_equal, is_kept, runs_all, words
+from .store import by_own_ids
 
 FIELDS = ("title", "ingredients", "instructions")
 
@@ -92,18 +93,11 @@ def _row_counts(recipes: DataFrame, id_col: str, stopwords: Sequence[str]) -> Da
     return counts.select("doc_id", "field", "term", (F.col("end") - F.col("start")).cast("long").alias("tf")).filter(is_kept(F.col("term"), stopwords))
 
 
-#: Rows are told apart by so many hashes of their ids where it matters whether an id repeats.
-BUCKETS = 1 << 18
-
-
 def _postings(recipes: DataFrame, id_col: str, stopwords: Sequence[str]) -> DataFrame:
     """(term, field, doc_id, tf). The counts of a row whose id is its own are postings already: only its text is dealt, so that tasks are
     even however the rows are stored. Rows with the hash of an id that repeats are added up by term, field and document."""
     rows = recipes.select(id_col, *FIELDS).filter(F.col(id_col).isNotNull())
-    bucket = F.pmod(F.xxhash64(id_col), F.lit(BUCKETS)).alias("__bucket")
-    # BUCKETS numbers at most, whatever repeats
-    repeated = F.broadcast(rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(bucket).distinct())
-    own, shared = (rows.withColumn("__bucket", bucket).join(repeated, "__bucket", how).drop("__bucket") for how in ("left_anti", "left_semi"))
+    own, shared = by_own_ids(rows, id_col)
     own = own.repartition(int(recipes.sparkSession.conf.get("spark.sql.shuffle.partitions")), id_col)
     added = _row_counts(shared, id_col, stopwords).groupBy("term", "field", "doc_id").agg(F.sum("tf").alias("tf"))
     return _row_counts(own, id_col, stopwords).select("term", "field", "doc_id", "tf").unionByName(added)

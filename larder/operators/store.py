@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared(spark: SparkSession) -> str:
@@ -34,3 +35,16 @@ def materialize(df: DataFrame) -> DataFrame:
     """df as a reliable checkpoint in the shared folder."""
     shared(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Rows are told apart by so many hashes of their ids where it matters whether an id repeats.
+BUCKETS = 1 << 18
+
+
+def by_own_ids(rows: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """rows whose id no other row has, and the rest: those with the hash of an id that repeats."""
+    bucket = F.pmod(F.xxhash64(id_col), F.lit(BUCKETS)).alias("__bucket")
+    # BUCKETS numbers at most, whatever repeats
+    repeated = F.broadcast(rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(bucket).distinct())
+    own, shared = (rows.withColumn("__bucket", bucket).join(repeated, "__bucket", how).drop("__bucket") for how in ("left_anti", "left_semi"))
+    return own, shared

@@ -101,3 +101,60 @@ def test_pieces_lose_no_text(spark):
     enriched = {r.doc_id: [x.wiki_title for x in r.wiki_links] for r in entities.enrich(rows, given).select("doc_id", "wiki_links").collect()}
     assert enriched == {i: ["Salt"] for i in range(n)}
     assert sorted(r.doc_id for r in entities.link(rows, given).select("doc_id").collect()) == list(range(n))
+
+
+def shuffled(spark, run):
+    """What run() gives, and how many rows were shuffled for it."""
+
+    def total():
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    return run(), total() - before
+
+
+def test_places_of_grown_names_are_not_shuffled(spark, tmp_path):
+    """Few different words, and texts that have them very often: no row a place is shuffled or kept on disk. Ids that repeat are added up."""
+    from collections import Counter
+
+    from larder.plans.names_plans import entity_links_grown
+
+    r = random.Random(1)
+    vocabulary = [f"word{i}" for i in range(40)] + ["né", "straße", "x_y", "no"]
+    docs = [(i if i % 50 else 7, " ".join(r.choices(vocabulary, k=400)) + r.choice([" ", ".", ""])) for i in range(200)] + [(None, "word1 Word2"), (None, "word1,word3"), (500, None), (501, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(3).write.parquet(f"{tmp_path}/documents.parquet")
+    said = [(1, 0, "user", "word0 word1, WORD2 straße no x_y"), (1, 1, "bot", " ".join(vocabulary[4:30])), (2, 0, "user", None)]
+    spark.createDataFrame(said, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    known = {"word0", "word1", "word2", "straße", *vocabulary[4:30]}
+    want = Counter((d, w) for d, t in docs for w in (t or "").lower().replace(",", " ").replace(".", " ").split() if w in known)
+    got, rows = shuffled(spark, lambda: entity_links_grown(spark, str(tmp_path)).collect())
+    assert {(x.doc_id, x.surface): x.n for x in got} == want and len(got) == len(want) and want[None, "word1"] == 2
+    assert sum(want.values()) > 50_000 and rows < 5_000
+
+
+@pytest.mark.parametrize("listed", [0, 200_000])
+@pytest.mark.parametrize("mode, boundary", [("earliest", False), ("longest", True), ("earliest", True)])
+def test_what_the_filter_lets_through_wrongly(spark, monkeypatch, listed, mode, boundary):
+    """A filter that lets much through: whether that is listed or meets the dictionary in a join, links and counts are the automaton's."""
+    monkeypatch.setattr(names, "SALTS", (1,))
+    monkeypatch.setattr(names, "LISTED", listed)
+    docs, gaz = tables(spark, 3)
+    gaz = gaz.select("surface", F.col("surface").alias("wiki_title")).distinct()
+    texts = docs.select("doc_id", F.lower(F.array_join("instructions", " ")))
+    known = names._dictionary(gaz.select(F.col("surface").alias("name")))
+    wrong = names._wrong(texts, known, names._filter_of(known), boundary)
+    assert wrong is None if listed == 0 else len(wrong) > 5
+    link = lambda large: entities.link(docs, gaz, mode=mode, word_boundary=boundary, large=large)
+    assert sorted(map(str, link(0).collect())) == sorted(map(str, link(10_000).collect()))
+    want = link(10_000).groupBy("doc_id", "field", "surface").agg(F.count(F.lit(1)).alias("n"))
+    assert sorted(map(str, entities.surface_counts(docs, gaz, mode=mode, word_boundary=boundary).collect())) == sorted(map(str, want.collect()))
+
+
+def test_inner_ends_of_names(spark):
+    """Names of several words, and ones that begin or end with no word character, between word boundaries."""
+    docs = spark.createDataFrame([(1, "a-b c d, -a b. (x) a--b"), (2, "b c"), (3, "-"), (4, "ab c-")], "doc_id long, title string")
+    gaz = spark.createDataFrame([(s, s) for s in ("a", "b c", "-a", "b c d,", "c d, -a b. (x)", "(x)", "-", "a--b", ".", "c-", ", ", "nowhere")], "surface string, wiki_title string")
+    for mode in ("earliest", "longest"):
+        rows = lambda large: sorted(map(str, entities.link(docs, gaz, mode=mode, word_boundary=True, large=large).collect()))
+        assert rows(0) == rows(100) and len(rows(0)) > 5
