@@ -143,7 +143,8 @@ def _field(fields):
 
 def _link_large(recipes, table, id_col, fields, mode, word_boundary) -> DataFrame:
     found = names.links(_texts(recipes, id_col, fields), table.select(F.col("surface").alias("name")), mode, word_boundary)
-    return found.join(table, F.col("name") == F.col("surface")).select("doc_id", _field(fields), "start", "end", "surface", "wiki_title")
+    titled = names.places(found.join(table, F.col("name") == F.col("surface")))
+    return titled.select("doc_id", _field(fields), "start", "end", "surface", "wiki_title")
 
 
 def surface_counts(recipes: DataFrame, surfaces: DataFrame, id_col: str = "doc_id", mode: str = "earliest", word_boundary: bool = False) -> DataFrame:

@@ -208,8 +208,8 @@ def _places_of(candidates):
 
 
 def _spans_of(candidates, wrong, mode: str, counted: bool):
-    """(doc_id, nth, start, end, name) of candidates that aren't wrong and don't overlap an earlier one of the text; or how often each name
-    is left in it, (doc_id, nth, name, n)."""
+    """Candidates that aren't wrong and don't overlap an earlier one of the text: (name, doc_ids, nths, starts), a name's places together once
+    a portion; or how often each name is left in a text, (doc_id, nth, name, n)."""
 
     def run(batches):
         import numpy as np
@@ -222,16 +222,19 @@ def _spans_of(candidates, wrong, mode: str, counted: bool):
                 order = order[~np.fromiter((n in wrong for n in names[order]), bool, len(order))]
             rows = pa.RecordBatch.from_arrays([pa.array(x) for x in (own[order], np.zeros(len(order), np.int64), begin[order], end[order], order)], names=["doc_id", "nth", "start", "end", "at"])
             at = np.concatenate([b.column("at").to_numpy() for b in _kept([rows])] or [order])
-            own, begin, end, names = own[at], begin[at], end[at], pa.array(names[at], pa.string())
+            own, begin, names = own[at], begin[at], pa.array(names[at], pa.string()).dictionary_encode()
+            number = names.indices.to_numpy()
             if counted:
-                names = names.dictionary_encode()
-                groups, n = np.unique((own << 32) | names.indices.to_numpy(), return_counts=True)
+                groups, n = np.unique((own << 32) | number, return_counts=True)
                 own, names = groups >> 32, names.dictionary.take(pa.array(groups & 0xFFFFFFFF))
             text = [pa.array(docs, kind).take(pa.array(own)), pa.array(np.array(fields, np.int32)[own])]
             if counted:
                 yield pa.RecordBatch.from_arrays([*text, names, pa.array(n, pa.int64())], names=["doc_id", "nth", "name", "n"])
-            else:
-                yield pa.RecordBatch.from_arrays([*text, pa.array(begin, pa.int32()), pa.array(end, pa.int32()), names], names=["doc_id", "nth", "start", "end", "name"])
+                continue
+            together = pa.array(np.argsort(number, kind="stable"))
+            bounds = pa.array(np.concatenate([[0], np.cumsum(np.bincount(number, minlength=len(names.dictionary)))]), pa.int32())
+            places = [pa.ListArray.from_arrays(bounds, x.take(together)) for x in (*text, pa.array(begin, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([names.dictionary, *places], names=["name", "doc_ids", "nths", "starts"])
 
     return run
 
@@ -283,15 +286,24 @@ def _wrong(texts: DataFrame, names: DataFrame, known, word_boundary: bool) -> fr
 
 def links(texts: DataFrame, names: DataFrame, mode: str = "earliest", word_boundary: bool = False) -> DataFrame:
     """occurrences() without overlaps in a text: leftmost first, of those that begin together the one that ends first
-    ('earliest') or last ('longest'). texts are read twice, and must be the same then."""
+    ('earliest') or last ('longest'). Each row has places of a name, (name, doc_ids, nths, starts), so that joins by name are cheap;
+    places() tells them apart. texts are read twice, and must be the same then."""
     names = _dictionary(names)
     known = _filter_of(names)
     wrong = _wrong(texts, names, known, word_boundary)
     if wrong is None:
-        return _met(texts, names, known, mode, word_boundary)
+        found = _met(texts, names, known, mode, word_boundary)
+        return found.select("name", F.array("doc_id").alias("doc_ids"), F.array("nth").alias("nths"), F.array("start").alias("starts"))
     kind = dict(texts.dtypes)["doc_id"]
     run = _spans_of(_candidates(known, len(texts.columns) - 1, word_boundary), wrong, mode, False)
-    return texts.mapInArrow(run, f"doc_id {kind}, nth int, start int, end int, name string")
+    return texts.mapInArrow(run, f"name string, doc_ids array<{kind}>, nths array<int>, starts array<int>")
+
+
+def places(found: DataFrame) -> DataFrame:
+    """A row (doc_id, nth, start, end, and the other columns) for each place of links()."""
+    others = [c for c in found.columns if c not in ("doc_ids", "nths", "starts")]
+    rows = found.select(*others, F.inline(F.arrays_zip("doc_ids", "nths", "starts"))).toDF(*others, "doc_id", "nth", "start")
+    return rows.select("doc_id", "nth", "start", (F.col("start") + F.length("name")).alias("end"), *others)
 
 
 def counts(texts: DataFrame, names: DataFrame, mode: str = "earliest", word_boundary: bool = False) -> DataFrame:

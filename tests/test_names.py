@@ -158,3 +158,17 @@ def test_inner_ends_of_names(spark):
     for mode in ("earliest", "longest"):
         rows = lambda large: sorted(map(str, entities.link(docs, gaz, mode=mode, word_boundary=True, large=large).collect()))
         assert rows(0) == rows(100) and len(rows(0)) > 5
+
+
+def test_places_of_a_name_meet_its_titles_together(spark):
+    """Titles are joined to a row a name and portion of text, not to a row a place."""
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.expr("repeat('salt, pepper oil ', 100)").alias("title")).coalesce(2)
+    gaz = spark.createDataFrame([("salt", "Salt"), ("salt", "Sodium chloride"), ("pepper oil", "Oil"), ("pepper", "Pepper")], "surface string, wiki_title string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, rows = shuffled(spark, lambda: entities.link(docs, gaz, mode="longest", word_boundary=True, large=0).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(map(str, got)) == sorted(map(str, entities.link(docs, gaz, mode="longest", word_boundary=True).collect()))
+    assert len(got) == 30_000 and rows < 1_000
