@@ -104,7 +104,7 @@ def _pieces(batches):
 def link(recipes: DataFrame, gazetteer: DataFrame, id_col: str = "doc_id", mode: str = "earliest", word_boundary: bool = False, large: int = names.LARGE) -> DataFrame:
     """(doc_id, field, start, end, surface, wiki_title) of title, ingredients, instructions and description.
 
-    Up to `large` surfaces are an automaton in each task; more are found by names.occurrences, so that neither a task nor
+    Up to `large` surfaces are an automaton in each task; more are found by names.links, so that neither a task nor
     the driver holds the dictionary."""
     table = gazetteer.filter("surface <> ''").select("surface", "wiki_title").distinct()
     fields = [f for f in FIELDS if f in recipes.columns]
